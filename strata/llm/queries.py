@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from strata.llm.packing import op9_packing
 from strata.llm.token_counts import op4_token_counts
+from strata.llm.token_files import op10_token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_counts": op4_token_counts,
+    "op9_packing": op9_packing,
+    "op10_token_files": op10_token_files,
 }
 
 #: None of SQL's functions reach the others' models and formats; tests/llm hold those against brute force.
