@@ -6,15 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from strata.llm.decontamination import op1_decontamination
 from strata.llm.packing import op9_packing
 from strata.llm.token_counts import op4_token_counts
 from strata.llm.token_files import op10_token_files
+from strata.llm.topk import OP2_SQL, op2_topk_search
+from strata.llm.toxicity import op6_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": op1_decontamination,
+    "op2_topk_search": op2_topk_search,
     "op4_token_counts": op4_token_counts,
+    "op6_toxicity": op6_toxicity,
     "op9_packing": op9_packing,
     "op10_token_files": op10_token_files,
 }
 
 #: None of SQL's functions reach the others' models and formats; tests/llm hold those against brute force.
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op2_topk_search": OP2_SQL,
+}
