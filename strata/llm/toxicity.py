@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm.common import PUNCT, U64, slices, table, text_bytes, word_hashes
+from strata.llm.common import PUNCT, U64, mix, slices, span_hashes, table, text_bytes, word_spans
 
 #: Frequent function words, by which a text's language is told (fixed values).
 FUNCTION_WORDS = {
@@ -22,88 +22,109 @@ FUNCTION_WORDS = {
 LANGUAGES = [*FUNCTION_WORDS, ""]
 
 
+#: First and last bytes of a word that count as parts of it, as inflected forms share them.
+ENDS = 4
+
+
 def _buckets_of(column: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket of every word of every text, and how many words each text has."""
+    """Buckets of every word of every text, of its beginning and of its end, and how many words each text has."""
     data, off = text_bytes(column)
-    hashes, rows = word_hashes(data, off, PUNCT)
-    return (hashes % U64(buckets)).astype(np.int32), np.bincount(rows, minlength=len(off) - 1)
+    starts, ends, rows = word_spans(data, off, PUNCT)
+    spans = (starts, ends, U64(0)), (starts, np.minimum(ends, starts + ENDS), U64(0x5851F42D4C957F2D)), (np.maximum(starts, ends - ENDS), ends, U64(0x14057B7EF767814F))
+    found = [mix(span_hashes(data, a, b) ^ kind) % U64(buckets) for a, b, kind in spans]
+    return np.stack(found, 1).astype(np.int32), np.bincount(rows, minlength=len(off) - 1)
 
 
 @dataclass
 class Cnn:
-    """Windows of 1, 2, ... words over hashed embeddings, rectified, their maxima over the whole text, and a linear
-    layer. Bucket `buckets` is the padding after each text."""
+    """Windows of 1, 2, ... words, rectified, their maxima over the whole text, and a linear layer. A word's vector is
+    the sum of the hashed embeddings of the word, its beginning and its end. Only buckets that `least` texts of the
+    sample share have a vector; all others, and the padding after each text, have row 0, which stays zero."""
 
-    buckets: int = 1 << 15
+    buckets: int = 1 << 22
     dims: int = 12
     filters: int = 8
     widths: tuple[int, ...] = (1, 2, 3)
+    least: int = 3
     seed: int = 7
+    known: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
     weights: dict[str, np.ndarray] = field(default_factory=dict)
     offsets: np.ndarray = field(default_factory=lambda: np.zeros(len(LANGUAGES)))
 
-    def __post_init__(self):
+    def begin(self, known: np.ndarray) -> None:
+        """Random weights and a vector for each of the known buckets."""
         rng = np.random.default_rng(self.seed)
-        w = self.weights
-        w["e"] = rng.normal(0, 0.1, (self.buckets + 1, self.dims))
-        w["e"][-1] = 0
+        self.known = known
+        w = self.weights = {"e": rng.normal(0, 0.1, (len(known) + 1, self.dims)).astype(np.float32)}
+        w["e"][0] = 0
         for n in self.widths:
-            w[f"k{n}"] = rng.normal(0, 1 / np.sqrt(n * self.dims), (n, self.dims, self.filters))
-            w[f"b{n}"] = np.zeros(self.filters)
-        w["out"] = rng.normal(0, 0.3, len(self.widths) * self.filters)
-        w["bias"] = np.full(1, -2.0)
-        self.language = np.full(self.buckets + 1, len(LANGUAGES) - 1, np.int8)
+            w[f"k{n}"] = rng.normal(0, 1 / np.sqrt(n * self.dims), (n, self.dims, self.filters)).astype(np.float32)
+            w[f"b{n}"] = np.zeros(self.filters, np.float32)
+        w["out"] = rng.normal(0, 0.3, len(self.widths) * self.filters).astype(np.float32)
+        w["bias"] = np.full(1, -2, np.float32)
+
+    def lookups(self) -> tuple[np.ndarray, np.ndarray]:
+        """Row and language of every bucket."""
+        row, language = np.zeros(self.buckets, np.int32), np.full(self.buckets, len(LANGUAGES) - 1, np.int8)
+        row[self.known] = np.arange(1, len(self.known) + 1)
         for k, words in enumerate(FUNCTION_WORDS.values()):
-            b, _ = _buckets_of(pa.array([words]), self.buckets)
-            free = self.language[b] == len(LANGUAGES) - 1  # a word of two languages counts for the first
-            self.language[b[free]] = k
+            b = _buckets_of(pa.array([words]), self.buckets)[0][:, 0]
+            language[b[language[b] == len(LANGUAGES) - 1]] = k  # a word of two languages counts for the first
+        return row, language
 
-    def padded(self, words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def padded(self, rows: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Words with padding after each text, where each text begins there, and its windows' number."""
         pad = max(self.widths) - 1
         windows = np.maximum(counts, 1)
         begin = np.cumsum(windows + pad) - windows - pad
-        out = np.full(int((windows + pad).sum()), self.buckets, np.int32)
-        out[np.arange(len(words)) + np.repeat(begin - (np.cumsum(counts) - counts), counts)] = words
+        out = np.zeros((int((windows + pad).sum()), 3), np.int32)
+        out[np.arange(len(rows)) + np.repeat(begin - (np.cumsum(counts) - counts), counts)] = rows
         return out, begin, windows
 
-    def tables(self) -> dict[int, list[np.ndarray]]:
-        """What each bucket adds to a window at each of its places."""
-        w = self.weights
-        return {n: [(w["e"] @ w[f"k{n}"][j]).astype(np.float32) for j in range(n)] for n in self.widths}
-
-    def logits(self, words: np.ndarray, counts: np.ndarray, tables: dict[int, list[np.ndarray]]) -> np.ndarray:
-        seq, begin, windows = self.padded(words, counts)
-        size, pad, w = len(seq), max(self.widths) - 1, self.weights
+    def logits(self, rows: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        seq, begin, windows = self.padded(rows, counts)
+        w, f, size = self.weights, self.filters, len(seq)
+        total = np.full(len(counts), w["bias"][0], np.float64)
+        if not len(counts):
+            return total
+        vectors = w["e"][seq[:, 0]]
+        for j in (1, 2):
+            vectors += w["e"][seq[:, j]]
         owned = np.zeros(size, bool)
         owned[np.arange(int(windows.sum())) + np.repeat(begin - (np.cumsum(windows) - windows), windows)] = True
-        total = np.full(len(counts), w["bias"][0])
         for at, n in enumerate(self.widths):
-            value = tables[n][0][seq].copy()
+            value = vectors @ w[f"k{n}"][0]
             for j in range(1, n):
-                value[: size - j] += tables[n][j][seq[j:]]
-            value[~owned] = -np.inf if pad else value[~owned]
-            best = np.maximum(np.maximum.reduceat(value, begin) + w[f"b{n}"], 0) if len(begin) else np.zeros((0, self.filters))
-            total += best @ w["out"][at * self.filters : (at + 1) * self.filters]
+                value[: size - j] += vectors[j:] @ w[f"k{n}"][j]
+            value[~owned] = -np.inf
+            total += np.maximum(np.maximum.reduceat(value, begin) + w[f"b{n}"], 0) @ w["out"][at * f : (at + 1) * f]
         return total
 
-    def languages(self, words: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    def languages(self, words: np.ndarray, counts: np.ndarray, language: np.ndarray) -> np.ndarray:
         """The language with most function words; the last entry if there are none."""
         k = len(LANGUAGES)
-        rows = np.repeat(np.arange(len(counts)), counts)
-        votes = np.bincount(rows * k + self.language[words], minlength=len(counts) * k).reshape(-1, k)[:, : k - 1]
+        texts = np.repeat(np.arange(len(counts)), counts)
+        votes = np.bincount(texts * k + language[words[:, 0]], minlength=len(counts) * k).reshape(-1, k)[:, : k - 1]
         return np.where(votes.max(1) > 0, votes.argmax(1), k - 1)
 
-    def scores(self, words: np.ndarray, counts: np.ndarray, tables: dict[int, list[np.ndarray]]) -> np.ndarray:
+    def scores(self, words: np.ndarray, counts: np.ndarray, lookups: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
         """Probability-like scores: 0.5 is the calibrated threshold of the text's own language."""
-        return 1 / (1 + np.exp(-np.clip(self.logits(words, counts, tables) - self.offsets[self.languages(words, counts)], -30, 30)))
+        if not self.weights:
+            return np.zeros(len(counts))
+        row, language = lookups
+        z = self.logits(row[words], counts) - self.offsets[self.languages(words, counts, language)]
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
-    def fit(self, words: list[np.ndarray], labels: np.ndarray, epochs: int = 12, batch: int = 32, rate: float = 0.01, decay: float = 1e-3) -> Cnn:
+    def fit(self, words: list[np.ndarray], labels: np.ndarray, epochs: int = 8, batch: int = 32, rate: float = 0.01, decay: float = 1e-3) -> Cnn:
         """Adam on the logistic loss; only the windows that reach a maximum have gradients. A fifth of the sample sets
         the thresholds by language and takes no part before."""
         rng = np.random.default_rng(self.seed)
         order = rng.permutation(len(words))
         held, used = order[: len(order) // 5], order[len(order) // 5 :]
+        seen, times = np.unique(np.concatenate([np.unique(words[i]) for i in used] or [np.zeros(0, np.int32)]), return_counts=True)
+        self.begin(seen[times >= self.least])
+        row, _ = self.lookups()
+        rows_of = {i: row[words[i]] for i in used}
         w, f = self.weights, self.filters
         first = {k: np.zeros_like(v) for k, v in w.items()}
         second = {k: np.zeros_like(v) for k, v in w.items()}
@@ -114,10 +135,10 @@ class Cnn:
             for a in range(0, len(used), batch):
                 mine = used[a : a + batch]
                 counts = np.array([len(words[i]) for i in mine])
-                seq, begin, windows = self.padded(np.concatenate([words[i] for i in mine]), counts)
+                seq, begin, windows = self.padded(np.concatenate([rows_of[i] for i in mine]), counts)
                 grad = {k: np.zeros_like(v) for k, v in w.items() if k != "e"}
                 pooled, where = [], []
-                rows = w["e"][seq]
+                rows = w["e"][seq].sum(1)
                 for n in self.widths:
                     value = rows @ w[f"k{n}"][0]
                     for j in range(1, n):
@@ -139,12 +160,13 @@ class Cnn:
                     for j in range(n):
                         place = where[at] + j
                         grad[f"k{n}"][j] = np.einsum("ifd,if->df", rows[place], g) + decay * w[f"k{n}"][j]
-                        touched.append(seq[place].ravel())
+                        touched.append(seq[place].reshape(-1, 3))
                         pulls.append((g[:, :, None] * w[f"k{n}"][j].T[None]).reshape(-1, self.dims))
                 hit, back_to = np.unique(np.concatenate(touched), return_inverse=True)
-                sums = np.zeros((len(hit), self.dims))
-                np.add.at(sums, back_to, np.concatenate(pulls))
-                sums[hit == self.buckets] = 0
+                sums, pulled = np.zeros((len(hit), self.dims), np.float32), np.concatenate(pulls)
+                for j in range(3):
+                    np.add.at(sums, back_to.reshape(-1, 3)[:, j], pulled)
+                sums[hit == 0] = 0
                 step += 1
                 bent = rate * (1 - epoch / epochs) * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
                 for k, g in grad.items():
@@ -160,9 +182,9 @@ class Cnn:
 
     def calibrate(self, words: list[np.ndarray], labels: np.ndarray, enough: int = 8) -> None:
         """The threshold of best F1 for each language; the one of all where a language has under `enough` of a class."""
-        counts = np.array([len(x) for x in words])
-        flat = np.concatenate(words) if counts.sum() else np.zeros(0, np.int32)
-        z, language = self.logits(flat, counts, self.tables()), self.languages(flat, counts)
+        counts, (row, table_of) = np.array([len(x) for x in words]), self.lookups()
+        flat = np.concatenate(words)
+        z, language = self.logits(row[flat], counts), self.languages(flat, counts, table_of)
 
         def best(mine: np.ndarray) -> float | None:
             pos = labels[mine] == 1
@@ -179,7 +201,7 @@ class Cnn:
         self.offsets = np.array([overall if x is None else x for x in own])
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", text: str = "text", sample_rows: int = 4000, **shape) -> Cnn:
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", text: str = "text", sample_rows: int = 8000, **shape) -> Cnn:
     """A classifier from at most `sample_rows` labelled documents, drawn by a hash of the key. Their words are hashed on
     the executors; bucket numbers alone reach the driver. Null labels, keys and texts are left out; of several labels of
     a key the largest counts. Without any labelled document the classifier is untrained."""
@@ -200,30 +222,30 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "
     found = sorted(sample.collect(), key=lambda r: (r.key, bytes(r.words)))[:sample_rows]
     if not found:
         return model
-    return model.fit([np.frombuffer(bytes(r.words), np.int32) for r in found], np.array([r.label for r in found]))
+    return model.fit([np.frombuffer(bytes(r.words), np.int32).reshape(-1, 3) for r in found], np.array([r.label for r in found]))
 
 
 def score(docs: DataFrame, model: Cnn, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, score of every whole text (null and empty texts, too), one row per input row; other columns are not read."""
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
-    sent = docs.sparkSession.sparkContext.broadcast((model, model.tables()))  # of fixed size
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # as large as its sample at most
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made, tables = sent.value
-        for part in slices(batches):
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(made.scores(*_buckets_of(part.column(1), made.buckets), tables))], ["key", "score"])
+        made, lookups = sent.value, sent.value.lookups()
+        for part in slices(batches, target=1 << 21):
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(made.scores(*_buckets_of(part.column(1), made.buckets), lookups))], ["key", "score"])
 
     return rows.mapInArrow(judge, "key long, score double").withColumnRenamed("key", key)
 
 
 def without_toxic(docs: DataFrame, model: Cnn, text: str = "text") -> DataFrame:
     """docs, all columns, without the rows that score 0.5 or more; no shuffle."""
-    place, sent = docs.columns.index(text), docs.sparkSession.sparkContext.broadcast((model, model.tables()))
+    place, sent = docs.columns.index(text), docs.sparkSession.sparkContext.broadcast(model)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made, tables = sent.value
-        for part in slices(batches, place):
-            yield part.filter(pa.array(made.scores(*_buckets_of(part.column(place), made.buckets), tables) < 0.5))
+        made, lookups = sent.value, sent.value.lookups()
+        for part in slices(batches, place, 1 << 21):
+            yield part.filter(pa.array(made.scores(*_buckets_of(part.column(place), made.buckets), lookups) < 0.5))
 
     return docs.mapInArrow(keep, docs.schema)
 
