@@ -7,17 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from strata.llm.decontamination import op1_decontamination
+from strata.llm.html_text import op8_html_text
 from strata.llm.packing import op9_packing
 from strata.llm.token_counts import op4_token_counts
 from strata.llm.token_files import op10_token_files
 from strata.llm.topk import OP2_SQL, op2_topk_search
 from strata.llm.toxicity import op6_toxicity
+from strata.llm.url_filter import op3_url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_topk_search": op2_topk_search,
+    "op3_url_filter": op3_url_filter,
     "op4_token_counts": op4_token_counts,
     "op6_toxicity": op6_toxicity,
+    "op8_html_text": op8_html_text,
     "op9_packing": op9_packing,
     "op10_token_files": op10_token_files,
 }
