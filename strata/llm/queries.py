@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from strata.llm.decontamination import op1_decontamination
 from strata.llm.html_text import op8_html_text
+from strata.llm.jaccard_join import op5_jaccard_join
 from strata.llm.lm import op7_lm_scores
 from strata.llm.packing import op9_packing
 from strata.llm.token_counts import op4_token_counts
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_topk_search": op2_topk_search,
     "op3_url_filter": op3_url_filter,
     "op4_token_counts": op4_token_counts,
+    "op5_jaccard_join": op5_jaccard_join,
     "op6_toxicity": op6_toxicity,
     "op7_lm_scores": op7_lm_scores,
     "op8_html_text": op8_html_text,
