@@ -329,5 +329,18 @@ def jaccard_components(docs: DataFrame, percent: int = 75, width: int = 5, key:
     return linked.unionAll(alone).withColumnRenamed("key", key)
 
 
+def one_per_component(docs: DataFrame, percent: int = 75, width: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs, all columns, with one document of each component: that of the least key. Documents without shingles or
+    without key stay; of rows with equal key and text one stays."""
+    found = stored(jaccard_components(docs, percent, width, key, text), "components")
+    gone = found.where(F.col("component_id") < F.col(key)).select(key).distinct()
+    left = docs.join(_few(gone), key, "left_anti").select(*docs.columns)
+    twice = stored(found.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").select(key), "twice")
+    if not twice.limit(1).count():
+        return left
+    again = _few(twice)
+    return left.join(again, key, "left_anti").select(*docs.columns).unionAll(left.join(again, key, "left_semi").select(*docs.columns).dropDuplicates([key, text]))
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
