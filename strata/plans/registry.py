@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from strata.plans import staging
+from strata.plans import gold, silver, staging
 
-MODULES = [staging]
+MODULES = [staging, silver, gold]
 
 
 def queries() -> dict:

@@ -7,21 +7,10 @@ from pyspark.sql import functions as F
 
 from strata.functions import parsing as P
 from strata.operators import cdc
+from strata.plans.register import registry
 from strata.plans.tables import EV, LOG, TRIPS, change_log, events, table, trips
 
-QUERIES, ORACLE = {}, {}
-
-
-def query(sql: str | None = None):
-    """Register a query under its function's name."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return add
+QUERIES, ORACLE, query = registry()
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
