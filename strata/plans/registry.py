@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from strata.plans import gold, silver, staging
+from strata.plans import churn, gold, silver, staging
 
-MODULES = [staging, silver, gold]
+MODULES = [staging, silver, gold, churn]
 
 
 def queries() -> dict:
