@@ -24,6 +24,7 @@ from strata.llm.components import components
 MANY = 8
 #: Rows up to which a table of ids is broadcast; beyond, Spark joins by shuffling.
 FEW = 2_000_000
+#: Bits of the smallest dense sketch.
 _DENSE = 2048
 
 
@@ -166,7 +167,7 @@ def _mapper(width: int, bands: Bands, buckets: int):
                     blobs = [pa.array([x.tobytes()], pa.binary()) for x in ((key[part] >> U64(32)).astype(np.uint32), (key[part] >> U64(16)).astype(np.uint16), back.astype(np.uint16), ids[used])]
                     yield pa.RecordBatch.from_arrays([pa.array([b], pa.int64()), pa.array([_KEYS], pa.int32()), *[pa.nulls(1, pa.int64())] * 4, *blobs], _FIELDS)
 
-        for part in slices(batches):
+        for part in slices(batches, target=1 << 20):
             sets = shingle_sets(*text_bytes(part.column(1)), width)
             ids = class_ids(sets)
             yield _plain(own, _DOC, part.column(0), np.array([len(s) for s in sets], np.int64), ids, part.column(2))
@@ -177,7 +178,7 @@ def _mapper(width: int, bands: Bands, buckets: int):
                     new.append(k)
             for a in range(0, len(new), 20_000):
                 some = new[a : a + 20_000]
-                if classes and (len(classes) + len(some) > 60_000 or held > 4_000_000):
+                if classes and (len(classes) + len(some) > 60_000 or held > 1_500_000):
                     yield from flush() if held else ()
                     keys, owners, classes, held = [], [], [], 0
                 key, who = part_keys([sets[k] for k in some], bands)
@@ -212,8 +213,34 @@ def _reduce(rows: pa.Table) -> pa.Table:
 
 
 def dense_sketch(values: np.ndarray) -> bytes:
-    """A parity sketch of 2048 bits, for quick bounds of the symmetric difference."""
-    return np.packbits((np.bincount((values & U64(_DENSE - 1)).astype(np.int64), minlength=_DENSE) & 1).astype(np.uint8)).tobytes()
+    """A parity sketch of a power of two of bits, four per shingle or more and 2048 at least."""
+    bits = max(_DENSE, 1 << int(4 * len(values) - 1).bit_length())
+    return np.packbits((np.bincount((values & U64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(sketch: np.ndarray, words: int) -> np.ndarray:
+    """The sketch that fewer bits would have given: its parts, added modulo two."""
+    return np.bitwise_xor.reduce(sketch.reshape(-1, words))
+
+
+def _likely(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs u, v whose sizes and sketches allow that they are similar: sketches differ in no more bits than a
+    similar pair has elements in one set alone."""
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = np.zeros(batch.num_rows, bool)
+            n, m = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            for k in np.flatnonzero(100 * np.minimum(n, m) >= percent * np.maximum(n, m)).tolist():
+                x, y = (np.frombuffer(batch.column(c)[k].as_buffer(), U64) for c in (4, 5))
+                words = min(len(x), len(y))
+                apart = int(np.bitwise_count(folded(x, words) ^ folded(y, words)).sum())
+                ok[k] = (100 + percent) * apart <= (100 - percent) * int(n[k] + m[k])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(ok))
+
+    first = sketches.select(F.col("class").alias("u"), F.col("size").alias("size_u"), F.col("sketch").alias("sketch_u"))
+    second = sketches.select(F.col("class").alias("v"), F.col("size").alias("size_v"), F.col("sketch").alias("sketch_v"))
+    return pairs.join(second, "v").join(first, "u").select("u", "v", "size_u", "size_v", "sketch_u", "sketch_v").mapInArrow(judge, "u long, v long")
 
 
 def _checked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -243,36 +270,34 @@ def _doubts(members: DataFrame, parts: DataFrame, sets: DataFrame, percent: int,
     blocks = open_.select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
     rows = placed.join(blocks, "key").withColumn("mine", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int"))
 
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values = [np.frombuffer(x.as_buffer(), U64) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(v) for v in values], pa.int64()), pa.array([dense_sketch(v) for v in values], pa.binary())], ["member", "size", "sketch"])
-
-    wanted = rows.select(F.col("member").alias("class")).distinct()
-    sketches = sets.join(wanted, "class", "left_semi").select("class", "set").mapInArrow(sketch, "member long, size long, sketch binary")
+    sketches = sets.select(F.col("class").alias("member"), "size", "sketch")
     dealt = rows.join(sketches, "member").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = dealt.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "member", "component", "size", "sketch")
+    i, j = F.least("mine", "other"), F.greatest("mine", "other")
+    # Keys of one block share a group with others, keys of more have a group for each pair of blocks.
+    group = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("key"), F.lit(members.count() // 20_000 + 1))).otherwise(F.xxhash64("key", i, j))
+    cells = dealt.select(group.alias("group"), (F.col("blocks") == 1).alias("whole"), "key", i.alias("i"), j.alias("j"), "mine", "member", "component", "size", "sketch")
 
     def near(rows: pa.Table) -> pa.Table:
-        i, mine = rows.column("i").to_numpy(), rows.column("mine").to_numpy()
-        ids, comp, size = (rows.column(c).to_numpy() for c in ("member", "component", "size"))
-        bits = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), U64).reshape(len(ids), -1)
-        left = np.flatnonzero(mine == i)
-        right = left if rows.column("j")[0].as_py() == i[0] else np.flatnonzero(mine != i)
-        u, v = [], []
-        for k in left.tolist():
-            both = size[k] + size[right]
-            some = right[(comp[right] != comp[k]) & (100 * np.minimum(size[k], size[right]) >= percent * np.maximum(size[k], size[right]))]
-            if len(some):
-                both = size[k] + size[some]
-                apart = np.bitwise_count(bits[some] ^ bits[k]).sum(1)
-                some = some[(100 + percent) * apart.astype(np.int64) <= (100 - percent) * both]
-                u.append(np.full(len(some), ids[k]))
-                v.append(ids[some])
-        u, v = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (u, v))
-        return pa.table([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
-
-    return cells.groupBy("key", "i", "j").applyInArrow(near, "u long, v long").distinct()
+        key, i, j, mine, ids, comp, size = (rows.column(c).to_numpy() for c in ("key", "i", "j", "mine", "member", "component", "size"))
+        bits = np.stack([folded(np.frombuffer(x, U64), _DENSE // 64) for x in rows.column("sketch").to_pylist()])
+        order = np.lexsort((j, i, key))
+        new = np.append(True, (np.diff(key[order]) != 0) | (np.diff(i[order]) != 0) | (np.diff(j[order]) != 0))
+        u, v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for cell in np.split(order, np.flatnonzero(new)[1:]):
+            left = cell[mine[cell] == i[cell]]
+            right = left if i[cell[0]] == j[cell[0]] else cell[mine[cell] != i[cell]]
+            for k in left.tolist():
+                some = right[(comp[right] > comp[k]) | ((comp[right] < comp[k]) & (left is not right))]
+                some = some[100 * np.minimum(size[k], size[some]) >= percent * np.maximum(size[k], size[some])]
+                if len(some):
+                    apart = np.bitwise_count(bits[some] ^ bits[k]).sum(1).astype(np.int64)
+                    some = some[(100 + percent) * apart <= (100 - percent) * (size[k] + size[some])]
+                    u.append(np.full(len(some), ids[k]))
+                    v.append(ids[some])
+        u, v = _tallied(np.concatenate(u), np.concatenate(v))
+        return pa.table([pa.array(u), pa.array(v)], ["u", "v"])
+
+    return cells.groupBy("group", "whole").applyInArrow(near, "u long, v long").distinct()
 
 
 def _few(df: DataFrame) -> DataFrame:
@@ -306,14 +331,14 @@ def jaccard_components(docs: DataFrame, percent: int = 75, width: int = 5, key:
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for part in slices(batches, 0):
+        for part in slices(batches, 0, 1 << 20):
             new = [k for k, h in enumerate(part.column(1).to_pylist()) if not (h in seen or seen.add(h))]
             sets = shingle_sets(*text_bytes(part.column(0).take(pa.array(new, pa.int64()))), width)
-            yield pa.RecordBatch.from_arrays([pa.array(class_ids(sets).view(np.int64)), pa.array([s.tobytes() for s in sets], pa.binary())], ["class", "set"])
+            yield pa.RecordBatch.from_arrays([pa.array(class_ids(sets).view(np.int64)), pa.array([len(s) for s in sets], pa.int64()), pa.array([dense_sketch(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["class", "size", "sketch", "set"])
 
     texts = rows.join(_few(sources), "hash", "left_semi").select("text", "hash")
-    sets = stored(texts.mapInArrow(gather, "class long, set binary").dropDuplicates(["class"]), "sets")
-    edges = stored(_checked(pairs, sets, percent), "edges")
+    sets = stored(texts.mapInArrow(gather, "class long, size long, sketch binary, set binary").dropDuplicates(["class"]), "sets")
+    edges = stored(_checked(stored(_likely(pairs, sets, percent), "likely"), sets, percent), "edges")
     parts = stored(components(edges), "parts")
     doubts = stored(_doubts(members, parts, sets, percent), "doubts")
     if doubts.limit(1).count():
