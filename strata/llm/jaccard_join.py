@@ -262,7 +262,7 @@ def _checked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(second, "v").join(first, "u").select("u", "v", "set_u", "set_v").mapInArrow(judge, "u long, v long")
 
 
-def _doubts(members: DataFrame, parts: DataFrame, sets: DataFrame, percent: int, block: int = 1024) -> DataFrame:
+def _doubts(members: DataFrame, parts: DataFrame, sketches: DataFrame, percent: int, block: int = 1024) -> DataFrame:
     """Pairs u, v of documents of a crowded key that are in different components still and whose sketches allow that
     they are similar. Each pair of blocks of a key's documents is a group of its own, of bounded size."""
     placed = members.join(parts.withColumnRenamed("node", "member"), "member", "left").withColumn("component", F.coalesce("component", "member"))
@@ -270,7 +270,7 @@ def _doubts(members: DataFrame, parts: DataFrame, sets: DataFrame, percent: int,
     blocks = open_.select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
     rows = placed.join(blocks, "key").withColumn("mine", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int"))
 
-    sketches = sets.select(F.col("class").alias("member"), "size", "sketch")
+    sketches = sketches.withColumnRenamed("class", "member")
     dealt = rows.join(sketches, "member").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     i, j = F.least("mine", "other"), F.greatest("mine", "other")
     # Keys of one block share a group with others, keys of more have a group for each pair of blocks.
@@ -326,23 +326,33 @@ def jaccard_components(docs: DataFrame, percent: int = 75, width: int = 5, key:
     pairs = stored(found.where(F.col("kind") == _PAIR).select(F.col("a").alias("u"), F.col("b").alias("v")).distinct(), "pairs")
     members = found.where(F.col("kind") == _MEMBER).select(F.col("a").alias("key"), F.col("b").alias("member")).distinct()
 
-    asked = pairs.select(F.col("u").alias("class")).unionAll(pairs.select(F.col("v").alias("class"))).distinct()
-    sources = stored(own.groupBy("class").agg(F.min("hash").alias("hash")).join(asked, "class").select("hash").distinct(), "sources")
+    sources = stored(own.where("n_shingles > 0").groupBy("class").agg(F.min("hash").alias("hash")), "sources")
 
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for part in slices(batches, 0, 1 << 20):
-            new = [k for k, h in enumerate(part.column(1).to_pylist()) if not (h in seen or seen.add(h))]
-            sets = shingle_sets(*text_bytes(part.column(0).take(pa.array(new, pa.int64()))), width)
-            yield pa.RecordBatch.from_arrays([pa.array(class_ids(sets).view(np.int64)), pa.array([len(s) for s in sets], pa.int64()), pa.array([dense_sketch(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["class", "size", "sketch", "set"])
-
-    texts = rows.join(_few(sources), "hash", "left_semi").select("text", "hash")
-    sets = stored(texts.mapInArrow(gather, "class long, size long, sketch binary, set binary").dropDuplicates(["class"]), "sets")
-    edges = stored(_checked(stored(_likely(pairs, sets, percent), "likely"), sets, percent), "edges")
+    def gather(linked: DataFrame, kind: str, content) -> DataFrame:
+        """class, size and content of all classes in the pairs, each from one of its texts, which are read again: only
+        small columns are ever shuffled for it."""
+
+        def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen: set[int] = set()
+            for part in slices(batches, 0, 1 << 20):
+                new = [k for k, h in enumerate(part.column(1).to_pylist()) if not (h in seen or seen.add(h))]
+                sets = shingle_sets(*text_bytes(part.column(0).take(pa.array(new, pa.int64()))), width)
+                yield pa.RecordBatch.from_arrays([pa.array(class_ids(sets).view(np.int64)), pa.array([len(s) for s in sets], pa.int64()), pa.array([content(s) for s in sets], pa.binary())], ["class", "size", kind])
+
+        asked = linked.select(F.col("u").alias("class")).unionAll(linked.select(F.col("v").alias("class"))).distinct()
+        wanted = stored(sources.join(asked, "class").select("hash").distinct(), "wanted")
+        texts = rows.join(_few(wanted), "hash", "left_semi").select("text", "hash")
+        return stored(texts.mapInArrow(read, f"class long, size long, {kind} binary").dropDuplicates(["class"]), kind)
+
+    def check(linked: DataFrame) -> DataFrame:
+        return stored(_checked(linked, gather(linked, "set", np.ndarray.tobytes), percent), "edges")
+
+    sketches = gather(pairs, "sketch", dense_sketch)
+    edges = check(stored(_likely(pairs, sketches, percent), "likely"))
     parts = stored(components(edges), "parts")
-    doubts = stored(_doubts(members, parts, sets, percent), "doubts")
+    doubts = stored(_doubts(members, parts, sketches, percent).join(pairs, ["u", "v"], "left_anti"), "doubts")
     if doubts.limit(1).count():
-        more = stored(_checked(doubts.join(pairs, ["u", "v"], "left_anti"), sets, percent), "edges")
+        more = check(doubts)
         if more.limit(1).count():
             parts = stored(components(edges.unionAll(more)), "parts")
     classes = own.where("n_shingles > 0").groupBy("class").agg(F.min("key").alias("least"))
