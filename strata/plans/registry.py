@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from strata.plans import churn, gold, silver, staging
+from strata.plans import churn, gold, ingest, silver, staging
 
-MODULES = [staging, silver, gold, churn]
+MODULES = [staging, silver, gold, churn, ingest]
 
 
 def queries() -> dict:
