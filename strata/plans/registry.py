@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from strata.plans import churn, gold, ingest, silver, staging
+from strata.plans import churn, gold, ingest, models, silver, staging
 
-MODULES = [staging, silver, gold, churn, ingest]
+MODULES = [staging, silver, gold, churn, ingest, models]
 
 
 def queries() -> dict:
