@@ -350,7 +350,8 @@ def jaccard_components(docs: DataFrame, percent: int = 75, width: int = 5, key:
     sketches = gather(pairs, "sketch", dense_sketch)
     edges = check(stored(_likely(pairs, sketches, percent), "likely"))
     parts = stored(components(edges), "parts")
-    doubts = stored(_doubts(members, parts, sketches, percent).join(pairs, ["u", "v"], "left_anti"), "doubts")
+    near = stored(_doubts(members, parts, sketches, percent).join(pairs, ["u", "v"], "left_anti"), "near")
+    doubts = stored(_likely(near, sketches, percent), "doubts")
     if doubts.limit(1).count():
         more = check(doubts)
         if more.limit(1).count():
