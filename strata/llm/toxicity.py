@@ -204,7 +204,7 @@ class Cnn:
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", text: str = "text", sample_rows: int = 8000, **shape) -> Cnn:
     """A classifier from at most `sample_rows` labelled documents, drawn by a hash of the key. Their words are hashed on
     the executors; bucket numbers alone reach the driver. Null labels, keys and texts are left out; of several labels of
-    a key the largest counts. Without any labelled document the classifier is untrained."""
+    a key the largest counts. Without any labelled document the classifier is untrained and scores 0."""
     known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).cast("long").alias("key")).agg(F.max(label).cast("int").alias("label"))
     chosen = known.orderBy(F.xxhash64("key"), "key").limit(sample_rows)
     model = Cnn(**shape)
