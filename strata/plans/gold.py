@@ -11,7 +11,6 @@ from strata.plans.silver import UNIFIED, unified
 from strata.plans.tables import EV, LOG, TRIPS, change_log, events, table, trips
 
 QUERIES, ORACLE, query = registry()
-WHOLE = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
 #: Hours of each band, and which are peak (fixed values).
 BANDS = [(h, "night" if h < 5 else "morning" if h < 12 else "afternoon" if h < 19 else "evening", h in (6, 7, 8, 16, 17, 18)) for h in range(24)]
 HOLIDAYS = ["2024-01-01", "2024-01-15"]
@@ -19,6 +18,11 @@ BANDS_SQL = "bands AS (SELECT h AS hour, CASE WHEN h < 5 THEN 'night' WHEN h < 1
 HOL_SQL = "hol AS (SELECT unnest(['2024-01-01', '2024-01-15'])::DATE AS hday)"
 
 
+def whole():
+    """All rows of a small result."""
+    return Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+
 def bands(spark):
     return spark.createDataFrame(BANDS, "hour int, band string, is_peak boolean")
 
@@ -164,14 +168,14 @@ SELECT modes, persons, round(100.0::DOUBLE * persons / sum(persons) OVER (), 4)
 def agg_multimodal_summary(spark, sf_dir):
     c = agg_multimodal(spark, sf_dir).groupBy("modes", "mode_list").agg(F.count("*").alias("n"))
     s = c.groupBy("modes").agg(F.sum("n").alias("persons"), F.min_by("mode_list", F.struct(-F.col("n"), "mode_list")).alias("usual"))
-    return s.select("modes", "persons", F.round(F.lit(100.0) * F.col("persons") / F.sum("persons").over(WHOLE), 4).alias("pct"), "usual")
+    return s.select("modes", "persons", F.round(F.lit(100.0) * F.col("persons") / F.sum("persons").over(whole()), 4).alias("pct"), "usual")
 
 
 @query(f"""WITH {FACT} SELECT CASE WHEN grouping(mode) = 1 THEN 'GRAND TOTAL' ELSE mode END AS mode, CASE WHEN grouping(mode) = 1 THEN 'ALL' WHEN grouping(hour) = 1 THEN 'SUBTOTAL' ELSE CAST(hour AS VARCHAR) END AS hour, count(*) AS boardings,
   round(100.0::DOUBLE * count(*) / (SELECT count(*) FROM fct), 4) AS pct FROM fct GROUP BY ROLLUP (mode, hour)""")
 def q_rollup_labels(spark, sf_dir):
     r = fact(spark, sf_dir).rollup("mode", "hour").agg(F.count("*").alias("boardings"), F.grouping("mode").alias("gm"), F.grouping("hour").alias("gh"))
-    total = F.max(F.when(F.col("gm") == 1, F.col("boardings"))).over(WHOLE)
+    total = F.max(F.when(F.col("gm") == 1, F.col("boardings"))).over(whole())
     hour = F.when(F.col("gm") == 1, "ALL").when(F.col("gh") == 1, "SUBTOTAL").otherwise(F.col("hour").cast("string"))
     return r.select(F.when(F.col("gm") == 1, "GRAND TOTAL").otherwise(F.col("mode")).alias("mode"), hour.alias("hour"), "boardings", F.round(F.lit(100.0) * F.col("boardings") / total, 4).alias("pct"))
 
@@ -190,7 +194,7 @@ def q_coverage(spark, sf_dir):
     s = table(spark, sf_dir, "supplier").where("s_acctbal > 5000").groupBy(F.col("s_nationkey").alias("zone")).agg(F.count("*").alias("s"))
     p = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("zone")).agg(F.count("*").alias("p"))
     j = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("zone")).join(s, "zone", "left").join(p, "zone", "left").select("zone", F.coalesce("s", F.lit(0)).alias("stations"), F.coalesce("p", F.lit(0)).alias("residents"))
-    return j.withColumn("zones_without_service", F.count_if(F.col("stations") == 0).over(WHOLE)).withColumn("zones", F.count("*").over(WHOLE))
+    return j.withColumn("zones_without_service", F.count_if(F.col("stations") == 0).over(whole())).withColumn("zones", F.count("*").over(whole()))
 
 
 @query(f"""WITH {_MULTI}, a AS (SELECT 'summary' AS level, CAST(modes AS VARCHAR) AS name, count(*) AS n FROM multi GROUP BY 2 UNION ALL SELECT 'combination', mode_list, count(*) FROM multi WHERE modes >= 2 GROUP BY 2)
@@ -227,7 +231,7 @@ SELECT *, sum(n) OVER ()::BIGINT AS figure FROM f""")
 def q_lineage(spark, sf_dir):
     e = events(spark, sf_dir).where(F.col("day") == F.lit("2024-01-15").cast("date"))
     f = e.groupBy(F.col("event_type").alias("file"), (F.col("user_id") % 3).alias("part")).agg(F.count("*").alias("n"), F.min("event_id").alias("first_offset"), F.max("event_id").alias("last_offset"))
-    return f.withColumn("figure", F.sum("n").over(WHOLE))
+    return f.withColumn("figure", F.sum("n").over(whole()))
 
 
 @query(f"""WITH {FACT}, m AS (SELECT zone, card FROM fct GROUP BY ALL HAVING count(DISTINCT mode) >= 2), z AS (SELECT zone, count(*) AS persons FROM m GROUP BY 1),
