@@ -262,7 +262,7 @@ def _checked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(second, "v").join(first, "u").select("u", "v", "set_u", "set_v").mapInArrow(judge, "u long, v long")
 
 
-def _doubts(members: DataFrame, parts: DataFrame, sketches: DataFrame, percent: int, block: int = 1024) -> DataFrame:
+def _doubts(members: DataFrame, parts: DataFrame, sketches: DataFrame, percent: int, forest: bool, block: int = 1024) -> DataFrame:
     """Pairs u, v of documents of a crowded key that are in different components still and whose sketches allow that
     they are similar. Each pair of blocks of a key's documents is a group of its own, of bounded size."""
     placed = members.join(parts.withColumnRenamed("node", "member"), "member", "left").withColumn("component", F.coalesce("component", "member"))
@@ -286,14 +286,19 @@ def _doubts(members: DataFrame, parts: DataFrame, sketches: DataFrame, percent:
         for cell in np.split(order, np.flatnonzero(new)[1:]):
             left = cell[mine[cell] == i[cell]]
             right = left if i[cell[0]] == j[cell[0]] else cell[mine[cell] != i[cell]]
+            of = comp.copy() if forest else comp  # components as joined so far in this cell
             for k in left.tolist():
-                some = right[(comp[right] > comp[k]) | ((comp[right] < comp[k]) & (left is not right))]
+                some = right[of[right] != of[k]]
                 some = some[100 * np.minimum(size[k], size[some]) >= percent * np.maximum(size[k], size[some])]
                 if len(some):
                     apart = np.bitwise_count(bits[some] ^ bits[k]).sum(1).astype(np.int64)
                     some = some[(100 + percent) * apart <= (100 - percent) * (size[k] + size[some])]
-                    u.append(np.full(len(some), ids[k]))
-                    v.append(ids[some])
+                if forest and len(some):
+                    joined, first = np.unique(of[some], return_index=True)
+                    some = some[first]
+                    of[cell[np.isin(of[cell], joined)]] = of[k]
+                u.append(np.full(len(some), ids[k]))
+                v.append(ids[some])
         u, v = _tallied(np.concatenate(u), np.concatenate(v))
         return pa.table([pa.array(u), pa.array(v)], ["u", "v"])
 
@@ -350,12 +355,17 @@ def jaccard_components(docs: DataFrame, percent: int = 75, width: int = 5, key:
     sketches = gather(pairs, "sketch", dense_sketch)
     edges = check(stored(_likely(pairs, sketches, percent), "likely"))
     parts = stored(components(edges), "parts")
-    near = stored(_doubts(members, parts, sketches, percent).join(pairs, ["u", "v"], "left_anti"), "near")
-    doubts = stored(_likely(near, sketches, percent), "doubts")
-    if doubts.limit(1).count():
-        more = check(doubts)
+    tested = pairs
+    for forest in (True, False):  # at first a few links, which mostly suffice, then whatever is still open
+        near = stored(_doubts(members, parts, sketches, percent, forest), "near")
+        if not near.limit(1).count():
+            break
+        doubts = stored(_likely(near.join(tested, ["u", "v"], "left_anti"), sketches, percent), "doubts")
+        tested = tested.unionAll(near)
+        more = check(doubts) if doubts.limit(1).count() else doubts
         if more.limit(1).count():
-            parts = stored(components(edges.unionAll(more)), "parts")
+            edges = edges.unionAll(more)
+            parts = stored(components(edges), "parts")
     classes = own.where("n_shingles > 0").groupBy("class").agg(F.min("key").alias("least"))
     joined = classes.join(parts.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     least = joined.groupBy("component").agg(F.min("least").alias("component_id"))
