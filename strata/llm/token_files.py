@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strata.llm.common import shared_dir, slices, table
-from strata.llm.encoding import encoder, text_ids, vocabulary
+from strata.llm.encoding import text_ids, vocabulary
 
 MAGIC = 0x31444954
 #: Bytes of the four values that each control byte describes, two bits a value.
@@ -42,53 +42,40 @@ def decode_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
     return values
 
 
-def encode_block(keys: list[int | None], sizes: np.ndarray, ranks: np.ndarray) -> bytes:
-    """Header (magic, documents, ids, control bytes), keys and their null marks, ids per document, control, data."""
-    control, data = encode_ranks(ranks)
-    head = np.array([MAGIC, len(keys), len(ranks), len(control)], "<u4").tobytes()
+def encode_block(keys: list[int | None], sizes: np.ndarray, ids: np.ndarray) -> bytes:
+    """Header (magic, documents, ids, control bytes, distinct ids), keys and their null marks, ids per document, the
+    block's ids by rank (the most frequent first, ties to the smaller), control bytes and data bytes of the ranks."""
+    counts = np.bincount(ids) if len(ids) else np.zeros(0, np.int64)
+    found = np.flatnonzero(counts)
+    order = found[np.argsort(-counts[found], kind="stable")]
+    rank = np.zeros(len(counts), np.uint32)
+    rank[order] = np.arange(len(order), dtype=np.uint32)
+    control, data = encode_ranks(rank[ids])
+    head = np.array([MAGIC, len(keys), len(ids), len(control), len(order)], "<u4").tobytes()
     null = np.array([k is None for k in keys], np.uint8)
-    return b"".join([head, np.array([k or 0 for k in keys], "<i8").tobytes(), null.tobytes(), sizes.astype("<u4").tobytes(), control, data])
+    return b"".join([head, np.array([k or 0 for k in keys], "<i8").tobytes(), null.tobytes(), sizes.astype("<u4").tobytes(), order.astype("<u4").tobytes(), control, data])
 
 
 def decode_block(block: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
-    magic, docs, n, controls = np.frombuffer(block, "<u4", 4).tolist()
+    """Keys, ids per document and all ids."""
+    magic, docs, n, controls, distinct = np.frombuffer(block, "<u4", 5).tolist()
     if magic != MAGIC:
         raise ValueError("not a block of token ids")
-    at = np.cumsum([16, 8 * docs, docs, 4 * docs, controls])
+    at = np.cumsum([20, 8 * docs, docs, 4 * docs, 4 * distinct, controls])
     null = np.frombuffer(block, np.uint8, docs, at[1])
     keys = [None if x else k for k, x in zip(np.frombuffer(block, "<i8", docs, at[0]).tolist(), null, strict=True)]
-    return keys, np.frombuffer(block, "<u4", docs, at[2]).astype(np.int64), decode_ranks(block[at[3] : at[4]], block[at[4] :], n)
-
-
-def id_counts(docs: DataFrame, path: str, end: int) -> DataFrame:
-    """How often each id occurs in all texts and their ends: id, n. A task sends one row per id at most."""
+    by_rank = np.frombuffer(block, "<u4", distinct, at[3])
+    return keys, np.frombuffer(block, "<u4", docs, at[2]).astype(np.int64), by_rank[decode_ranks(block[at[4] : at[5]], block[at[5] :], n)]
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(max(len(encoder(path).opens), end + 1), np.int64)
-        for part in slices(batches):
-            ids, ends = text_ids(part.column(1), path)
-            seen += np.bincount(ids, minlength=len(seen))
-            seen[end] += len(ends) - 1
-        found = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(seen[found], pa.int64())], ["id", "n"])
 
-    return docs.mapInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
-
-
-def write_token_files(docs: DataFrame, path: str, folder: str, end: int = 2, text: str = "text", key: str = "doc_id", block_ids: int = 1 << 18) -> np.ndarray:
+def write_token_files(docs: DataFrame, path: str, folder: str, end: int = 2, text: str = "text", key: str = "doc_id", block_ids: int = 1 << 20) -> None:
     """Write the ids of all texts, each with the id `end` after it, in ascending order of key (nulls first, equal keys
-    by text) and return the ids by rank, which reading needs: rank 0 is the most frequent, ties to the smaller id.
+    by text).
 
     The files are a Parquet table of blocks (shard, block, n_docs, n_ids, payload), written by Spark's committer; each
-    payload stands alone and holds about `block_ids` ids, more only for a longer document."""
+    payload stands alone, has its own table of ids by frequency over all its ids, and holds about `block_ids` ids, more
+    only for a longer document. So every text is read and tokenised once."""
     rows = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    counts = np.zeros(max(len(encoder(path).opens), end + 1), np.int64)
-    for i, n in id_counts(rows, path, end).collect():  # no more rows than the vocabulary has ids
-        counts[i] = n
-    order = np.lexsort((np.arange(len(counts)), -counts)).astype(np.uint32)
-    rank = np.empty(len(order), np.uint32)
-    rank[order] = np.arange(len(order), dtype=np.uint32)
-    ranks = docs.sparkSession.sparkContext.broadcast(rank)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, number = TaskContext.get().partitionId(), 0
@@ -101,11 +88,11 @@ def write_token_files(docs: DataFrame, path: str, folder: str, end: int = 2, tex
             payload = encode_block(keys, np.concatenate(sizes), np.concatenate(parts))
             return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([number], pa.int64()), pa.array([len(keys)], pa.int64()), pa.array([held], pa.int64()), pa.array([payload], pa.binary())], ["shard", "block", "n_docs", "n_ids", "payload"])
 
-        for part in slices(batches, target=1 << 20):
+        for part in slices(batches):
             ids, ends = text_ids(part.column(1), path)
             keys += part.column(0).to_pylist()
             sizes.append(np.diff(ends) + 1)
-            parts.append(ranks.value[np.insert(ids, ends[1:], end)])
+            parts.append(np.insert(ids, ends[1:], end))
             held += len(parts[-1])
             if held >= block_ids:
                 yield flush()
@@ -117,20 +104,18 @@ def write_token_files(docs: DataFrame, path: str, folder: str, end: int = 2, tex
     spread = rows.withColumn("h", F.xxhash64("text"))  # equal keys may go to several shards, in order
     ordered = spread.repartitionByRange(n, F.col("key").asc_nulls_first(), "h").sortWithinPartitions(F.col("key").asc_nulls_first(), "h", "text")
     ordered.select("key", "text").mapInArrow(write, "shard int, block long, n_docs long, n_ids long, payload binary").write.parquet(folder)
-    return order
 
 
-def read_token_files(spark: SparkSession, folder: str, order: np.ndarray) -> DataFrame:
+def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
     """Per document of the files: shard, block, doc (its place in the block), key, before (ids before it in the block),
     n_tokens, ids (little-endian unsigned 32-bit)."""
-    ids_of = spark.sparkContext.broadcast(order)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for shard, number, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                keys, sizes, ranks = decode_block(payload)
-                ids, ends = ids_of.value[ranks].astype("<u4"), np.cumsum(sizes)
-                raw = [ids[b - n : b].tobytes() for b, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
+            for shard, number, payload in zip(*batch.columns, strict=True):
+                keys, sizes, ids = decode_block(payload.as_py())
+                shard, number, ends = shard.as_py(), number.as_py(), np.cumsum(sizes)
+                raw = [ids[b - n : b].astype("<u4").tobytes() for b, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([shard] * len(keys), pa.int32()), pa.array([number] * len(keys), pa.int64()), pa.array(range(len(keys)), pa.int64()), pa.array(keys, pa.int64()), pa.array(ends - sizes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(raw, pa.binary())],
                     ["shard", "block", "doc", "key", "before", "n_tokens", "ids"])
@@ -156,9 +141,9 @@ def token_file_round_trip(docs: DataFrame, path: str, end: int = 2, text: str =
     null keys come first; an empty table gives no rows. Other columns of docs are not read."""
     spark = docs.sparkSession
     folder = f"{shared_dir(spark)}/strata-token-files-{uuid.uuid4().hex}"
-    order = write_token_files(docs, path, folder, end, text, key)
+    write_token_files(docs, path, folder, end, text, key)
     digest = F.crc32("ids").alias("ids_crc32")
-    read = read_token_files(spark, folder, order).select("shard", "block", "key", "before", "n_tokens", digest)
+    read = read_token_files(spark, folder).select("shard", "block", "key", "before", "n_tokens", digest)
     return read.join(block_starts(spark, folder), ["shard", "block"]).select(F.col("key").alias(key), (F.col("block0") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
 
