@@ -270,16 +270,21 @@ def _doubts(members: DataFrame, parts: DataFrame, sketches: DataFrame, percent:
     blocks = open_.select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
     rows = placed.join(blocks, "key").withColumn("mine", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int"))
 
-    sketches = sketches.withColumnRenamed("class", "member")
+    def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = [folded(np.frombuffer(x.as_buffer(), U64), _DENSE // 64).tobytes() for x in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bits, pa.binary())], ["member", "size", "sketch"])
+
+    sketches = sketches.select("class", "size", "sketch").mapInArrow(short, "member long, size long, sketch binary")
     dealt = rows.join(sketches, "member").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     i, j = F.least("mine", "other"), F.greatest("mine", "other")
     # Keys of one block share a group with others, keys of more have a group for each pair of blocks.
-    group = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("key"), F.lit(members.count() // 20_000 + 1))).otherwise(F.xxhash64("key", i, j))
+    group = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("key"), F.lit(members.count() // 8_000 + 1))).otherwise(F.xxhash64("key", i, j))
     cells = dealt.select(group.alias("group"), (F.col("blocks") == 1).alias("whole"), "key", i.alias("i"), j.alias("j"), "mine", "member", "component", "size", "sketch")
 
     def near(rows: pa.Table) -> pa.Table:
         key, i, j, mine, ids, comp, size = (rows.column(c).to_numpy() for c in ("key", "i", "j", "mine", "member", "component", "size"))
-        bits = np.stack([folded(np.frombuffer(x, U64), _DENSE // 64) for x in rows.column("sketch").to_pylist()])
+        bits = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), U64).reshape(len(ids), -1)
         order = np.lexsort((j, i, key))
         new = np.append(True, (np.diff(key[order]) != 0) | (np.diff(i[order]) != 0) | (np.diff(j[order]) != 0))
         u, v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -310,7 +315,7 @@ def _few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(FEW + 1).count() <= FEW else df
 
 
-def jaccard_components(docs: DataFrame, percent: int = 75, width: int = 5, key: str = "doc_id", text: str = "text", bucket_chars: int = 24_000_000) -> DataFrame:
+def jaccard_components(docs: DataFrame, percent: int = 75, width: int = 5, key: str = "doc_id", text: str = "text", bucket_chars: int = 8_000_000) -> DataFrame:
     """Documents linked by shingle sets of Jaccard similarity percent / 100 or more, directly or by way of others.
 
     Words are runs between ASCII white space, A-Z lower-cased; a document's set has its distinct runs of `width` words,
