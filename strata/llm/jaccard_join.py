@@ -143,10 +143,12 @@ def _mapper(width: int, bands: Bands, buckets: int):
         keys, owners, classes, held = [], [], [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            key, who = np.concatenate(keys), np.concatenate(owners)
+            key, who = np.concatenate(keys) >> U64(16), np.concatenate(owners)  # 48 bits, here and where keys meet
             ids = np.array(classes, U64)
             order = np.lexsort((ids[who], key))
             key, who = key[order], who[order]
+            new = np.append(True, (key[1:] != key[:-1]) | (ids[who[1:]] != ids[who[:-1]]))
+            key, who = key[new], who[new]
             start = np.append(True, key[1:] != key[:-1])
             run_of = np.cumsum(start) - 1
             first = np.flatnonzero(start)
@@ -158,13 +160,13 @@ def _mapper(width: int, bands: Bands, buckets: int):
                 yield _plain(own, _MEMBER, k, m)
             send = np.arange(len(key)) - first[run_of] <= MANY
             key, who = key[send], who[send]
-            bucket = ((key >> U64(32)) * U64(buckets)) >> U64(32)
+            bucket = ((key >> U64(16)) * U64(buckets)) >> U64(32)
             cuts = np.searchsorted(bucket, np.arange(buckets + 1, dtype=U64))
             for b in range(buckets):
                 part = slice(cuts[b], cuts[b + 1])
                 if cuts[b + 1] > cuts[b]:
                     used, back = np.unique(who[part], return_inverse=True)
-                    blobs = [pa.array([x.tobytes()], pa.binary()) for x in ((key[part] >> U64(32)).astype(np.uint32), (key[part] >> U64(16)).astype(np.uint16), back.astype(np.uint16), ids[used])]
+                    blobs = [pa.array([x.tobytes()], pa.binary()) for x in ((key[part] >> U64(16)).astype(np.uint32), key[part].astype(np.uint16), back.astype(np.uint16), ids[used])]
                     yield pa.RecordBatch.from_arrays([pa.array([b], pa.int64()), pa.array([_KEYS], pa.int32()), *[pa.nulls(1, pa.int64())] * 4, *blobs], _FIELDS)
 
         for part in slices(batches, target=1 << 20):

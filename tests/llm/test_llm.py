@@ -177,6 +177,23 @@ def test_jaccard_components_equal_brute_force(spark):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [i for i, _, c in got if i == c]
 
 
+def test_jaccard_links_across_crowds_of_tasks(spark):
+    """20 holders of a passage in one partition, 3 in another: of the 20 no two are similar, and each is so to the
+    passage alone, which is in the other partition."""
+    rng = random.Random(2)
+    passage = [f"p{k}" for k in range(34)]
+    texts = [" ".join(passage + [f"t{rng.random()}" for _ in range(8)]) for _ in range(20)]
+    texts += [" ".join(passage)] + [" ".join(passage + [f"t{rng.random()}" for _ in range(8)]) for _ in range(2)]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    similar = {(a, b) for a in range(23) for b in range(a) if len(sets[a] & sets[b]) >= 0.75 * len(sets[a] | sets[b])}
+    assert similar == {(max(k, 20), min(k, 20)) for k in range(23) if k != 20}
+    rows = [(i, t) for i, t in enumerate(texts)]
+    dealt = spark.sparkContext.parallelize([0, 1], 2).flatMap(lambda k: rows[20:] if k else rows[:20])
+    docs = spark.createDataFrame(dealt, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(docs).collect()}
+    assert got == dict.fromkeys(range(23), 0)
+
+
 def test_jaccard_of_nothing(spark):
     assert jaccard_join.jaccard_components(documents(spark, ["x"]).limit(0)).count() == 0
     same = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, "")], "doc_id long, text string")
