@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm.common import SPACE, U64, slices, stored, table, text_bytes, word_hashes
+from strata.llm.common import SPACE, U64, mix, slices, stored, table, text_bytes, word_hashes
 from strata.llm.trie import Trie, level_of, pack, quantised
 
 END = U64(0x454E444F46544558)
@@ -236,6 +236,109 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, text: str = "text",
     return joined.withColumnRenamed("key", key)
 
 
+def gram_keys(tokens: np.ndarray, rows: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Per level, for every token the hash of the n-gram that ends with it, and whether the text has one there."""
+    out, value = [(tokens, np.ones(len(tokens), bool))], mix(tokens)
+    for back, same in enumerate(_same(rows, order - 1), 1):
+        value = value.copy()
+        value[back:] += mix(tokens[:-back] ^ U64(back)) * U64(2 * back + 1)
+        out.append((mix(value ^ U64(back)), same))
+    return out
+
+
+def fit_whole(docs: DataFrame, order: int = 3, discount: float = DISCOUNT) -> tuple[Model, DataFrame]:
+    """The model of fit with every n-gram, however rare: a table key, n, p (log10), backoff (log10) of all levels, spread
+    over the cluster by the n-grams' hashes, and a Model of the totals without a trie."""
+    texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+
+    def counted(level: int) -> DataFrame:
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in slices(batches, 0, 8 << 20):
+                tokens, rows, _ = token_hashes(part.column(0))
+                grams = gram_keys(tokens, rows, level)
+                ok = np.flatnonzero(grams[-1][1])
+                key, at, n = np.unique(grams[-1][0][ok], return_index=True, return_counts=True)
+                lower = grams[max(0, level - 2)][0]
+                columns = (key, lower[ok[at] - (level > 1)], lower[ok[at]])
+                yield pa.RecordBatch.from_arrays([*(pa.array(c.view(np.int64)) for c in columns), pa.array(n)], ["key", "context", "lower", "n"])
+
+        found = texts.mapInArrow(count, "key long, context long, lower long, n long")
+        return found.groupBy("key").agg(F.sum("n").alias("n"), F.min("context").alias("context"), F.min("lower").alias("lower"))
+
+    words = stored(counted(1).select("key", "n"), "words")
+    tokens, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    last = words.withColumn("p", (F.col("n") + 0.5) / (tokens + 0.5 * (distinct + 1)))
+    levels = []
+    for level in range(2, order + 1):
+        above = last.select(F.col("key").alias("context"), F.col("n").alias("n_context"))
+        below = last.select(F.col("key").alias("lower"), F.col("p").alias("p_lower"))
+        found = counted(level).join(above, "context").join(below, "lower").withColumn("p", (F.col("n") - discount) / F.col("n_context"))
+        found = stored(found.select("key", "n", "p", "context", "p_lower"), "grams")
+        rest = found.groupBy(F.col("context").alias("key")).agg((1 - F.sum("p")).alias("left"), (1 - F.sum("p_lower")).alias("free"))
+        weight = F.when(F.col("free") > 1e-12, F.log10(F.greatest("left", F.lit(1e-12)) / F.col("free"))).otherwise(0.0)
+        levels.append(last.select("key", "n", "p").join(rest.select("key", weight.alias("backoff")), "key", "left"))
+        last = found
+    table_ = last.select("key", "n", "p", F.lit(0.0).alias("backoff"))
+    for one in levels:
+        table_ = table_.unionAll(one)
+    return Model(b"", tokens, distinct), table_.select("key", "n", F.log10("p").alias("p"), F.coalesce("backoff", F.lit(0.0)).alias("backoff"))
+
+
+def score_whole(docs: DataFrame, model: Model, grams: DataFrame, order: int = 3, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """As score, by a model of fit_whole: the n-grams of a chunk of texts meet the table by a join, each once."""
+    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
+    names = ["chunk", "gram", "keys", "sizes", "tokens"]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk = TaskContext.get().partitionId() << 32
+        for part in slices(batches, target=4 << 20):
+            tokens, owners, sizes = token_hashes(part.column(1))
+            asked = np.unique(np.concatenate([k[ok] for k, ok in gram_keys(tokens, owners, order)]))
+            empty = [pa.nulls(len(asked), pa.list_(pa.int64()))] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(asked), chunk)), pa.array(asked.view(np.int64)), *empty], names)
+            one = [_listed(v) for v in (part.column(0), sizes.astype(np.int64), tokens.view(np.int64))]
+            yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.nulls(1, pa.int64()), *one], names)
+            chunk += 1
+
+    parts = stored(rows.mapInArrow(read, "chunk long, gram long, keys array<long>, sizes array<long>, tokens array<long>"), "lm")
+    asked = parts.where("gram is not null").select("chunk", "gram").join(grams.withColumnRenamed("key", "gram"), "gram", "left")
+    asked = asked.select("chunk", "gram", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n", "p", "backoff")))
+    texts = parts.where("gram is null").select(F.col("chunk").alias("of"), "keys", "sizes", "tokens")
+    total_tokens, distinct = model.tokens, model.distinct
+
+    def finish(own: pa.Table, docs: pa.Table) -> pa.Table:
+        by = np.argsort(own.column("gram").to_numpy().view(U64))
+        grams = own.column("gram").to_numpy().view(U64)[by]
+        n, p, backoff = (own.column(c).to_numpy()[by] for c in ("n", "p", "backoff"))
+        keys, sizes, tokens = (docs.column(c).combine_chunks().flatten() for c in ("keys", "sizes", "tokens"))
+        sizes, tokens = sizes.to_numpy(), tokens.to_numpy().view(U64)
+        rows = np.repeat(np.arange(len(sizes)), sizes)
+        found = gram_keys(tokens, rows, order)
+        places = []
+        for k, ok in found:
+            place = np.full(len(tokens), -1, np.int64)
+            place[ok] = np.searchsorted(grams, k[ok])
+            place[ok] = np.where(n[place[ok]] > 0, place[ok], -1)
+            places.append(place)
+        base = Model(b"", total_tokens, distinct).log_base(np.where(places[0] >= 0, n[places[0]], 0))
+        total, open_ = np.zeros(len(tokens)), np.ones(len(tokens), bool)
+        for level in range(order, 1, -1):
+            seen = open_ & (places[level - 1] >= 0)
+            total[seen] += p[places[level - 1][seen]]
+            open_ &= ~seen
+            context = np.full(len(tokens), -1, np.int64)
+            context[1:] = places[level - 2][:-1]
+            context[~found[level - 1][1]] = -1
+            back = open_ & (context >= 0)
+            total[back] += backoff[context[back]]
+        total[open_] += base[open_]
+        sums = [np.bincount(rows, v, len(sizes)) for v in (places[0] >= 0, base, total)]
+        return pa.table([keys, pa.array(sizes), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])], ["key", "n_tokens", "n_known", "base_score", "score"])
+
+    joined = asked.groupBy("chunk").cogroup(texts.groupBy("of")).applyInArrow(finish, "key long, n_tokens long, n_known long, base_score double, score double")
+    return joined.withColumnRenamed("key", key)
+
+
 def _listed(values) -> pa.Array:
     """A list array of one row."""
     array = values if isinstance(values, pa.Array) else pa.array(values)
@@ -249,6 +352,6 @@ def held_out(key: str = "doc_id", fold: int = 1) -> Column:
 
 def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model, counts = fit(docs.where(~held_out()))
-    scored = score(docs, model, counts)
+    model, grams = fit_whole(docs.where(~held_out()))
+    scored = score_whole(docs, model, grams)
     return scored.select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")

@@ -268,6 +268,33 @@ def test_base_scores_equal_brute_force(spark):
         assert r.score <= 0
 
 
+def test_query_scores_use_every_ngram(spark, tmp_path):
+    """Over a million tokens of one word: what two texts hold once each still counts as n-grams."""
+    rng = random.Random(4)
+    texts = ["filler " * 1_100_000] + [" ".join(f"r{rng.randrange(9)}" for _ in range(8)) for _ in range(12)]
+    documents(spark, texts, False).write.parquet(f"{tmp_path}/documents.parquet")
+    tokens = [[*t.split(), None] for t in texts]
+    held = [zlib.crc32(str(i).encode()) % 5 == 1 for i in range(len(texts))]
+    assert not held[0] and any(held)
+    n = [Counter(tuple(t[i : i + k]) for t, h in zip(tokens, held) if not h for i in range(len(t) - k + 1)) for k in (1, 2, 3)]
+    total, distinct, after = sum(n[0].values()), len(n[0]), defaultdict(list)
+    for g in [*n[1], *n[2]]:
+        after[g[:-1]].append(g)
+
+    def p(g):
+        if len(g) == 1:
+            return (n[0][g] + 0.5) / (total + 0.5 * (distinct + 1))
+        if n[len(g) - 1][g]:
+            return (n[len(g) - 1][g] - lm.DISCOUNT) / n[len(g) - 2][g[:-1]]
+        if not after[g[:-1]]:  # a context that is not seen, or ends all its texts
+            return p(g[1:])
+        return p(g[1:]) * (1 - sum(map(p, after[g[:-1]]))) / (1 - sum(p(x[1:]) for x in after[g[:-1]]))
+
+    got = {r.doc_id: r.score for r in lm.op7_lm_scores(spark, str(tmp_path)).collect()}
+    for i, t in list(enumerate(tokens))[1:]:
+        assert got[i] == pytest.approx(sum(math.log10(p(tuple(t[max(0, k - 2) : k + 1]))) for k in range(len(t))), rel=1e-6)
+
+
 def test_backoff_model_is_normalised(spark):
     texts = [t for t in lm_fixture() if t]
     model, _ = lm.fit(spark.createDataFrame([(t,) for t in texts], "text string"), order=3, share=1e-9)
