@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -24,6 +25,8 @@ _BYTE = _rng.integers(1, 2**63, 256, dtype=np.int64).astype(U64) * U64(2) + U64(
 _GRAM = _rng.integers(1, 2**63, 16, dtype=np.int64).astype(U64) * U64(2) + U64(1)
 _BASE = U64(0x9E3779B97F4A7C15)
 _UNBASE = U64(pow(0x9E3779B97F4A7C15, -1, 2**64))
+#: The C library, where it can trim its heap.
+_libc = ctypes.CDLL(None) if hasattr(ctypes.CDLL(None), "malloc_trim") else None
 _powers: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
 
 
@@ -49,6 +52,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release() -> None:
+    """Give freed memory back to the system at the end of a task: workers live on, and keep what their heaps held."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: int = 1, target: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Zero-copy slices of about `target` bytes of the given text column (at least a row each)."""
     for batch in batches:

@@ -1,4 +1,9 @@
-"""Language-model scores: an n-gram backoff model in an Elias-Fano trie, with exact counts for all rarer words."""
+"""Language-model scores: a Katz backoff model of all trigrams, in Elias-Fano tries that each hold some middle words.
+
+Every n-gram of the training texts counts, however rare. Trigrams (a, b, w) go to the shard of their middle word b, so
+that a shard has all that scoring w after (a, b) takes: successors of b, heads (a, b) and their successors. The counts of
+single words, which all shards need, are summed up in shards of their own first and sent to where they are asked for.
+Texts send each n-gram once per chunk, as packed blocks of local word numbers; shards send back sums per text."""
 
 from __future__ import annotations
 
@@ -10,11 +15,14 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm.common import SPACE, U64, mix, slices, stored, table, text_bytes, word_hashes
-from strata.llm.trie import Trie, level_of, pack, quantised
+from strata.llm.common import SPACE, U64, mix, release, slices, stored, table, text_bytes, word_hashes
+from strata.llm.trie import Trie, packed_trie
 
 END = U64(0x454E444F46544558)
+#: Stands before the first token of a text; never counted.
+BEGIN = U64(0x424547494E4F4654)
 DISCOUNT = 0.75
+_CODEC = pa.Codec("zstd")
 
 
 def token_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -26,323 +34,352 @@ def token_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.insert(words, ends, END), np.insert(rows, ends, np.arange(len(counts))), counts + 1
 
 
-def _sums(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    flat, number = np.concatenate(keys), np.concatenate(counts)
-    distinct, back = np.unique(flat, return_inverse=True)
-    return distinct, np.bincount(back, number, len(distinct)).astype(np.int64)
-
-
-def _counted(docs: DataFrame, keys_of, most: int = 1 << 21) -> DataFrame:
-    """How often each key occurs: key, n. keys_of gives the keys of a text column; a task sums up before it sends."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts, held = [], [], 0
-
-        def send() -> pa.RecordBatch:
-            distinct, n = _sums(keys, counts)
-            return pa.RecordBatch.from_arrays([pa.array(distinct.view(np.int64)), pa.array(n)], ["key", "n"])
-
-        for part in slices(batches, 0, 1 << 21):
-            found, n = np.unique(keys_of(part.column(0)), return_counts=True)
-            keys.append(found)
-            counts.append(n)
-            held += len(found)
-            if held > most:
-                keys, counts = ([x] for x in _sums(keys, counts))
-                held = len(keys[0])
-                if held > most // 2:
-                    yield send()
-                    keys, counts, held = [], [], 0
-        if keys:
-            yield send()
-
-    return docs.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-
-
-def _same(rows: np.ndarray, order: int) -> list[np.ndarray]:
-    """For 1, 2, ... places back: whether the token there belongs to the same text."""
-    out = []
-    for back in range(1, order + 1):
-        same = np.zeros(len(rows), bool)
-        same[back:] = rows[back:] == rows[:-back]
-        out.append(same)
-    return out
-
-
-class Model:
-    """What scoring needs: the packed trie, the number of training tokens and of distinct ones."""
-
-    def __init__(self, packed: bytes, tokens: int, distinct: int):
-        self.packed, self.tokens, self.distinct = packed, tokens, distinct
-
-    def __getstate__(self):
-        return self.packed, self.tokens, self.distinct
-
-    def __setstate__(self, state):
-        self.packed, self.tokens, self.distinct = state
-
-    @property
-    def trie(self) -> Trie:
-        if "_trie" not in self.__dict__:
-            self._trie = Trie(self.packed)
-        return self._trie
-
-    def log_base(self, counts: np.ndarray) -> np.ndarray:
-        """log10((c + 0.5) / (N + 0.5 (V + 1)))."""
-        return np.log10((counts + 0.5) / (self.tokens + 0.5 * (self.distinct + 1)))
-
-
-def fit(docs: DataFrame, order: int = 3, share: float = 1e-6) -> tuple[Model, DataFrame]:
-    """A model of the column `text` of docs, and the table of all words' counts (key, n).
-
-    All tokens of all texts are counted. The trie has the n-grams of up to `order` words that make up at least `share`
-    of all tokens, so it has 1 / share n-grams a level at most, whatever the input: that bounds what reaches the driver
-    and is broadcast. Rarer words keep their exact counts in the table; rarer n-grams are left to the backoff. Seen
-    n-grams are discounted by a constant, which their context gives to the shorter one (Katz backoff); level 1 is the
-    unigram model with half a count more."""
-    texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    counts = stored(_counted(texts, lambda c: token_hashes(c)[0]), "words")
-    tokens, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    least = share * tokens
-
-    def kept(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        found = df.where(F.col("n") >= least).toArrow()
-        keys, n = found.column("key").to_numpy().view(U64), found.column("n").to_numpy()
-        by = np.argsort(keys)
-        return keys[by], n[by]
-
-    hashes, n1 = kept(counts)
-    made = Model(b"", tokens, distinct)
-    p = (n1 + 0.5) / (tokens + 0.5 * (distinct + 1))
-    levels = [{"hashes": hashes, "counts": n1, "probability": quantised(np.log10(p)), "backoff": quantised(np.zeros(len(n1)))}]
-    probability, numbers = [p], [n1]
-    for level in range(2, order + 1):
-        made.packed = pack(levels)
-        sent = docs.sparkSession.sparkContext.broadcast(made)
-        span = int(len(hashes)) + 1
-
-        def grams(column: pa.Array, sent=sent, level=level, span=span) -> np.ndarray:
-            tokens, rows, _ = token_hashes(column)
-            trie, same = sent.value.trie, _same(rows, level)
-            places = trie.places(trie.words(tokens), same)
-            context, name = np.full(len(tokens), -1, np.int64), places[-1].copy()
-            context[1:] = places[-1][:-1]
-            context[~same[level - 2]] = -1
-            if level > 2:  # by rank among the successors of the context without its first word
-                short = np.full(len(tokens), -1, np.int64)
-                short[1:] = places[-2][:-1]
-                has = np.flatnonzero((name >= 0) & (context >= 0))
-                name[has] -= trie.first(level - 1, short[has])
-            ok = (context >= 0) & (name >= 0)
-            return context[ok].astype(U64) * U64(span) + name[ok].astype(U64)
-
-        keys, n = kept(_counted(texts, grams))
-        context, name = (keys // U64(span)).astype(np.int64), (keys % U64(span)).astype(np.int64)
-        # The same n-gram without its first word, a place in the level below: its probability is what backoff gives.
-        if level == 2:
-            lower = name
-        else:
-            before = levels[-1]
-            pairs, trie = before["_pairs"], sent.value.trie
-            lower = trie.first(level - 1, pairs[1][context] if level == 3 else before["_suffix"][context]) + name
-        share_of = (n - DISCOUNT) / numbers[-1][context]
-        left = 1 - np.bincount(context, share_of, len(numbers[-1]))
-        free = 1 - np.bincount(context, probability[-1][lower], len(numbers[-1]))
-        backoff = np.where(free > 1e-12, np.maximum(left, 1e-12) / np.maximum(free, 1e-12), 1.0)
-        levels[-1]["backoff"] = quantised(np.log10(backoff))
-        levels.append(level_of(context, name, len(numbers[-1])) | {"probability": quantised(np.log10(share_of)), "backoff": quantised(np.zeros(len(n))), "_pairs": np.stack([context, name]), "_suffix": lower})
-        probability.append(share_of)
-        numbers.append(n)
-    made.packed = pack([{k: v for k, v in x.items() if k[0] != "_"} for x in levels])
-    made.__dict__.pop("_trie", None)
-    return made, counts
-
-
-def known_part(model: Model, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Per text: tokens, those in the trie, the sum of their base scores, and of all scores but the unigram part of
-    words that are not in the trie; then those words' hashes and texts."""
-    tokens, rows, sizes = token_hashes(column)
-    trie, same = model.trie, _same(rows, model.trie.order)
-    ids = trie.words(tokens)
-    places = trie.places(ids, same)
-    here = ids >= 0
-    base = np.zeros(len(tokens))
-    base[here] = model.log_base(np.asarray(trie.levels[0]["counts"])[ids[here]])
-    total = np.zeros(len(tokens))
-    open_ = np.ones(len(tokens), bool)  # no n-gram found yet
-    for level in range(trie.order, 1, -1):
-        seen = open_ & (places[level - 1] >= 0)
-        total[seen] += trie.value(level, "probability", places[level - 1][seen])
-        open_ &= ~seen
-        context = np.full(len(tokens), -1, np.int64)
-        context[1:] = places[level - 2][:-1]
-        context[~same[level - 2]] = -1
-        back = open_ & (context >= 0)
-        total[back] += trie.value(level - 1, "backoff", context[back])
-    low = open_ & here
-    total[low] += trie.value(1, "probability", ids[low])
-
-    def per(values: np.ndarray) -> np.ndarray:
-        return np.bincount(rows, values, len(sizes))
-
-    return sizes, per(here).astype(np.int64), per(base), per(total), tokens[~here], rows[~here]
-
-
-def score(docs: DataFrame, model: Model, counts: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Score every text: key, n_tokens, n_known, base_score, score (log10). One row per input row; null texts count as
-    empty, whose only token is the end; null keys stay; repeated rows are scored each; other columns are not read.
-
-    Words in the trie are scored where the text is read. The others, rare by definition, are looked up by a join with
-    the table of counts, each once per chunk of texts; the sums of a chunk meet in a group of bounded size."""
-    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    names = ["chunk", "word", "keys", "sizes", "known", "base", "total", "codes", "owners"]
-    schema = "chunk long, word long, keys array<long>, sizes array<long>, known array<long>, base array<double>, total array<double>, codes array<int>, owners array<int>"
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk = TaskContext.get().partitionId() << 32
-        for part in slices(batches, target=8 << 20):
-            pieces = [known_part(sent.value, piece.column(1)) for piece in slices(iter([part]), target=1 << 20)]
-            sizes, known, base, total, rare, owners = (np.concatenate(c) for c in zip(*pieces, strict=True))
-            ahead = np.cumsum([len(p[0]) for p in pieces]) - [len(p[0]) for p in pieces]
-            owners += np.repeat(ahead, [len(p[5]) for p in pieces])
-            words, codes = np.unique(rare, return_inverse=True)
-            empty = [pa.nulls(len(words), t) for t in (pa.list_(pa.int64()),) * 3 + (pa.list_(pa.float64()),) * 2 + (pa.list_(pa.int32()),) * 2]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), chunk)), pa.array(words.view(np.int64)), *empty], names)
-            one = [_listed(v) for v in (part.column(0), sizes, known, base, total, codes.astype(np.int32), owners.astype(np.int32))]
-            yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.nulls(1, pa.int64()), *one], names)
-            chunk += 1
-
-    parts = stored(rows.mapInArrow(read, schema), "lm")
-    words = parts.where("word is not null").select("chunk", "word").join(counts.withColumnRenamed("key", "word"), "word", "left").select("chunk", "word", F.coalesce("n", F.lit(0)).alias("n"))
-    texts = parts.where("word is null").drop("word").withColumnRenamed("chunk", "of")
-    tokens, distinct = model.tokens, model.distinct
-
-    def finish(own: pa.Table, docs: pa.Table) -> pa.Table:
-        by = np.argsort(own.column("word").to_numpy().view(U64))
-        n = own.column("n").to_numpy()[by]
-        value = Model(b"", tokens, distinct).log_base(n)
-
-        def flat(name: str) -> pa.Array:
-            return docs.column(name).combine_chunks().flatten()
-
-        keys, sizes = flat("keys"), flat("sizes").to_numpy()
-        codes, owners = flat("codes").to_numpy(), flat("owners").to_numpy()
-        rare = np.bincount(owners, value[codes], len(sizes)) if len(codes) else np.zeros(len(sizes))
-        known = flat("known").to_numpy() + (np.bincount(owners, n[codes] > 0, len(sizes)).astype(np.int64) if len(codes) else 0)
-        return pa.table([keys, pa.array(sizes), pa.array(known), pa.array(flat("base").to_numpy() + rare), pa.array(flat("total").to_numpy() + rare)], ["key", "n_tokens", "n_known", "base_score", "score"])
-
-    joined = words.groupBy("chunk").cogroup(texts.groupBy("of")).applyInArrow(finish, "key long, n_tokens long, n_known long, base_score double, score double")
-    return joined.withColumnRenamed("key", key)
-
-
-def gram_keys(tokens: np.ndarray, rows: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Per level, for every token the hash of the n-gram that ends with it, and whether the text has one there."""
-    out, value = [(tokens, np.ones(len(tokens), bool))], mix(tokens)
-    for back, same in enumerate(_same(rows, order - 1), 1):
-        value = value.copy()
-        value[back:] += mix(tokens[:-back] ^ U64(back)) * U64(2 * back + 1)
-        out.append((mix(value ^ U64(back)), same))
+def squeezed(arrays: list[np.ndarray]) -> bytes:
+    """Arrays of numbers from 0 up as bytes: each in the fewest bytes that hold it, byte plane by byte plane, compressed."""
+    head, body = [], []
+    for x in arrays:
+        width = next(k for k in (1, 2, 4, 8) if k == 8 or int(x.max(initial=0)) < 1 << 8 * k)
+        head += [len(x), width]
+        body.append(x.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes())
+    raw = b"".join(body)
+    return np.array([len(arrays), len(raw), *head], "<i8").tobytes() + _CODEC.compress(raw, asbytes=True)
+
+
+def unsqueezed(data: bytes) -> list[np.ndarray]:
+    n, size = np.frombuffer(data, "<i8", 2).tolist()
+    head = np.frombuffer(data, "<i8", 2 * n, 16).tolist()
+    raw, at, out = np.frombuffer(_CODEC.decompress(data[16 + 16 * n :], size, asbytes=True), np.uint8), 0, []
+    for length, width in zip(head[::2], head[1::2], strict=True):
+        out.append(np.ascontiguousarray(raw[at : at + length * width].reshape(width, length).T).view(f"<u{width}").ravel())
+        at += length * width
     return out
 
 
-def fit_whole(docs: DataFrame, order: int = 3, discount: float = DISCOUNT) -> tuple[Model, DataFrame]:
-    """The model of fit with every n-gram, however rare: a table key, n, p (log10), backoff (log10) of all levels, spread
-    over the cluster by the n-grams' hashes, and a Model of the totals without a trie."""
-    texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-
-    def counted(level: int) -> DataFrame:
-        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for part in slices(batches, 0, 8 << 20):
-                tokens, rows, _ = token_hashes(part.column(0))
-                grams = gram_keys(tokens, rows, level)
-                ok = np.flatnonzero(grams[-1][1])
-                key, at, n = np.unique(grams[-1][0][ok], return_index=True, return_counts=True)
-                lower = grams[max(0, level - 2)][0]
-                columns = (key, lower[ok[at] - (level > 1)], lower[ok[at]])
-                yield pa.RecordBatch.from_arrays([*(pa.array(c.view(np.int64)) for c in columns), pa.array(n)], ["key", "context", "lower", "n"])
-
-        found = texts.mapInArrow(count, "key long, context long, lower long, n long")
-        return found.groupBy("key").agg(F.sum("n").alias("n"), F.min("context").alias("context"), F.min("lower").alias("lower"))
-
-    words = stored(counted(1).select("key", "n"), "words")
-    tokens, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    last = words.withColumn("p", (F.col("n") + 0.5) / (tokens + 0.5 * (distinct + 1)))
-    levels = []
-    for level in range(2, order + 1):
-        above = last.select(F.col("key").alias("context"), F.col("n").alias("n_context"))
-        below = last.select(F.col("key").alias("lower"), F.col("p").alias("p_lower"))
-        found = counted(level).join(above, "context").join(below, "lower").withColumn("p", (F.col("n") - discount) / F.col("n_context"))
-        found = stored(found.select("key", "n", "p", "context", "p_lower"), "grams")
-        rest = found.groupBy(F.col("context").alias("key")).agg((1 - F.sum("p")).alias("left"), (1 - F.sum("p_lower")).alias("free"))
-        weight = F.when(F.col("free") > 1e-12, F.log10(F.greatest("left", F.lit(1e-12)) / F.col("free"))).otherwise(0.0)
-        levels.append(last.select("key", "n", "p").join(rest.select("key", weight.alias("backoff")), "key", "left"))
-        last = found
-    table_ = last.select("key", "n", "p", F.lit(0.0).alias("backoff"))
-    for one in levels:
-        table_ = table_.unionAll(one)
-    return Model(b"", tokens, distinct), table_.select("key", "n", F.log10("p").alias("p"), F.coalesce("backoff", F.lit(0.0)).alias("backoff"))
-
-
-def score_whole(docs: DataFrame, model: Model, grams: DataFrame, order: int = 3, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """As score, by a model of fit_whole: the n-grams of a chunk of texts meet the table by a join, each once."""
-    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
-    names = ["chunk", "gram", "keys", "sizes", "tokens"]
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk = TaskContext.get().partitionId() << 32
-        for part in slices(batches, target=4 << 20):
+def _sums(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and the sum of each one's counts."""
+    distinct = np.unique(keys)
+    return distinct, np.bincount(np.searchsorted(distinct, keys), counts, len(distinct)).astype(np.int64)
+
+
+def _shard(hashes: np.ndarray, shards: int) -> np.ndarray:
+    return (((mix(hashes) >> U64(32)) * U64(shards)) >> U64(32)).astype(np.int64)
+
+
+class Events:
+    """Of a run of tokens the distinct (a, b, w) by shard: numbers of the words before the last, before, and itself in
+    `words` (hashes in order), how often it occurs in training texts, and the texts of all its occurrences."""
+
+    def __init__(self, tokens: np.ndarray, rows: np.ndarray, train: np.ndarray, first: int, last: int, shards: int, hot: np.ndarray):
+        """Tokens first to last; those before serve as contexts. Contexts that begin outside the text are BEGIN. A shard
+        has all trigrams of a middle word; of a hot one those of some first words; of BEGIN those of some last ones."""
+        lead = min(first, 2)
+        coded = pa.array(np.append(tokens[first - lead : last], BEGIN)).dictionary_encode()
+        found = coded.dictionary.to_numpy(zero_copy_only=False)
+        order = np.argsort(found)
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        self.words = found[order]
+        ids, begin = rank[coded.indices.to_numpy(zero_copy_only=False)][:-1], int(np.searchsorted(self.words, BEGIN))
+        own = rows[first - lead : last]
+        a, b = np.full(len(ids), begin), np.full(len(ids), begin)
+        b[1:] = np.where(own[1:] == own[:-1], ids[:-1], begin)
+        a[2:] = np.where(own[2:] == own[:-2], ids[:-2], begin)
+        a, b, w, own = a[lead:], b[lead:], ids[lead:], own[lead:]
+        bits = max(1, int(len(self.words) - 1).bit_length())
+        key = (b << 2 * bits) | (a << bits) | w  # a run has at most a million tokens: 63 bits
+        by = np.argsort(key)
+        key = key[by]
+        start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        self.b, self.a, self.w = key[start] >> 2 * bits, key[start] >> bits & (1 << bits) - 1, key[start] & (1 << bits) - 1
+        times = np.diff(np.append(start, len(key)))
+        count = np.add.reduceat(train[own[by]].astype(np.int64), start)
+        middle = self.words[self.b]
+        self.hot = np.isin(self.words, hot)
+        name = np.where(self.b == begin, self.words[self.w], np.where(self.hot[self.b], mix(middle ^ mix(self.words[self.a])), middle))
+        shard = _shard(name, shards)
+        to = np.argsort(shard, kind="stable")
+        self.a, self.b, self.w, self.count, self.times, self.shard = self.a[to], self.b[to], self.w[to], count[to], times[to], shard[to]
+        ends = np.cumsum(self.times)
+        self.texts = own[by][np.repeat(start[to] - (ends - self.times), self.times) + np.arange(len(key))]
+        self.begin = begin
+
+    def blocks(self, shards: int) -> Iterator[tuple[int, bytes, bytes]]:
+        """Per shard: number, hashes of the words used, and the events."""
+        cuts, ahead = np.searchsorted(self.shard, np.arange(shards + 1)), np.concatenate([[0], np.cumsum(self.times)])
+        for s in np.flatnonzero(np.diff(cuts)).tolist():
+            x = slice(cuts[s], cuts[s + 1])
+            used = np.unique(np.concatenate([self.a[x], self.b[x], self.w[x]]))
+            a, b, w = (np.searchsorted(used, c[x]) for c in (self.a, self.b, self.w))
+            yield s, self.words[used].tobytes(), squeezed([np.diff(b, prepend=0), a, w, self.count[x], self.times[x] - 1, self.texts[ahead[cuts[s]] : ahead[cuts[s + 1]]]])
+
+    def requests(self, shards: int, parts: int) -> Iterator[tuple[int, bytes, bytes]]:
+        """Per part of the counts: number, hashes of words, and their items: the word's number, 0 or one more than that of
+        the hot word before it, training count; then items' numbers and the shards that ask for them. Hot words are
+        known to all shards, and asked for by none."""
+        n = len(self.words)
+        hot = np.flatnonzero(self.hot)
+        place = np.zeros(n, np.int64)
+        place[hot] = np.arange(1, len(hot) + 1)
+        span = len(hot) + 1
+        before = np.insert(self.words[hot], 0, U64(0))
+        item, count = _sums(np.concatenate([self.w * span, (self.w * span + place[self.b])[after := place[self.b] > 0]]), np.concatenate([self.count, self.count[after]]))
+        asked = np.concatenate([(self.w * span)[cold := ~self.hot[self.w]], (self.w * span + place[self.b])[after]])
+        pair = np.unique(np.searchsorted(item, asked) * shards + np.concatenate([self.shard[cold], self.shard[after]]))
+        part = _shard(self.words[item // span], parts)
+        asked_part = part[pair // shards]
+        for p in np.unique(part).tolist():
+            mine = np.flatnonzero(part == p)
+            new = np.full(len(item), -1, np.int64)
+            new[mine] = np.arange(len(mine))
+            used, back = np.unique(item[mine] // span, return_inverse=True)
+            own = pair[asked_part == p]
+            yield p, self.words[used].tobytes(), squeezed([back, before[item[mine] % span], count[mine], new[own // shards], own % shards])
+
+
+def _tallies(rows: pa.Table, hot_words: np.ndarray) -> pa.Table:
+    """Sums of a part's items: what each shard asked for, the totals, hot words' counts and what their successors add up to."""
+    words, before, counts, items, asked, at = [], [], [], [], [], 0
+    for w, data in zip(rows.column("words").to_pylist(), rows.column("data").to_pylist(), strict=True):
+        number, hot, n, who, to = unsqueezed(data)
+        words.append(np.frombuffer(w, U64)[number])
+        before.append(hot.astype(U64))
+        counts.append(n.astype(np.int64))
+        items.append(who.astype(np.int64) + at)
+        asked.append(to.astype(np.int64))
+        at += len(n)
+    word, before, count = (np.concatenate(x) for x in (words, before, counts))
+    names = np.unique(word)
+    hots = np.unique(before)  # the first, 0, is none
+    flat = np.searchsorted(names, word) * len(hots) + np.searchsorted(hots, before)
+    key, n = _sums(flat, count)
+    place = np.searchsorted(key, flat)
+    single = key[key % len(hots) == 0]
+    total = np.zeros(len(names), np.int64)
+    total[single // len(hots)] = n[np.searchsorted(key, single)]
+    out = [(_TOTAL, 0, 0, int(total.sum()), int((total > 0).sum()), None)]
+    for k in np.flatnonzero(np.bincount(key % len(hots), minlength=len(hots)) > 0).tolist():
+        if k:
+            mine = key[(key % len(hots) == k) & (n > 0)] // len(hots)
+            out.append((_AFTER, 0, int(hots[k].view(np.int64)), len(mine), int(total[mine].sum()), None))
+    known = np.flatnonzero(np.isin(names, hot_words))
+    out += [(_WORD, 0, h, c, 0, None) for h, c in zip(names[known].view(np.int64).tolist(), total[known].tolist(), strict=True)]
+    pair = np.unique(np.concatenate(asked) * len(key) + place[np.concatenate(items)])
+    for s, own in zip(*_grouped(pair // len(key), pair % len(key)), strict=True):
+        used, back = np.unique(key[own] // len(hots), return_inverse=True)
+        data = squeezed([back, hots[key[own] % len(hots)], n[own]])
+        out.append((_COUNTS, int(s), 0, 0, 0, (names[used].tobytes(), data)))
+    cols = list(zip(*out, strict=True))
+    return pa.table({
+        "kind": pa.array(cols[0], pa.int32()), "shard": pa.array(cols[1], pa.int64()), "word": pa.array(cols[2], pa.int64()), "n": pa.array(cols[3], pa.int64()), "m": pa.array(cols[4], pa.int64()),
+        "words": pa.array([x and x[0] for x in cols[5]], pa.binary()), "data": pa.array([x and x[1] for x in cols[5]], pa.binary()),
+    })
+
+
+_TOTAL, _AFTER, _WORD, _COUNTS = 0, 1, 2, 3
+
+
+def _grouped(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Distinct keys, which come in order, and the values of each."""
+    start = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    return keys[start], np.split(values, start[1:]) if len(keys) else []
+
+
+class Totals:
+    """Training tokens, distinct ones, and of the hot words: hashes in order, counts, and backoff weights."""
+
+    def __init__(self, tokens: int, distinct: int, hot: np.ndarray, counts: np.ndarray, backoff: np.ndarray):
+        self.tokens, self.distinct, self.hot, self.counts, self.backoff = tokens, distinct, hot, counts, backoff
+
+    def p(self, counts: np.ndarray) -> np.ndarray:
+        """(c + 0.5) / (N + 0.5 (V + 1))."""
+        return (counts + 0.5) / (self.tokens + 0.5 * (self.distinct + 1))
+
+
+def _weight(left: np.ndarray, free: np.ndarray) -> np.ndarray:
+    """log10 of what contexts leave to unseen successors over what these have a level below; 0 where that is nothing."""
+    return np.where(free > 1e-12, np.log10(np.maximum(left, 1e-12) / np.maximum(free, 1e-12)), 0.0)
+
+
+def shard_trie(words: np.ndarray, p1: np.ndarray, a: np.ndarray, b: np.ndarray, w: np.ndarray, count: np.ndarray, after: tuple, totals: Totals, discount: float) -> Trie:
+    """The trie of a shard. a, b, w: words of its training n-grams by number (-1 for BEGIN), after: key (b, w) and count
+    of the successors of hot words, whose bigrams other shards have, too."""
+    n = len(words)
+    place = np.searchsorted(totals.hot, words)
+    hot = np.zeros(n, bool)
+    hot[place < len(totals.hot)] = totals.hot[place[place < len(totals.hot)]] == words[place < len(totals.hot)]
+    ok = (b >= 0) & ~hot[b]
+    two, c2 = _sums(np.concatenate([b[ok] * n + w[ok], after[0]]), np.concatenate([count[ok], after[1]]))
+    of = two // n
+    c1 = np.bincount(of, c2, n)
+    c1[hot] = totals.counts[place[hot]]
+    p2 = (c2 - discount) / c1[of]
+    backoff = np.where(np.bincount(of, minlength=n) > 0, _weight(1 - np.bincount(of, p2, n), 1 - np.bincount(of, p1[two % n], n)), 0.0)
+    backoff[hot] = totals.backoff[place[hot]]
+    ok = (a >= 0) & (b >= 0)
+    a, b, w, count = a[ok], b[ok], w[ok], count[ok]
+    heads = np.unique(b * n + a)
+    first = np.searchsorted(of, np.arange(n))
+    rank = np.searchsorted(two, b * n + w) - first[b]
+    span = int(rank.max(initial=0)) + 1
+    three, c3 = _sums(np.searchsorted(heads, b * n + a) * span + rank, count)
+    head, rank = three // span, three % span
+    p3 = (c3 - discount) / np.bincount(head, c3, len(heads))[head]
+    lower = p2[first[heads[head] // n] + rank]
+    weight = _weight(1 - np.bincount(head, p3, len(heads)), 1 - np.bincount(head, lower, len(heads)))
+    return Trie(packed_trie(np.log10(p1), (of, two % n, np.log10(p2), backoff), (heads // n, heads % n, weight), (head, rank, np.log10(p3))))
+
+
+def _solver(totals: Totals, discount: float):
+    """A shard's blocks and counts to sums of its events by chunk and text."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        names = ["chunk", "keys", "data", "base", "score"]
+        if rows.num_rows and rows.column("shard")[0].as_py() < 0:  # the keys of a chunk's texts
+            return pa.table([rows.column("chunk"), rows.column("words"), rows.column("data"), *[pa.nulls(rows.num_rows, pa.binary())] * 2], names)
+        chunks = rows.column("chunk").to_pylist()
+        own = [np.frombuffer(x, U64) for x in rows.column("words").to_pylist()]
+        words = np.unique(np.concatenate(own))
+        n, begin = len(words), int(np.searchsorted(words, BEGIN)) if BEGIN in words else -1
+        counts, after, blocks = np.zeros(n, np.int64), [(np.zeros(0, np.int64),) * 2], []
+        known = np.isin(words, totals.hot)
+        counts[known] = totals.counts[np.searchsorted(totals.hot, words[known])]
+        for chunk, mine, data in zip(chunks, own, rows.column("data").to_pylist(), strict=True):
+            ids = np.searchsorted(words, mine)
+            parts = unsqueezed(data)
+            if chunk >= 0:
+                blocks.append((chunk, ids, parts))
+                continue
+            w, before, c = ids[parts[0]], parts[1].astype(U64), parts[2].astype(np.int64)
+            alone = before == 0
+            counts[w[alone]] = c[alone]
+            some = ~alone & (c > 0)
+            after.append((np.searchsorted(words, before[some]) * n + w[some], c[some]))
+        p1 = totals.p(counts)
+        a, b, w, count = ([] for _ in range(4))
+        for _, ids, (step, first, last, n_train, *_) in blocks:
+            for column, x in ((a, ids[first]), (b, ids[np.cumsum(step.astype(np.int64))]), (w, ids[last]), (count, n_train.astype(np.int64))):
+                column.append(x)
+        a, b, w, count = (np.concatenate(x) for x in (a, b, w, count))
+        keys, c2 = _sums(*(np.concatenate(x) for x in zip(*after, strict=True)))
+        some = np.flatnonzero(count)
+        trie = shard_trie(words, p1, *(np.where(x[some] == begin, -1, x[some]) for x in (a, b, w)), count[some], (keys, c2), totals, discount)
+        scores, base, known, at, out = trie.score(a, b, w), np.log10(p1)[w], counts[w] > 0, 0, []
+        del a, b, w, count, trie
+        for chunk, _, (*_, times, texts) in blocks:
+            mine, at = slice(at, at + len(times)), at + len(times)
+            which, place = np.unique(texts, return_inverse=True)
+            sums = [np.bincount(place, np.repeat(v[mine], times.astype(np.int64) + 1), len(which)) for v in (known, base, scores)]
+            out.append((chunk, squeezed([which, sums[0].astype(np.int64)]), sums[1].tobytes(), sums[2].tobytes()))
+        release()
+        cols = list(zip(*out, strict=True)) or [[]] * 4
+        return pa.table([pa.array(cols[0], pa.int64()), pa.nulls(len(out), pa.binary()), *(pa.array(c, pa.binary()) for c in cols[1:])], names)
+
+    return run
+
+
+def _gathered(rows: pa.Table) -> pa.Table:
+    """The texts of a chunk with the sums of all shards."""
+    keys = null = sizes = None
+    for k, data in zip(rows.column("keys").to_pylist(), rows.column("data").to_pylist(), strict=True):
+        if k is not None:
+            null, sizes = unsqueezed(data)
+            keys = np.frombuffer(k, np.int64)
+    sums = [np.zeros(len(keys)) for _ in range(3)]
+    for k, data, base, score in zip(*(rows.column(c).to_pylist() for c in ("keys", "data", "base", "score")), strict=True):
+        if k is None:
+            which, known = unsqueezed(data)
+            for total, value in zip(sums, (known, np.frombuffer(base), np.frombuffer(score)), strict=True):
+                total[which] += value
+    return pa.table([pa.array(keys, mask=null.astype(bool)), pa.array(sizes.astype(np.int64)), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])], ["key", "n_tokens", "n_known", "base_score", "score"])
+
+
+def score_corpus(docs: DataFrame, train: Column, text: str = "text", key: str = "doc_id", discount: float = DISCOUNT, shard_tokens: int = 1_500_000, hot_tokens: int = 3_000_000, chunk_bytes: int = 6 << 20) -> tuple[DataFrame, int]:
+    """Score every text of docs by the model of those in which `train` holds: key, n_tokens, n_known (training words),
+    base_score (unigrams), score (log10 P of the whole text), and the number of training tokens.
+
+    One row per input row; null texts count as empty, whose only token is the end; null keys stay; a null `train` counts
+    as false; repeated rows are learned and scored each; no rows give none; other columns are not read. Without training
+    texts all scores are those of unseen words.
+
+    Words are runs between ASCII white space, A-Z lower-cased, known by 64-bit hashes. Level 1 has half a count more for
+    each word; seen n-grams of two and three tokens are discounted by a constant, which their context gives to the
+    shorter n-gram (Katz). Shards hold about `shard_tokens` tokens' n-grams. A word of `hot_tokens` tokens or more is
+    spread over shards by the word before it; the counts of its bigrams then are summed like those of single words, and
+    sent to the shards that ask for them. There are at most tokens / hot_tokens hot words, which all tasks know."""
+    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
+    chars, texts = rows.agg(F.coalesce(F.sum(F.length("text").cast("long")), F.lit(0)), F.count("*")).first()
+    share = hot_tokens / (chars / 2 + texts + 1)  # a word takes two characters at least: more than all tokens
+
+    def count_hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Tokens of the task, and those of its words that make up the share of a hot word; such a word does somewhere."""
+        words, counts, total = np.zeros(0, U64), np.zeros(0, np.int64), 0
+        for part in slices(batches, target=chunk_bytes):
+            tokens = token_hashes(part.column(1))[0]
+            coded = pa.array(tokens).value_counts()
+            words, counts = _sums(np.concatenate([words, coded.field(0).to_numpy(zero_copy_only=False)]), np.concatenate([counts, coded.field(1).to_numpy(zero_copy_only=False)]))
+            total += len(tokens)
+            keep = counts > total * share
+            words, counts = words[keep], counts[keep]
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(words, BEGIN).view(np.int64)), pa.array(np.append(counts, total))], ["word", "n"])
+        release()
+
+    seen = rows.mapInArrow(count_hot, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).where((F.col("n") >= hot_tokens) | (F.col("word") == int(BEGIN.view(np.int64)))).collect()
+    size = next((r.n for r in seen if r.word == int(BEGIN.view(np.int64))), 0)
+    hot = np.sort(np.array([r.word for r in seen if r.word != int(BEGIN.view(np.int64))], np.int64).view(U64))
+    shards = int(size // shard_tokens) + 2
+    parts = shards // 4 + 1
+
+    def chunks(batches: Iterator[pa.RecordBatch], start: int) -> Iterator[tuple[int, pa.RecordBatch | None, Events | None, np.ndarray | None]]:
+        """Chunk numbers with, first, the texts and their sizes, and then their events, a million tokens at most at a time."""
+        chunk = start
+        for part in slices(batches, target=chunk_bytes):
             tokens, owners, sizes = token_hashes(part.column(1))
-            asked = np.unique(np.concatenate([k[ok] for k, ok in gram_keys(tokens, owners, order)]))
-            empty = [pa.nulls(len(asked), pa.list_(pa.int64()))] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(asked), chunk)), pa.array(asked.view(np.int64)), *empty], names)
-            one = [_listed(v) for v in (part.column(0), sizes.astype(np.int64), tokens.view(np.int64))]
-            yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.nulls(1, pa.int64()), *one], names)
+            yield chunk, part, None, sizes
+            flags = part.column(2).to_numpy(zero_copy_only=False).astype(bool)
+            for first in range(0, len(tokens), 1 << 20):
+                yield chunk, None, Events(tokens, owners, flags, first, min(len(tokens), first + (1 << 20)), shards, hot), None
             chunk += 1
 
-    parts = stored(rows.mapInArrow(read, "chunk long, gram long, keys array<long>, sizes array<long>, tokens array<long>"), "lm")
-    asked = parts.where("gram is not null").select("chunk", "gram").join(grams.withColumnRenamed("key", "gram"), "gram", "left")
-    asked = asked.select("chunk", "gram", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n", "p", "backoff")))
-    texts = parts.where("gram is null").select(F.col("chunk").alias("of"), "keys", "sizes", "tokens")
-    total_tokens, distinct = model.tokens, model.distinct
-
-    def finish(own: pa.Table, docs: pa.Table) -> pa.Table:
-        by = np.argsort(own.column("gram").to_numpy().view(U64))
-        grams = own.column("gram").to_numpy().view(U64)[by]
-        n, p, backoff = (own.column(c).to_numpy()[by] for c in ("n", "p", "backoff"))
-        keys, sizes, tokens = (docs.column(c).combine_chunks().flatten() for c in ("keys", "sizes", "tokens"))
-        sizes, tokens = sizes.to_numpy(), tokens.to_numpy().view(U64)
-        rows = np.repeat(np.arange(len(sizes)), sizes)
-        found = gram_keys(tokens, rows, order)
-        places = []
-        for k, ok in found:
-            place = np.full(len(tokens), -1, np.int64)
-            place[ok] = np.searchsorted(grams, k[ok])
-            place[ok] = np.where(n[place[ok]] > 0, place[ok], -1)
-            places.append(place)
-        base = Model(b"", total_tokens, distinct).log_base(np.where(places[0] >= 0, n[places[0]], 0))
-        total, open_ = np.zeros(len(tokens)), np.ones(len(tokens), bool)
-        for level in range(order, 1, -1):
-            seen = open_ & (places[level - 1] >= 0)
-            total[seen] += p[places[level - 1][seen]]
-            open_ &= ~seen
-            context = np.full(len(tokens), -1, np.int64)
-            context[1:] = places[level - 2][:-1]
-            context[~found[level - 1][1]] = -1
-            back = open_ & (context >= 0)
-            total[back] += backoff[context[back]]
-        total[open_] += base[open_]
-        sums = [np.bincount(rows, v, len(sizes)) for v in (places[0] >= 0, base, total)]
-        return pa.table([keys, pa.array(sizes), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])], ["key", "n_tokens", "n_known", "base_score", "score"])
-
-    joined = asked.groupBy("chunk").cogroup(texts.groupBy("of")).applyInArrow(finish, "key long, n_tokens long, n_known long, base_score double, score double")
-    return joined.withColumnRenamed("key", key)
-
-
-def _listed(values) -> pa.Array:
-    """A list array of one row."""
-    array = values if isinstance(values, pa.Array) else pa.array(values)
-    return pa.ListArray.from_arrays(pa.array([0, len(array)], pa.int32()), array)
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, events, _ in chunks(batches, 0):
+            if events is not None:
+                cols = list(zip(*events.requests(shards, parts), strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())], ["part", "words", "data"])
+        release()
+
+    def sums(table_: pa.Table) -> pa.Table:
+        out = _tallies(table_, hot)
+        release()
+        return out
+
+    tallies = stored(rows.mapInArrow(ask, "part long, words binary, data binary").groupBy("part").applyInArrow(sums, "kind int, shard long, word long, n long, m long, words binary, data binary"), "lm-counts")
+    tokens, distinct = tallies.where(F.col("kind") == _TOTAL).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("m"), F.lit(0))).first()
+    wanted = [int(x) for x in hot.view(np.int64)]
+    small = tallies.where(F.col("kind").isin(_WORD, _AFTER)).where(F.col("word").isin(wanted)).groupBy("kind", "word").agg(F.sum("n").alias("n"), F.sum("m").alias("m")).collect() if wanted else []
+    found = {(r.kind, r.word): (r.n, r.m) for r in small}
+    totals = Totals(tokens, distinct, hot, np.array([found.get((_WORD, x), (0, 0))[0] for x in wanted], np.int64), np.zeros(len(wanted)))
+    if wanted:
+        after = np.array([found.get((_AFTER, x), (0, 0)) for x in wanted])
+        left = discount * after[:, 0] / np.maximum(1, totals.counts)
+        free = 1 - (after[:, 1] + 0.5 * after[:, 0]) / (tokens + 0.5 * (distinct + 1))
+        totals.backoff = np.where(after[:, 0] > 0, _weight(left, free), 0.0)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk, part, events, sizes in chunks(batches, TaskContext.get().partitionId() << 32):
+            if part is not None:
+                keys = part.column(0)
+                null = keys.is_null().to_numpy(zero_copy_only=False)
+                cols = [[-1 - chunk], [keys.fill_null(0).to_numpy(zero_copy_only=False).tobytes()], [squeezed([null, sizes])]]
+            else:
+                cols = list(zip(*events.blocks(shards), strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array([chunk] * len(cols[0]), pa.int64()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())], ["shard", "chunk", "words", "data"])
+        release()
+
+    dealt = rows.mapInArrow(deal, "shard long, chunk long, words binary, data binary")
+    counts = tallies.where(F.col("kind") == _COUNTS).select("shard", F.lit(-1).cast("long").alias("chunk"), "words", "data")
+    solved = dealt.unionAll(counts).groupBy("shard").applyInArrow(_solver(totals, discount), "chunk long, keys binary, data binary, base binary, score binary")
+    scored = solved.groupBy("chunk").applyInArrow(_gathered, "key long, n_tokens long, n_known long, base_score double, score double")
+    return scored.withColumnRenamed("key", key), tokens
 
 
 def held_out(key: str = "doc_id", fold: int = 1) -> Column:
@@ -351,7 +388,6 @@ def held_out(key: str = "doc_id", fold: int = 1) -> Column:
 
 
 def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    model, grams = fit_whole(docs.where(~held_out()))
-    scored = score_whole(docs, model, grams)
-    return scored.select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    """score_corpus over all documents, learned from those that are not held out."""
+    scored, tokens = score_corpus(table(spark, sf_dir, "documents"), ~held_out())
+    return scored.select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")

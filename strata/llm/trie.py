@@ -31,7 +31,7 @@ def elias_fano(values: np.ndarray) -> dict[str, np.ndarray]:
 
 
 class Sequence:
-    """Random access to a coded sequence, many indexes at a time."""
+    """A coded sequence, read at many indexes at a time or as a whole."""
 
     def __init__(self, parts: dict[str, np.ndarray]):
         self.low, self.high, self.ahead = parts["low"], parts["high"].reshape(-1, 8), parts["ahead"]
@@ -46,148 +46,137 @@ class Sequence:
         lines = np.arange(len(index))
         inside = rest - np.where(byte > 0, sums[lines, byte - 1], 0)
         place = word * 64 + byte * 8 + _SELECT[row[lines, byte], inside]
-        value = (place - index).astype(U64) << U64(self.bits % 64)
-        return (value | self.low[index].astype(U64) if self.bits else value).astype(np.int64)
+        return self._joined(place - index, self.low[index] if self.bits else None)
+
+    def all(self) -> np.ndarray:
+        place = np.flatnonzero(np.unpackbits(np.asarray(self.high).ravel(), bitorder="little"))
+        return self._joined(place - np.arange(self.n), np.asarray(self.low) if self.bits else None)
+
+    def _joined(self, high: np.ndarray, low: np.ndarray | None) -> np.ndarray:
+        value = high.astype(U64) << U64(self.bits % 64)
+        return (value if low is None else value | low.astype(U64)).astype(np.int64)
 
 
 def quantised(values: np.ndarray, levels: int = 4096) -> dict[str, np.ndarray]:
-    """Each value's code and the codebook: means of bins of equal count."""
-    order = np.argsort(values, kind="stable")
+    """Each value's code and the codebook: 0 for zeros, means of bins of equal count for all others."""
+    some = np.flatnonzero(values)
     codes = np.zeros(len(values), np.uint16)
-    codes[order] = np.arange(len(values)) * min(levels, max(1, len(values))) // max(1, len(values))
-    n = int(codes.max()) + 1 if len(values) else 1
-    count = np.maximum(1, np.bincount(codes, minlength=n))
-    return {"code": codes, "book": np.bincount(codes, values, n) / count}
+    codes[some[np.argsort(values[some])]] = 1 + np.arange(len(some)) * min(levels, max(1, len(some))) // max(1, len(some))
+    n = int(codes.max(initial=0)) + 1
+    return {"code": codes, "book": np.bincount(codes, values, n) / np.maximum(1, np.bincount(codes, minlength=n))}
+
+
+def level_of(contexts: np.ndarray, names: np.ndarray, n_contexts: int) -> dict:
+    """Pointers and successors of a level from its n-grams in order of (context, name). The successors of context i lie
+    at places pointers[i] to pointers[i + 1]; names are made to rise over the whole level by adding, in each group, the
+    last value of the group before, and one."""
+    pointers = np.searchsorted(contexts, np.arange(n_contexts + 1)).astype(np.int64)
+    last = np.zeros(n_contexts + 1, np.int64)
+    full = np.flatnonzero(np.diff(pointers) > 0)
+    last[full + 1] = names[pointers[full + 1] - 1] + 1
+    base = np.cumsum(last)
+    return {"pointers": elias_fano(pointers.astype(U64)), "successors": elias_fano((base[contexts] + names + 1).astype(U64))}
 
 
-def pack(levels: list[dict]) -> bytes:
+def pack(levels: dict[str, dict]) -> bytes:
     """All arrays of all levels in one block, each aligned to 8 bytes, behind a JSON directory."""
-    directory, blocks, at = [], [], 0
-    for level in levels:
-        entry = {}
-        for name, value in level.items():
+    directory, blocks, at = {}, [], 0
+    for level, parts in levels.items():
+        entry = directory[level] = {}
+        for name, value in parts.items():
             for part, array in (value.items() if isinstance(value, dict) else [("", value)]):
                 raw = np.ascontiguousarray(array).tobytes()
                 raw += b"\0" * (-len(raw) % 8)
                 entry[f"{name}/{part}"] = [str(array.dtype), len(array), at]
                 blocks.append(raw)
                 at += len(raw)
-        directory.append(entry)
     head = json.dumps(directory).encode()
     head += b" " * (-len(head) % 8)
     return b"".join([len(head).to_bytes(8, "little"), head, *blocks])
 
 
+class Level:
+    """One level of a mapped trie: contexts' pointers, named successors, and quantised values of either."""
+
+    def __init__(self, parts: dict):
+        self.values = {k: v for k, v in parts.items() if k not in ("pointers", "successors")}
+        self.pointers = Sequence(parts["pointers"]).all()
+        self.successors = Sequence(parts["successors"])
+
+    def find(self, contexts: np.ndarray, names: np.ndarray) -> np.ndarray:
+        """Places of the named successors of contexts, -1 where there is none. A name is relative to its context: the
+        value before the context's group, added to it, gives what is searched for in the rising sequence."""
+        out = np.full(len(contexts), -1, np.int64)
+        ok = np.flatnonzero((contexts >= 0) & (names >= 0))
+        if not len(ok) or not self.successors.n:
+            return out
+        value = self.successors.all()
+        low, end = self.pointers[contexts[ok]], self.pointers[contexts[ok] + 1]
+        target = np.where(low > 0, value[low - 1], 0) + names[ok] + 1
+        place = np.searchsorted(value, target)
+        hit = place < end
+        hit[hit] = value[place[hit]] == target[hit]
+        out[ok[hit]] = place[hit]
+        return out
+
+    def value(self, name: str, places: np.ndarray) -> np.ndarray:
+        coded = self.values[name]
+        return coded["book"][coded["code"][places]]
+
+
 class Trie:
-    """Levels of n-grams of words. Level 1 has the words' hashes in order; a word's id is its place there. In level k,
-    the successors of the n-gram at place i of level k - 1 lie at places pointers[i] to pointers[i + 1]. Level 2 names a
-    successor by its id, later levels by its rank among the successors of the context without its first word; either
-    is made monotone over the whole level by adding the last value of the group before."""
+    """Trigrams (a, b, w) of a set of middle words b, mapped from a temporary file that is gone once mapped.
+
+    Level `two` has the successors w of each b, level `heads` the words a before each b, level `three` the successors of
+    each head (a, b), named by their rank among the successors of b alone. Words are ids from 0 to n - 1, in the order
+    of their hashes; `words` has their log10 probabilities and the backoff weights of those that are contexts."""
 
     def __init__(self, packed: bytes):
-        """Map the block from a temporary file that is gone once mapped."""
         with tempfile.NamedTemporaryFile(prefix="strata-trie-") as f:
             f.write(packed)
             f.flush()
             memory = np.memmap(f.name, np.uint8, "r")
         size = int.from_bytes(memory[:8].tobytes(), "little")
-        self.levels: list[dict] = []
-        for entry in json.loads(memory[8 : 8 + size].tobytes()):
-            level: dict = {}
+        found: dict[str, dict] = {}
+        for level, entry in json.loads(memory[8 : 8 + size].tobytes()).items():
+            parts = found[level] = {}
             for name, (kind, n, at) in entry.items():
                 outer, _, inner = name.partition("/")
                 array = memory[8 + size + at : 8 + size + at + n * np.dtype(kind).itemsize].view(kind)
                 if inner:
-                    level.setdefault(outer, {})[inner] = array
+                    parts.setdefault(outer, {})[inner] = array
                 else:
-                    level[outer] = array
-            for outer in ("pointers", "successors"):
-                if outer in level:
-                    level[outer] = Sequence(level[outer])
-            self.levels.append(level)
-        self.order = len(self.levels)
-
-    def words(self, hashes: np.ndarray) -> np.ndarray:
-        """Ids of words, -1 for those that have none."""
-        return look_up(self.levels[0]["hashes"], hashes)
-
-    def value(self, level: int, name: str, places: np.ndarray) -> np.ndarray:
-        coded = self.levels[level - 1][name]
-        return coded["book"][coded["code"][places]]
-
-    def find(self, level: int, contexts: np.ndarray, names: np.ndarray) -> np.ndarray:
-        """Places in the level of the named successors of contexts (places in the level before), -1 where there is
-        none: binary search for the monotone value in the context's group."""
-        out = np.full(len(contexts), -1, np.int64)
-        ok = np.flatnonzero((contexts >= 0) & (names >= 0))
-        pointers, successors = self.levels[level - 1]["pointers"], self.levels[level - 1]["successors"]
-        if not len(ok) or not successors.n:
-            return out
-        low, end = pointers[contexts[ok]], pointers[contexts[ok] + 1]
-        full = end > low
-        ok, low, end = ok[full], low[full], end[full]
-        base = np.zeros(len(ok), np.int64)
-        inner = low > 0
-        base[inner] = successors[low[inner] - 1]
-        target, high = base + names[ok], end.copy()
-        open_ = np.flatnonzero(low < high)
-        while len(open_):
-            middle = (low[open_] + high[open_]) // 2
-            below = successors[middle] < target[open_]
-            low[open_[below]] = middle[below] + 1
-            high[open_[~below]] = middle[~below]
-            open_ = open_[low[open_] < high[open_]]
-        inside = np.flatnonzero(low < end)
-        hit = inside[successors[low[inside]] == target[inside]]
-        out[ok[hit]] = low[hit]
-        return out
-
-    def first(self, level: int, contexts: np.ndarray) -> np.ndarray:
-        """Where the successors of contexts begin in the level."""
-        return self.levels[level - 1]["pointers"][contexts]
-
-    def places(self, ids: np.ndarray, same: list[np.ndarray]) -> list[np.ndarray]:
-        """For every token the place of the n-gram that ends with it, per level (-1: not there). same[k]: whether the
-        token k + 1 before belongs to the same text."""
-        found = [ids]
-        for level in range(2, self.order + 1):
-            context, name = np.full(len(ids), -1, np.int64), np.full(len(ids), -1, np.int64)
-            context[1:] = found[-1][:-1]
-            context[~same[level - 2]] = -1
-            if level == 2:
-                name = ids.copy()
-            else:
-                short = np.full(len(ids), -1, np.int64)
-                short[1:] = found[-2][:-1]
-                has = np.flatnonzero((found[-1] >= 0) & (context >= 0))
-                name[has] = found[-1][has] - self.first(level - 1, short[has])
-            known = np.flatnonzero((context >= 0) & (name >= 0))
-            key, back = _distinct(context[known], name[known])
-            place = np.full(len(ids), -1, np.int64)
-            place[known] = self.find(level, key[:, 0], key[:, 1])[back]
-            found.append(place)
-        return found
-
-
-def _distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct pairs and each pair's place among them."""
-    span = int(b.max()) + 1 if len(b) else 1
-    key, back = np.unique(a * span + b, return_inverse=True)
-    return np.stack([key // span, key % span], 1), back
-
-
-def look_up(sorted_hashes: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    if not len(sorted_hashes):
-        return np.full(len(hashes), -1, np.int64)
-    at = np.minimum(np.searchsorted(sorted_hashes, hashes), len(sorted_hashes) - 1)
-    return np.where(sorted_hashes[at] == hashes, at, -1)
-
-
-def level_of(contexts: np.ndarray, names: np.ndarray, n_contexts: int) -> dict:
-    """Pointers and successors of a level from its n-grams in order of (context, name)."""
-    pointers = np.searchsorted(contexts, np.arange(n_contexts + 1)).astype(U64)
-    last = np.zeros(n_contexts + 1, np.int64)
-    full = np.flatnonzero(np.diff(pointers.astype(np.int64)) > 0)
-    last[full + 1] = names[pointers[full + 1].astype(np.int64) - 1]
-    base = np.cumsum(last)
-    return {"pointers": elias_fano(pointers), "successors": elias_fano((base[contexts] + names).astype(U64))}
+                    parts[outer] = array
+        self.words = found["words"]
+        self.two, self.heads, self.three = (Level(found[k]) for k in ("two", "heads", "three"))
+
+    def places(self, a: np.ndarray, b: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of (b, w), of the head (a, b) and of (a, b, w) in their levels, -1 for what isn't there."""
+        two, head = self.two.find(b, w), self.heads.find(b, a)
+        return two, head, self.three.find(head, np.where(two >= 0, two - self.two.pointers[b], -1))
+
+    def score(self, a: np.ndarray, b: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """log10 P(w | a b): the longest n-gram that is there, with the weights of the contexts that it lacks."""
+        two, head, three = self.places(a, b, w)
+        coded = self.words["backoff"]
+        lowest = np.asarray(self.words["probability"])[w] + coded["book"][coded["code"][b]]
+        if (some := np.flatnonzero(two >= 0)).size:
+            lowest[some] = self.two.value("probability", two[some])
+        if (some := np.flatnonzero(head >= 0)).size:
+            lowest[some] += self.heads.value("backoff", head[some])
+        if (some := np.flatnonzero(three >= 0)).size:
+            lowest[some] = self.three.value("probability", three[some])
+        return lowest
+
+
+def packed_trie(log_p: np.ndarray, two: tuple, heads: tuple, three: tuple) -> bytes:
+    """A trie for Trie from: log10 probabilities of all words; (contexts, words, log10 p, log10 weight of every word) of
+    level two; (middle words, words before, log10 weight) of the heads; (heads, ranks, log10 p) of level three; each in
+    order."""
+    n = len(log_p)
+    return pack({
+        "words": {"probability": log_p, "backoff": quantised(two[3])},
+        "two": level_of(two[0], two[1], n) | {"probability": quantised(two[2])},
+        "heads": level_of(heads[0], heads[1], n) | {"backoff": quantised(heads[2])},
+        "three": level_of(three[0], three[1], len(heads[0])) | {"probability": quantised(three[2])},
+    })

@@ -253,19 +253,62 @@ def lm_fixture():
     return [" ".join(f"W{int(12 * rng.random() ** 2)}" for _ in range(rng.randrange(0, 30))) for _ in range(60)] + [None, "only once here"]
 
 
-def test_base_scores_equal_brute_force(spark):
+class Katz:
+    """The model by brute force, from lists of tokens (None ends each)."""
+
+    def __init__(self, texts):
+        self.n = [Counter(tuple(t[i : i + k]) for t in texts for i in range(len(t) - k + 1)) for k in (1, 2, 3)]
+        self.total, self.distinct, self.after = sum(self.n[0].values()), len(self.n[0]), defaultdict(list)
+        for g in [*self.n[1], *self.n[2]]:
+            self.after[g[:-1]].append(g)
+
+    def p(self, g):
+        if len(g) == 1:
+            return (self.n[0][g] + 0.5) / (self.total + 0.5 * (self.distinct + 1))
+        if self.n[len(g) - 1][g]:
+            return (self.n[len(g) - 1][g] - lm.DISCOUNT) / self.n[len(g) - 2][g[:-1]]
+        if not self.after[g[:-1]]:  # a context that is not seen, or ends all its texts
+            return self.p(g[1:])
+        return self.p(g[1:]) * (1 - sum(map(self.p, self.after[g[:-1]]))) / (1 - sum(self.p(x[1:]) for x in self.after[g[:-1]]))
+
+    def score(self, t):
+        return sum(math.log10(self.p(tuple(t[max(0, k - 2) : k + 1]))) for k in range(len(t)))
+
+
+def tokens_of(texts):
+    return [[*(t or "").lower().split(), None] for t in texts]
+
+
+@pytest.mark.parametrize("shape", [{}, {"shard_tokens": 60, "hot_tokens": 40}, {"shard_tokens": 10**9, "hot_tokens": 1}, {"shard_tokens": 25, "chunk_bytes": 50, "hot_tokens": 100}])
+def test_scores_equal_brute_force(spark, shape):
+    """However n-grams are dealt to shards, and whatever words are spread over several."""
     texts = lm_fixture()
-    docs = documents(spark, texts)
-    train = docs.where("doc_id % 5 <> 1")
-    model, counts = lm.fit(train, share=1e-9)
-    tokens = [[*(t or "").lower().split(), None] for t in texts]
-    c = Counter(w for i, t in enumerate(tokens) if i % 5 != 1 for w in t)
-    total, distinct = sum(c.values()), len(c)
-    for r in lm.score(docs, model, counts).collect():
+    docs = documents(spark, texts).withColumns({"train": F.lit("clash"), "words": F.lit(1)}).repartition(3)
+    scored, size = lm.score_corpus(docs, F.col("doc_id") % 5 != 1, **shape)
+    tokens = tokens_of(texts)
+    model = Katz([t for i, t in enumerate(tokens) if i % 5 != 1])
+    got = scored.collect()
+    assert size == model.total and sorted(r.doc_id for r in got) == list(range(len(texts)))
+    for r in got:
         t = tokens[r.doc_id]
-        assert (r.n_tokens, r.n_known) == (len(t), sum(c[w] > 0 for w in t))
-        assert r.base_score == pytest.approx(sum(math.log10((c[w] + 0.5) / (total + 0.5 * (distinct + 1))) for w in t))
-        assert r.score <= 0
+        assert (r.n_tokens, r.n_known) == (len(t), sum(model.n[0][w,] > 0 for w in t))
+        assert r.base_score == pytest.approx(sum(math.log10(model.p((w,))) for w in t))
+        assert r.score == pytest.approx(model.score(t), rel=1e-6)
+
+
+def test_scores_of_nothing_and_of_odd_rows(spark):
+    rows = [(1, "a b c"), (1, "a b c"), (None, "a b c"), (2, None), (3, "word " * 1_200_000), (4, "x" * 100_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    scored, size = lm.score_corpus(df, F.lit(None).cast("boolean"))
+    got = [tuple(r) for r in scored.collect()]
+    assert size == 0 and len(got) == 6 and all(r[2] == 0 and r[3] == r[4] for r in got)
+    scored, size = lm.score_corpus(df, F.col("doc_id").isNotNull())
+    got = sorted(map(tuple, scored.collect()), key=str)
+    assert size == 4 + 4 + 1 + 1_200_001 + 2 and [r[:3] for r in got] == [(1, 4, 4), (1, 4, 4), (2, 1, 1), (3, 1_200_001, 1_200_001), (4, 2, 2), (None, 4, 4)]
+    assert got[0] == got[1] and got[0][1:] == got[-1][1:]
+    model = Katz(tokens_of([t for k, t in rows if k is not None]))
+    assert got[3][4] == pytest.approx(model.score(tokens_of([rows[4][1]])[0][:3]) + 1_199_998 * math.log10(model.p(("word",) * 3)), rel=1e-6, abs=50)
+    assert lm.score_corpus(df.limit(0), F.lit(True))[0].count() == 0
 
 
 def test_query_scores_use_every_ngram(spark, tmp_path):
@@ -273,82 +316,38 @@ def test_query_scores_use_every_ngram(spark, tmp_path):
     rng = random.Random(4)
     texts = ["filler " * 1_100_000] + [" ".join(f"r{rng.randrange(9)}" for _ in range(8)) for _ in range(12)]
     documents(spark, texts, False).write.parquet(f"{tmp_path}/documents.parquet")
-    tokens = [[*t.split(), None] for t in texts]
+    tokens = tokens_of(texts)
     held = [zlib.crc32(str(i).encode()) % 5 == 1 for i in range(len(texts))]
     assert not held[0] and any(held)
-    n = [Counter(tuple(t[i : i + k]) for t, h in zip(tokens, held) if not h for i in range(len(t) - k + 1)) for k in (1, 2, 3)]
-    total, distinct, after = sum(n[0].values()), len(n[0]), defaultdict(list)
-    for g in [*n[1], *n[2]]:
-        after[g[:-1]].append(g)
-
-    def p(g):
-        if len(g) == 1:
-            return (n[0][g] + 0.5) / (total + 0.5 * (distinct + 1))
-        if n[len(g) - 1][g]:
-            return (n[len(g) - 1][g] - lm.DISCOUNT) / n[len(g) - 2][g[:-1]]
-        if not after[g[:-1]]:  # a context that is not seen, or ends all its texts
-            return p(g[1:])
-        return p(g[1:]) * (1 - sum(map(p, after[g[:-1]]))) / (1 - sum(p(x[1:]) for x in after[g[:-1]]))
-
+    model = Katz([t for t, h in zip(tokens, held) if not h])
     got = {r.doc_id: r.score for r in lm.op7_lm_scores(spark, str(tmp_path)).collect()}
     for i, t in list(enumerate(tokens))[1:]:
-        assert got[i] == pytest.approx(sum(math.log10(p(tuple(t[max(0, k - 2) : k + 1]))) for k in range(len(t))), rel=1e-6)
-
-
-def test_backoff_model_is_normalised(spark):
-    texts = [t for t in lm_fixture() if t]
-    model, _ = lm.fit(spark.createDataFrame([(t,) for t in texts], "text string"), order=3, share=1e-9)
-    c = Counter(w for t in texts for w in [*t.lower().split(), None])
-    words = [w for w in c if w is not None] + ["neverseen"]
-
-    def total(text):
-        return lm.known_part(model, pa.array([text]))[3][0] + model.log_base(np.array([0]))[0] * ("neverseen" in text)
-
-    def end_step(prefix):  # log10 P(end | prefix): the score with the end less the score of the words alone
-        return total(prefix) - words_only(prefix)
-
-    def words_only(text):
-        tokens, rows, _ = lm.token_hashes(pa.array([text]))
-        ids = model.trie.words(tokens)
-        places = model.trie.places(ids, lm._same(rows, 3))
-        out = 0.0
-        for k in range(len(tokens) - 1):
-            out += step(places, ids, k)
-        return out
-
-    def step(places, ids, k):
-        t = model.trie
-        if k >= 2 and places[2][k] >= 0:
-            return t.value(3, "probability", places[2][k : k + 1])[0]
-        back = 0.0
-        if k >= 2 and places[1][k - 1] >= 0:
-            back += t.value(2, "backoff", places[1][k - 1 : k])[0]
-        if k >= 1 and places[1][k] >= 0:
-            return back + t.value(2, "probability", places[1][k : k + 1])[0]
-        if k >= 1 and ids[k - 1] >= 0:
-            back += t.value(1, "backoff", ids[k - 1 : k])[0]
-        return back + (t.value(1, "probability", ids[k : k + 1])[0] if ids[k] >= 0 else model.log_base(np.array([0]))[0])
-
-    for prefix in ("w0", "w1 w0", "w2 w1"):
-        sums = 10 ** end_step(prefix) + sum(10 ** (words_only(f"{prefix} {w}") - words_only(prefix)) for w in words)
-        assert sums == pytest.approx(1, abs=0.02)
-
-
-def test_trie_finds_exactly_what_it_has(spark):
-    texts = [t for t in lm_fixture() if t]
-    model, _ = lm.fit(spark.createDataFrame([(t,) for t in texts], "text string"), order=3, share=1e-9)
-    grams = Counter()
-    for t in texts:
-        w = [*t.lower().split(), None]
-        grams.update(tuple(w[k : k + n]) for n in (1, 2, 3) for k in range(len(w) - n + 1))
-    asked = texts + ["w0 w11 w10 w9 w8 w0", "w7 neverseen w7 w7 w7"]
-    for t in asked:
-        tokens, rows, _ = lm.token_hashes(pa.array([t]))
-        places = model.trie.places(model.trie.words(tokens), lm._same(rows, 3))
-        w = [*t.lower().split(), None]
-        for n in (1, 2, 3):
-            for k in range(n - 1, len(w)):
-                assert (places[n - 1][k] >= 0) == (grams[tuple(w[k - n + 1 : k + 1])] > 0)
+        assert got[i] == pytest.approx(model.score(t), rel=1e-6)
+
+
+def test_backoff_model_is_normalised():
+    """By brute force, which the operator equals: what may follow a context adds up to one."""
+    model = Katz(tokens_of([t for t in lm_fixture() if t]))
+    words = [w for (w,) in model.n[0]] + ["neverseen"]
+    for context in (("w0",), ("w1", "w0"), ("w2", "w1"), ("w9", "neverseen")):
+        assert sum(model.p((*context, w)) for w in words) == pytest.approx(1, abs=1e-9)
+
+
+def test_trie_finds_exactly_what_it_has():
+    rng = np.random.default_rng(11)
+    n = 40
+    grams = {tuple(x) for x in rng.integers(0, n, (1500, 3)).tolist() if x[0] < 25}
+    two = sorted({(b, w) for _, b, w in grams})
+    heads = sorted({(b, a) for a, b, _ in grams})
+    first = {b: next(i for i, x in enumerate(two) if x[0] == b) for b, _ in two}
+    three = sorted((heads.index((b, a)), two.index((b, w)) - first[b]) for a, b, w in grams)
+    cols = [tuple(np.array(c) for c in zip(*x)) for x in (two, heads, three)]
+    made = trie.Trie(trie.packed_trie(np.full(n, -2.0), (*cols[0], np.full(len(two), -1.0), np.zeros(n)), (*cols[1], np.full(len(heads), -0.5)), (*cols[2], np.full(len(three), -0.25))))
+    a, b, w = (x.ravel() for x in np.meshgrid(range(n), range(n), range(n)))
+    places = [x >= 0 for x in made.places(a, b, w)]
+    want = [[(y, z) in set(two) for y, z in zip(b.tolist(), w.tolist())], [(y, x) in set(heads) for x, y in zip(a.tolist(), b.tolist())], [x in grams for x in zip(a.tolist(), b.tolist(), w.tolist())]]
+    assert [x.tolist() for x in places] == want
+    assert made.score(a, b, w).tolist() == np.where(places[2], -0.25, np.where(places[0], -1, -2) + np.where(places[1], -0.5, 0)).tolist()
 
 
 PAGE = """<!DOCTYPE html><html><head><title>no</title><style>p{}</style><script>var t="</p>";</script></head><body><nav><ul><li><a href="/">menu</a></ul></nav>
