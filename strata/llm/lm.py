@@ -11,27 +11,35 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm.common import SPACE, U64, mix, release, slices, stored, table, text_bytes, word_hashes
+from strata.llm.common import SPACE, U64, mix, release, slices, sorted_set, stored, table, text_bytes, word_hashes
 from strata.llm.trie import Trie, packed_trie
 
 END = U64(0x454E444F46544558)
 #: Stands before the first token of a text; never counted.
 BEGIN = U64(0x424547494E4F4654)
 DISCOUNT = 0.75
+#: Tokens that are sorted, and n-grams that are looked up, at a time.
+_RUN, _PIECE = 1_500_000, 500_000
+#: Words that have short names in blocks, at most.
+_COMMON = 1 << 20
 _CODEC = pa.Codec("zstd")
 
 
 def token_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of all tokens (the words, A-Z lower-cased, then one end per text), each token's text, and tokens per text."""
-    data, off = text_bytes(column)
-    words, rows = word_hashes(data, off, SPACE)
-    counts = np.bincount(rows, minlength=len(off) - 1)
-    ends = np.cumsum(counts)
-    return np.insert(words, ends, END), np.insert(rows, ends, np.arange(len(counts))), counts + 1
+    found, counted = [np.zeros(0, U64)], [np.zeros(0, np.int64)]
+    for part in slices(iter([pa.RecordBatch.from_arrays([column], ["text"])]), 0, 1 << 20):
+        data, off = text_bytes(part.column(0))
+        words, rows = word_hashes(data, off, SPACE)
+        counts = np.bincount(rows, minlength=len(off) - 1)
+        found.append(np.insert(words, np.cumsum(counts), END))
+        counted.append(counts + 1)
+    sizes = np.concatenate(counted)
+    return np.concatenate(found), np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), sizes
 
 
 def squeezed(arrays: list[np.ndarray]) -> bytes:
@@ -55,10 +63,44 @@ def unsqueezed(data: bytes) -> list[np.ndarray]:
     return out
 
 
+class Names:
+    """Sorted word hashes as bytes: common words by their place in a list that all tasks know, the others as they are."""
+
+    def __init__(self, common: np.ndarray):
+        self.common = common
+
+    def packed(self, words: np.ndarray) -> bytes:
+        place = np.minimum(np.searchsorted(self.common, words), max(0, len(self.common) - 1))
+        known = self.common[place] == words if len(self.common) else np.zeros(len(words), bool)
+        return squeezed([np.diff(place[known], prepend=0), np.diff(words[~known], prepend=U64(0))])
+
+    def unpacked(self, data: bytes) -> np.ndarray:
+        known, rest = unsqueezed(data)
+        return np.sort(np.concatenate([self.common[np.cumsum(known.astype(np.int64))], np.cumsum(rest.astype(U64), dtype=U64)]))
+
+
+def _coded(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and each key's place among them."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    new = np.append(True, ordered[1:] != ordered[:-1])[: len(keys)]
+    code = np.empty(len(keys), np.int64)
+    code[order] = np.cumsum(new) - 1
+    return ordered[new], code
+
+
 def _sums(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys in order, and the sum of each one's counts."""
-    distinct = np.unique(keys)
-    return distinct, np.bincount(np.searchsorted(distinct, keys), counts, len(distinct)).astype(np.int64)
+    distinct, code = _coded(keys)
+    return distinct, np.bincount(code, counts, len(distinct)).astype(np.int64)
+
+
+def _places(values: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Places of keys in the sorted values, looked up in order, which spares the cache."""
+    order = np.argsort(keys)
+    out = np.empty(len(keys), np.int64)
+    out[order] = np.searchsorted(values, keys[order])
+    return out
 
 
 def _shard(hashes: np.ndarray, shards: int) -> np.ndarray:
@@ -86,7 +128,7 @@ class Events:
         a[2:] = np.where(own[2:] == own[:-2], ids[:-2], begin)
         a, b, w, own = a[lead:], b[lead:], ids[lead:], own[lead:]
         bits = max(1, int(len(self.words) - 1).bit_length())
-        key = (b << 2 * bits) | (a << bits) | w  # a run has at most a million tokens: 63 bits
+        key = (b << 2 * bits) | (a << bits) | w  # a run has at most two million tokens: 63 bits
         by = np.argsort(key)
         key = key[by]
         start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
@@ -103,17 +145,19 @@ class Events:
         self.texts = own[by][np.repeat(start[to] - (ends - self.times), self.times) + np.arange(len(key))]
         self.begin = begin
 
-    def blocks(self, shards: int) -> Iterator[tuple[int, bytes, bytes]]:
-        """Per shard: number, hashes of the words used, and the events."""
+    def blocks(self, shards: int, names: Names) -> Iterator[tuple[int, bytes, bytes]]:
+        """Per shard: number, names of the words used, and the events."""
         cuts, ahead = np.searchsorted(self.shard, np.arange(shards + 1)), np.concatenate([[0], np.cumsum(self.times)])
+        place = np.empty(len(self.words), np.int64)
         for s in np.flatnonzero(np.diff(cuts)).tolist():
             x = slice(cuts[s], cuts[s + 1])
-            used = np.unique(np.concatenate([self.a[x], self.b[x], self.w[x]]))
-            a, b, w = (np.searchsorted(used, c[x]) for c in (self.a, self.b, self.w))
-            yield s, self.words[used].tobytes(), squeezed([np.diff(b, prepend=0), a, w, self.count[x], self.times[x] - 1, self.texts[ahead[cuts[s]] : ahead[cuts[s + 1]]]])
+            used = sorted_set(np.concatenate([self.a[x], self.b[x], self.w[x]]))
+            place[used] = np.arange(len(used))
+            a, b, w = (place[c[x]] for c in (self.a, self.b, self.w))
+            yield s, names.packed(self.words[used]), squeezed([np.diff(b, prepend=0), a, w, self.count[x], self.times[x] - 1, self.texts[ahead[cuts[s]] : ahead[cuts[s + 1]]]])
 
-    def requests(self, shards: int, parts: int) -> Iterator[tuple[int, bytes, bytes]]:
-        """Per part of the counts: number, hashes of words, and their items: the word's number, 0 or one more than that of
+    def requests(self, shards: int, parts: int, names: Names) -> Iterator[tuple[int, bytes, bytes]]:
+        """Per part of the counts: number, names of words, and their items: the word's number, 0 or one more than that of
         the hot word before it, training count; then items' numbers and the shards that ask for them. Hot words are
         known to all shards, and asked for by none."""
         n = len(self.words)
@@ -122,37 +166,38 @@ class Events:
         place[hot] = np.arange(1, len(hot) + 1)
         span = len(hot) + 1
         before = np.insert(self.words[hot], 0, U64(0))
-        item, count = _sums(np.concatenate([self.w * span, (self.w * span + place[self.b])[after := place[self.b] > 0]]), np.concatenate([self.count, self.count[after]]))
-        asked = np.concatenate([(self.w * span)[cold := ~self.hot[self.w]], (self.w * span + place[self.b])[after]])
-        pair = np.unique(np.searchsorted(item, asked) * shards + np.concatenate([self.shard[cold], self.shard[after]]))
+        cold, after = ~self.hot[self.w], place[self.b] > 0
+        item, code = _coded(np.concatenate([self.w * span, (self.w * span + place[self.b])[after]]))
+        count = np.bincount(code, np.concatenate([self.count, self.count[after]]), len(item)).astype(np.int64)
+        asked = np.append(code[: len(self.w)][cold], code[len(self.w) :])
+        pair = sorted_set(asked * shards + np.append(self.shard[cold], self.shard[after]))
         part = _shard(self.words[item // span], parts)
         asked_part = part[pair // shards]
         for p in np.unique(part).tolist():
             mine = np.flatnonzero(part == p)
             new = np.full(len(item), -1, np.int64)
             new[mine] = np.arange(len(mine))
-            used, back = np.unique(item[mine] // span, return_inverse=True)
+            used, back = _coded(item[mine] // span)
             own = pair[asked_part == p]
-            yield p, self.words[used].tobytes(), squeezed([back, before[item[mine] % span], count[mine], new[own // shards], own % shards])
+            yield p, names.packed(self.words[used]), squeezed([back, before[item[mine] % span], count[mine], new[own // shards], own % shards])
 
 
-def _tallies(rows: pa.Table, hot_words: np.ndarray) -> pa.Table:
+def _tallies(rows: pa.Table, hot_words: np.ndarray, names_of: Names) -> pa.Table:
     """Sums of a part's items: what each shard asked for, the totals, hot words' counts and what their successors add up to."""
     words, before, counts, items, asked, at = [], [], [], [], [], 0
     for w, data in zip(rows.column("words").to_pylist(), rows.column("data").to_pylist(), strict=True):
         number, hot, n, who, to = unsqueezed(data)
-        words.append(np.frombuffer(w, U64)[number])
+        words.append(names_of.unpacked(w)[number])
         before.append(hot.astype(U64))
         counts.append(n.astype(np.int64))
         items.append(who.astype(np.int64) + at)
         asked.append(to.astype(np.int64))
         at += len(n)
     word, before, count = (np.concatenate(x) for x in (words, before, counts))
-    names = np.unique(word)
-    hots = np.unique(before)  # the first, 0, is none
-    flat = np.searchsorted(names, word) * len(hots) + np.searchsorted(hots, before)
-    key, n = _sums(flat, count)
-    place = np.searchsorted(key, flat)
+    names, number = _coded(word)
+    hots = sorted_set(before)  # the first, 0, is none
+    key, place = _coded(number * len(hots) + np.searchsorted(hots, before))
+    n = np.bincount(place, count, len(key)).astype(np.int64)
     single = key[key % len(hots) == 0]
     total = np.zeros(len(names), np.int64)
     total[single // len(hots)] = n[np.searchsorted(key, single)]
@@ -163,11 +208,11 @@ def _tallies(rows: pa.Table, hot_words: np.ndarray) -> pa.Table:
             out.append((_AFTER, 0, int(hots[k].view(np.int64)), len(mine), int(total[mine].sum()), None))
     known = np.flatnonzero(np.isin(names, hot_words))
     out += [(_WORD, 0, h, c, 0, None) for h, c in zip(names[known].view(np.int64).tolist(), total[known].tolist(), strict=True)]
-    pair = np.unique(np.concatenate(asked) * len(key) + place[np.concatenate(items)])
+    pair = sorted_set(np.concatenate(asked) * len(key) + place[np.concatenate(items)])
     for s, own in zip(*_grouped(pair // len(key), pair % len(key)), strict=True):
-        used, back = np.unique(key[own] // len(hots), return_inverse=True)
+        used, back = _coded(key[own] // len(hots))
         data = squeezed([back, hots[key[own] % len(hots)], n[own]])
-        out.append((_COUNTS, int(s), 0, 0, 0, (names[used].tobytes(), data)))
+        out.append((_COUNTS, int(s), 0, 0, 0, (names_of.packed(names[used]), data)))
     cols = list(zip(*out, strict=True))
     return pa.table({
         "kind": pa.array(cols[0], pa.int32()), "shard": pa.array(cols[1], pa.int64()), "word": pa.array(cols[2], pa.int64()), "n": pa.array(cols[3], pa.int64()), "m": pa.array(cols[4], pa.int64()),
@@ -208,7 +253,7 @@ def shard_trie(words: np.ndarray, p1: np.ndarray, a: np.ndarray, b: np.ndarray,
     hot = np.zeros(n, bool)
     hot[place < len(totals.hot)] = totals.hot[place[place < len(totals.hot)]] == words[place < len(totals.hot)]
     ok = (b >= 0) & ~hot[b]
-    two, c2 = _sums(np.concatenate([b[ok] * n + w[ok], after[0]]), np.concatenate([count[ok], after[1]]))
+    two, c2 = _sums(np.concatenate([b[ok].astype(np.int64) * n + w[ok], after[0]]), np.concatenate([count[ok], after[1]]))
     of = two // n
     c1 = np.bincount(of, c2, n)
     c1[hot] = totals.counts[place[hot]]
@@ -217,28 +262,31 @@ def shard_trie(words: np.ndarray, p1: np.ndarray, a: np.ndarray, b: np.ndarray,
     backoff[hot] = totals.backoff[place[hot]]
     ok = (a >= 0) & (b >= 0)
     a, b, w, count = a[ok], b[ok], w[ok], count[ok]
-    heads = np.unique(b * n + a)
+    b = b.astype(np.int64) * n
+    heads, head = _coded(b + a)
     first = np.searchsorted(of, np.arange(n))
-    rank = np.searchsorted(two, b * n + w) - first[b]
+    rank = _places(two, b + w) - first[b // n]
     span = int(rank.max(initial=0)) + 1
-    three, c3 = _sums(np.searchsorted(heads, b * n + a) * span + rank, count)
+    three, c3 = _sums(head * span + rank, count)
     head, rank = three // span, three % span
+    del b, w, count
     p3 = (c3 - discount) / np.bincount(head, c3, len(heads))[head]
     lower = p2[first[heads[head] // n] + rank]
     weight = _weight(1 - np.bincount(head, p3, len(heads)), 1 - np.bincount(head, lower, len(heads)))
     return Trie(packed_trie(np.log10(p1), (of, two % n, np.log10(p2), backoff), (heads // n, heads % n, weight), (head, rank, np.log10(p3))))
 
 
-def _solver(totals: Totals, discount: float):
+def _solver(totals: Totals, discount: float, sent: Broadcast):
     """A shard's blocks and counts to sums of its events by chunk and text."""
 
     def run(rows: pa.Table) -> pa.Table:
+        names_of = sent.value
         names = ["chunk", "keys", "data", "base", "score"]
         if rows.num_rows and rows.column("shard")[0].as_py() < 0:  # the keys of a chunk's texts
             return pa.table([rows.column("chunk"), rows.column("words"), rows.column("data"), *[pa.nulls(rows.num_rows, pa.binary())] * 2], names)
         chunks = rows.column("chunk").to_pylist()
-        own = [np.frombuffer(x, U64) for x in rows.column("words").to_pylist()]
-        words = np.unique(np.concatenate(own))
+        own = [names_of.unpacked(x) for x in rows.column("words").to_pylist()]
+        words = sorted_set(np.concatenate(own))
         n, begin = len(words), int(np.searchsorted(words, BEGIN)) if BEGIN in words else -1
         counts, after, blocks = np.zeros(n, np.int64), [(np.zeros(0, np.int64),) * 2], []
         known = np.isin(words, totals.hot)
@@ -257,18 +305,20 @@ def _solver(totals: Totals, discount: float):
         p1 = totals.p(counts)
         a, b, w, count = ([] for _ in range(4))
         for _, ids, (step, first, last, n_train, *_) in blocks:
-            for column, x in ((a, ids[first]), (b, ids[np.cumsum(step.astype(np.int64))]), (w, ids[last]), (count, n_train.astype(np.int64))):
+            ids = ids.astype(np.int32)
+            for column, x in ((a, ids[first]), (b, ids[np.cumsum(step, dtype=np.int32)]), (w, ids[last]), (count, n_train.astype(np.int32))):
                 column.append(x)
         a, b, w, count = (np.concatenate(x) for x in (a, b, w, count))
         keys, c2 = _sums(*(np.concatenate(x) for x in zip(*after, strict=True)))
         some = np.flatnonzero(count)
         trie = shard_trie(words, p1, *(np.where(x[some] == begin, -1, x[some]) for x in (a, b, w)), count[some], (keys, c2), totals, discount)
-        scores, base, known, at, out = trie.score(a, b, w), np.log10(p1)[w], counts[w] > 0, 0, []
-        del a, b, w, count, trie
+        log_p, at, out = np.log10(p1), 0, []
+        scores = np.concatenate([trie.score(*(x[k : k + _PIECE].astype(np.int64) for x in (a, b, w))) for k in range(0, len(a), _PIECE)])
+        del a, b, count, some, trie, keys, c2
         for chunk, _, (*_, times, texts) in blocks:
             mine, at = slice(at, at + len(times)), at + len(times)
-            which, place = np.unique(texts, return_inverse=True)
-            sums = [np.bincount(place, np.repeat(v[mine], times.astype(np.int64) + 1), len(which)) for v in (known, base, scores)]
+            which = np.flatnonzero(np.bincount(texts))
+            sums = [np.bincount(texts, np.repeat(v, times.astype(np.int64) + 1))[which] for v in (counts[w[mine]] > 0, log_p[w[mine]], scores[mine])]
             out.append((chunk, squeezed([which, sums[0].astype(np.int64)]), sums[1].tobytes(), sums[2].tobytes()))
         release()
         cols = list(zip(*out, strict=True)) or [[]] * 4
@@ -293,7 +343,7 @@ def _gathered(rows: pa.Table) -> pa.Table:
     return pa.table([pa.array(keys, mask=null.astype(bool)), pa.array(sizes.astype(np.int64)), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])], ["key", "n_tokens", "n_known", "base_score", "score"])
 
 
-def score_corpus(docs: DataFrame, train: Column, text: str = "text", key: str = "doc_id", discount: float = DISCOUNT, shard_tokens: int = 1_500_000, hot_tokens: int = 3_000_000, chunk_bytes: int = 6 << 20) -> tuple[DataFrame, int]:
+def score_corpus(docs: DataFrame, train: Column, text: str = "text", key: str = "doc_id", discount: float = DISCOUNT, shard_tokens: int = 1_250_000, hot_tokens: int = 2_500_000, chunk_bytes: int = 8 << 20) -> tuple[DataFrame, int]:
     """Score every text of docs by the model of those in which `train` holds: key, n_tokens, n_known (training words),
     base_score (unigrams), score (log10 P of the whole text), and the number of training tokens.
 
@@ -305,50 +355,65 @@ def score_corpus(docs: DataFrame, train: Column, text: str = "text", key: str =
     each word; seen n-grams of two and three tokens are discounted by a constant, which their context gives to the
     shorter n-gram (Katz). Shards hold about `shard_tokens` tokens' n-grams. A word of `hot_tokens` tokens or more is
     spread over shards by the word before it; the counts of its bigrams then are summed like those of single words, and
-    sent to the shards that ask for them. There are at most tokens / hot_tokens hot words, which all tasks know."""
+    sent to the shards that ask for them. All tasks know the hot words, tokens / hot_tokens at most, and a list of 2**20 common
+    words at most, which only names words in blocks."""
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
     chars, texts = rows.agg(F.coalesce(F.sum(F.length("text").cast("long")), F.lit(0)), F.count("*")).first()
     share = hot_tokens / (chars / 2 + texts + 1)  # a word takes two characters at least: more than all tokens
 
-    def count_hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Tokens of the task, and those of its words that make up the share of a hot word; such a word does somewhere."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Tokens of the task, and those of its words that occur thrice or make up the share of a hot word; such a word does
+        somewhere."""
         words, counts, total = np.zeros(0, U64), np.zeros(0, np.int64), 0
         for part in slices(batches, target=chunk_bytes):
             tokens = token_hashes(part.column(1))[0]
             coded = pa.array(tokens).value_counts()
             words, counts = _sums(np.concatenate([words, coded.field(0).to_numpy(zero_copy_only=False)]), np.concatenate([counts, coded.field(1).to_numpy(zero_copy_only=False)]))
             total += len(tokens)
-            keep = counts > total * share
-            words, counts = words[keep], counts[keep]
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(words, BEGIN).view(np.int64)), pa.array(np.append(counts, total))], ["word", "n"])
+            if len(words) > 1 << 22:
+                words, counts = words[counts > 1], counts[counts > 1]
+        keep = (counts > total * share) | (counts > 2)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(words[keep], BEGIN).view(np.int64)), pa.array(np.append(counts[keep], total))], ["word", "n"])
         release()
 
-    seen = rows.mapInArrow(count_hot, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).where((F.col("n") >= hot_tokens) | (F.col("word") == int(BEGIN.view(np.int64)))).collect()
-    size = next((r.n for r in seen if r.word == int(BEGIN.view(np.int64))), 0)
-    hot = np.sort(np.array([r.word for r in seen if r.word != int(BEGIN.view(np.int64))], np.int64).view(U64))
+    seen = stored(rows.mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "lm-words")
+    begin = int(BEGIN.view(np.int64))
+    size = seen.where(F.col("word") == begin).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    seen = seen.where(F.col("word") != begin)
+    least, held = 1, 0  # the least count of a common word
+    for r in seen.groupBy(F.least("n", F.lit(10_000)).alias("n")).count().orderBy(F.desc("n")).collect():  # 10,000 rows at most
+        held += r["count"]
+        if held > _COMMON:
+            least = r.n + 1
+            break
+    common = seen.where(F.col("n") >= least).toArrow()
+    order = np.argsort(common.column("word").to_numpy().view(U64))
+    names = Names(common.column("word").to_numpy().view(U64)[order])
+    hot = names.common[common.column("n").to_numpy()[order] >= hot_tokens]
+    sent = docs.sparkSession.sparkContext.broadcast(names)  # 8 MB at most
     shards = int(size // shard_tokens) + 2
     parts = shards // 4 + 1
 
     def chunks(batches: Iterator[pa.RecordBatch], start: int) -> Iterator[tuple[int, pa.RecordBatch | None, Events | None, np.ndarray | None]]:
-        """Chunk numbers with, first, the texts and their sizes, and then their events, a million tokens at most at a time."""
+        """Chunk numbers with, first, the texts and their sizes, and then their events, two million tokens at most at a time."""
         chunk = start
         for part in slices(batches, target=chunk_bytes):
             tokens, owners, sizes = token_hashes(part.column(1))
             yield chunk, part, None, sizes
             flags = part.column(2).to_numpy(zero_copy_only=False).astype(bool)
-            for first in range(0, len(tokens), 1 << 20):
-                yield chunk, None, Events(tokens, owners, flags, first, min(len(tokens), first + (1 << 20)), shards, hot), None
+            for first in range(0, len(tokens), _RUN):
+                yield chunk, None, Events(tokens, owners, flags, first, min(len(tokens), first + _RUN), shards, hot), None
             chunk += 1
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, _, events, _ in chunks(batches, 0):
             if events is not None:
-                cols = list(zip(*events.requests(shards, parts), strict=True))
+                cols = list(zip(*events.requests(shards, parts, sent.value), strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())], ["part", "words", "data"])
         release()
 
     def sums(table_: pa.Table) -> pa.Table:
-        out = _tallies(table_, hot)
+        out = _tallies(table_, hot, sent.value)
         release()
         return out
 
@@ -371,13 +436,13 @@ def score_corpus(docs: DataFrame, train: Column, text: str = "text", key: str =
                 null = keys.is_null().to_numpy(zero_copy_only=False)
                 cols = [[-1 - chunk], [keys.fill_null(0).to_numpy(zero_copy_only=False).tobytes()], [squeezed([null, sizes])]]
             else:
-                cols = list(zip(*events.blocks(shards), strict=True))
+                cols = list(zip(*events.blocks(shards, sent.value), strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array([chunk] * len(cols[0]), pa.int64()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())], ["shard", "chunk", "words", "data"])
         release()
 
     dealt = rows.mapInArrow(deal, "shard long, chunk long, words binary, data binary")
     counts = tallies.where(F.col("kind") == _COUNTS).select("shard", F.lit(-1).cast("long").alias("chunk"), "words", "data")
-    solved = dealt.unionAll(counts).groupBy("shard").applyInArrow(_solver(totals, discount), "chunk long, keys binary, data binary, base binary, score binary")
+    solved = dealt.unionAll(counts).groupBy("shard").applyInArrow(_solver(totals, discount, sent), "chunk long, keys binary, data binary, base binary, score binary")
     scored = solved.groupBy("chunk").applyInArrow(_gathered, "key long, n_tokens long, n_known long, base_score double, score double")
     return scored.withColumnRenamed("key", key), tokens
 
