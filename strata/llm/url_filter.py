@@ -3,24 +3,19 @@
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm.common import table
+from strata.llm.common import stored, table
 
 RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block")]
-#: Labelled examples from which the classifier learns (fixed values): names and paths as they are written in URLs.
-EXAMPLES = {
-    "block": ["casino win", "online casino slots", "free bet win", "poker jackpot", "cheap pills", "buy viagra cheap", "pharmacy pills discount", "spam farm", "link farm", "adult xxx", "porn video xxx", "hot sex cam", "payday loan fast", "cheap replica watches", "win prize now", "free money", "crypto double profit", "weight loss miracle", "torrent crack keygen", "click bonus win"],
-    "allow": ["blog", "news", "wiki", "docs", "help", "support", "library", "university", "school", "science", "health", "museum", "city", "weather", "article", "story", "research", "journal", "book", "history", "music", "community", "forum question", "developer", "download source", "about", "team"],
-}
-#: Count that each word of the examples has at least among the segmenter's words.
-_SEED = 5
-_LONGEST = 20
+#: Known words of fewer characters don't split names.
+_SHORTEST = 3
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
@@ -46,14 +41,17 @@ def matching_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> t
 
 
 def viterbi(name: str, counts: dict[str, int], total: int) -> list[str]:
-    """The most likely split of a name into words of a unigram model; unseen strings cost tenfold per character."""
+    """The most likely split of a name into words of a unigram model; unseen strings cost tenfold per character. Ties go
+    to the longest last word."""
+    lengths = sorted({len(w) for w in counts})
     best: list[tuple[float, int]] = [(0.0, 0)]
+    unseen = (-math.inf, 0)  # the best start of an unseen word, as its cost is linear in its length
     for end in range(1, len(name) + 1):
-        found = []
-        for start in range(max(0, end - _LONGEST), end):
-            word = name[start:end]
-            p = math.log10(counts[word] / total) if word in counts else 1 - math.log10(total) - len(word)
-            found.append((best[start][0] + p, start))
+        unseen = max(unseen, (best[end - 1][0] + end - 1, 1 - end))
+        found = [(unseen[0] + 1 - math.log10(total) - end, -unseen[1])]
+        for k in lengths:
+            if k <= end and (n := counts.get(name[end - k : end])):
+                found.append((best[end - k][0] + math.log10(n / total), end - k))
         best.append(max(found, key=lambda x: (x[0], -x[1])))
     words, end = [], len(name)
     while end:
@@ -67,32 +65,27 @@ def _tokens(text: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(F.lower(text), "[0-9]+", " # "), "[^\\p{L}#]+"), lambda x: x != "")
 
 
-def host_words(hosts: DataFrame, paths: DataFrame, examples: dict[str, list[str]] = EXAMPLES) -> DataFrame:
+def host_words(hosts: DataFrame, paths: DataFrame) -> DataFrame:
     """host, words: every distinct host's names split into words.
 
-    The unigram model counts the parts of all hosts and paths of the input that punctuation already separates, and the
-    words of the examples. Names look up their own substrings in these counts by a join, so that the counts need not
-    fit anywhere; each name then is split by itself."""
+    The unigram model counts the parts of all hosts (each once) and paths of the input that punctuation already
+    separates. Names look up their own substrings in these counts by a join, so that the counts need not fit anywhere;
+    each name then is split by itself. That a name occurs as a whole in hosts is no evidence of its being one word: it
+    stays whole by its count in paths, or where no other words make it up. Words and names of any length count."""
     names = hosts.select("host", F.posexplode(_tokens("host")).alias("at", "name"))
-    seeds = Counter(w for texts in examples.values() for t in texts for w in t.split())
-    seen = hosts.select(F.explode(_tokens("host")).alias("word")).unionAll(paths.select(F.explode(_tokens("path")).alias("word")))
-    seed = hosts.sparkSession.createDataFrame([(w, _SEED * n) for w, n in sorted(seeds.items())], "word string, n long")
-    counts = seen.where(F.length("word") <= _LONGEST).groupBy("word").agg(F.count("*").alias("n")).unionAll(seed).groupBy("word").agg(F.sum("n").alias("n"))
-    total = counts.agg(F.sum("n")).first()[0]
+    seen = hosts.select(F.explode(_tokens("host")).alias("word"), F.lit(0).alias("path")).unionAll(paths.select(F.explode(_tokens("path")).alias("word"), F.lit(1).alias("path")))
+    counts = seen.groupBy("word").agg(F.count("*").alias("n"), F.sum("path").alias("in_paths"))
+    total, longest = counts.agg(F.coalesce(F.sum("n"), F.lit(1)), F.max(F.length("word"))).first()
     distinct = names.select("name").distinct()
-    spans = distinct.select("name", F.explode(F.sequence(F.lit(1), F.length("name"))).alias("i")).select("name", "i", F.explode(F.sequence(F.lit(1), F.least(F.lit(_LONGEST), F.length("name") - F.col("i") + 1))).alias("k"))
-    # That a name occurs whole is no evidence of its being one word: only the examples' words may stay unsplit by count.
+    spans = distinct.select("name", F.explode(F.sequence(F.lit(1), F.length("name"))).alias("i"))
+    spans = spans.where(F.length("name") - F.col("i") + 1 >= _SHORTEST).select("name", "i", F.explode(F.sequence(F.lit(_SHORTEST), F.least(F.lit(longest or 0), F.length("name") - F.col("i") + 1))).alias("k"))
     words = spans.select("name", F.col("name").substr(F.col("i"), F.col("k")).alias("word")).distinct().join(counts, "word")
-    parts = distinct.join(words.groupBy("name").agg(F.collect_list(F.struct("word", "n")).alias("known")), "name", "left")
-    smallest = max(2, min(3, max(map(len, seeds), default=2)))
+    words = words.withColumn("n", F.when(F.col("word") == F.col("name"), F.col("in_paths")).otherwise(F.col("n"))).where("n > 0")
+    parts = distinct.join(words.groupBy("name").agg(F.collect_list(F.struct("word", "n")).alias("known")), "name", "left")  # substrings of one name
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for name, known in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = {r["word"]: r["n"] for r in known or [] if r["word"] != name or r["word"] in seeds}
-                own = {w: n for w, n in own.items() if len(w) >= smallest or w in seeds}
-                out.append(viterbi(name, own, total) if len(name) > smallest else [name])
+            out = [viterbi(name, {r["word"]: r["n"] for r in known or []}, total) for name, known in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.string()))], ["name", "words"])
 
     split_names = parts.select("name", "known").mapInArrow(split, "name string, words array<string>")
@@ -100,33 +93,83 @@ def host_words(hosts: DataFrame, paths: DataFrame, examples: dict[str, list[str]
     return back.select("host", F.flatten(F.transform("parts", lambda x: x["words"])).alias("words"))
 
 
-def bayes_weights(examples: dict[str, list[str]]) -> tuple[dict[str, float], float]:
-    """Log odds of block against allow by word (Laplace), and the prior's; words of neither class weigh nothing."""
-    counts = {k: Counter(w for t in texts for w in t.split()) for k, texts in examples.items()}
-    words = sorted(set(counts["block"]) | set(counts["allow"]))
-    sums = {k: sum(c.values()) + len(words) for k, c in counts.items()}
-    odds = {w: math.log((counts["block"][w] + 1) / sums["block"]) - math.log((counts["allow"][w] + 1) / sums["allow"]) for w in words}
-    return odds, math.log(len(examples["block"]) / len(examples["allow"]))
+class Bayes:
+    """Multinomial naive Bayes: log odds of block against allow by word, one more of each than counted. Words that neither
+    class has weigh nothing. Both classes are as likely from the start: labels come from where rules were written, which
+    says nothing of how many urls are bad; a url without evidence scores 0."""
 
+    def __init__(self, counts: dict[str, tuple[int, int]]):
+        """counts: of each word in blocked and in allowed urls."""
+        block, allow = (sum(c[k] for c in counts.values()) + len(counts) for k in (0, 1))
+        self.odds = {w: math.log((b + 1) / block) - math.log((a + 1) / allow) for w, (b, a) in counts.items()}
+
+    def scores(self, lists: pa.Array) -> np.ndarray:
+        """Log odds of lists of words: each distinct word is looked up once."""
+        lists = lists.fill_null([])
+        coded = lists.flatten().dictionary_encode()
+        odds = np.array([self.odds.get(w, 0.0) for w in coded.dictionary.to_pylist()] or [0.0])
+        sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+        owners = np.repeat(np.arange(len(lists)), sizes)
+        return 0.0 + np.bincount(owners, odds[coded.indices.to_numpy(zero_copy_only=False)] if len(owners) else None, len(lists))
 
-def judge_urls(pages: DataFrame, rules: list[tuple[str, str]] = RULES, examples: dict[str, list[str]] = EXAMPLES, url: str = "url", key: str = "page_id") -> DataFrame:
-    """Judge every url: key, host, path, rule (null if none fits), verdict (allow or block), score (log odds of block).
 
-    One row per input row; null keys stay, repeated rows are judged each. Null, empty and odd urls have empty parts and
-    are judged by the prior (allow). Other columns are not read. Only distinct hosts are segmented; the join that brings
-    their words back is Spark's to choose, and a host that a third of all urls share is split by it."""
-    host, path = url_parts(F.col(url).cast("string"))
-    urls = pages.select(F.col(key).cast("long").alias(key), host.alias("host"), path.alias("path"))
-    hosts = urls.select("host").where("host <> ''").distinct()
-    words = host_words(hosts, urls.select("path"), examples)
-    odds, prior = bayes_weights(examples)
-    table_of = F.create_map(*[F.lit(x) for pair in sorted(odds.items()) for x in pair])
-    tokens = F.concat(F.coalesce("words", F.array().cast("array<string>")), _tokens("path"))
-    score = F.aggregate(tokens, F.lit(prior), lambda total, w: total + F.coalesce(F.element_at(table_of, w), F.lit(0.0)))
+def _judged_by_rule(urls: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
     rule, verdict = matching_rule(F.col("host"), F.col("path"), rules)
-    judged = urls.join(words, "host", "left").withColumn("score", score)
-    return judged.select(key, "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("score") > 0, "block").otherwise("allow")).alias("verdict"), "score")
+    return urls.withColumns({"rule": rule, "says": verdict})
+
+
+def learned(urls: DataFrame, words: DataFrame, sample_urls: int = 100_000) -> Bayes:
+    """The classifier of urls (host, path, says: block, allow or null, which takes no part) with words by host.
+
+    Fitted on at most `sample_urls` distinct urls, drawn by a hash, so that what reaches the driver is bounded: the counts
+    of the words that the sample has. Counts are summed up in Spark."""
+    own = urls.where("says is not null").select("host", "path", "says").distinct()
+    chosen = stored(own.orderBy(F.xxhash64("host", "path"), "host", "path", "says").limit(sample_urls), "labelled-urls")
+    texts = chosen.join(words, "host", "left").select("says", F.concat(F.coalesce("words", F.array().cast("array<string>")), _tokens(F.col("path"))).alias("words"))
+    block = F.sum((F.col("says") == "block").cast("long")).alias("block")
+    allow = F.sum((F.col("says") == "allow").cast("long")).alias("allow")
+    counts = {r.word: (r.block, r.allow) for r in texts.select("says", F.explode("words").alias("word")).groupBy("word").agg(block, allow).collect()}
+    return Bayes(counts)
+
+
+def judge_urls(pages: DataFrame, rules: list[tuple[str, str]] = RULES, labelled: DataFrame | None = None, url: str = "url", key: str = "page_id", sample_urls: int = 100_000) -> DataFrame:
+    """Judge every url: key, host, path, rule (null if none fits), verdict (allow or block), score (log odds of block).
+
+    The classifier learns from the urls of pages that a rule judges and, if given, from `labelled` (url, verdict), at most
+    `sample_urls` distinct ones; without any it allows all. One row per input row; null keys stay, repeated rows are judged
+    each. Null, empty and odd urls have empty parts and are allowed. Other columns are not read.
+
+    Only distinct hosts are segmented. Hosts of a thousandth of all urls or more (a thousand at most) get their words by
+    broadcast, all others by a join."""
+    def parted(df: DataFrame, *more: str) -> DataFrame:
+        host, path = url_parts(F.col(url).cast("string"))
+        return df.select(*[F.col(c) for c in more], host.alias("host"), path.alias("path"))
+
+    urls = parted(pages.select(F.col(key).cast("long").alias("_key"), url), "_key")
+    judged = _judged_by_rule(urls, rules)
+    examples = judged.select("host", "path", "says")
+    if labelled is not None:
+        examples = examples.unionAll(parted(labelled.select(url, "verdict"), "verdict").select("host", "path", F.col("verdict").alias("says")))
+    sizes = stored(examples.where("host <> ''").groupBy("host").agg(F.count("*").alias("n")), "hosts")
+    words = stored(host_words(sizes.select("host"), examples.select("path")), "host-words")
+    model = learned(examples, words, sample_urls)
+    n = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = words.join(sizes.where(F.col("n") >= max(1000, n / 1000)).select("host"), "host").withColumnRenamed("words", "hot_words")
+    near = judged.join(F.broadcast(hot), "host", "left")
+    met = F.when(F.col("hot_words").isNull(), F.col("host")).otherwise(F.concat(F.lit("#"), F.pmod(F.xxhash64("_key", "path"), F.lit(997))))  # no host has a #
+    full = near.withColumn("met", met).join(words.select(F.col("host").alias("met"), "words"), "met", "left")
+    tokens = F.concat(F.coalesce("hot_words", "words", F.array().cast("array<string>")), _tokens(F.col("path")))
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            score = model.scores(batch.column(5))
+            verdict = pc.coalesce(batch.column(4), pa.array(np.where(score > 0, "block", "allow")))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], verdict, pa.array(score)], ["_key", "host", "path", "rule", "verdict", "score"])
+
+    ready = full.select("_key", "host", "path", "rule", "says", tokens.alias("tokens"))
+    return ready.mapInArrow(judge, "_key long, host string, path string, rule string, verdict string, score double").withColumnRenamed("_key", key)
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """judge_urls over all pages, learned from those that a rule judges."""
     return judge_urls(table(spark, sf_dir, "pages"))
