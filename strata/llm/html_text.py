@@ -10,17 +10,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm.common import slices, table
+from strata.llm.common import slices, stored, table
 from strata.llm.url_filter import url_parts
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
-_CLASS = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+_CLASS = re.compile(r"""(?<![\w-])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _WORD = re.compile(r"[a-z]+")
 #: Elements whose text is not read, and those that hold page furniture (fixed values).
-RAW = frozenset("script style noscript template textarea title iframe svg math object select option xmp noembed noframes".split())
+RAW = frozenset("script style noscript template textarea title iframe svg select datalist xmp noembed noframes".split())
 FURNITURE = frozenset("nav footer aside form menu dialog button head".split())
 #: Words of class, id and role names that mark furniture.
 MARKS = frozenset("ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar footer masthead topbar cookie cookies consent notice gdpr popup modal overlay comment comments disqus respond replies share sharing social related recommended newsletter subscribe signup login search pagination pager toolbar widget contentinfo complementary".split())
+#: What may stand beside a mark in the name of furniture inside an article (fixed values).
+PLAIN = frozenset("area bar block box btn button buttons container footer header icon icons inner item items link links list outer post posts row section wrap wrapper".split())
 BLOCKS = frozenset("address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CONTAINERS = frozenset("body main article section div td center".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -104,11 +106,13 @@ class Page:
                 flush()
             if tag in VOID or rest.endswith("/") and tag not in BLOCKS:
                 continue
-            names: list[str] = []
+            names, marked = [], False
             if tag in CONTAINERS or tag in BLOCKS:
-                names = [w for _, a, b, c in _CLASS.findall(rest) for w in _WORD.findall((a or b or c).lower())]
+                names = [_WORD.findall(w) for _, a, b, c in _CLASS.findall(rest) for w in (a or b or c).lower().split()]
             inside = any(t in ("article", "main") for t, _, _ in stack)
-            drop = hidden or tag in FURNITURE or (tag == "header" and not inside) or (tag not in ("html", "body", "main", "article") and not marks.isdisjoint(names)) or (tag == "article" and not {"comment", "comments"}.isdisjoint(names))
+            # Inside an article a name must be a mark's alone: `related-posts` is, `related-work` and `share-price` are not.
+            marked = any(not marks.isdisjoint(w) and (not inside or all(x in marks or x in PLAIN for x in w)) for w in names)
+            drop = hidden or tag in FURNITURE or (tag == "header" and not inside) or (tag not in ("html", "body", "main", "article") and marked) or (tag == "article" and any(not {"comment", "comments"}.isdisjoint(w) for w in names))
             if tag in CONTAINERS and tag != "body":
                 first = next((w for w in _CLASS.findall(rest) if w[0].lower() == "class"), None)
                 kind = ".".join(sorted(set(_WORD.findall((first[1] or first[2] or first[3]).lower())))) if first else ""
@@ -166,7 +170,7 @@ def read_page(source: str | None) -> Page:
     return page if page.blocks or not source else Page(source, frozenset())
 
 
-def extract(pages: DataFrame, html: str = "html", url: str = "url", key: str = "page_id", broadcast_hosts: int = 100_000) -> DataFrame:
+def extract(pages: DataFrame, html: str = "html", url: str = "url", key: str = "page_id", broadcast_hosts: int = 100_000, salt_pages: int = 100_000) -> DataFrame:
     """Main text of every page: key, url, text, n_chars (code points).
 
     Each page nominates the generalised path (tags and class names without digits) of its best container; in Spark the
@@ -175,7 +179,8 @@ def extract(pages: DataFrame, html: str = "html", url: str = "url", key: str = "
     html give the empty text; pages without host share one vote; repeated rows count each. Other columns are not read.
 
     Votes are summed before they are shuffled, so a host with a third of all pages is no burden. Winning paths are
-    broadcast up to `broadcast_hosts` hosts and joined by a shuffle beyond."""
+    broadcast up to `broadcast_hosts` hosts; beyond, pages are joined with them by a shuffle in which hosts of more than
+    `salt_pages` pages (at most pages / salt_pages, which all tasks know) are split."""
     host = url_parts(F.col(url).cast("string"))[0]
     rows = pages.select(F.col(key).cast("long").alias("key"), F.col(url).cast("string").alias("url"), host.alias("host"), F.col(html).cast("string").alias("html"))
 
@@ -187,7 +192,7 @@ def extract(pages: DataFrame, html: str = "html", url: str = "url", key: str = "
 
     votes = rows.select("host", "html").mapInArrow(vote, "host string, path string, mass long")
     counted = votes.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("mass").alias("mass"))
-    won = counted.groupBy("host").agg(F.min_by("path", F.struct(-F.col("n"), -F.col("mass"), "path")).alias("path")).cache()
+    won = stored(counted.groupBy("host").agg(F.sum("n").alias("pages"), F.min_by("path", F.struct(-F.col("n"), -F.col("mass"), "path")).alias("path")), "host-paths")
     few = won.limit(broadcast_hosts + 1).count() <= broadcast_hosts
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,7 +206,14 @@ def extract(pages: DataFrame, html: str = "html", url: str = "url", key: str = "
                 out.append(text)
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], ["key", "url", "text", "n_chars"])
 
-    joined = rows.join(F.broadcast(won) if few else won, "host", "left").select("key", "url", "html", "path")
+    if few:
+        joined = rows.join(F.broadcast(won), "host", "left").select("key", "url", "html", "path")
+    else:  # salted by host and number, so that neither a host nor its pages meet in one task
+        pages_of = F.least(F.ceil(F.col("pages") / salt_pages), F.lit(1 << 16)).cast("int")
+        salted = won.select("host", "path", F.explode(F.sequence(F.lit(0), pages_of - 1)).alias("salt"), pages_of.alias("salts"))
+        hot = F.broadcast(salted.where("salt = 0 and salts > 1").select("host", "salts"))  # as many as a part of all pages / salt_pages
+        spread = rows.join(hot, "host", "left").withColumn("salt", F.pmod(F.xxhash64("url", "key"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+        joined = spread.join(salted.drop("salts"), ["host", "salt"], "left").select("key", "url", "html", "path")
     return joined.mapInArrow(read, "key long, url string, text string, n_chars long").withColumnRenamed("key", key).withColumnRenamed("url", url)
 
 
