@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm.common import PUNCT, U64, mix, slices, span_hashes, table, text_bytes, word_spans
+from strata.llm.common import PUNCT, U64, mix, release, slices, span_hashes, table, text_bytes, word_spans
 
 _STEP = 0xD6E8FEB86659FD93
 _UNSTEP = pow(_STEP, -1, 2**64)
@@ -53,7 +53,7 @@ class Items:
     """Test items as word hashes, with the hashes of their pieces by piece length."""
 
     def __init__(self, keys: list[int], words: list[np.ndarray], rate: float, min_words: int):
-        kept = [(k, w) for k, w in zip(keys, words, strict=True) if len(w) >= min_words]
+        kept = [(k, w) for k, w in zip(keys, words, strict=True) if len(w) >= max(1, min_words)]
         self.keys, self.words = [k for k, _ in kept], [w.tolist() for _, w in kept]
         self.budget = [int(rate * len(w)) for _, w in kept]
         found: dict[int, list[tuple[int, int, int]]] = {}
@@ -133,12 +133,12 @@ def blocks(items: DataFrame, rate: float, min_words: int, text: str, key: str, b
     return [x for x in out if x.pieces]
 
 
-def contaminated(docs: DataFrame, items: DataFrame, rate: float = 0.2, min_words: int = 5, text: str = "text", key: str = "doc_id", item_text: str = "text", item_key: str = "item_id", block_words: int = 2_000_000) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, rate: float = 0.2, min_words: int = 1, text: str = "text", key: str = "doc_id", item_text: str = "text", item_key: str = "item_id", block_words: int = 2_000_000) -> DataFrame:
     """Documents that hold a test item with at most floor(rate * words) word edits (insertions, deletions, changes).
 
     Returns one row per input row and item that it holds: key, item key, n_errors (the least), first_word and end_word
-    of the first such place. Case and punctuation don't count. Items of fewer than `min_words` words, null items and
-    null item keys are never found: short ones occur by chance. Null and empty texts hold none; repeated rows are
+    of the first such place. Case and punctuation don't count. Items too short for an error must be there exactly;
+    those of fewer than `min_words` words, items without words, null items and null item keys are never found. Null and empty texts hold none; repeated rows are
     judged each; equal items with several keys are each reported. Other columns are not read. Items reach the tasks in
     blocks of bounded size, one pass over the documents each."""
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
@@ -148,10 +148,11 @@ def contaminated(docs: DataFrame, items: DataFrame, rate: float = 0.2, min_words
         sent = docs.sparkSession.sparkContext.broadcast(block)
 
         def judge(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for part in slices(batches):
+            for part in slices(batches, target=1 << 20):
                 if hits := find(part.column(1), sent.value):
                     row, item, *rest = map(list, zip(*hits, strict=True))
                     yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array([sent.value.keys[k] for k in item], pa.int64()), pa.array(rest[0], pa.int32()), pa.array(rest[1], pa.int64()), pa.array(rest[2], pa.int64())], ["key", "item", "n_errors", "first_word", "end_word"])
+            release()
 
         one = rows.mapInArrow(judge, schema)
         found = one if found is None else found.unionAll(one)
@@ -160,17 +161,18 @@ def contaminated(docs: DataFrame, items: DataFrame, rate: float = 0.2, min_words
     return found.withColumnRenamed("key", key).withColumnRenamed("item", item_key)
 
 
-def decontaminated(docs: DataFrame, items: DataFrame, rate: float = 0.2, min_words: int = 5, text: str = "text", item_text: str = "text", item_key: str = "item_id", block_words: int = 2_000_000) -> DataFrame:
+def decontaminated(docs: DataFrame, items: DataFrame, rate: float = 0.2, min_words: int = 1, text: str = "text", item_text: str = "text", item_key: str = "item_id", block_words: int = 2_000_000) -> DataFrame:
     """docs, all columns, without the rows that `contaminated` reports; no shuffle."""
     place, schema = docs.columns.index(text), docs.schema
     for block in blocks(items, rate, min_words, item_text, item_key, block_words):
         sent = docs.sparkSession.sparkContext.broadcast(block)
 
         def keep(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for part in slices(batches, place):
+            for part in slices(batches, place, 1 << 20):
                 clean = np.ones(part.num_rows, bool)
                 clean[[hit[0] for hit in find(part.column(place), sent.value)]] = False
                 yield part.filter(pa.array(clean))
+            release()
 
         docs = docs.mapInArrow(keep, schema)
     return docs
