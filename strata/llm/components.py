@@ -13,9 +13,10 @@ def _lowest(edges: DataFrame) -> DataFrame:
     return edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 200) -> DataFrame:
     """node, component (the least node reachable) for all nodes of the edges u, v (long). Each round is a stored table,
-    so lineage stays short; rounds grow with the logarithm of a component's diameter."""
+    so lineage stays short; rounds grow with the logarithm of a component's diameter,
+    and what isn't joined after `rounds` of them is an error."""
     both = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     now = stored(both, "edges")
     mark = None
@@ -31,5 +32,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         was, mark = mark, tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if mark == was:
             break
+    else:
+        raise RuntimeError(f"components are not joined after {rounds} rounds")
     ends = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return ends.groupBy("node").agg(F.min("component").alias("component")).unionAll(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -5,7 +5,11 @@ Shingles that two documents share cancel, so the Hamming distance of their sketc
 difference, and a Jaccard similarity of J bounds that by (1 - J) / (1 + J) of the sum of sizes. Within a band of sizes
 all sketches are cut into the same parts; two that differ in d bits at most agree in all parts but d. Of M parts each
 document offers d + 1, in an order common to all (fullest first), and two similar ones offer an equal part (pigeonhole
-with slack, which keeps empty parts out of the keys). Equal parts make candidates, exact shingle sets decide."""
+with slack, which keeps empty parts out of the keys). Equal parts make candidates, exact shingle sets decide.
+
+A part's key is 48 bits of the XOR of its shingles' hashes with the number of the part and of the band, on the map side
+and where keys meet. It says more than the part's bits do: sets that agree in a part of a sketch by chance, not by
+their shingles, don't meet. Bits proper are compared after that, in sketches of whole sets."""
 
 from __future__ import annotations
 
@@ -17,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm.common import U64, mix, shingle_sets, slices, stored, table, text_bytes
+from strata.llm.common import U64, mix, release, shingle_sets, slices, stored, table, text_bytes
 from strata.llm.components import components
 
 #: A key with more different documents than this is resolved by stars and, where these leave a doubt, by blocks.
@@ -190,6 +194,7 @@ def _mapper(width: int, bands: Bands, buckets: int):
                 held += len(key)
         if held:
             yield from flush()
+        release()
 
     return run
 
@@ -204,13 +209,17 @@ def _reduce(rows: pa.Table) -> pa.Table:
         keys.append(np.frombuffer(high, np.uint32).astype(U64) << U64(16) | np.frombuffer(low, np.uint16))
         members.append(np.frombuffer(classes, U64)[np.frombuffer(whose, np.uint16)])
     key, member = np.concatenate(keys), np.concatenate(members)
+    del keys, members
     order = np.lexsort((member, key))
     key, member = key[order], member[order]
+    del order
     new = np.append(True, (key[1:] != key[:-1]) | (member[1:] != member[:-1]))
     u, v, k, m = pairs_of_keys(key[new], member[new])
+    del key, member, new
     u, v = _tallied(u, v)
     kind = np.concatenate([np.full(len(u), _PAIR, np.int32), np.full(len(k), _MEMBER, np.int32)])
     nothing = pa.nulls(len(kind), pa.int64())
+    release()
     return pa.table([pa.array(kind), pa.array(np.concatenate([u, k]).view(np.int64)), pa.array(np.concatenate([v, m]).view(np.int64)), nothing, nothing], ["kind", "a", "b", "c", "d"])
 
 
@@ -307,6 +316,8 @@ def _doubts(members: DataFrame, parts: DataFrame, sketches: DataFrame, percent:
                 u.append(np.full(len(some), ids[k]))
                 v.append(ids[some])
         u, v = _tallied(np.concatenate(u), np.concatenate(v))
+        del bits, order
+        release()
         return pa.table([pa.array(u), pa.array(v)], ["u", "v"])
 
     return cells.groupBy("group", "whole").applyInArrow(near, "u long, v long").distinct()
@@ -350,6 +361,7 @@ def jaccard_components(docs: DataFrame, percent: int = 75, width: int = 5, key:
                 new = [k for k, h in enumerate(part.column(1).to_pylist()) if not (h in seen or seen.add(h))]
                 sets = shingle_sets(*text_bytes(part.column(0).take(pa.array(new, pa.int64()))), width)
                 yield pa.RecordBatch.from_arrays([pa.array(class_ids(sets).view(np.int64)), pa.array([len(s) for s in sets], pa.int64()), pa.array([content(s) for s in sets], pa.binary())], ["class", "size", kind])
+            release()
 
         asked = linked.select(F.col("u").alias("class")).unionAll(linked.select(F.col("v").alias("class"))).distinct()
         wanted = stored(sources.join(asked, "class").select("hash").distinct(), "wanted")

@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strata.llm.common import slices, stored, table
+from strata.llm.common import release, slices, stored, table
 from strata.llm.encoding import encoder, text_ids, vocabulary
 
 #: A slot: the documents of one tail length whose ranks lie in [low, high) put `length` ids from `start` of their tail
@@ -178,6 +178,7 @@ def pack(docs: DataFrame, path: str, window: int = 1024, end: int = 0, text: str
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), pa.array(count, pa.int64()), pa.array(tail, pa.int64()), pa.array(crcs, pa.list_(pa.int64())), pa.array(tails, pa.binary()), pa.array(tail_crc, pa.int64()), same, pa.array(seq, pa.int64()), pa.array(before, pa.int64())],
                 ["key", "n", "tail", "crcs", "ids", "tail_crc", "task", "seq", "before"])
+        release()
 
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
     cuts = stored(rows.mapInArrow(cut, "key long, n long, tail long, crcs array<long>, ids binary, tail_crc long, task int, seq long, before long"), "cut")

@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strata.llm.common import shared_dir, slices, table
+from strata.llm.common import release, shared_dir, slices, table
 from strata.llm.encoding import text_ids, vocabulary
 
 MAGIC = 0x31444954
@@ -99,6 +99,7 @@ def write_token_files(docs: DataFrame, path: str, folder: str, end: int = 2, tex
                 number, keys, sizes, parts, held = number + 1, [], [], [], 0
         if keys:
             yield flush()
+        release()
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spread = rows.withColumn("h", F.xxhash64("text"))  # equal keys may go to several shards, in order

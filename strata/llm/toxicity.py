@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm.common import PUNCT, U64, mix, slices, span_hashes, table, text_bytes, word_spans
+from strata.llm.common import PUNCT, U64, mix, release, slices, span_hashes, table, text_bytes, word_spans
 
 #: Frequent function words, by which a text's language is told (fixed values).
 FUNCTION_WORDS = {
@@ -232,8 +232,9 @@ def score(docs: DataFrame, model: Cnn, key: str = "doc_id", text: str = "text")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made, lookups = sent.value, sent.value.lookups()
-        for part in slices(batches, target=1 << 21):
+        for part in slices(batches, target=1 << 20):
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(made.scores(*_buckets_of(part.column(1), made.buckets), lookups))], ["key", "score"])
+        release()
 
     return rows.mapInArrow(judge, "key long, score double").withColumnRenamed("key", key)
 
@@ -244,8 +245,9 @@ def without_toxic(docs: DataFrame, model: Cnn, text: str = "text") -> DataFrame:
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made, lookups = sent.value, sent.value.lookups()
-        for part in slices(batches, place, 1 << 21):
+        for part in slices(batches, place, 1 << 20):
             yield part.filter(pa.array(made.scores(*_buckets_of(part.column(place), made.buckets), lookups) < 0.5))
+        release()
 
     return docs.mapInArrow(keep, docs.schema)
 
