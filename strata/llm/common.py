@@ -157,7 +157,12 @@ def shingles(hashes: np.ndarray, rows: np.ndarray, n_rows: int, width: int = 5)
 def sorted_set(values: np.ndarray) -> np.ndarray:
     """Sorted distinct values."""
     values = np.sort(values)
-    return values[np.append(True, values[1:] != values[:-1])] if len(values) else values
+    if not len(values):
+        return values
+    new = np.empty(len(values), bool)
+    new[0] = True
+    np.not_equal(values[1:], values[:-1], out=new[1:])
+    return values[new]
 
 
 def shingle_sets(data: np.ndarray, off: np.ndarray, width: int = 5) -> list[np.ndarray]:

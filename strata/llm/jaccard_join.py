@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm.common import U64, mix, release, shingle_sets, slices, stored, table, text_bytes
+from strata.llm.common import U64, mix, release, shingle_sets, slices, sorted_set, stored, table, text_bytes
 from strata.llm.components import components
 
 #: A key with more different documents than this is resolved by stars and, where these leave a doubt, by blocks.
@@ -147,23 +147,30 @@ def _mapper(width: int, bands: Bands, buckets: int):
         keys, owners, classes, held = [], [], [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            key, who = np.concatenate(keys) >> U64(16), np.concatenate(owners)  # 48 bits, here and where keys meet
-            ids = np.array(classes, U64)
-            order = np.lexsort((ids[who], key))
-            key, who = key[order], who[order]
-            new = np.append(True, (key[1:] != key[:-1]) | (ids[who[1:]] != ids[who[:-1]]))
-            key, who = key[new], who[new]
+            # 48 bits of a key, here and where keys meet, and 16 of its class by order of ids, sorted as one number.
+            order = np.argsort(np.array(classes, U64))
+            ids, rank = np.array(classes, U64)[order], np.empty(len(order), U64)
+            rank[order] = np.arange(len(order), dtype=U64)
+            both = np.concatenate(keys)
+            keys.clear()
+            both &= ~U64(0xFFFF)
+            both |= rank[np.concatenate(owners)]
+            owners.clear()
+            both = sorted_set(both)
+            key, who = both >> U64(16), (both & U64(0xFFFF)).astype(np.int32)
+            del both
             start = np.append(True, key[1:] != key[:-1])
-            run_of = np.cumsum(start) - 1
-            first = np.flatnonzero(start)
-            size = np.diff(np.append(first, len(key)))
-            crowd = size[run_of] > MANY
+            first = np.flatnonzero(start).astype(np.int32)
+            size = np.diff(np.append(first, np.int32(len(key))))
+            crowd = np.repeat(size > MANY, size)
+            send = np.arange(len(key), dtype=np.int32) - np.repeat(first, size) <= MANY
+            del start, first, size
             if crowd.any():
                 u, v, k, m = pairs_of_keys(key[crowd], ids[who[crowd]])
                 yield _plain(own, _PAIR, *_tallied(u, v))
                 yield _plain(own, _MEMBER, k, m)
-            send = np.arange(len(key)) - first[run_of] <= MANY
             key, who = key[send], who[send]
+            del crowd, send
             bucket = ((key >> U64(16)) * U64(buckets)) >> U64(32)
             cuts = np.searchsorted(bucket, np.arange(buckets + 1, dtype=U64))
             for b in range(buckets):
@@ -189,7 +196,7 @@ def _mapper(width: int, bands: Bands, buckets: int):
                     keys, owners, classes, held = [], [], [], 0
                 key, who = part_keys([sets[k] for k in some], bands)
                 keys.append(key)
-                owners.append(who + len(classes))
+                owners.append((who + len(classes)).astype(np.int32))
                 classes += ids[some].tolist()
                 held += len(key)
         if held:
@@ -210,12 +217,24 @@ def _reduce(rows: pa.Table) -> pa.Table:
         members.append(np.frombuffer(classes, U64)[np.frombuffer(whose, np.uint16)])
     key, member = np.concatenate(keys), np.concatenate(members)
     del keys, members
-    order = np.lexsort((member, key))
-    key, member = key[order], member[order]
-    del order
-    new = np.append(True, (key[1:] != key[:-1]) | (member[1:] != member[:-1]))
-    u, v, k, m = pairs_of_keys(key[new], member[new])
-    del key, member, new
+    ids, least = sorted_set(member), key.min()
+    bits = U64(max(1, (len(ids) - 1).bit_length()))
+    key -= least
+    if int(key.max()).bit_length() + int(bits) <= 64:  # keys of a bucket are close: sorted with their member as one number
+        key <<= bits
+        key |= np.searchsorted(ids, member).astype(U64)
+        del member
+        key = sorted_set(key)
+        member = ids[key & ((U64(1) << bits) - U64(1))]
+        key >>= bits
+    else:
+        order = np.lexsort((member, key))
+        key, member = key[order], member[order]
+        new = np.append(True, (key[1:] != key[:-1]) | (member[1:] != member[:-1]))
+        key, member = key[new], member[new]
+    key += least
+    u, v, k, m = pairs_of_keys(key, member)
+    del key, member, ids
     u, v = _tallied(u, v)
     kind = np.concatenate([np.full(len(u), _PAIR, np.int32), np.full(len(k), _MEMBER, np.int32)])
     nothing = pa.nulls(len(kind), pa.int64())

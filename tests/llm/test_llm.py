@@ -543,3 +543,50 @@ def test_pipeline_keeps_clean_documents(spark, tmp_path):
     assert {1006, 1007} & kept[1] == set() and set(range(1000, 1006)) <= kept[1]
     assert 1008 not in kept[2] and set(range(1000, 1006)) <= kept[2]
     assert {r.doc_id for r in corpus_pipeline.run(spark, root).select("doc_id").distinct().collect()} == kept[2]
+
+
+@pytest.mark.parametrize("partitions", [1, 7, 41])
+def test_jaccard_links_under_any_partitioning(spark, partitions):
+    """Crowds of a shared passage in one partition, near copies of its holders in all others."""
+    rng = random.Random(21)
+    passage = [f"p{k}" for k in range(18)]
+    base = [passage + [f"h{i}x{k}" for k in range(8)] for i in range(300)]
+    texts = [" ".join(w) for w in base]
+    for i in range(0, 300, 4):  # 18 to 20 of 22 shingles are shared
+        texts.append(" ".join(base[i][: 26 - rng.randrange(2, 4)] + [f"n{i}y{k}" for k in range(2)]))
+    want = brute_components(texts)
+    assert sum(i != c for i, _, c in want) > 50
+    rows = [(i, t) for i, t in enumerate(texts)]
+    dealt = spark.sparkContext.parallelize(range(partitions), partitions).flatMap(lambda k: (rows[:300] if k == 0 else []) + [r for r in rows[300:] if r[0] % partitions == k])
+    got = sorted(tuple(r) for r in jaccard_join.jaccard_components(spark.createDataFrame(dealt, "doc_id long, text string")).collect())
+    assert got == want
+
+
+def test_pipeline_of_odd_and_of_no_rows(spark, tmp_path):
+    """Null keys and texts, repeated rows and empty tables pass all stages."""
+    import corpus_pipeline
+
+    docs, labels = toxic_corpus(spark, 60)
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    odd = spark.createDataFrame([(None, "a b c d e f", None, None, None), (500, None, "en", None, 0), (501, "", None, "s", 0), (502, "x y z", "en", "s", 5), (502, "x y z", "en", "s", 5)], schema)
+    full = docs.withColumns({"lang": F.lit("en"), "source": F.lit("s"), "n_chars": F.length("text").cast("long")})
+    for name, rows, marks, items in (("odd", full.unionByName(odd), labels, [(1, None), (None, "q r s t u v"), (2, "")]), ("none", full.limit(0), labels.limit(0), [])):
+        root = f"{tmp_path}/{name}"
+        rows.write.parquet(f"{root}/documents.parquet")
+        marks.write.parquet(f"{root}/labels.parquet")
+        spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{root}/benchmark.parquet")
+        got = [r.doc_id for r in corpus_pipeline.run(spark, root).select("doc_id").distinct().collect()]
+        assert ({None, 500, 501, 502} <= set(got)) if name == "odd" else got == []
+
+
+def test_searches_and_pages_of_nothing(spark):
+    assert topk.top_k(*[spark.createDataFrame([], "vec_id long, embedding array<double>")] * 2).count() == 0
+    assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_names_inside_articles(spark):
+    """Marks hide furniture, not what an article says under such a word; attributes that only end in id don't count."""
+    page = "<body><article><p>One.</p><section id='related-work'><p>Two.</p></section><p class='share-price'>Three.</p><div data-id='ad'><p>Four.</p></div><div class='share-buttons'>no</div><div class='related-posts'>no</div><datalist><option>no</datalist><p>E = <math>mc</math></p></article></body>"
+    df = spark.createDataFrame([(1, "http://h.org/", page)], "page_id long, url string, html string")
+    assert html_text.extract(df).first().text == "One. Two. Three. Four. E = mc"
+    assert html_text.extract(df, broadcast_hosts=0, salt_pages=1).first().text == "One. Two. Three. Four. E = mc"
