@@ -54,6 +54,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Let Spark hand at most so many rows at a time to Arrow functions in this session (a smaller setting stays): batches
+    are counted in rows, and rows with texts or sets of shingles are large on both sides of the pipe."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def release() -> None:
     """Give freed memory back to the system at the end of a task: workers live on, and keep what their heaps held."""
     pa.default_memory_pool().release_unused()

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm.common import PUNCT, U64, mix, release, slices, span_hashes, table, text_bytes, word_spans
+from strata.llm.common import PUNCT, U64, mix, release, slices, small_batches, span_hashes, table, text_bytes, word_spans
 
 _STEP = 0xD6E8FEB86659FD93
 _UNSTEP = pow(_STEP, -1, 2**64)
@@ -121,6 +121,7 @@ def find(column: pa.Array, items: Items) -> list[tuple[int, int, int, int, int]]
 
 def blocks(items: DataFrame, rate: float, min_words: int, text: str, key: str, block_words: int) -> list[Items]:
     """The items in blocks of about `block_words` words, each of which may be broadcast."""
+    small_batches(items.sparkSession)
     rows = items.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text")).where("key is not null and text is not null")
     total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     n = total // (2 * block_words) + 1  # a word takes two characters at least, with the gap after it

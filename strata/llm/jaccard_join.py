@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm.common import U64, mix, release, shingle_sets, slices, sorted_set, stored, table, text_bytes
+from strata.llm.common import U64, mix, release, shingle_sets, slices, small_batches, sorted_set, stored, table, text_bytes
 from strata.llm.components import components
 
 #: A key with more different documents than this is resolved by stars and, where these leave a doubt, by blocks.
@@ -359,6 +359,7 @@ def jaccard_components(docs: DataFrame, percent: int = 75, width: int = 5, key:
     Equal sets are one class from the start. Keys travel packed, in buckets sized by the input; a key in many documents
     is cut down before the shuffle, its documents linked by a star, and where that leaves several components, block by
     block. Only ids and links are ever joined, and the sets of candidates."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text"))
     chars, longest = rows.agg(F.sum(F.length("text").cast("long")), F.max(F.length("text"))).first()
     bands = Bands(percent, max(1, (longest or 0) // 2 + 2))

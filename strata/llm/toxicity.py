@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm.common import PUNCT, U64, mix, release, slices, span_hashes, table, text_bytes, word_spans
+from strata.llm.common import PUNCT, U64, mix, release, slices, small_batches, span_hashes, table, text_bytes, word_spans
 
 #: Frequent function words, by which a text's language is told (fixed values).
 FUNCTION_WORDS = {
@@ -205,6 +205,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "
     """A classifier from at most `sample_rows` labelled documents, drawn by a hash of the key. Their words are hashed on
     the executors; bucket numbers alone reach the driver. Null labels, keys and texts are left out; of several labels of
     a key the largest counts. Without any labelled document the classifier is untrained and scores 0."""
+    small_batches(docs.sparkSession)
     known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).cast("long").alias("key")).agg(F.max(label).cast("int").alias("label"))
     chosen = known.orderBy(F.xxhash64("key"), "key").limit(sample_rows)
     model = Cnn(**shape)
