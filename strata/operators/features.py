@@ -55,33 +55,51 @@ def cv_of(counts: list[Column]) -> Column:
     return F.when(total > 0, F.sqrt(F.greatest(n * squares - total * total, F.lit(0)).cast("double")) / total)
 
 
-def behaviour(people: DataFrame, tagged: DataFrame, unit: str, weeks: list[tuple[int, int]], day: str = "day") -> DataFrame:
-    """One wide conditional aggregation per (cutoff, unit) and modal values on the same key. tagged has mode, station,
-    zone, hour, amount, is_peak, is_weekend. Means come from integer sums, so that the order of rows cannot matter."""
+def history(log: DataFrame, clock: Clock, unit: str, day: str = "day") -> DataFrame:
+    """What a change log (unit, day, seq, card, profile) says of each unit before each cutoff: letter, unit, registry_events
+    in the window, and the profile of the last change (ties to the smaller card)."""
+    before = at_cutoffs(log, Clock(clock.cutoffs, 1 << 20, 0, clock.reference), day)
+    last = F.min_by("profile", F.struct(-F.col("seq"), "card"))
+    return before.groupBy("letter", unit).agg(F.count_if(F.col("days") <= clock.window).alias("registry_events"), last.alias("profile"))
+
+
+def behaviour(people: DataFrame, tagged: DataFrame, past: DataFrame, unit: str, weeks: list[tuple[int, int]], shares: list[str]) -> DataFrame:
+    """33 features of each (cutoff, unit): one wide conditional aggregation, modal values on the same key, and the history
+    of the registry. tagged has mode, station, zone, card, hour, amount, minutes, closed (day on which the trip is known
+    to have ended, or null), is_peak, is_weekend, is_holiday, is_transfer. Sets are of days, stations and the like, so they
+    are small; means come from integer sums, so that the order of rows cannot matter."""
     w = tagged.where("part = 'window'")
     keys = ["letter", unit]
-    d = F.col("days")
+    d, n = F.col("days"), F.col("events")
     in_week = [F.count_if((d > a) & (d <= b)).alias(f"week_{i + 1}") for i, (a, b) in enumerate(weeks)]
+    flags = ("is_peak", "is_weekend", "is_holiday", "is_transfer")
+    ended = F.col("closed") < F.col("cutoff")
+
+    def kinds(c, name: str) -> Column:
+        return F.size(F.collect_set(c)).cast("long").alias(name)
+
     sums = w.groupBy(*keys).agg(
-        F.count("*").alias("events"), *in_week, F.countDistinct(day).alias("active_days"), F.min("days").cast("long").alias("recency"), F.max("days").cast("long").alias("tenure"),
-        F.countDistinct("mode").alias("modes"), F.countDistinct("station").alias("stations"), F.countDistinct("zone").alias("zones"),
-        F.count_if("is_peak").alias("_peak"), F.count_if("is_weekend").alias("_weekend"), F.sum(F.round(F.col("amount") * 100).cast("long")).alias("_cents"),
-        F.sum("hour").alias("_hours"), F.sum(F.col("hour") * F.col("hour")).alias("_hours2"),
+        F.count("*").alias("events"), *in_week, kinds("days", "active_days"), kinds(F.when(d <= weeks[0][1], d), "active_days_1"), F.min("days").cast("long").alias("recency"), F.max("days").cast("long").alias("tenure"),
+        kinds("mode", "modes"), kinds("station", "stations"), kinds("zone", "zones"), kinds("card", "active_cards"), *[F.count_if(F.col("mode") == m).alias(f"_m{i + 1}") for i, m in enumerate(shares)],
+        *[F.count_if(c).alias(f"_{c}") for c in flags], F.sum(F.round(F.col("amount") * 100).cast("long")).alias("_cents"), F.count("amount").alias("_paid"),
+        F.sum("hour").alias("_hours"), F.sum(F.col("hour") * F.col("hour")).alias("_hours2"), F.count_if(ended).alias("closed_trips"), F.sum(F.when(ended, F.col("minutes"))).alias("_minutes"),
     )
     usual = mode_of(w, keys, "mode", "usual_mode").join(mode_of(w, keys, "zone", "usual_zone"), keys)
-    n = F.col("events")
     weekly = [F.col(f"week_{i + 1}") for i in range(len(weeks))]
-    last, before = weekly[0], weekly[1]
+    half = len(weekly) // 2
+    late, early = sum(weekly[1:half], weekly[0]), sum(weekly[half + 1 :], weekly[half])
 
     def six(c: Column) -> Column:
         return F.round(c, 6)
 
-    wide = people.join(sums, keys).join(usual, keys)
+    wide = people.join(sums, keys).join(usual, keys).join(past, keys, "left")
     return wide.select(
-        "letter", "cutoff", unit, "events", *weekly, "active_days", "recency", "tenure", "modes", "stations", "zones", "usual_mode", "usual_zone",
-        six(F.try_divide(last.cast("double"), before.cast("double"))).alias("ratio"), six(cv_of(weekly)).alias("weekly_cv"),
-        six(F.col("_peak") / n).alias("peak_share"), six(F.col("_weekend") / n).alias("weekend_share"), six(F.col("_cents") / (n * 100)).alias("mean_amount"),
+        "letter", "cutoff", unit, "events", late.alias("late_events"), *weekly, "active_days", "active_days_1", "recency", "tenure",
+        sum((F.when(c > 0, 1).otherwise(0) for c in weekly[1:]), F.when(weekly[0] > 0, 1).otherwise(0)).alias("active_weeks"), "modes", "stations", "zones", "active_cards", "usual_mode", "usual_zone",
+        six(F.try_divide(late.cast("double"), early.cast("double"))).alias("ratio"), six(cv_of(weekly)).alias("weekly_cv"), *[six(F.col(f"_m{i + 1}") / n).alias(f"mode_share_{i + 1}") for i in range(len(shares))],
+        *[six(F.col(f"_{c}") / n).alias(f"{c[3:]}_share") for c in flags], six(F.col("_cents") / 100).alias("spend"), six(F.try_divide(F.col("_cents"), F.col("_paid") * 100)).alias("mean_amount"),
         six(F.col("_hours") / n).alias("mean_hour"), six(F.sqrt(F.greatest(n * F.col("_hours2") - F.col("_hours") * F.col("_hours"), F.lit(0)).cast("double")) / n).alias("sd_hour"),
+        "closed_trips", six(F.try_divide(F.col("_minutes").cast("double"), F.col("closed_trips"))).alias("mean_minutes"), F.coalesce("registry_events", F.lit(0)).alias("registry_events"), "profile", F.col("registry_events").isNotNull().alias("has_registry"),
     )
 
 

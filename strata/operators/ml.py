@@ -94,6 +94,13 @@ def confusion(scored: DataFrame, threshold: float, value: float, cost: float) ->
     return one.select("*", F.round(F.try_divide(F.col("tp").cast("double"), F.col("tp") + F.col("fp")), 6).alias("precision"), F.round(F.try_divide(F.col("tp").cast("double"), F.col("tp") + F.col("fn")), 6).alias("recall"), gain.alias("gain"), F.round(gain * 1000 / n, 6).alias("gain_per_1000"))
 
 
+def diagnosis(train: Column, val: Column, rate: Column, wide: float = 0.1, little: float = 0.1, narrow: float = 0.05) -> Column:
+    """variance where average precision falls by `wide` or more from training to validation; else bias where it gains less
+    than `little` over the positive rate and falls by less than `narrow`; else balanced."""
+    gap = train - val
+    return F.when(gap >= wide, "variance").when((val - rate < little) & (gap < narrow), "bias").otherwise("balanced")
+
+
 def guarded(df: DataFrame, cutoff: str, held: list[str], label: str, unlocked: bool = False) -> DataFrame:
     """df whose label is NULL at held-out cutoffs, unless they are unlocked on purpose."""
     return df if unlocked else df.withColumn(label, F.when(~F.col(cutoff).isin(held), F.col(label)))

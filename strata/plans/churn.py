@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strata.functions.parsing import truncate_at
+from strata.functions.storage import stored
 from strata.operators import features as X
 from strata.plans.register import registry
 from strata.plans.tables import EV, events, table
@@ -64,34 +65,57 @@ def churn_label(spark, sf_dir):
     return X.labels(_population(spark, sf_dir), X.at_cutoffs(purchases(spark, sf_dir), DAILY), DAILY, "unit")
 
 
+MODES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED"]
+
+
 def boardings(spark, sf_dir):
-    """Orders as boardings of persons; the hour is the key's, as orders have none."""
+    """Orders as boardings of persons; the hour is the key's, as orders have none. Trips of the second mode have an exit
+    some days later, unless the order is pending."""
     o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
     j = o.join(c, o.o_custkey == c.c_custkey, "left")
-    hour = (F.col("o_orderkey") % 24).cast("long")
-    return j.select(F.col("o_custkey").alias("unit"), F.to_date("o_orderdate").alias("day"), F.col("o_orderpriority").alias("mode"), (F.col("o_orderkey") % 13).alias("station"), F.col("c_nationkey").alias("zone"), hour.alias("hour"), F.col("o_totalprice").alias("amount"), hour.isin(6, 7, 8, 16, 17, 18).alias("is_peak"), (F.weekday("o_orderdate") >= 5).alias("is_weekend"))
+    key, day = F.col("o_orderkey"), F.to_date("o_orderdate")
+    hour = (key % 24).cast("long")
+    closed = F.when((F.col("o_orderpriority") == MODES[1]) & (F.col("o_orderstatus") != "P"), F.date_add(day, (key % 5).cast("int")))
+    return j.select(
+        F.col("o_custkey").alias("unit"), day.alias("day"), F.col("o_orderpriority").alias("mode"), (key % 13).alias("station"), F.col("c_nationkey").alias("zone"), (key % 3).alias("card"), hour.alias("hour"), F.col("o_totalprice").alias("amount"),
+        (key % 97).alias("minutes"), closed.alias("closed"), hour.isin(6, 7, 8, 16, 17, 18).alias("is_peak"), (F.weekday("o_orderdate") >= 5).alias("is_weekend"), F.date_format(day, "MM-dd").isin("01-01", "05-01", "12-25").alias("is_holiday"), (key % 7 == 0).alias("is_transfer"),
+    )
+
 
+def registry_log(spark, sf_dir):
+    """Orders as changes of a registry: the status is the profile, the key the place in the log."""
+    o = table(spark, sf_dir, "orders")
+    return o.select(F.col("o_custkey").alias("unit"), F.to_date("o_orderdate").alias("day"), F.col("o_orderkey").alias("seq"), (F.col("o_orderkey") % 3).alias("card"), F.col("o_orderstatus").alias("profile"))
 
-_B = f"""brd AS (SELECT o_custkey AS unit, CAST(o_orderdate AS DATE) AS day, o_orderpriority AS mode, o_orderkey % 13 AS station, c_nationkey AS zone, o_orderkey % 24 AS hour, o_totalprice AS amount,
-  o_orderkey % 24 IN (6, 7, 8, 16, 17, 18) AS is_peak, isodow(o_orderdate) >= 6 AS is_weekend FROM orders LEFT JOIN customer ON c_custkey = o_custkey), {_churn_sql(LARGE, 'brd')},
+
+_B = f"""brd AS (SELECT o_custkey AS unit, CAST(o_orderdate AS DATE) AS day, o_orderpriority AS mode, o_orderkey % 13 AS station, c_nationkey AS zone, o_orderkey % 3 AS card, o_orderkey % 24 AS hour, o_totalprice AS amount, o_orderkey % 97 AS minutes,
+  CASE WHEN o_orderpriority = '2-HIGH' AND o_orderstatus <> 'P' THEN CAST(o_orderdate AS DATE) + CAST(o_orderkey % 5 AS INTEGER) END AS closed, o_orderkey % 24 IN (6, 7, 8, 16, 17, 18) AS is_peak, isodow(o_orderdate) >= 6 AS is_weekend,
+  strftime(o_orderdate, '%m-%d') IN ('01-01', '05-01', '12-25') AS is_holiday, o_orderkey % 7 = 0 AS is_transfer FROM orders LEFT JOIN customer ON c_custkey = o_custkey), {_churn_sql(LARGE, 'brd')},
 pop AS (SELECT letter, cutoff, unit FROM tag WHERE part = 'window' GROUP BY ALL HAVING count(*) >= 2),
 lab AS (SELECT letter, cutoff, unit, CAST(CASE WHEN cutoff + 180 <= DATE '2001-08-02' THEN CASE WHEN b.unit IS NULL THEN 1 ELSE 0 END END AS INTEGER) AS label FROM pop LEFT JOIN (SELECT DISTINCT letter, unit FROM tag WHERE part = 'horizon') b USING (letter, unit)),
 agg AS (SELECT letter, unit, count(*) AS events, count(*) FILTER (days > 0 AND days <= 182) AS week_1, count(*) FILTER (days > 182 AND days <= 364) AS week_2, count(*) FILTER (days > 364 AND days <= 546) AS week_3, count(*) FILTER (days > 546 AND days <= 728) AS week_4,
-  count(DISTINCT day) AS active_days, min(days)::BIGINT AS recency, max(days)::BIGINT AS tenure, count(DISTINCT mode) AS modes, count(DISTINCT station) AS stations, count(DISTINCT zone) AS zones,
-  count(*) FILTER (is_peak) AS pk, count(*) FILTER (is_weekend) AS we, sum(round(amount * 100)::BIGINT)::BIGINT AS cents, sum(hour)::BIGINT AS h1, sum(hour * hour)::BIGINT AS h2 FROM tag WHERE part = 'window' GROUP BY ALL),
+  count(DISTINCT day) AS active_days, count(DISTINCT day) FILTER (days <= 182) AS active_days_1, min(days)::BIGINT AS recency, max(days)::BIGINT AS tenure, count(DISTINCT mode) AS modes, count(DISTINCT station) AS stations, count(DISTINCT zone) AS zones, count(DISTINCT card) AS active_cards,
+  count(*) FILTER (mode = '1-URGENT') AS m1, count(*) FILTER (mode = '2-HIGH') AS m2, count(*) FILTER (mode = '3-MEDIUM') AS m3, count(*) FILTER (mode = '4-NOT SPECIFIED') AS m4,
+  count(*) FILTER (is_peak) AS pk, count(*) FILTER (is_weekend) AS we, count(*) FILTER (is_holiday) AS ho, count(*) FILTER (is_transfer) AS tr, sum(round(amount * 100)::BIGINT)::BIGINT AS cents, sum(hour)::BIGINT AS h1, sum(hour * hour)::BIGINT AS h2,
+  count(*) FILTER (closed < cutoff) AS closed_trips, (sum(minutes) FILTER (closed < cutoff))::BIGINT AS mins FROM tag WHERE part = 'window' GROUP BY ALL),
 um AS (SELECT letter, unit, arg_min(mode, (-n, mode)) AS usual_mode FROM (SELECT letter, unit, mode, count(*) AS n FROM tag WHERE part = 'window' GROUP BY ALL) GROUP BY ALL),
 uz AS (SELECT letter, unit, arg_min(zone, (-n, zone)) AS usual_zone FROM (SELECT letter, unit, zone, count(*) AS n FROM tag WHERE part = 'window' GROUP BY ALL) GROUP BY ALL),
-feat AS (SELECT letter, cutoff, unit, events, week_1, week_2, week_3, week_4, active_days, recency, tenure, modes, stations, zones, usual_mode, usual_zone,
-  round(week_1::DOUBLE / nullif(week_2, 0), 6) AS ratio, round(sqrt(greatest(4 * (week_1 * week_1 + week_2 * week_2 + week_3 * week_3 + week_4 * week_4) - events * events, 0)::DOUBLE) / events, 6) AS weekly_cv,
-  round(pk::DOUBLE / events, 6) AS peak_share, round(we::DOUBLE / events, 6) AS weekend_share, round(cents::DOUBLE / (events * 100), 6) AS mean_amount, round(h1::DOUBLE / events, 6) AS mean_hour, round(sqrt(greatest(events * h2 - h1 * h1, 0)::DOUBLE) / events, 6) AS sd_hour
-  FROM pop JOIN agg USING (letter, unit) JOIN um USING (letter, unit) JOIN uz USING (letter, unit))"""
+reg AS (SELECT letter, o_custkey AS unit, count(*) FILTER (cutoff - CAST(o_orderdate AS DATE) <= 728) AS registry_events, arg_max(o_orderstatus, o_orderkey) AS profile FROM orders JOIN cut ON CAST(o_orderdate AS DATE) < cutoff GROUP BY ALL),
+feat AS (SELECT letter, cutoff, unit, events, week_1 + week_2 AS late_events, week_1, week_2, week_3, week_4, active_days, active_days_1, recency, tenure, CAST((week_1 > 0)::INT + (week_2 > 0)::INT + (week_3 > 0)::INT + (week_4 > 0)::INT AS INTEGER) AS active_weeks, modes, stations, zones, active_cards, usual_mode, usual_zone,
+  round((week_1 + week_2)::DOUBLE / nullif(week_3 + week_4, 0), 6) AS ratio, round(sqrt(greatest(4 * (week_1 * week_1 + week_2 * week_2 + week_3 * week_3 + week_4 * week_4) - events * events, 0)::DOUBLE) / events, 6) AS weekly_cv,
+  round(m1::DOUBLE / events, 6) AS mode_share_1, round(m2::DOUBLE / events, 6) AS mode_share_2, round(m3::DOUBLE / events, 6) AS mode_share_3, round(m4::DOUBLE / events, 6) AS mode_share_4,
+  round(pk::DOUBLE / events, 6) AS peak_share, round(we::DOUBLE / events, 6) AS weekend_share, round(ho::DOUBLE / events, 6) AS holiday_share, round(tr::DOUBLE / events, 6) AS transfer_share, round(cents::DOUBLE / 100, 6) AS spend, round(cents::DOUBLE / (events * 100), 6) AS mean_amount,
+  round(h1::DOUBLE / events, 6) AS mean_hour, round(sqrt(greatest(events * h2 - h1 * h1, 0)::DOUBLE) / events, 6) AS sd_hour, closed_trips, round(mins::DOUBLE / nullif(closed_trips, 0), 6) AS mean_minutes, coalesce(registry_events, 0) AS registry_events, profile, registry_events IS NOT NULL AS has_registry
+  FROM pop JOIN agg USING (letter, unit) JOIN um USING (letter, unit) JOIN uz USING (letter, unit) LEFT JOIN reg USING (letter, unit))"""
 
 
 def _features(spark, sf_dir, boarded=None):
-    tagged = X.at_cutoffs(boardings(spark, sf_dir) if boarded is None else boarded, LARGE)
+    """Features and labels from one stored table of tagged rows, which five branches read."""
+    tagged = stored(X.at_cutoffs(boardings(spark, sf_dir) if boarded is None else boarded, LARGE), "tagged")
     nobody = spark.createDataFrame([], "unit long, since date")
     people = X.population(tagged, nobody, "unit")
-    return X.behaviour(people, tagged, "unit", WEEKS), X.labels(people, tagged, LARGE, "unit")
+    past = X.history(registry_log(spark, sf_dir), LARGE, "unit")
+    return X.behaviour(people, tagged, past, "unit", WEEKS, MODES), X.labels(people, tagged, LARGE, "unit")
 
 
 @query(f"WITH {_B} SELECT * FROM feat")
@@ -141,17 +165,20 @@ def leaky_features(spark, sf_dir):
     return boardings(spark, sf_dir).groupBy("unit").agg(F.count("*").alias("all_events"), F.max("day").alias("last_day"), F.countDistinct("mode").alias("all_modes"))
 
 
-_COLS = "events week_1 week_2 week_3 week_4 active_days recency tenure modes stations zones usual_mode usual_zone ratio weekly_cv peak_share weekend_share mean_amount mean_hour sd_hour".split()
-_NONE = " UNION ALL ".join(f"SELECT '{c}' AS measure, 0::BIGINT AS n" for c in ["only_left", "only_right", "cutoff", *_COLS])
+_COLS = """events late_events week_1 week_2 week_3 week_4 active_days active_days_1 recency tenure active_weeks modes stations zones active_cards usual_mode usual_zone ratio weekly_cv mode_share_1 mode_share_2 mode_share_3 mode_share_4 peak_share
+weekend_share holiday_share transfer_share spend mean_amount mean_hour sd_hour closed_trips mean_minutes registry_events profile has_registry""".split()
 
 
-@query(_NONE)
+@query(f"""WITH {_B}, b AS (SELECT unit FROM feat WHERE letter = 'B') SELECT measure, CASE measure WHEN 'only_left' THEN (SELECT count(*) FROM b WHERE unit % 50 = 0) WHEN 'tenure' THEN (SELECT count(*) FROM b WHERE unit % 50 = 1) ELSE 0 END AS n
+FROM (SELECT unnest({["only_left", "only_right", "cutoff", *_COLS]}) AS measure)""")
 def table_diff(spark, sf_dir):
-    """Features of cutoff B from all rows and from rows before it only: nothing may differ."""
+    """Features of cutoff B from all rows and from rows before it only: nothing may differ but what is planted, units that
+    are left out and tenures that are a day longer."""
     whole = boardings(spark, sf_dir)
     cut = truncate_at(whole, "day", "1999-12-31")
     a, b = (_features(spark, sf_dir, x)[0].where("letter = 'B'") for x in (whole, cut))
-    return X.table_diff(a, b, ["letter", "unit"])
+    planted = b.where("unit % 50 <> 0").withColumn("tenure", F.col("tenure") + (F.col("unit") % 50 == 1).cast("long"))
+    return X.table_diff(a, planted, ["letter", "unit"])
 
 
 @query("""WITH a AS (SELECT o_custkey AS unit, count(*) AS n, max(CAST(o_orderdate AS DATE)) AS d, count(DISTINCT o_orderpriority) AS m FROM orders GROUP BY 1), b AS (SELECT o_custkey AS unit, count(*) AS n, max(CAST(o_orderdate AS DATE)) AS d, count(DISTINCT o_orderpriority) AS m FROM orders WHERE CAST(o_orderdate AS DATE) < DATE '2000-01-01' GROUP BY 1)
@@ -165,18 +192,25 @@ def leak_detector(spark, sf_dir):
     return X.table_diff(made(whole), made(truncate_at(whole, "day", "1999-12-31")), ["unit"])
 
 
-@query("SELECT unnest(['recency under 1', 'tenure under recency', 'windows not monotone', 'window too long', 'undeclared cutoff']) AS check, 0::BIGINT AS failing")
+@query(f"""WITH {_B} SELECT name AS check, (SELECT count(*) FROM feat WHERE unit % 100 = place) AS failing
+FROM (VALUES ('recency under 1', 0), ('window too long', 1), ('tenure under recency', 2), ('windows not monotone', 3), ('undeclared cutoff', 4)) t(name, place)""")
 def aud_leakage(spark, sf_dir):
-    f = churn_features(spark, sf_dir)
+    """Failures are planted, one kind in each of five hundredths of the units; all others must pass."""
+    f, k = churn_features(spark, sf_dir), F.col("unit") % 100
+    f = f.select("unit", "events", F.when(k == 0, 0).otherwise(F.col("recency")).alias("recency"), F.when(k == 1, 1000).when(k == 2, F.col("recency") - 1).otherwise(F.col("tenure")).alias("tenure"),
+        F.when(k == 3, F.col("events") + 1).otherwise(F.col("week_1")).alias("week_1"), F.when(k == 4, F.date_add("cutoff", 1)).otherwise(F.col("cutoff")).alias("cutoff"))
     days = [F.lit(c).cast("date") for _, c in LARGE.cutoffs]
     bad = {"recency under 1": F.col("recency") < 1, "tenure under recency": F.col("tenure") < F.col("recency"), "windows not monotone": F.col("week_1") > F.col("events"), "window too long": F.col("tenure") > LARGE.window, "undeclared cutoff": ~F.col("cutoff").isin(days)}
     one = f.agg(*[F.count_if(c).alias(n) for n, c in bad.items()])
     return one.unpivot([], list(bad), "check", "failing")
 
 
-@query("SELECT unnest(['population differs', 'label without horizon', 'no label with horizon', 'window over bound']) AS check, 0::BIGINT AS failing")
+@query(f"""WITH {_P} SELECT 'population differs' AS check, (SELECT count(*) FROM pop WHERE unit % 100 = 2) AS failing UNION ALL SELECT 'label without horizon', (SELECT count(*) FROM lab WHERE label IS NULL AND unit % 100 = 1)
+UNION ALL SELECT 'no label with horizon', (SELECT count(*) FROM lab WHERE label IS NOT NULL AND unit % 100 = 0) UNION ALL SELECT 'window over bound', (SELECT count(*) FROM tag WHERE unit % 100 = 3)""")
 def aud_churn(spark, sf_dir):
-    people, y = _population(spark, sf_dir), churn_label(spark, sf_dir)
+    """Failures are planted in some hundredths of the units: left out, labelled too early, not labelled, out of the window."""
+    people, y = _population(spark, sf_dir).where("unit % 100 <> 2"), churn_label(spark, sf_dir)
+    y = y.withColumn("label", F.when(F.col("unit") % 100 == 1, F.coalesce("label", F.lit(1))).when(F.col("unit") % 100 != 0, F.col("label")))
     p = purchases(spark, sf_dir)
     again = None  # the rule once more, a cutoff at a time
     for letter, day in DAILY.cutoffs:
@@ -188,6 +222,7 @@ def aud_churn(spark, sf_dir):
     differ = a.subtract(b).unionAll(b.subtract(a)).agg(F.count("*").alias("population differs"))
     seen = F.date_add("cutoff", DAILY.horizon) <= F.date_add(F.lit(DAILY.reference).cast("date"), 1)
     marks = y.agg(F.count_if(~seen & F.col("label").isNotNull()).alias("label without horizon"), F.count_if(seen & F.col("label").isNull()).alias("no label with horizon"))
-    bound = churn_events(spark, sf_dir).agg(F.count_if(F.col("days") > DAILY.window).alias("window over bound"))
+    days = F.col("days") + F.when(F.col("unit") % 100 == 3, 100).otherwise(0)
+    bound = churn_events(spark, sf_dir).agg(F.count_if(days > DAILY.window).alias("window over bound"))
     one = differ.crossJoin(marks).crossJoin(bound)  # a row each
     return one.unpivot([], one.columns, "check", "failing")

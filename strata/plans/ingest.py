@@ -120,20 +120,21 @@ def sink_partitioned(spark, sf_dir):
     return read.where(F.col("day") == F.lit("2024-01-15").cast("date")).groupBy("day", "zone").agg(F.count("*").alias("n"), F.sum("amount").alias("amount"))
 
 
-@query("SELECT 'metrics' AS name, count(*) AS n FROM (SELECT event_type FROM events GROUP BY 1) UNION ALL SELECT 'manifest', 2 * count(*) FROM (SELECT o_orderstatus FROM orders GROUP BY 1)")
+@query("SELECT 'metrics' AS name, count(*) AS n FROM (SELECT event_type FROM events GROUP BY 1) UNION ALL SELECT 'manifest', count(*) + (SELECT count(DISTINCT o_orderpriority) FROM orders) FROM (SELECT o_orderstatus FROM orders GROUP BY 1)")
 def ops_append(spark, sf_dir):
     path = scratch(spark, "ops")
     metrics = table(spark, sf_dir, "events").groupBy("event_type").count()
     manifest = table(spark, sf_dir, "orders").groupBy("o_orderstatus").count()
-    raw.append_once({"metrics": metrics, "manifest": manifest}, path)
-    raw.append_once({"manifest": manifest}, path)
+    raw.append_once({"metrics": metrics, "manifest": manifest}, path, "run-1")
+    raw.append_once({"manifest": manifest}, path, "run-1")  # again: nothing is doubled
+    raw.append_once({"manifest": table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("o_orderstatus")).count()}, path, "run-2")
     a, b = (spark.read.parquet(f"{path}/{n}").agg(F.lit(n).alias("name"), F.count("*").alias("n")) for n in ("metrics", "manifest"))
     return a.unionAll(b)
 
 
 @query("SELECT event_type AS name, CASE WHEN event_type < 'f' THEN 'skipped' ELSE 'ingested' END AS action, count(*) AS n FROM events GROUP BY ALL")
 def ingest_skip_known(spark, sf_dir):
-    files = lines(spark, sf_dir).groupBy(F.col("event_type").alias("name")).agg(F.sha2(F.concat(F.min("raw"), F.max("raw")), 256).alias("sha"), F.count("*").alias("n"))
+    files = lines(spark, sf_dir).groupBy(F.col("event_type").alias("name")).agg(raw.digest("raw").alias("sha"), F.count("*").alias("n"))
     manifest = files.select("name", "sha", F.when(F.col("name") < "f", "complete").otherwise("failed").alias("state"))
     new, known = raw.skip_known(files, manifest)
     return new.select("name", F.lit("ingested").alias("action"), "n").unionAll(known.select("name", F.lit("skipped").alias("action"), "n"))
@@ -283,37 +284,62 @@ def prediction_diff(spark, sf_dir):
     return features.table_diff(a, s, ["unit"])
 
 
-_SNAP = " UNION ALL ".join(f"SELECT '{n}' AS \"table\", '{layer}' AS layer, count(*) AS n_rows FROM {n}" for n, layer in (("events", "bronze"), ("orders", "silver"), ("customer", "gold")))
+_SNAP = f"""{EV}, l AS (SELECT event_type, {LINE} AS raw FROM ev), n AS (SELECT event_type, count(*) AS c, sum(strlen(raw) + 1)::BIGINT AS b FROM l GROUP BY 1),
+s AS (SELECT 'bronze' AS layer, event_type AS "table", c AS n_rows, 1::BIGINT AS n_objects, b AS n_bytes FROM n UNION ALL SELECT 'silver', 'all', sum(c)::BIGINT, count(*), sum(b)::BIGINT FROM n)"""
 
 
-def _snapshot(spark, sf_dir):
-    out = None
-    for n, layer in (("events", "bronze"), ("orders", "silver"), ("customer", "gold")):
-        one = table(spark, sf_dir, n).agg(F.lit(n).alias("table"), F.lit(layer).alias("layer"), F.count("*").alias("n_rows"))
-        out = one if out is None else out.unionAll(one)
-    return out
+def _landed(spark, sf_dir, changed: bool = False) -> str:
+    """Raw lines, a file for each kind of event; in the changed layer one kind has a line more."""
+    path = scratch(spark, "layer")
+    rows = lines(spark, sf_dir).select("raw", F.col("event_type").alias("source"))
+    if changed:
+        rows = rows.unionAll(spark.range(1).select(F.lit("one more").alias("raw"), F.lit("view").alias("source")))
+    rows.repartition("source").write.partitionBy("source").text(path)
+    return path
+
+
+def _snapshot(spark, sf_dir, changed: bool = False):
+    path = _landed(spark, sf_dir, changed)
+    files = raw.files(spark, path).select(F.regexp_extract("path", "source=([^/]+)/", 1).alias("table"), "length").groupBy("table").agg(F.count("*").alias("n_objects"), F.sum("length").alias("n_bytes"))
+    each = spark.read.text(path).groupBy(F.col("source").alias("table")).agg(F.count("*").alias("n_rows")).join(files, "table")
+    bronze = each.select(F.lit("bronze").alias("layer"), "table", "n_rows", "n_objects", "n_bytes")
+    return bronze.unionAll(each.agg(F.lit("silver"), F.lit("all"), *[F.sum(c) for c in ("n_rows", "n_objects", "n_bytes")]))
 
 
-@query(_SNAP)
+@query(f"WITH {_SNAP} SELECT * FROM s")
 def layer_snapshot(spark, sf_dir):
+    """Rows, objects and bytes of each table of two layers."""
     return _snapshot(spark, sf_dir)
 
 
-@query(f"WITH s AS ({_SNAP}) SELECT \"table\", n_rows AS before, n_rows + CASE layer WHEN 'gold' THEN 1 ELSE 0 END AS after, layer <> 'gold' AS equal FROM s")
+@query(f"""WITH {_SNAP} SELECT layer, "table", n_rows AS before, n_rows + CASE WHEN "table" IN ('view', 'all') THEN 1 ELSE 0 END AS after, n_bytes + CASE WHEN "table" IN ('view', 'all') THEN 9 ELSE 0 END AS bytes_after, "table" NOT IN ('view', 'all') AS equal FROM s""")
 def snapshot_diff(spark, sf_dir):
-    a, b = _snapshot(spark, sf_dir), _snapshot(spark, sf_dir).withColumn("n_rows", F.col("n_rows") + F.when(F.col("layer") == "gold", 1).otherwise(0))
-    j = a.select("table", F.col("n_rows").alias("before")).join(b.select("table", F.col("n_rows").alias("after")), "table", "full")
-    return j.withColumn("equal", F.col("before").eqNullSafe(F.col("after")))
+    a, b = _snapshot(spark, sf_dir), _snapshot(spark, sf_dir, changed=True)
+    b = b.select("layer", "table", F.col("n_rows").alias("after"), F.col("n_objects").alias("objects_after"), F.col("n_bytes").alias("bytes_after"))
+    same = F.col("n_rows").eqNullSafe(F.col("after")) & F.col("n_objects").eqNullSafe(F.col("objects_after")) & F.col("n_bytes").eqNullSafe(F.col("bytes_after"))
+    return a.join(b, ["layer", "table"], "full").select("layer", "table", F.col("n_rows").alias("before"), "after", "bytes_after", same.alias("equal"))
+
+
+_PLANTED = f"""{EV}, old AS (SELECT event_type, event_id, {LINE} AS raw FROM ev), mid AS (SELECT event_type, max(event_id) AS event_id FROM (SELECT event_type, event_id, ntile(2) OVER (PARTITION BY event_type ORDER BY event_id) AS half FROM ev) WHERE half = 1 GROUP BY 1),
+new AS (SELECT o.event_type, o.event_id, CASE WHEN o.event_type = 'click' AND m.event_id IS NOT NULL THEN raw || '!' ELSE raw END AS raw FROM old o LEFT JOIN mid m USING (event_type, event_id) WHERE o.event_type <> 'view')"""
 
 
-@query("SELECT event_type AS name, CASE event_type WHEN 'view' THEN 'missing' WHEN 'click' THEN 'differs' ELSE 'equal' END AS status FROM events GROUP BY 1")
+@query(f"""WITH {_PLANTED} SELECT o.event_type AS name, CASE WHEN count(n.event_id) = 0 THEN 'missing' WHEN count(*) FILTER (n.raw IS DISTINCT FROM o.raw) > 0 THEN 'differs' ELSE 'equal' END AS status
+FROM old o LEFT JOIN new n USING (event_type, event_id) GROUP BY 1""")
 def fingerprint_diff(spark, sf_dir):
-    have = lines(spark, sf_dir).groupBy(F.col("event_type").alias("name")).agg(F.sha2(F.concat(F.min("raw"), F.max("raw"), F.count("*").cast("string")), 256).alias("sha"))
-    found = have.where("name <> 'view'").withColumn("found", F.when(F.col("name") == "click", F.lit("other")).otherwise(F.col("sha"))).drop("sha")
+    """Digests of all lines of each file against those of a copy, in which a middle line of one file is changed and one
+    file is missing."""
+    old = lines(spark, sf_dir)
+    half = F.ntile(2).over(Window.partitionBy("event_type").orderBy("event_id"))
+    middle = old.where("event_type = 'click'").withColumn("half", half).where("half = 1").agg(F.max("event_id").alias("middle"))
+    new = old.where("event_type <> 'view'").crossJoin(middle).withColumn("raw", F.when((F.col("event_type") == "click") & (F.col("event_id") == F.col("middle")), F.concat("raw", F.lit("!"))).otherwise(F.col("raw")))  # one row
+    have, found = (df.groupBy(F.col("event_type").alias("name")).agg(raw.digest("raw").alias(sha)) for df, sha in ((old, "sha"), (new, "found")))
     status = F.when(F.col("found").isNull(), "missing").when(F.col("sha").isNull(), "unexpected").when(F.col("sha") != F.col("found"), "differs").otherwise("equal")
     return have.join(found, "name", "full").select("name", status.alias("status"))
 
 
-@query("SELECT event_type AS stage, arg_max(value, event_id) AS seconds FROM events WHERE user_id % 2 = 0 GROUP BY 1")
+@query("SELECT event_type AS stage, arg_max(value, event_id) FILTER (value >= 1) AS seconds FROM events GROUP BY 1")
 def stage_durations(spark, sf_dir):
-    return table(spark, sf_dir, "events").where("user_id % 2 = 0").groupBy(F.col("event_type").alias("stage")).agg(F.max_by("value", "event_id").alias("seconds"))
+    """The last run of each stage that lasted, which is what success leaves: a failed one ends at once."""
+    ran = F.when(F.col("value") >= 1, F.col("event_id"))
+    return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("stage")).agg(F.max_by("value", ran).alias("seconds"))

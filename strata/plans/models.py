@@ -15,8 +15,9 @@ from strata.plans.register import registry
 from strata.plans.tables import table
 
 QUERIES, ORACLE, query = registry()
-NUMBERS = ["events", "week_1", "week_2", "recency", "tenure", "stations", "ratio", "weekly_cv", "peak_share", "mean_amount", "mean_hour"]
-KINDS = ["usual_mode"]
+NUMBERS = ["events", "late_events", "week_1", "active_days", "active_days_1", "recency", "tenure", "active_weeks", "ratio", "weekly_cv", "modes", "mode_share_1", "mode_share_2", "mode_share_3", "mode_share_4", "peak_share", "weekend_share",
+    "holiday_share", "spend", "mean_amount", "stations", "zones", "transfer_share", "active_cards", "mean_hour", "sd_hour", "closed_trips", "mean_minutes", "registry_events"]
+KINDS = ["usual_mode", "profile"]
 
 
 def training(spark, sf_dir, letters=("A",)):
@@ -82,15 +83,14 @@ def ml_label_guard(spark, sf_dir):
     return ml.guarded(churn.dataset(spark, sf_dir), "letter", ["B"], "label").select("letter", "unit", "label")
 
 
-_DIAG = "CASE WHEN train - val > 0.1 THEN 'variance' WHEN train < 0.6 THEN 'bias' ELSE 'balanced' END"
+_DIAG = "CASE WHEN train - val >= 0.1 THEN 'variance' WHEN val - rate < 0.1 AND train - val < 0.05 THEN 'bias' ELSE 'balanced' END"
 
 
-@query(f"WITH g AS (SELECT o_orderpriority AS model, round(count(*) FILTER (o_orderstatus = 'F')::DOUBLE / count(*), 6) AS train, round(count(*) FILTER (o_orderstatus = 'O')::DOUBLE / count(*), 6) AS val FROM orders GROUP BY 1) SELECT *, {_DIAG} AS diagnosis FROM g")
+@query(f"WITH g AS (SELECT o_custkey % 200 AS model, round(count(*) FILTER (o_orderstatus = 'F')::DOUBLE / count(*), 6) AS train, round(count(*) FILTER (o_orderstatus = 'O')::DOUBLE / count(*), 6) AS val, round(count(*) FILTER (o_orderstatus = 'P')::DOUBLE / count(*), 6) AS rate FROM orders GROUP BY 1) SELECT *, {_DIAG} AS diagnosis FROM g")
 def ml_bias_variance(spark, sf_dir):
     share = lambda s: F.round(F.count_if(F.col("o_orderstatus") == s) / F.count("*"), 6)
-    g = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("model")).agg(share("F").alias("train"), share("O").alias("val"))
-    gap = F.col("train") - F.col("val")
-    return g.withColumn("diagnosis", F.when(gap > 0.1, "variance").when(F.col("train") < 0.6, "bias").otherwise("balanced"))
+    g = table(spark, sf_dir, "orders").groupBy((F.col("o_custkey") % 200).alias("model")).agg(share("F").alias("train"), share("O").alias("val"), share("P").alias("rate"))
+    return g.withColumn("diagnosis", ml.diagnosis(F.col("train"), F.col("val"), F.col("rate")))
 
 
 def _folded(spark, sf_dir):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -57,10 +57,16 @@ def write_partitioned(df: DataFrame, path: str, by: str, cluster: list[str], row
     df.repartitionByRange(*parts).sortWithinPartitions(*parts).write.option("maxRecordsPerFile", rows_per_file).partitionBy(by).mode("overwrite").parquet(path)
 
 
-def append_once(tables: dict[str, DataFrame], folder: str) -> None:
-    """Append each ops table in one job."""
+def append_once(tables: dict[str, DataFrame], folder: str, run: str) -> None:
+    """Append the rows of a run to each ops table, in one job each; the same run again replaces its own rows."""
     for name, df in tables.items():
-        df.coalesce(1).write.mode("append").parquet(f"{folder}/{name}")
+        df.write.mode("overwrite").parquet(f"{folder}/{name}/run_id={run}")
+
+
+def digest(line: str) -> Column:
+    """A digest of all lines of a group, whatever their order: the number of lines, and the sums of two hashes of each."""
+    sums = [F.sum(f(line).cast("decimal(38,0)")).cast("string") for f in (F.xxhash64, lambda c: F.conv(F.substring(F.sha2(c, 256), 1, 15), 16, 10))]
+    return F.sha2(F.concat_ws("-", F.count("*").cast("string"), *sums), 256)
 
 
 def skip_known(files: DataFrame, manifest: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -69,6 +75,11 @@ def skip_known(files: DataFrame, manifest: DataFrame) -> tuple[DataFrame, DataFr
     return files.join(done, ["name", "sha"], "left_anti"), files.join(done, ["name", "sha"], "left_semi")
 
 
+def files(spark: SparkSession, path: str) -> DataFrame:
+    """path and length of every data file below a path; contents are not read."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "part-*").load(path).select("path", "length")
+
+
 def fingerprints(spark: SparkSession, path: str) -> DataFrame:
     """name, sha256 and size of every file below a path."""
     return spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", "[^/]+$", 0).alias("name"), F.sha2("content", 256).alias("sha"), "length")
