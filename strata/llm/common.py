@@ -69,7 +69,7 @@ def release() -> None:
         _libc.malloc_trim(0)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: int = 1, target: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: int = 1, target: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Zero-copy slices of about `target` bytes of the given text column (at least a row each)."""
     for batch in batches:
         if not batch.num_rows:

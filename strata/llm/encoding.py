@@ -43,7 +43,7 @@ def encoder(path: str) -> Encoder:
 class Encoder:
     """Ids of chunks by their hash, kept from batch to batch up to `keep` chunks; beyond that the store starts anew."""
 
-    def __init__(self, path: str, keep: int = 2_000_000):
+    def __init__(self, path: str, keep: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -54,9 +54,9 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.key, self.place = np.zeros(0, U64), np.zeros(0, np.int64)
+        self.key, self.place = np.zeros(0, U64), np.zeros(0, np.int32)
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.first, self.count, self.held = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
+        self.first, self.count, self.held = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32), 0
 
     def encode(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and how many each chunk has. Chunks that all begin with their only blank are encoded joined, as
@@ -92,7 +92,7 @@ class Encoder:
             self.first[self.held : self.held + len(part)] = self.used + np.cumsum(counts) - counts
             self.count[self.held : self.held + len(part)] = counts
             self.used, self.held = self.used + len(flat), self.held + len(part)
-        return np.arange(self.held - len(chunks), self.held)
+        return np.arange(self.held - len(chunks), self.held, dtype=np.int32)
 
     def places(self, hashes: np.ndarray, strings: Callable[[np.ndarray], list[str]]) -> np.ndarray:
         """Places of chunks in the store. strings: gives the texts of the chunks at the given indexes."""
