@@ -220,10 +220,14 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "
 
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text")).where("text is not null")
     sample = rows.join(F.broadcast(chosen), "key").select("key", "label", "text").mapInArrow(hashed, "key long, label int, words binary")  # broadcast: sample_rows at most
-    found = sorted(sample.collect(), key=lambda r: (r.key, bytes(r.words)))[:sample_rows]
-    if not found:
-        return model
-    return model.fit([np.frombuffer(bytes(r.words), np.int32).reshape(-1, 3) for r in found], np.array([r.label for r in found]))
+    got = sample.toArrow()
+    found = sorted(zip(*(got.column(c).to_pylist() for c in ("key", "words", "label")), strict=True))[:sample_rows]
+    del got
+    if found:
+        model.fit([np.frombuffer(words, np.int32).reshape(-1, 3) for _, words, _ in found], np.array([label for *_, label in found]))
+    del found
+    release()
+    return model
 
 
 def score(docs: DataFrame, model: Cnn, key: str = "doc_id", text: str = "text") -> DataFrame:
