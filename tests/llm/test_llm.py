@@ -498,12 +498,19 @@ def test_rank_coding_round_trip():
     rng = np.random.default_rng(10)
     for n in (0, 1, 3, 4, 1001):
         v = (rng.integers(0, 2**32, n) >> rng.integers(0, 32, n)).astype(np.uint32)
-        assert (token_files.decode_ranks(*token_files.encode_ranks(v), n) == v).all()
+        for sizes in (np.array([n]), np.array([n // 3, 0, n - n // 3])):
+            control, control_at, data, data_at = token_files.encode_ranks(v, sizes)
+            assert (token_files.decode_ranks(control.tobytes(), data.tobytes(), sizes) == v).all()
+            assert (control_at[-1], data_at[-1]) == (len(control), len(data)) and len(control_at) == len(data_at) == len(sizes) + 1
+            first = token_files.decode_ranks(control[: control_at[1]].tobytes(), data[: data_at[1]].tobytes(), sizes[:1])
+            assert (first == v[: sizes[0]]).all()  # a document's codes stand alone
     keys = [5, None, -7]
-    got = token_files.decode_block(token_files.encode_block(keys, np.array([1, 0, 2]), np.array([9, 300, 70000], np.uint32)))
+    sizes, by_rank = np.array([1, 0, 2]), np.array([300, 70000, 9], np.uint32)
+    control, _, data, _ = token_files.encode_ranks(np.array([2, 0, 1], np.uint32), sizes)
+    got = token_files.decode_block(token_files.encode_block(keys, sizes, control.tobytes(), data.tobytes()), by_rank)
     assert got[0] == keys and got[1].tolist() == [1, 0, 2] and got[2].tolist() == [9, 300, 70000]
     with pytest.raises(ValueError):
-        token_files.decode_block(b"\0" * 16)
+        token_files.decode_block(b"\0" * 16, by_rank)
 
 
 def test_token_files_round_trip(spark):
@@ -518,6 +525,23 @@ def test_token_files_round_trip(spark):
     assert token_files.token_file_round_trip(df.limit(0), BPE).count() == 0
 
 
+def test_token_files_rank_ids_over_all_documents(spark, tmp_path):
+    """One order of ids for all blocks, by their number in all documents; equal and null keys keep every row."""
+    rng = random.Random(8)
+    texts = [*ODD, *(prose(rng, 200) for _ in range(40))]
+    rows = [(None if i % 9 == 4 else i // 2, t) for i, t in enumerate(texts)] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    token_files.write_token_files(df, BPE, f"{tmp_path}/f", block_ids=500)
+    want = Counter(x for _, t in rows for x in [*library(BPE).encode(t, add_special_tokens=False).ids, 2])
+    ranks = [r.id for r in spark.read.parquet(f"{tmp_path}/f/ranks").orderBy("rank").collect()]
+    assert ranks == sorted(want, key=lambda x: (-want[x], x))
+    got = token_files.read_token_files(spark, f"{tmp_path}/f").orderBy("shard", "block", "doc").collect()
+    assert spark.read.parquet(f"{tmp_path}/f/blocks").count() > 10
+    keys = [r.key for r in got]
+    assert keys == sorted(keys, key=lambda k: (k is not None, k or 0))
+    assert Counter((r.key, bytes(r.ids)) for r in got) == Counter((k, np.array([*library(BPE).encode(t, add_special_tokens=False).ids, 2], "<u4").tobytes()) for k, t in rows)
+
+
 def test_pipeline_keeps_clean_documents(spark, tmp_path):
     import corpus_pipeline
 
