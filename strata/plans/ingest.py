@@ -37,10 +37,15 @@ def src_raw_jsonl(spark, sf_dir):
 
 
 def messages(spark, sf_dir):
-    """The log of a broker: topic = kind, partition = user mod 3, offset = place within; file = topic and partition."""
-    part = F.col("user_id") % 3
-    w = Window.partitionBy("event_type", part).orderBy("event_id")
-    e = lines(spark, sf_dir).withColumn("partition", part).withColumn("offset", F.row_number().over(w).cast("long") - 1)
+    """The log of a broker: topic = kind, partition = user mod 3, offset = place within, counted
+    inside spans of event_id after the sum of the spans before; file = topic and partition."""
+    e = lines(spark, sf_dir).withColumn("partition", F.col("user_id") % 3).withColumn("span", F.floor(F.col("event_id") / 10_000))
+    whole = ["event_type", "partition", "span"]
+    ahead = Window.partitionBy("event_type", "partition").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    before = e.groupBy(*whole).agg(F.count("*").alias("n")).select(*[F.col(c).alias(f"_{c}") for c in whole], F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("before"))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in whole]
+    place = F.row_number().over(Window.partitionBy(*whole).orderBy("event_id"))
+    e = e.withColumn("place", place).join(before, same).withColumn("offset", F.col("before") + F.col("place") - 1).drop("span", "place", "before", *[f"_{c}" for c in whole])
     e = e.withColumn("file", F.concat_ws("-", "event_type", F.col("partition").cast("string"))).withColumn("line", F.col("offset") + 1).withColumn("sha", F.sha2("file", 256))
     sent = stream.to_messages(e.withColumn("_keep", F.struct("event_type", "partition", "offset")), "file", "line", "raw", "sha", "run-1")
     where = e.select(F.col("file").alias("key"), F.col("raw").alias("value"), F.col("event_type").alias("topic"), "partition", "offset")
