@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from strata.llm.conversation_repair import op11_conversation_repair
 from strata.llm.decontamination import op1_decontamination
 from strata.llm.html_text import op8_html_text
 from strata.llm.jaccard_join import op5_jaccard_join
@@ -28,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_text": op8_html_text,
     "op9_packing": op9_packing,
     "op10_token_files": op10_token_files,
+    "op11_conversation_repair": op11_conversation_repair,
 }
 
 #: None of SQL's functions reach the others' models and formats; tests/llm hold those against brute force.
