@@ -347,28 +347,11 @@ def _few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(FEW + 1).count() <= FEW else df
 
 
-def jaccard_components(docs: DataFrame, percent: int = 75, width: int = 5, key: str = "doc_id", text: str = "text", bucket_chars: int = 8_000_000) -> DataFrame:
-    """Documents linked by shingle sets of Jaccard similarity percent / 100 or more, directly or by way of others.
-
-    Words are runs between ASCII white space, A-Z lower-cased; a document's set has its distinct runs of `width` words,
-    or all its words as one run if it has fewer. Returns one row per input row: key, n_shingles (size of the set) and
-    component_id (the least key reachable, its own included). Null, empty and blank texts have empty sets and link with
-    nothing; null keys count as no key (a component of null keys alone is null); repeated rows are members like others.
-    Other columns are not read. Every link counts: nothing is sampled or capped. Sets hold 64-bit hashes of shingles.
-
-    Equal sets are one class from the start. Keys travel packed, in buckets sized by the input; a key in many documents
-    is cut down before the shuffle, its documents linked by a star, and where that leaves several components, block by
-    block. Only ids and links are ever joined, and the sets of candidates."""
-    small_batches(docs.sparkSession)
-    rows = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text"))
-    chars, longest = rows.agg(F.sum(F.length("text").cast("long")), F.max(F.length("text"))).first()
-    bands = Bands(percent, max(1, (longest or 0) // 2 + 2))
-    packed = rows.mapInArrow(_mapper(width, bands, int((chars or 0) // bucket_chars) + 4), _SCHEMA)
-    found = stored(packed.groupBy("bucket").applyInArrow(_reduce, "kind int, a long, b long, c long, d long"), "keys")
-    own = found.where(F.col("kind") == _DOC).select(F.col("a").alias("key"), F.col("b").alias("n_shingles"), F.col("c").alias("class"), F.col("d").alias("hash"))
-    pairs = stored(found.where(F.col("kind") == _PAIR).select(F.col("a").alias("u"), F.col("b").alias("v")).distinct(), "pairs")
-    members = found.where(F.col("kind") == _MEMBER).select(F.col("a").alias("key"), F.col("b").alias("member")).distinct()
-
+def linked_classes(rows: DataFrame, own: DataFrame, pairs: DataFrame, members: DataFrame, percent: int, width: int) -> DataFrame:
+    """key, n_shingles and component_id of all documents, with hash and component (a name that no other component has, null
+    without shingles), from candidates. rows: text, hash (of the text). own: key, n_shingles, class (of equal sets), hash.
+    pairs: u, v, classes to compare. members: key, member, classes that meet under one key in numbers; pairs link them by
+    stars only, and where that leaves several components they are compared block by block."""
     sources = stored(own.where("n_shingles > 0").groupBy("class").agg(F.min("hash").alias("hash")), "sources")
 
     def gather(linked: DataFrame, kind: str, content) -> DataFrame:
@@ -408,24 +391,63 @@ def jaccard_components(docs: DataFrame, percent: int = 75, width: int = 5, key:
     classes = own.where("n_shingles > 0").groupBy("class").agg(F.min("key").alias("least"))
     joined = classes.join(parts.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     least = joined.groupBy("component").agg(F.min("least").alias("component_id"))
-    label = joined.join(least, "component").select("class", "component_id")
-    linked = own.where("n_shingles > 0").join(label, "class").select("key", "n_shingles", "component_id")
-    alone = own.where("n_shingles = 0").select("key", "n_shingles", F.col("key").alias("component_id"))
-    return linked.unionAll(alone).withColumnRenamed("key", key)
+    label = joined.join(least, "component").select("class", "component_id", "component")
+    linked = own.where("n_shingles > 0").join(label, "class").select("key", "n_shingles", "component_id", "hash", "component")
+    alone = own.where("n_shingles = 0").select("key", "n_shingles", F.col("key").alias("component_id"), "hash", F.lit(None).cast("long").alias("component"))
+    return linked.unionAll(alone)
+
+
+def _components(docs: DataFrame, percent: int, width: int, key: str, text: str, bucket_chars: int) -> DataFrame:
+    """What linked_classes gives, from the parts' keys."""
+    small_batches(docs.sparkSession)
+    rows = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text"))
+    chars, longest = rows.agg(F.sum(F.length("text").cast("long")), F.max(F.length("text"))).first()
+    bands = Bands(percent, max(1, (longest or 0) // 2 + 2))
+    packed = rows.mapInArrow(_mapper(width, bands, int((chars or 0) // bucket_chars) + 4), _SCHEMA)
+    found = stored(packed.groupBy("bucket").applyInArrow(_reduce, "kind int, a long, b long, c long, d long"), "keys")
+    own = found.where(F.col("kind") == _DOC).select(F.col("a").alias("key"), F.col("b").alias("n_shingles"), F.col("c").alias("class"), F.col("d").alias("hash"))
+    pairs = stored(found.where(F.col("kind") == _PAIR).select(F.col("a").alias("u"), F.col("b").alias("v")).distinct(), "pairs")
+    members = found.where(F.col("kind") == _MEMBER).select(F.col("a").alias("key"), F.col("b").alias("member")).distinct()
+    return linked_classes(rows, own, pairs, members, percent, width)
+
+
+def jaccard_components(docs: DataFrame, percent: int = 75, width: int = 5, key: str = "doc_id", text: str = "text", bucket_chars: int = 8_000_000) -> DataFrame:
+    """Documents linked by shingle sets of Jaccard similarity percent / 100 or more, directly or by way of others.
+
+    Words are runs between ASCII white space, A-Z lower-cased; a document's set has its distinct runs of `width` words,
+    or all its words as one run if it has fewer. Returns one row per input row: key, n_shingles (size of the set) and
+    component_id (the least key reachable, its own included). Null, empty and blank texts have empty sets and link with
+    nothing; null keys count as no key (a component of null keys alone is null); repeated rows are members like others.
+    Other columns are not read. Every link counts: nothing is sampled or capped. Sets hold 64-bit hashes of shingles.
+
+    Equal sets are one class from the start. Keys travel packed, in buckets sized by the input; a key in many documents
+    is cut down before the shuffle, its documents linked by a star, and where that leaves several components, block by
+    block. Only ids and links are ever joined, and the sets of candidates."""
+    return _components(docs, percent, width, key, text, bucket_chars).select(F.col("key").alias(key), "n_shingles", "component_id")
 
 
 def one_per_component(docs: DataFrame, percent: int = 75, width: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs, all columns, with one document of each component: that of the least key. Documents without shingles or
-    without key stay; of rows with equal key and text one stays."""
-    found = stored(jaccard_components(docs, percent, width, key, text), "components")
-    gone = found.where(F.col("component_id") < F.col(key)).select(key).distinct()
-    left = docs.join(_few(gone), key, "left_anti").select(*docs.columns)
-    twice = stored(found.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").select(key), "twice")
+    """docs, all columns, with one document of each component: that of the least key, and among its texts that of the least
+    hash. Documents without shingles or without key stay; of rows with equal key and text one stays. Rows go by key and
+    text, so that a key that stands for several texts loses only those that another document stands for."""
+    found = stored(_components(docs, percent, width, key, text, 8_000_000).where(F.col("key").isNotNull()).select("key", "hash", "component_id", "component"), "components")
+    first = found.where("key = component_id and component is not null")
+    ties = first.groupBy("component").agg(F.min("hash").alias("least"), F.max("hash").alias("most")).where("least < most")
+    later = first.join(ties, "component").where("hash > least").select("key", "hash")
+    gone = stored(found.where("component_id < key").select("key", "hash").unionAll(later).distinct(), "gone")
+    twice = stored(found.groupBy("key", "hash").count().where("count > 1").select("key", "hash"), "twice")
+    marked = docs.withColumns({"_key": F.col(key).cast("long"), "_hash": F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))})
+
+    def met(df: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+        rows = _few(rows.select(F.col("key").alias("_key"), F.col("hash").alias("_hash")))
+        return df.join(rows, ["_key", "_hash"], how).select(*df.columns)
+
+    left = met(marked, gone, "left_anti")
     if not twice.limit(1).count():
-        return left
-    again = _few(twice)
-    return left.join(again, key, "left_anti").select(*docs.columns).unionAll(left.join(again, key, "left_semi").select(*docs.columns).dropDuplicates([key, text]))
+        return left.select(*docs.columns)
+    return met(left, twice, "left_anti").unionAll(met(left, twice, "left_semi").dropDuplicates(["_key", "_hash"])).select(*docs.columns)
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with the size of their set and their component."""
     return jaccard_components(table(spark, sf_dir, "documents"))

@@ -12,6 +12,8 @@ from strata.llm.html_text import op8_html_text
 from strata.llm.jaccard_join import op5_jaccard_join
 from strata.llm.lm import op7_lm_scores
 from strata.llm.packing import op9_packing
+from strata.llm.prefix_trie import op12_prefix_trie
+from strata.llm.superminhash import op13_superminhash
 from strata.llm.token_counts import op4_token_counts
 from strata.llm.token_files import op10_token_files
 from strata.llm.topk import OP2_SQL, op2_topk_search
@@ -30,6 +32,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_packing": op9_packing,
     "op10_token_files": op10_token_files,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_superminhash": op13_superminhash,
 }
 
 #: None of SQL's functions reach the others' models and formats; tests/llm hold those against brute force.
