@@ -21,7 +21,8 @@ from strata.llm.jaccard_join import class_ids, linked_classes
 #: Places of a signature and of a band: two sets of similarity 0.8 agree in no band with a probability of 5e-8.
 PLACES, ROWS = 128, 4
 BANDS = PLACES // ROWS
-_STEP = U64(0x9E3779B97F4A7C15)
+_STEP = 0x9E3779B97F4A7C15
+_MASK = (1 << 64) - 1
 _ODD = mix(np.arange(1, ROWS + 1, dtype=U64)) | U64(1)
 _LOW = U64(0xFFFFFFFF)
 
@@ -37,7 +38,7 @@ def superminhash(sets: list[np.ndarray], places: int = PLACES) -> np.ndarray:
     for k in range(places):
         if not len(flat):
             break
-        draw = mix(flat + _STEP * U64(k + 1))
+        draw = mix(flat + U64(_STEP * (k + 1) & _MASK))
         to = k + (((draw & _LOW) * U64(places - k)) >> U64(32)).astype(np.int64)
         if k:
             at = np.arange(len(flat))
@@ -63,7 +64,7 @@ def band_keys(signatures: np.ndarray) -> np.ndarray:
     """A 64-bit key for each band of each signature."""
     bands = signatures.shape[1] // ROWS
     value = (signatures.reshape(-1, bands, ROWS) * _ODD).sum(2, dtype=U64)
-    return mix(mix(value) + np.arange(1, bands + 1, dtype=U64) * _STEP)
+    return mix(mix(value) + np.arange(1, bands + 1, dtype=U64) * U64(_STEP))
 
 
 def _mapper(width: int):
