@@ -4,9 +4,7 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import PCA, Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,9 +27,9 @@ def prepared(df: DataFrame, numbers: list[str], kinds: list[str]) -> tuple[DataF
 
 
 def folds(df: DataFrame, unit: str, label: str, seed: int = 1) -> DataFrame:
-    """Stratified folds that depend on units and labels only: hash order within (label, hash bucket), dealt in turn."""
-    h = F.xxhash64(F.col(unit), F.lit(seed))
-    bucket = F.pmod(h, F.lit(64))
+    """Stratified folds that depend on units and labels only: order by digest within (label, digest bucket), dealt in turn."""
+    h = F.md5(F.concat_ws("|", F.col(unit).cast("string"), F.lit(str(seed))))
+    bucket = F.conv(F.substring(h, 1, 2), 16, 10).cast("int") % 64
     place = F.row_number().over(Window.partitionBy(label, bucket).orderBy(h, unit)) + bucket
     return df.withColumn("fold", F.pmod(place, F.lit(FOLDS)).cast("int"))
 
@@ -140,39 +138,3 @@ def coefficients(model: PipelineModel, features: DataFrame, top: int) -> DataFra
     weights = sorted((float(w), names.get(i, str(i))) for i, w in enumerate(model.stages[-1].coefficients))
     chosen = [(n, w, "negative") for w, n in weights[:top]] + [(n, w, "positive") for w, n in weights[-top:][::-1]]
     return features.sparkSession.createDataFrame(chosen, "feature string, weight double, side string")
-
-
-def permutation_importance(df: DataFrame, model: PipelineModel, columns: list[str], unit: str, repeats: int) -> DataFrame:
-    """Drop in average precision when a column's values are dealt anew: rows are ranked twice by hashes within
-    hash buckets, and values move from one ranking to the other."""
-    out = metrics(scores_of(model, df, ["label"])).select(F.lit("").alias("feature"), F.lit(0).alias("repeat"), "average_precision")
-    for c in columns:
-        for r in range(repeats):
-            bucket = F.pmod(F.xxhash64(unit, F.lit(-1)), F.lit(16))
-            def rank(seed, bucket=bucket):
-                return F.row_number().over(Window.partitionBy(bucket).orderBy(F.xxhash64(F.col(unit), F.lit(seed))))
-            rows = df.withColumns({"_b": bucket, "_r": rank(2 * r)})
-            values = df.select(bucket.alias("_b"), rank(2 * r + 1).alias("_r"), F.col(c).alias("_v"))
-            dealt = rows.join(values, ["_b", "_r"]).withColumn(c, F.col("_v")).drop("_b", "_r", "_v")
-            out = out.unionAll(metrics(scores_of(model, dealt, ["label"])).select(F.lit(c), F.lit(r + 1), "average_precision"))
-    whole = out.where("feature = ''").select(F.col("average_precision").alias("_ap"))
-    drops = out.where("feature <> ''").crossJoin(whole)  # one row
-    return drops.groupBy("feature").agg(F.round(F.avg(F.col("_ap") - F.col("average_precision")), 6).alias("drop"))
-
-
-def segments(df: DataFrame, column: str, ks: range) -> tuple[DataFrame, int, DataFrame]:
-    """k, inertia, silhouette and distance to the elbow's chord for each k; the k of the largest silhouette; rows with
-    segment and two principal components."""
-    found, best = [], None
-    judge = ClusteringEvaluator(featuresCol=column, predictionCol="segment")
-    for k in ks:
-        model = KMeans(featuresCol=column, predictionCol="segment", k=k, seed=1).fit(df)
-        done = model.transform(df)
-        s = judge.evaluate(done)
-        found.append((k, float(model.summary.trainingCost), s))
-        if best is None or s > best[1]:
-            best = k, s, done
-    (k0, i0, _), (k1, i1, _) = found[0], found[-1]
-    chord = [(k, i, s, abs((i1 - i0) * (k - k0) - (k1 - k0) * (i - i0)) / ((i1 - i0) ** 2 + (k1 - k0) ** 2) ** 0.5) for k, i, s in found]
-    flat = PCA(k=2, inputCol=column, outputCol="plane").fit(best[2]).transform(best[2])
-    return df.sparkSession.createDataFrame(chord, "k int, inertia double, silhouette double, elbow double"), best[0], flat

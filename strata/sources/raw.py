@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strata.functions.storage import stored
+
 RAW = T.StructType([T.StructField("raw", T.StringType())])
 ENVELOPE = T.StructType([T.StructField(n, T.LongType() if n in ("offset", "line") else T.StringType()) for n in ("offset", "kafka_ts", "key", "file", "line", "file_sha", "raw", "ingest_ts")])
 
@@ -34,8 +37,7 @@ def register(spark: SparkSession, sources: dict[str, tuple[str, T.StructType]])
     """Temporary views of all sources; a path with nothing in it gives an empty view. Returns source, status, n_rows."""
     rows = None
     for name, (path, schema) in sources.items():
-        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-        there = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+        there = exists(spark, path)
         df = spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
         df.createOrReplaceTempView(name)
         one = df.agg(F.count("*").alias("n_rows")).select(F.lit(name).alias("source"), F.lit("loaded" if there else "pending").alias("status"), "n_rows")
@@ -80,9 +82,42 @@ def files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "part-*").load(path).select("path", "length")
 
 
-def fingerprints(spark: SparkSession, path: str) -> DataFrame:
-    """name, sha256 and size of every file below a path."""
-    return spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", "[^/]+$", 0).alias("name"), F.sha2("content", 256).alias("sha"), "length")
+def fingerprints(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """path, name, sha (SHA-256 of the content) and length of every file below a path. Files are read whole, one row each."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)
+    return found.select("path", F.regexp_extract("path", "[^/]+$", 0).alias("name"), F.sha2("content", 256).alias("sha"), "length")
+
+
+def compared(expected: DataFrame, found: DataFrame, key: str, said: str, seen: str) -> DataFrame:
+    """key and status (equal, differs, missing, unexpected) of the digests that are expected and those that are found."""
+    status = F.when(F.col(seen).isNull(), "missing").when(F.col(said).isNull(), "unexpected").when(F.col(said) != F.col(seen), "differs").otherwise("equal")
+    return expected.join(found, key, "full").select(key, status.alias("status"))
+
+
+def ingest(spark: SparkSession, landing: str, manifest: str, glob: str = "*") -> DataFrame:
+    """name, action and rows of every file of a landing folder: `loaded` if no file of this name and content is complete in
+    the manifest, `skipped` otherwise; a known name with other content is loaded again. Files are judged by SHA-256 of
+    their whole content. Loaded files are added to the manifest (name, sha, state, n_rows) as complete; running it twice
+    loads nothing the second time. manifest: a table's path, which may not exist yet."""
+    known = spark.read.schema("name string, sha string, state string, n_rows long").option("pathGlobFilter", "part-*").parquet(manifest) if exists(spark, manifest) else spark.createDataFrame([], "name string, sha string, state string, n_rows long")
+    there = fingerprints(spark, landing, glob).select("name", "sha")
+    new, old = skip_known(there, known)
+    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(landing).select(F.regexp_extract("_metadata.file_path", "[^/]+$", 0).alias("name"))
+    counts = lines.groupBy("name").agg(F.count("*").alias("n_rows"))
+    done = stored(new.join(counts, "name", "left").select("name", "sha", F.coalesce("n_rows", F.lit(0)).alias("n_rows")), "ingested")
+    skipped = stored(old.select("name"), "skipped")
+    done.select("name", "sha", F.lit("complete").alias("state"), "n_rows").write.mode("append").parquet(manifest)
+    return done.select("name", F.lit("loaded").alias("action"), "n_rows").unionByName(skipped.select("name", F.lit("skipped").alias("action"), F.lit(0).cast("long").alias("n_rows")))
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path has any file or folder in it, asked of Spark's own readers."""
+    try:
+        return bool(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path").limit(1).count())
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e.getCondition()):
+            raise
+        return False
 
 
 def score_lines(df: DataFrame, unit: str, score: str) -> DataFrame:
