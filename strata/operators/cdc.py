@@ -19,24 +19,24 @@ def key_format(card: Column) -> tuple[Column, Column]:
 
 def apply_log(log: DataFrame, key: str, seq: str, op: str, attributes: list[str]) -> DataFrame:
     """Current state per key: the last operation decides, attributes are the last non-NULL ones (deletes have no body),
-    with operation counts and anomaly flags. One shuffle on the key serves the window and the aggregate."""
-    before = Window.partitionBy(key).orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
-    seen = log.withColumn("_inserts", F.count_if(F.col(op) == "INSERT").over(before))
+    with operation counts and anomaly flags. All of it adds up from partial sums, so a key of any size costs a task no
+    more than a row: an operation came before any insert if the least place of its kind is before that of inserts."""
     last, first = F.max_by(op, seq), F.min_by(op, seq)
-
-    def any_of(condition: Column) -> Column:
-        return F.max(F.coalesce(condition, F.lit(False)))
-
-    return seen.groupBy(key).agg(
+    kinds = (("INSERT", "inserts"), ("UPDATE", "updates"), ("DELETE", "deletes"))
+    least = [F.min(F.when(F.col(op) == o, F.col(seq))).alias(f"_first_{n}") for o, n in kinds]
+    found = log.groupBy(key).agg(
         F.when(last == "DELETE", "INACTIVE").otherwise("ACTIVE").alias("state"),
         *[F.max_by(a, F.when(F.col(a).isNotNull(), F.col(seq))).alias(a) for a in attributes],
         first.alias("first_op"), last.alias("last_op"), F.min(seq).alias("first_seq"), F.max(seq).alias("last_seq"),
-        *[F.count_if(F.col(op) == o).alias(n) for o, n in (("INSERT", "inserts"), ("UPDATE", "updates"), ("DELETE", "deletes"))],
-        any_of((F.col(op) == "UPDATE") & (F.col("_inserts") == 0)).alias("implicit_insert"),
-        any_of((F.col(op) == "INSERT") & (F.col("_inserts") > 0)).alias("repeated_insert"),
-        any_of((F.col(op) == "DELETE") & (F.col("_inserts") == 0)).alias("delete_without_insert"),
+        *[F.count_if(F.col(op) == o).alias(n) for o, n in kinds], *least,
     )
 
+    def before_inserts(n: str) -> Column:
+        return F.col(f"_first_{n}").isNotNull() & (F.col("_first_inserts").isNull() | (F.col(f"_first_{n}") < F.col("_first_inserts")))
+
+    flags = {"implicit_insert": before_inserts("updates"), "repeated_insert": F.col("inserts") > 1, "delete_without_insert": before_inserts("deletes")}
+    return found.withColumns(flags).drop(*[f"_first_{n}" for _, n in kinds])
+
 
 def summarise(log: DataFrame, key: str, seq: str, op: str) -> DataFrame:
     """One row of totals: operations by kind, keyed and not, and keys by their last state."""

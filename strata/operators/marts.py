@@ -30,10 +30,22 @@ def dim_time(ranges: list[tuple[DataFrame, str]], bands: DataFrame, holidays: Da
 
 
 def demand(fact: DataFrame, keys: list[str]) -> DataFrame:
-    """Additive sums and distinct counts of cards and persons per cell."""
+    """Additive sums and distinct counts of cards and stations per cell."""
     return fact.groupBy(*keys).agg(F.count("*").alias("boardings"), F.sum("amount").alias("amount"), F.countDistinct("card").alias("cards"), F.countDistinct("station").alias("stations"))
 
 
+def card_bitmaps(fact: DataFrame, keys: list[str], card: str) -> DataFrame:
+    """keys, bucket, cards: for each cell bitmaps of the cards (whole numbers from 0) that it has, 32,768 a bucket. Bitmaps
+    of cells are or-ed to those of any coarser cell, so distinct counts add up exactly, without the rows."""
+    return fact.where(F.col(card).isNotNull()).groupBy(*keys, F.bitmap_bucket_number(card).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(card)).alias("cards"))
+
+
+def distinct_cards(bitmaps: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, cards: the distinct cards of each cell of some of the bitmaps' keys (none: of all cells)."""
+    merged = bitmaps.groupBy(*keys, "bucket").agg(F.bitmap_or_agg("cards").alias("cards"))
+    return merged.groupBy(*keys).agg(F.sum(F.bitmap_count("cards")).alias("cards"))
+
+
 def rank_cumulative(df: DataFrame, name: str, measure: str) -> DataFrame:
     """Rank, share and running share of a small aggregate, ties by name."""
     order = Window.orderBy(F.desc(measure), name)

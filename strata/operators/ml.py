@@ -6,9 +6,11 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strata.functions.storage import stored
+
 FOLDS = 5
 
 
@@ -35,11 +37,17 @@ def folds(df: DataFrame, unit: str, label: str, seed: int = 1) -> DataFrame:
 
 
 def percentile_rank(df: DataFrame, unit: str, value: str) -> DataFrame:
-    """Average percentile rank of a value, NULL 0.5: from counts of distinct values, no sort of all rows."""
+    """Average percentile rank of a value, NULL 0.5: from counts of distinct values, which are dealt out in ranges. Running
+    sums are made inside ranges and start from the sums of the ranges before, so no task sees all values; what does meet
+    in one place is a row for each range."""
     counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_n"))
-    upto = F.sum("_n").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    total = F.sum("_n").over(Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    ranks = counts.select(value, ((upto - (F.col("_n") - 1) / 2) / total).alias("score"))
+    ranged = stored(counts.repartitionByRange(value).withColumn("_range", F.spark_partition_id()), "ranges")
+    ahead = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = ranged.groupBy("_range").agg(F.sum("_n").alias("_sum"))
+    starts = sums.select("_range", F.coalesce(F.sum("_sum").over(ahead), F.lit(0)).alias("_before"), F.sum("_sum").over(Window.partitionBy()).alias("_all"))
+    inside = F.sum("_n").over(Window.partitionBy("_range").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    upto = F.col("_before") + F.col("_upto")
+    ranks = ranged.withColumn("_upto", inside).join(F.broadcast(starts), "_range").select(value, ((upto - (F.col("_n") - 1) / 2) / F.col("_all")).alias("score"))  # a row a range
     return df.join(ranks, value, "left").select(unit, F.round(F.coalesce("score", F.lit(0.5)), 6).alias("score"))
 
 

@@ -64,7 +64,8 @@ def summary(labelled: dict[str, DataFrame]) -> DataFrame:
 
 
 def unique(df: DataFrame, columns: list[str]) -> DataFrame:
-    return df.where(F.concat_ws("", *columns).isNotNull()).groupBy(*columns).count().where("count > 1").agg(F.count("*").alias("failing"))
+    """Keys that occur more than once; a key with a NULL in it is none."""
+    return df.dropna("any", subset=columns).groupBy(*columns).count().where("count > 1").agg(F.count("*").alias("failing"))
 
 
 def not_null(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from strata.functions.storage import stored
 from strata.operators import cdc, marts
 from strata.plans.register import registry
 from strata.plans.silver import UNIFIED, unified
@@ -131,6 +132,21 @@ def agg_demand(spark, sf_dir):
     return marts.demand(fact(spark, sf_dir), ["day", "hour", "mode", "zone"])
 
 
+@query(f"""WITH {FACT}, c AS (SELECT 'day and mode' AS level, strftime(day, '%Y-%m-%d') || ' ' || mode AS name, count(DISTINCT card) AS cards FROM fct GROUP BY day, mode
+UNION ALL SELECT 'month', strftime(day, '%Y-%m'), count(DISTINCT card) FROM fct GROUP BY 2 UNION ALL SELECT 'zone', CAST(zone AS VARCHAR), count(DISTINCT card) FROM fct GROUP BY 2 UNION ALL SELECT 'all', '', count(DISTINCT card) FROM fct) SELECT * FROM c""")
+def agg_distinct_rollup(spark, sf_dir):
+    """Distinct cards of four levels from one stored cube of bitmaps; the boardings are read once."""
+    f = fact(spark, sf_dir).withColumn("month", F.date_format("day", "yyyy-MM"))
+    cube = stored(marts.card_bitmaps(f, ["day", "month", "mode", "zone"], "card"), "cards")
+    name = F.concat_ws(" ", F.date_format("day", "yyyy-MM-dd"), "mode")
+    levels = [("day and mode", ["day", "mode"], name), ("month", ["month"], F.col("month")), ("zone", ["zone"], F.col("zone").cast("string")), ("all", [], F.lit(""))]
+    out = None
+    for level, keys, text in levels:
+        one = marts.distinct_cards(cube, keys).select(F.lit(level).alias("level"), text.alias("name"), "cards")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query("""WITH s AS (SELECT s_nationkey AS zone, count(*) AS stations FROM supplier WHERE s_acctbal > 5000 GROUP BY 1), d AS (SELECT c_nationkey AS zone, count(*) AS demand FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderstatus = 'P' GROUP BY 1)
 SELECT n_nationkey AS zone, coalesce(stations, 0) AS stations, coalesce(demand, 0) AS demand, coalesce(stations, 0) = 0 AS no_service, coalesce(stations, 0) > 0 AND coalesce(demand, 0) = 0 AS no_demand FROM nation LEFT JOIN s ON s.zone = n_nationkey LEFT JOIN d ON d.zone = n_nationkey""")
 def agg_coverage(spark, sf_dir):

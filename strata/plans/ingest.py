@@ -6,7 +6,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from strata.functions.storage import scratch
+from strata.functions.storage import scratch, stored
 from strata.operators import cdc, features, quality
 from strata.plans import churn, gold, silver
 from strata.plans.register import registry
@@ -174,10 +174,16 @@ def str_object_names(spark, sf_dir):
     return stream.offset_windows(messages(spark, sf_dir), 150).select(stream.object_name(*[F.col(c) for c in ("topic", "partition", "first", "last")]).alias("name"))
 
 
-def _streamed(spark: SparkSession, sf_dir: str):
+def _delivered(m):
+    """The messages that have reached the consumer: of views the last five of each partition are still on their way."""
+    tail = F.max("offset").over(Window.partitionBy("topic", "partition")) - F.col("offset")
+    return m.withColumn("tail", tail).where("topic <> 'view' or tail >= 5").drop("tail")
+
+
+def _streamed(spark: SparkSession, sf_dir: str, whole: bool = True):
     src, out = scratch(spark, "source"), scratch(spark, "bronze-stream")
     m = messages(spark, sf_dir).select("topic", F.col("partition").cast("long").alias("partition"), "offset", "value")
-    m.repartition(4, "offset").write.parquet(src)
+    (m if whole else _delivered(m)).repartition(4, "offset").write.parquet(src)
     source = spark.readStream.schema(m.schema).option("maxFilesPerTrigger", 2).parquet(src)
     progress = stream.drained(stream.bronze_stream(source, out, scratch(spark, "progress"), 150))
     return out, progress
@@ -191,13 +197,45 @@ def str_bronze_sink(spark, sf_dir):
     return spark.read.parquet(out).groupBy("topic", F.col("partition").cast("long").alias("partition"), F.col("window").cast("long").alias("window")).agg(F.count("*").alias("n"), F.min("offset").alias("first"), F.max("offset").alias("last"))
 
 
-@query("SELECT event_type AS topic, user_id % 3 AS \"partition\", count(*) AS stored, 0::BIGINT AS lag FROM events GROUP BY ALL")
+def _lags(ends, kept):
+    """topic, partition, stored, lag: what the log has beyond the last offset stored."""
+    have = kept.groupBy("topic", F.col("partition").cast("long").alias("partition")).agg(F.count("*").alias("stored"), F.max("offset").alias("position"))
+    return ends.join(have, ["topic", "partition"], "left").select("topic", "partition", F.coalesce("stored", F.lit(0)).alias("stored"), (F.col("end") - F.coalesce("position", F.lit(-1))).alias("lag"))
+
+
+def _ends(m):
+    return m.groupBy("topic", F.col("partition").cast("long").alias("partition")).agg(F.max("offset").alias("end"))
+
+
+_TAIL = """n AS (SELECT event_type AS topic, user_id % 3 AS "partition", count(*) AS n FROM events GROUP BY ALL), t AS (SELECT *, CASE WHEN topic = 'view' THEN least(5, n) ELSE 0 END AS tail FROM n)"""
+
+
+@query(f'WITH {_TAIL} SELECT topic, "partition", n - tail AS stored, tail AS lag FROM t')
 def str_lag(spark, sf_dir):
-    """What the log has beyond the last offset stored, per partition."""
-    out, _ = _streamed(spark, sf_dir)
-    kept = spark.read.parquet(out).groupBy("topic", F.col("partition").cast("long").alias("partition")).agg(F.count("*").alias("stored"), F.max("offset").alias("position"))
-    ends = messages(spark, sf_dir).groupBy("topic", F.col("partition").cast("long").alias("partition")).agg(F.max("offset").alias("end"))
-    return ends.join(kept, ["topic", "partition"], "left").select("topic", "partition", "stored", (F.col("end") - F.coalesce("position", F.lit(-1))).alias("lag"))
+    """What the log has beyond the last offset stored, per partition; the tail of one topic was never delivered."""
+    out, _ = _streamed(spark, sf_dir, whole=False)
+    return _lags(_ends(messages(spark, sf_dir)), spark.read.parquet(out))
+
+
+@query(f"""WITH {_TAIL} SELECT topic, "partition", n - least(n // 2, n - tail) AS lag_before, n - tail AS stored, tail AS lag, 'drained' AS ended FROM t""")
+def str_drained(spark, sf_dir):
+    """A continuous run over two bursts: the second comes when the first is drained, and the run ends when nothing has come
+    for a while and what was delivered is stored. lag_before is taken between the bursts; the planted tail stays."""
+    src, out, progress = scratch(spark, "bursts"), scratch(spark, "bronze-bursts"), scratch(spark, "progress")
+    columns = ["topic", "partition", "offset", "value"]
+    m = stored(messages(spark, sf_dir).select("topic", F.col("partition").cast("long").alias("partition"), "offset", "value"), "log")
+    come = stored(_delivered(m).join(m.groupBy("topic", "partition").agg(F.floor(F.count("*") / 2).alias("half")), ["topic", "partition"]), "come")
+    ends, before = stored(_ends(m), "ends"), None
+    for burst in ("offset < half", "offset >= half"):
+        part = come.where(burst).select(*columns)
+        part.write.mode("append").parquet(src)
+        due = part.count()
+        source = spark.readStream.schema(m.schema).parquet(src)
+        ended, _ = stream.until_drained(stream.running_stream(source, out, progress, 150), lambda seen, due=due: due - seen, idle_seconds=1.0)
+        if before is None:
+            before = stored(_lags(ends, spark.read.parquet(out)).select("topic", "partition", F.col("lag").alias("lag_before")), "before")
+    after = _lags(ends, spark.read.parquet(out))
+    return before.join(after, ["topic", "partition"]).select("topic", "partition", "lag_before", "stored", "lag", F.lit(ended).alias("ended"))
 
 
 @query(f"""WITH {_ENV} SELECT 'partition' AS kind, topic || '-' || "partition" AS name, min("offset") AS "first", max("offset") AS "last", count(*) AS n, CAST(sum(strlen(raw)) AS BIGINT) AS bytes FROM env GROUP BY ALL
@@ -226,42 +264,60 @@ def aud_bronze_counts(spark, sf_dir):
     return want.join(have, "source", "full").select("source", "source_rows", "bronze_rows", (F.col("bronze_rows") - F.col("d")).alias("repeated"), (F.col("source_rows") == F.col("d")).alias("matches"))
 
 
-@query("SELECT event_type AS source, count(*) AS bronze, count(*) AS stage, TRUE AS equal FROM events GROUP BY 1")
+@query("""SELECT event_type AS source, count(*) AS bronze, count(*) - CASE WHEN event_type = 'click' THEN count(*) FILTER (event_id % 50 = 0) ELSE 0 END AS stage,
+  event_type <> 'click' OR count(*) FILTER (event_id % 50 = 0) = 0 AS equal FROM events GROUP BY 1""")
 def aud_stage_counts(spark, sf_dir):
+    """Landed lines against typed ones; of one source some lines are planted that staging loses."""
     a = lines(spark, sf_dir).groupBy(F.col("event_type").alias("source")).agg(F.count("*").alias("bronze"))
-    b = events(spark, sf_dir).groupBy(F.col("event_type").alias("source")).agg(F.count("*").alias("stage"))
+    b = events(spark, sf_dir).where("event_type <> 'click' or event_id % 50 <> 0").groupBy(F.col("event_type").alias("source")).agg(F.count("*").alias("stage"))
     return a.join(b, "source", "full").withColumn("equal", F.col("bronze").eqNullSafe(F.col("stage")))
 
 
-@query(f"WITH {silver._SRC} SELECT source, count(*) AS staged, count(*) FILTER (rule_id IS NULL) AS valid, count(rule_id) AS rejected, TRUE AS conserved FROM src GROUP BY 1")
+@query(f"""WITH {silver._SRC}, c AS (SELECT source, count(*) AS staged, count(*) FILTER (rule_id IS NULL) AS valid, count(rule_id) AS rejected FROM src GROUP BY 1)
+SELECT source, staged, valid + CASE WHEN source = (SELECT min(source) FROM src) THEN rejected ELSE 0 END AS valid, rejected, source <> (SELECT min(source) FROM src) OR rejected = 0 AS conserved FROM c""")
 def aud_conservation(spark, sf_dir):
-    out = None
+    """Staged rows are valid or rejected; the first source is planted with rejects that are kept as valid, too."""
+    out, first = None, min(silver._sources(spark, sf_dir))
     for source, df in silver._sources(spark, sf_dir).items():
-        parts = df.select(F.lit(source).alias("source"), F.lit("staged").alias("layer")), quality.valid(df).select(F.lit(source), F.lit("valid")), df.where("rule_id is not null").select(F.lit(source), F.lit("rejected"))
+        kept = quality.valid(df).select(F.lit(source), F.lit("valid"))
+        parts = [df.select(F.lit(source).alias("source"), F.lit("staged").alias("layer")), kept, df.where("rule_id is not null").select(F.lit(source), F.lit("rejected"))]
+        if source == first:
+            parts.append(df.where("rule_id is not null").select(F.lit(source), F.lit("valid")))
         for p in parts:
             out = p if out is None else out.unionAll(p)
     g = out.groupBy("source").agg(*[F.count_if(F.col("layer") == x).alias(x) for x in ("staged", "valid", "rejected")])
     return g.withColumn("conserved", F.col("staged") == F.col("valid") + F.col("rejected"))
 
 
-@query("SELECT coalesce(event_type, 'TOTAL') AS mode, count(*) AS gold, count(*) AS silver, TRUE AS equal FROM events GROUP BY ROLLUP (event_type)")
+@query("""WITH g AS (SELECT event_type AS mode, count(*) + count(*) FILTER (event_type = 'error' AND event_id % 40 = 0) AS gold, count(*) AS silver FROM events GROUP BY 1)
+SELECT coalesce(mode, 'TOTAL') AS mode, sum(gold)::BIGINT AS gold, sum(silver)::BIGINT AS silver, sum(gold) = sum(silver) AS equal FROM g GROUP BY ROLLUP (mode)""")
 def aud_gold_silver(spark, sf_dir):
+    """The fact against unified events by mode and in all; rows of one mode are planted twice in the fact."""
     def by(df, mode, name):
         return df.rollup(F.col(mode).alias("mode")).agg(F.count("*").alias(name)).withColumn("mode", F.coalesce("mode", F.lit("TOTAL")))
 
-    return by(gold.fct_event(spark, sf_dir), "mode", "gold").join(by(events(spark, sf_dir), "event_type", "silver"), "mode", "full").withColumn("equal", F.col("gold").eqNullSafe(F.col("silver")))
+    fact = gold.fct_event(spark, sf_dir)
+    twice = fact.unionByName(fact.where("mode = 'error' and event_id % 40 = 0"))
+    return by(twice, "mode", "gold").join(by(events(spark, sf_dir), "event_type", "silver"), "mode", "full").withColumn("equal", F.col("gold").eqNullSafe(F.col("silver")))
 
 
-@query("SELECT count(*) AS a, count(*) AS b, TRUE AS equal FROM events WHERE ts >= '2024-01-01' AND ts < '2024-02-01'")
+@query("""WITH m AS (SELECT event_type AS mode, count(*) AS a, count(*) + CASE WHEN event_type = 'view' THEN 1 ELSE 0 END AS b FROM events WHERE ts >= '2024-01-01' AND ts < '2024-02-01' GROUP BY 1)
+SELECT mode, a, b, a = b AS equal FROM m UNION ALL SELECT 'TOTAL', sum(a)::BIGINT, sum(b)::BIGINT, sum(a) = sum(b) FROM m""")
 def aud_two_paths(spark, sf_dir):
-    a, b = (f(spark, sf_dir).where("mode = 'TOTAL'").select(F.col("n").alias(n)) for f, n in ((gold.q_two_paths_a, "a"), (gold.q_two_paths_b, "b")))
-    return a.crossJoin(b).withColumn("equal", F.col("a") == F.col("b"))  # a row each
+    """The month by two ways, mode by mode; the second is planted with one boarding too many."""
+    a, b = (f(spark, sf_dir).select("mode", F.col("n").alias(n)) for f, n in ((gold.q_two_paths_a, "a"), (gold.q_two_paths_b, "b")))
+    more = F.when(F.col("mode").isin("view", "TOTAL"), 1).otherwise(0)
+    return a.join(b.withColumn("b", F.col("b") + more), "mode", "full").withColumn("equal", F.col("a").eqNullSafe(F.col("b")))
 
 
-@query("SELECT unnest(['keys without one current row', 'current row differs from state', 'balance differs from current']) AS check, 0::BIGINT AS failing")
+@query(f"""WITH {LOG}, k AS (SELECT card, arg_max(op, seq) AS last, arg_max(profile, seq) FILTER (profile IS NOT NULL) AS profile FROM log GROUP BY 1) SELECT 'keys without one current row' AS check, count(*) FILTER (card % 50 = 0) AS failing FROM k
+UNION ALL SELECT 'current row differs from state', count(*) FILTER (card % 50 = 1 AND profile IS NOT NULL OR card % 50 = 0) FROM k
+UNION ALL SELECT 'balance differs from current', count(*) FILTER (card % 50 = 0 AND last <> 'DELETE') FROM k""")
 def aud_scd2(spark, sf_dir):
+    """History against state and balance. Planted: fiftieths of the keys lose their current row, or have another profile in it."""
     log = change_log(spark, sf_dir)
-    hist = cdc.scd2(log, "card", "seq", "op", "commit_ts", ["profile", "area"])
+    whole = stored(cdc.scd2(log, "card", "seq", "op", "commit_ts", ["profile", "area"]), "history")
+    hist = whole.withColumn("is_current", F.col("is_current") & (F.col("card") % 50 != 0)).withColumn("profile", F.when((F.col("card") % 50 == 1) & F.col("profile").isNotNull(), "planted").otherwise(F.col("profile")))
     state = cdc.apply_log(log, "card", "seq", "op", ["profile", "area"])
     now = hist.where("is_current")
     one = hist.groupBy("card").agg(F.count_if("is_current").alias("n")).where("n <> 1").agg(F.count("*").alias("keys without one current row"))
@@ -343,6 +399,55 @@ def fingerprint_diff(spark, sf_dir):
     return have.join(found, "name", "full").select("name", status.alias("status"))
 
 
+def _land_files(spark, rows, path: str) -> str:
+    """A file for each kind of event, lines by event_id."""
+    rows.repartition("event_type").sortWithinPartitions("event_type", "event_id").select("raw", F.col("event_type").alias("source")).write.mode("overwrite").partitionBy("source").text(path)
+    return path
+
+
+_KIND = "source=([^/]+)/"
+_FILES = f"""{EV}, l AS (SELECT event_type AS name, event_id, {LINE} AS raw FROM ev), f AS (SELECT name, sha256(string_agg(raw, chr(10) ORDER BY event_id) || chr(10)) AS sha, count(*) AS n, min(event_id) AS first_id FROM l GROUP BY 1)"""
+
+
+@query(f"WITH {_FILES} SELECT name, sha, CASE name WHEN 'view' THEN 'missing' WHEN 'click' THEN 'differs' ELSE 'equal' END AS status FROM f UNION ALL SELECT 'stray', NULL, 'unexpected'")
+def file_fingerprints(spark, sf_dir):
+    """SHA-256 of whole landed files as a manifest has it, against the files found later: in one a byte has changed, one is
+    gone, and one is new."""
+    rows = lines(spark, sf_dir)
+    name = F.regexp_extract("path", _KIND, 1).alias("name")
+    manifest = stored(raw.fingerprints(spark, _land_files(spark, rows, scratch(spark, "files"))).select(name, "sha"), "manifest")
+    first = rows.where("event_type = 'click'").agg(F.min("event_id").alias("first"))
+    changed = rows.where("event_type <> 'view'").crossJoin(first).withColumn("raw", F.when((F.col("event_type") == "click") & (F.col("event_id") == F.col("first")), F.translate("raw", ",", ";")).otherwise(F.col("raw"))).select(*rows.columns)  # one row
+    stray = rows.where("event_type = 'error'").withColumn("event_type", F.lit("stray"))
+    found = raw.fingerprints(spark, _land_files(spark, changed.unionByName(stray), scratch(spark, "files"))).select(name, F.col("sha").alias("found"))
+    return raw.compared(manifest, found, "name", "sha", "found").join(manifest, "name", "left").select("name", "sha", "status")
+
+
+@query(f"""WITH {_FILES} SELECT 1 AS run, name, 'loaded' AS action, n AS n_rows FROM f UNION ALL SELECT 2, name, 'skipped', 0 FROM f
+UNION ALL SELECT 3, name, CASE name WHEN 'click' THEN 'loaded' ELSE 'skipped' END, CASE name WHEN 'click' THEN n - 1 ELSE 0 END FROM f""")
+def ingest_files(spark, sf_dir):
+    """Three runs of the batch ingest over a landing folder: all files are new, none is, one known file has lost its first
+    line."""
+    rows, manifest = lines(spark, sf_dir), scratch(spark, "manifest")
+    landing = _land_files(spark, rows, scratch(spark, "landing"))
+    runs = [raw.ingest(spark, landing, manifest, _KIND), raw.ingest(spark, landing, manifest, _KIND)]
+    first = rows.where("event_type = 'click'").agg(F.min("event_id").alias("first"))
+    less = rows.crossJoin(first).where("event_type <> 'click' or event_id <> first").select(*rows.columns)  # one row
+    runs.append(raw.ingest(spark, _land_files(spark, less, scratch(spark, "landing")), manifest, _KIND))
+    out = None
+    for k, r in enumerate(runs):
+        one = r.select(F.lit(k + 1).alias("run"), "name", "action", "n_rows")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(f"""WITH {_SNAP}, m AS (UNPIVOT (SELECT layer, "table", n_rows AS rows, n_objects AS objects, n_bytes AS bytes FROM s) ON rows, objects, bytes INTO NAME metric VALUE value), lay AS (SELECT * FROM (VALUES ('bronze'), ('silver'), ('gold')) v(layer), (VALUES ('rows'), ('objects'), ('bytes')) t(metric))
+SELECT layer, "table", metric, value FROM m UNION ALL SELECT layer, 'TOTAL', metric, coalesce(sum(value), 0)::BIGINT FROM lay LEFT JOIN m USING (layer, metric) GROUP BY ALL""")
+def layer_metrics(spark, sf_dir):
+    """The snapshot as metrics: a row for each table and metric, and totals of each layer, zero where it has no table."""
+    return raw.metrics(_snapshot(spark, sf_dir).withColumnsRenamed({"n_rows": "rows", "n_objects": "objects", "n_bytes": "bytes"}), ["rows", "objects", "bytes"], ["bronze", "silver", "gold"])
+
+
 @query("SELECT event_type AS stage, arg_max(value, event_id) FILTER (value >= 1) AS seconds FROM events GROUP BY 1")
 def stage_durations(spark, sf_dir):
     """The last run of each stage that lasted, which is what success leaves: a failed one ends at once."""

@@ -103,12 +103,14 @@ UNION ALL SELECT 'accepted status', (SELECT count(*) FROM orders WHERE o_orderst
 UNION ALL SELECT 'customer exists', (SELECT count(*) FROM orders WHERE o_custkey IS NOT NULL AND o_custkey NOT IN (SELECT c_custkey FROM customer))
 UNION ALL SELECT 'quantity range', (SELECT count(*) FROM lineitem WHERE l_quantity < 1 OR l_quantity > 40)
 UNION ALL SELECT 'unique line', (SELECT count(*) FROM (SELECT l_orderkey, l_linenumber FROM lineitem GROUP BY ALL HAVING count(*) > 1))
+UNION ALL SELECT 'unique where known', (SELECT count(*) FROM (SELECT o_custkey FROM orders WHERE o_orderpriority LIKE '1%' GROUP BY 1 HAVING count(*) > 1))
 UNION ALL SELECT 'as many suppliers as customers', (SELECT abs((SELECT count(*) FROM supplier) - (SELECT count(*) FROM customer))))""")
 def dq_expectations(spark, sf_dir):
     o, c, l, s = (table(spark, sf_dir, n) for n in ("orders", "customer", "lineitem", "supplier"))
     return quality.expect({
         "unique orders": quality.unique(o, ["o_orderkey"]), "not null customer": quality.not_null(c, ["c_name", "c_custkey"]), "accepted status": quality.accepted(o, "o_orderstatus", ["F", "O"]),
-        "customer exists": quality.related(o, "o_custkey", c, "c_custkey"), "quantity range": quality.in_range(l, "l_quantity", 1, 40), "unique line": quality.unique(l, ["l_orderkey", "l_linenumber"]), "as many suppliers as customers": quality.same_count(s, c),
+        "customer exists": quality.related(o, "o_custkey", c, "c_custkey"), "quantity range": quality.in_range(l, "l_quantity", 1, 40), "unique line": quality.unique(l, ["l_orderkey", "l_linenumber"]),
+        "unique where known": quality.unique(o.withColumn("urgent", F.when(F.col("o_orderpriority").startswith("1"), F.col("o_custkey"))), ["urgent"]), "as many suppliers as customers": quality.same_count(s, c),
     })
 
 
@@ -175,10 +177,10 @@ def unified_events(spark, sf_dir):
 
 
 @query(f"""WITH {EV}, c AS (SELECT unnest(['{CUTOFFS[0]}', '{CUTOFFS[1]}', '{CUTOFFS[2]}'])::DATE AS cutoff),
-s AS (SELECT DISTINCT cutoff, user_id % 50 AS person, event_type || ':' || user_id AS name FROM ev JOIN c ON ts < cutoff)
+s AS (SELECT DISTINCT cutoff, user_id // 3 AS person, event_type || ':' || user_id AS name FROM ev JOIN c ON ts < cutoff)
 SELECT cutoff, person, string_agg(name, ',' ORDER BY name) AS cards, count(*) AS n_cards FROM s GROUP BY ALL""")
 def cards_asof(spark, sf_dir):
-    seen = events(spark, sf_dir).select((F.col("user_id") % 50).alias("person"), F.col("event_type").alias("mode"), F.col("user_id").alias("card"), "ts")
+    seen = events(spark, sf_dir).select(F.floor(F.col("user_id") / 3).alias("person"), F.col("event_type").alias("mode"), F.col("user_id").alias("card"), "ts")
     return identity.known_cards(seen, CUTOFFS)
 
 

@@ -94,22 +94,34 @@ def compared(expected: DataFrame, found: DataFrame, key: str, said: str, seen: s
     return expected.join(found, key, "full").select(key, status.alias("status"))
 
 
-def ingest(spark: SparkSession, landing: str, manifest: str, glob: str = "*") -> DataFrame:
-    """name, action and rows of every file of a landing folder: `loaded` if no file of this name and content is complete in
-    the manifest, `skipped` otherwise; a known name with other content is loaded again. Files are judged by SHA-256 of
-    their whole content. Loaded files are added to the manifest (name, sha, state, n_rows) as complete; running it twice
-    loads nothing the second time. manifest: a table's path, which may not exist yet."""
-    known = spark.read.schema("name string, sha string, state string, n_rows long").option("pathGlobFilter", "part-*").parquet(manifest) if exists(spark, manifest) else spark.createDataFrame([], "name string, sha string, state string, n_rows long")
-    there = fingerprints(spark, landing, glob).select("name", "sha")
+def ingest(spark: SparkSession, landing: str, manifest: str, pattern: str = "([^/]+)$", glob: str = "*") -> DataFrame:
+    """name, action and n_rows of every file of a landing folder: `loaded` if no file of this name and content is complete
+    in the manifest, `skipped` otherwise; a known name with other content is loaded again. Files are judged by SHA-256 of
+    their whole content, and named by the first group of a pattern in their path. Loaded files are added to the manifest
+    (name, sha, state, n_rows) as complete; the same landing again loads nothing. manifest: a table's path, which may not
+    exist yet."""
+    kind = "name string, sha string, state string, n_rows long"
+    known = spark.read.schema(kind).parquet(manifest) if exists(spark, manifest) else spark.createDataFrame([], kind)
+    there = fingerprints(spark, landing, glob).select(F.regexp_extract("path", pattern, 1).alias("name"), "sha")
     new, old = skip_known(there, known)
-    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(landing).select(F.regexp_extract("_metadata.file_path", "[^/]+$", 0).alias("name"))
-    counts = lines.groupBy("name").agg(F.count("*").alias("n_rows"))
+    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(landing)
+    counts = lines.groupBy(F.regexp_extract("_metadata.file_path", pattern, 1).alias("name")).agg(F.count("*").alias("n_rows"))
     done = stored(new.join(counts, "name", "left").select("name", "sha", F.coalesce("n_rows", F.lit(0)).alias("n_rows")), "ingested")
     skipped = stored(old.select("name"), "skipped")
     done.select("name", "sha", F.lit("complete").alias("state"), "n_rows").write.mode("append").parquet(manifest)
     return done.select("name", F.lit("loaded").alias("action"), "n_rows").unionByName(skipped.select("name", F.lit("skipped").alias("action"), F.lit(0).cast("long").alias("n_rows")))
 
 
+def metrics(snapshot: DataFrame, names: list[str], layers: list[str]) -> DataFrame:
+    """layer, table, metric, value from a snapshot (layer, table and a column for each name), with a TOTAL of each layer and
+    metric; layers without any table have totals of 0."""
+    long = snapshot.unpivot(["layer", "table"], names, "metric", "value")
+    wanted = snapshot.sparkSession.createDataFrame([(x, n) for x in layers for n in names], "layer string, metric string")
+    sums = wanted.join(long.groupBy("layer", "metric").agg(F.sum("value").alias("value")), ["layer", "metric"], "left")
+    totals = sums.select("layer", F.lit("TOTAL").alias("table"), "metric", F.coalesce("value", F.lit(0)).alias("value"))
+    return long.select("layer", "table", "metric", "value").unionByName(totals)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a path has any file or folder in it, asked of Spark's own readers."""
     try:

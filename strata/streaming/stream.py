@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
-from strata.functions.storage import scratch
+from strata.functions.storage import scratch, stored
+from strata.sources.raw import exists
 
 
 def to_messages(lines: DataFrame, file: str, line: str, raw: str, sha: str, run: str) -> DataFrame:
@@ -46,8 +51,7 @@ def merge_windows(batch: DataFrame, folder: str, size: int) -> None:
     same batch again changes nothing. The merged rows are cut from the path that they then replace."""
     spark = batch.sparkSession
     new = batch.withColumn("window", F.floor(F.col("offset") / size).cast("long"))
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+    if exists(spark, folder):
         touched = new.select("topic", "partition", "window").distinct()
         old = spark.read.schema(new.schema).parquet(folder).join(touched, ["topic", "partition", "window"], "left_semi").select(*new.columns)
         new = old.unionByName(new)
@@ -68,6 +72,58 @@ def drained(query) -> list[dict]:
     return [p if isinstance(p, dict) else p.asDict() if hasattr(p, "asDict") else dict(p) for p in query.recentProgress]
 
 
+class Progress(StreamingQueryListener):
+    """Rows and time of the last batch with rows, of one query."""
+
+    def __init__(self):
+        self.rows, self.last, self.query = 0, time.monotonic(), None
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        if self.query is not None and str(event.progress.id) == self.query and event.progress.numInputRows > 0:
+            self.rows, self.last = self.rows + event.progress.numInputRows, time.monotonic()
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        pass
+
+
+def until_drained(query: StreamingQuery, lag: Callable[[int], int], idle_seconds: float = 5.0, most_seconds: float = 600.0) -> tuple[str, int]:
+    """Let a continuous query run until it has had no rows for idle_seconds and the lag is 0, or most_seconds have gone by;
+    it is stopped either way, and what it didn't finish comes again next time. lag is asked when the query is idle; it is
+    given the rows of all batches that this run has committed, and says how many messages are due. Returns why the run
+    ended (`drained` or `out of time`) and those rows. An error of the query is raised."""
+    spark, progress, began = query.sparkSession if hasattr(query, "sparkSession") else SparkSession.active(), Progress(), time.monotonic()
+    progress.query = str(query.id)
+    spark.streams.addListener(progress)
+    why = "out of time"
+    try:
+        while time.monotonic() - began < most_seconds:
+            if query.awaitTermination(0.2):
+                break
+            if time.monotonic() - progress.last >= idle_seconds:
+                if lag(progress.rows) <= 0:
+                    why = "drained"
+                    break
+                progress.last = time.monotonic()  # rows are due: wait another span
+    finally:
+        query.stop()
+        spark.streams.removeListener(progress)
+    if query.exception():
+        raise query.exception()
+    return why, progress.rows
+
+
+def running_stream(source: DataFrame, folder: str, checkpoint: str, size: int, every: str = "200 milliseconds") -> StreamingQuery:
+    """bronze_stream that goes on: a micro-batch whenever there is something. A batch is read once, so that its rows count
+    once in the progress."""
+    return source.writeStream.foreachBatch(lambda df, _: merge_windows(stored(df, "batch"), folder, size)).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+
+
 def first_deliveries(df: DataFrame) -> DataFrame:
     """One row per (file, file sha, line): the delivery of the smallest offset."""
     w = Window.partitionBy("file", "file_sha", "line").orderBy("offset")
