@@ -13,7 +13,7 @@ their shingles, don't meet. Bits proper are compared after that, in sketches of
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -125,6 +125,8 @@ def _tallied(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return u[new], v[new]
 
 
+#: What gives the keys of a list of sets (none empty), and whose each is.
+Offer = Callable[[list[np.ndarray]], tuple[np.ndarray, np.ndarray]]
 _FIELDS = ["bucket", "kind", "a", "b", "c", "d", "high", "low", "whose", "classes"]
 _SCHEMA = "bucket long, kind int, a long, b long, c long, d long, high binary, low binary, whose binary, classes binary"
 _DOC, _PAIR, _MEMBER, _KEYS = 0, 1, 2, 3
@@ -137,7 +139,7 @@ def _plain(bucket: int, kind: int, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.full(n, bucket, np.int64)), pa.array(np.full(n, kind, np.int32)), *own], _FIELDS)
 
 
-def _mapper(width: int, bands: Bands, buckets: int):
+def _mapper(width: int, offer: Offer, buckets: int):
     """Texts to classes and packed keys by bucket. Equal sets of a task are seen once; of a key that a task has in many
     documents only a few go on, as its star and its members are known here."""
 
@@ -194,7 +196,7 @@ def _mapper(width: int, bands: Bands, buckets: int):
                 if classes and (len(classes) + len(some) > 60_000 or held > 1_500_000):
                     yield from flush() if held else ()
                     keys, owners, classes, held = [], [], [], 0
-                key, who = part_keys([sets[k] for k in some], bands)
+                key, who = offer([sets[k] for k in some])
                 keys.append(key)
                 owners.append((who + len(classes)).astype(np.int32))
                 classes += ids[some].tolist()
@@ -397,13 +399,13 @@ def linked_classes(rows: DataFrame, own: DataFrame, pairs: DataFrame, members: D
     return linked.unionAll(alone)
 
 
-def _components(docs: DataFrame, percent: int, width: int, key: str, text: str, bucket_chars: int) -> DataFrame:
-    """What linked_classes gives, from the parts' keys."""
+def keyed_components(docs: DataFrame, percent: int, width: int, key: str, text: str, bucket_chars: int, offers: Callable[[int], Offer]) -> DataFrame:
+    """What linked_classes gives for documents, whose sets are candidates where they offer the same key. offers: for the
+    most shingles that a text can have, what gives a set's keys."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text"))
     chars, longest = rows.agg(F.sum(F.length("text").cast("long")), F.max(F.length("text"))).first()
-    bands = Bands(percent, max(1, (longest or 0) // 2 + 2))
-    packed = rows.mapInArrow(_mapper(width, bands, int((chars or 0) // bucket_chars) + 4), _SCHEMA)
+    packed = rows.mapInArrow(_mapper(width, offers(max(1, (longest or 0) // 2 + 2)), int((chars or 0) // bucket_chars) + 4), _SCHEMA)
     found = stored(packed.groupBy("bucket").applyInArrow(_reduce, "kind int, a long, b long, c long, d long"), "keys")
     own = found.where(F.col("kind") == _DOC).select(F.col("a").alias("key"), F.col("b").alias("n_shingles"), F.col("c").alias("class"), F.col("d").alias("hash"))
     pairs = stored(found.where(F.col("kind") == _PAIR).select(F.col("a").alias("u"), F.col("b").alias("v")).distinct(), "pairs")
@@ -411,6 +413,14 @@ def _components(docs: DataFrame, percent: int, width: int, key: str, text: str,
     return linked_classes(rows, own, pairs, members, percent, width)
 
 
+def _parts(percent: int) -> Callable[[int], Offer]:
+    def offers(largest: int) -> Offer:
+        bands = Bands(percent, largest)
+        return lambda sets: part_keys(sets, bands)
+
+    return offers
+
+
 def jaccard_components(docs: DataFrame, percent: int = 75, width: int = 5, key: str = "doc_id", text: str = "text", bucket_chars: int = 8_000_000) -> DataFrame:
     """Documents linked by shingle sets of Jaccard similarity percent / 100 or more, directly or by way of others.
 
@@ -423,14 +433,14 @@ def jaccard_components(docs: DataFrame, percent: int = 75, width: int = 5, key:
     Equal sets are one class from the start. Keys travel packed, in buckets sized by the input; a key in many documents
     is cut down before the shuffle, its documents linked by a star, and where that leaves several components, block by
     block. Only ids and links are ever joined, and the sets of candidates."""
-    return _components(docs, percent, width, key, text, bucket_chars).select(F.col("key").alias(key), "n_shingles", "component_id")
+    return keyed_components(docs, percent, width, key, text, bucket_chars, _parts(percent)).select(F.col("key").alias(key), "n_shingles", "component_id")
 
 
 def one_per_component(docs: DataFrame, percent: int = 75, width: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs, all columns, with one document of each component: that of the least key, and among its texts that of the least
     hash. Documents without shingles or without key stay; of rows with equal key and text one stays. Rows go by key and
     text, so that a key that stands for several texts loses only those that another document stands for."""
-    found = stored(_components(docs, percent, width, key, text, 8_000_000).where(F.col("key").isNotNull()).select("key", "hash", "component_id", "component"), "components")
+    found = stored(keyed_components(docs, percent, width, key, text, 8_000_000, _parts(percent)).where(F.col("key").isNotNull()).select("key", "hash", "component_id", "component"), "components")
     first = found.where("key = component_id and component is not null")
     ties = first.groupBy("component").agg(F.min("hash").alias("least"), F.max("hash").alias("most")).where("least < most")
     later = first.join(ties, "component").where("hash > least").select("key", "hash")

@@ -8,15 +8,12 @@ candidates, and their full sets of shingles decide."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm.common import U64, mix, release, shingle_sets, slices, small_batches, stored, table, text_bytes
-from strata.llm.jaccard_join import class_ids, linked_classes
+from strata.llm.common import U64, mix, table
+from strata.llm.jaccard_join import keyed_components
 
 #: Places of a signature and of a band: two sets of similarity 0.8 agree in no band with a probability of 5e-8.
 PLACES, ROWS = 128, 4
@@ -67,23 +64,9 @@ def band_keys(signatures: np.ndarray) -> np.ndarray:
     return mix(mix(value) + np.arange(1, bands + 1, dtype=U64) * U64(_STEP))
 
 
-def _mapper(width: int):
-    """Documents (key, text, hash) with the size and class of their set; the first of each class in a task with its bands."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for part in slices(batches, target=1 << 20):
-            sets = shingle_sets(*text_bytes(part.column(1)), width)
-            ids = class_ids(sets)
-            new = [k for k, i in enumerate(ids.tolist()) if len(sets[k]) and not (i in seen or seen.add(i))]
-            keys = band_keys(superminhash([sets[k] for k in new])) if new else np.zeros((0, BANDS), U64)
-            has = np.zeros(len(sets), np.int64)
-            has[new] = BANDS
-            bands = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(has)), pa.int32()), pa.array(keys.reshape(-1).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids.view(np.int64)), part.column(2), bands], ["key", "n_shingles", "class", "hash", "bands"])
-        release()
-
-    return run
+def offered(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of all bands of all sets, and whose they are."""
+    return band_keys(superminhash(sets)).reshape(-1), np.repeat(np.arange(len(sets)), BANDS)
 
 
 def near_copies(docs: DataFrame, percent: int = 80, width: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -95,19 +78,9 @@ def near_copies(docs: DataFrame, percent: int = 80, width: int = 4, key: str = "
     with nothing; null keys count as no key (component and kept of null keys alone are null); repeated rows are members
     like others. Other columns are not read. Equal sets are one class from the start and never missed; other links are
     found by bands, and missed with a probability of 5e-8 each at the threshold, less above. No bucket is capped: of a
-    band's bucket all members meet the least one, and those that are then still apart are compared block by block."""
-    small_batches(docs.sparkSession)
-    rows = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text"))
-    signed = stored(rows.mapInArrow(_mapper(width), "key long, n_shingles long, class long, hash long, bands array<long>"), "signed")
-    own = signed.select("key", "n_shingles", "class", "hash")
-    dealt = signed.where(F.size("bands") > 0).select(F.col("class").alias("member"), F.explode("bands").alias("key"))
-    # Buckets of one class go at once; those of two are a pair; larger ones are met again by key.
-    shared = stored(dealt.groupBy("key").agg(F.min("member").alias("u"), F.max("member").alias("v"), F.count("*").alias("n")).where("u <> v"), "shared")
-    crowds = shared.where("n > 2").select("key", "u")
-    members = stored(dealt.join(crowds, "key").select("key", "member", "u").distinct(), "members")
-    stars = members.where("member <> u").select("u", F.col("member").alias("v"))
-    pairs = stored(shared.where("n = 2").select("u", "v").unionAll(stars).distinct(), "pairs")
-    found = linked_classes(rows, own, pairs, members.select("key", "member"), percent, width)
+    band's bucket all members meet the least one, and those that are then still apart are compared block by block. Keys
+    travel packed, 48 bits of each."""
+    found = keyed_components(docs, percent, width, key, text, 8_000_000, lambda _: offered)
     return found.select(F.col("key").alias(key), "n_shingles", "component_id", (F.col("key") == F.col("component_id")).alias("kept"))
 
 
