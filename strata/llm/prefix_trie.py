@@ -139,8 +139,33 @@ def _names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     release()
 
 
+def _end_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted (a, b, conv) to pieces of each node's ids, joined by commas, with their place: task and number."""
+    part, seq, now, ids, size, out = TaskContext.get().partitionId(), 0, None, [], 0, []
+
+    def flush() -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.string())
+        rows = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)]
+        out.clear()
+        return pa.RecordBatch.from_arrays(rows, ["a", "b", "part", "seq", "ids"])
+
+    for batch in batches:
+        for a, b, conv in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if now and (now != (a, b) or size >= 4096):
+                out.append((*now, part, seq, ",".join(ids)))
+                seq, ids, size = seq + 1, [], 0
+            now = (a, b)
+            ids.append(str(conv))
+            size += 1
+        if len(out) > 2000:
+            yield flush()
+    if now:
+        out.append((*now, part, seq, ",".join(ids)))
+        yield flush()
+
+
 def _end_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted (a, b, conv) to the hash of each node's conversations, joined by commas."""
+    """Sorted pieces (a, b, part, seq, ids) to the hash of each node's ids."""
     now, sha, out = None, None, []
 
     def flush() -> pa.RecordBatch:
@@ -149,13 +174,13 @@ def _end_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays(rows, ["a", "b", "ends"])
 
     for batch in batches:
-        for a, b, conv in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for a, b, _, _, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if now != (a, b):
                 if now:
                     out.append((*now, sha.hexdigest()))
-                now, sha = (a, b), hashlib.sha256(str(conv).encode())
+                now, sha = (a, b), hashlib.sha256(ids.encode())
             else:
-                sha.update(f",{conv}".encode())
+                sha.update(f",{ids}".encode())
         if len(out) > 5000:
             yield flush()
     if now:
@@ -163,6 +188,14 @@ def _end_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
+def end_hashes(ended: DataFrame) -> DataFrame:
+    """a, b, ends: the hash of the ids (conv) that end in each node, ascending, joined by commas. Tasks hold ranges of all
+    (node, id), so that the ids of one node are written out by many; the hash itself is a chain over their pieces, a row for
+    4096 ids, as many as a task has of the node."""
+    pieces = ended.repartitionByRange("a", "b", "conv").sortWithinPartitions("a", "b", "conv").mapInArrow(_end_texts, "a long, b long, part int, seq long, ids string")
+    return pieces.repartition("a", "b").sortWithinPartitions("a", "b", "part", "seq").mapInArrow(_end_hashes, "a long, b long, ends string")
+
+
 def _sums(rows: DataFrame, *more: Column, by: tuple[str, str] = ("a", "b")) -> DataFrame:
     return rows.groupBy(*by).agg(F.sum("leaves").alias("leaves"), F.sum("saved").alias("saved"), *more)
 
@@ -199,8 +232,8 @@ def prefix_trie(turns: DataFrame, convs: DataFrame) -> DataFrame:
     """The trie of all sequences: conv_id (smallest member), depth, parent_conv_id (null for the root), n_convs, n_children,
     n_leaves, saved_tokens, ends_sha256, a row for each distinct prefix, the empty one included. turns: conv, depth (1 to
     total, without gaps), key (16 bytes that stand for the turn), bytes (of its text), total. convs: conv, total, also
-    for conversations without turns. Without convs there is no trie and no row. A hash over many ids is a chain: the ids
-    that end in one node pass through one task, a batch at a time; everything else is summed before it is shuffled."""
+    for conversations without turns. Without convs there is no trie and no row. Everything is summed before it is
+    shuffled; the hash of many ids, a chain, is fed with pieces of 4096."""
     spark = turns.sparkSession
     small_batches(spark, 2000)
     deepest = convs.agg(F.max("total")).first()[0]
@@ -227,7 +260,7 @@ def prefix_trie(turns: DataFrame, convs: DataFrame) -> DataFrame:
     counted = nodes.join(kids, ["a", "b"], "left").join(parents, ["above_a", "above_b"], "left")
     stats = stored(counted.select("a", "b", "above_a", "above_b", "conv", "parent", "depth", "n", F.coalesce("children", F.lit(0)).alias("children"), F.col("children").isNull().cast("long").alias("leaves"), ((F.col("n") - 1) * F.col("bytes")).alias("saved")), "stats")
     ended = named.where("last").select("a", "b", "conv").unionByName(convs.where("total = 0").select(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), "conv"))
-    ends = ended.repartition("a", "b").sortWithinPartitions("a", "b", "conv").mapInArrow(_end_hashes, "a long, b long, ends string")
+    ends = end_hashes(stored(ended, "ended"))
     sums = grafted(stats, named, int(deepest)).withColumnsRenamed({"leaves": "n_leaves", "saved": "saved_tokens"})
     done = stats.join(sums, ["a", "b"]).join(ends, ["a", "b"], "left")
     return done.select(F.col("conv").alias("conv_id"), "depth", F.col("parent").alias("parent_conv_id"), F.col("n").alias("n_convs"), F.col("children").alias("n_children"), "n_leaves", "saved_tokens", F.coalesce("ends", F.sha2(F.lit(""), 256)).alias("ends_sha256"))
