@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -13,7 +15,8 @@ from pyspark.sql import functions as F
 from strata.llm.common import slices, stored, table
 from strata.llm.url_filter import url_parts
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
+#: Runs are possessive: what one has taken is not given back, so a tag that never ends costs its length, not the square.
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)([^>"']*+(?:"[^"]*+"[^>"']*+|'[^']*+'[^>"']*+)*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)""", re.S)
 _CLASS = re.compile(r"""(?<![\w-])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _WORD = re.compile(r"[a-z]+")
 #: Elements whose text is not read, and those that hold page furniture (fixed values).
@@ -41,6 +44,7 @@ class Page:
 
     def _read(self, source: str, marks: frozenset[str]) -> None:
         stack: list[tuple[str, int, bool]] = []  # tag, container, furniture
+        opened: Counter[str] = Counter()  # tags on the stack, so that none is looked for in vain
         text: list[str] = []
         linked, here, hidden, anchors = 0, 0, False, 0
 
@@ -63,9 +67,10 @@ class Page:
             nonlocal here, hidden, anchors
             if any(t in BLOCKS for t, _, _ in stack[upto:]):
                 flush()
+            opened.subtract(t for t, _, _ in stack[upto:])
             del stack[upto:]
             here, hidden = (stack[-1][1], stack[-1][2]) if stack else (0, False)
-            anchors = sum(t == "a" for t, _, _ in stack)
+            anchors = opened["a"]
 
         at = 0
         while m := _TOKEN.search(source, at):
@@ -84,19 +89,19 @@ class Page:
                     at = end.end() if end else len(source)
                 continue
             if closing:
-                found = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
+                found = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None) if opened[tag] > 0 else None
                 if found is not None:
                     close(found)
                 elif tag in BLOCKS:
                     flush()
                 continue
             if tag in _ENDS_P:
-                found = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == "p"), None)
+                found = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == "p"), None) if opened["p"] > 0 else None
                 if found is not None:
                     close(found)
             if tag in _ENDS:
                 ended, roof = _ENDS[tag]
-                for k in range(len(stack) - 1, -1, -1):
+                for k in range(len(stack) - 1, -1, -1) if any(opened[t] > 0 for t in ended) else ():
                     if stack[k][0] in roof:
                         break
                     if stack[k][0] in ended:
@@ -109,7 +114,7 @@ class Page:
             names, marked = [], False
             if tag in CONTAINERS or tag in BLOCKS:
                 names = [_WORD.findall(w) for _, a, b, c in _CLASS.findall(rest) for w in (a or b or c).lower().split()]
-            inside = any(t in ("article", "main") for t, _, _ in stack)
+            inside = opened["article"] > 0 or opened["main"] > 0
             # Inside an article a name must be a mark's alone: `related-posts` is, `related-work` and `share-price` are not.
             marked = any(not marks.isdisjoint(w) and (not inside or all(x in marks or x in PLAIN for x in w)) for w in names)
             drop = hidden or tag in FURNITURE or (tag == "header" and not inside) or (tag not in ("html", "body", "main", "article") and marked) or (tag == "article" and any(not {"comment", "comments"}.isdisjoint(w) for w in names))
@@ -117,12 +122,16 @@ class Page:
                 first = next((w for w in _CLASS.findall(rest) if w[0].lower() == "class"), None)
                 kind = ".".join(sorted(set(_WORD.findall((first[1] or first[2] or first[3]).lower())))) if first else ""
                 self.parent.append(here)
-                self.path.append(f"{self.path[here]}>{tag}{'.' + kind if kind else ''}")
+                above = self.path[here]
+                if len(above) > 1000:  # so deep that its digest stands for it: paths stay short, and equal where they were
+                    above = hashlib.md5(above.encode()).hexdigest()
+                self.path.append(f"{above}>{tag}{'.' + kind if kind else ''}")
                 self.tag.append(tag)
                 here = len(self.parent) - 1
             hidden = drop
             stack.append((tag, here, hidden))
-            anchors += tag == "a"
+            opened[tag] += 1
+            anchors = opened["a"]
         else:
             put(source[at:])
         flush()
@@ -132,10 +141,9 @@ class Page:
         unlinked text the deepest, then up to an article or main around it, or past parents that add little."""
         mass = [0] * len(self.parent)
         for node, text, linked in self.blocks:
-            n = max(0, len(text) - linked)
-            while node >= 0:
-                mass[node] += n
-                node = self.parent[node]
+            mass[node] += max(0, len(text) - linked)
+        for node in range(len(mass) - 1, 0, -1):  # parents come before their children
+            mass[self.parent[node]] += mass[node]
         if not mass[0]:
             return None
         depth = [0] * len(mass)
@@ -218,4 +226,5 @@ def extract(pages: DataFrame, html: str = "html", url: str = "url", key: str = "
 
 
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of all pages."""
     return extract(table(spark, sf_dir, "pages"))
