@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from strata.llm.common import stored, table
 
 RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block")]
-#: Known words of fewer characters don't split names.
-_SHORTEST = 3
+#: Known words of fewer characters don't split names. Longer ones than the second are looked up by their beginnings.
+_SHORTEST, _LONG = 3, 64
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
@@ -71,21 +71,39 @@ def host_words(hosts: DataFrame, paths: DataFrame) -> DataFrame:
     The unigram model counts the parts of all hosts (each once) and paths of the input that punctuation already
     separates. Names look up their own substrings in these counts by a join, so that the counts need not fit anywhere;
     each name then is split by itself. That a name occurs as a whole in hosts is no evidence of its being one word: it
-    stays whole by its count in paths, or where no other words make it up. Words and names of any length count."""
+    stays whole by its count in paths, or where no other words make it up. Words and names of any length count, but words
+    of one or two characters don't split names. A name of L characters is cut into L pieces for each length that words
+    have, up to 63, and L of 64 characters, which longer words must begin with."""
     names = hosts.select("host", F.posexplode(_tokens("host")).alias("at", "name"))
     seen = hosts.select(F.explode(_tokens("host")).alias("word"), F.lit(0).alias("path")).unionAll(paths.select(F.explode(_tokens("path")).alias("word"), F.lit(1).alias("path")))
-    counts = seen.groupBy("word").agg(F.count("*").alias("n"), F.sum("path").alias("in_paths"))
-    total, longest = counts.agg(F.coalesce(F.sum("n"), F.lit(1)), F.max(F.length("word"))).first()
-    distinct = names.select("name").distinct()
-    spans = distinct.select("name", F.explode(F.sequence(F.lit(1), F.length("name"))).alias("i"))
-    spans = spans.where(F.length("name") - F.col("i") + 1 >= _SHORTEST).select("name", "i", F.explode(F.sequence(F.lit(_SHORTEST), F.least(F.lit(longest or 0), F.length("name") - F.col("i") + 1))).alias("k"))
-    words = spans.select("name", F.col("name").substr(F.col("i"), F.col("k")).alias("word")).distinct().join(counts, "word")
-    words = words.withColumn("n", F.when(F.col("word") == F.col("name"), F.col("in_paths")).otherwise(F.col("n"))).where("n > 0")
-    parts = distinct.join(words.groupBy("name").agg(F.collect_list(F.struct("word", "n")).alias("known")), "name", "left")  # substrings of one name
+    counts = stored(seen.groupBy("word").agg(F.count("*").alias("n"), F.sum("path").alias("in_paths")), "word-counts")
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(1))).first()[0]
+    size = F.length("word")
+    lengths = [r[0] for r in counts.where((size >= _SHORTEST) & (size < _LONG)).select(size).distinct().collect()]  # 61 at most
+    distinct = names.select("name").distinct().select(F.xxhash64("name").alias("id"), "name")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for one, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for first in range(0, len(name), 10_000):
+                    places = range(first, min(len(name), first + 10_000))
+                    found = list({name[i : i + k] for k in (*lengths, _LONG) for i in places if i + k <= len(name)})
+                    for k in range(0, len(found), 50_000):
+                        part = found[k : k + 50_000]
+                        yield pa.RecordBatch.from_arrays([pa.array([one] * len(part), pa.int64()), pa.array(part, pa.string())], ["id", "head"])
+
+    # A name is cut into as many pieces as there are lengths of words, and into beginnings of long ones.
+    pieces = distinct.mapInArrow(cut, "id long, head string").distinct()
+    known = counts.where(size >= _SHORTEST).withColumn("head", F.substring("word", 1, _LONG))
+    words = pieces.join(known, "head").groupBy("id").agg(F.collect_list(F.struct("word", "n", "in_paths")).alias("known"))  # words inside one name
+    parts = distinct.join(words, "id", "left")
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [viterbi(name, {r["word"]: r["n"] for r in known or []}, total) for name, known in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            out = []
+            for name, known in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = {r["word"]: r["in_paths"] if r["word"] == name else r["n"] for r in known or [] if len(r["word"]) <= _LONG or r["word"] in name}
+                out.append(viterbi(name, {w: n for w, n in own.items() if n > 0}, total))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.string()))], ["name", "words"])
 
     split_names = parts.select("name", "known").mapInArrow(split, "name string, words array<string>")
