@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm.common import PUNCT, U64, mix, release, slices, small_batches, span_hashes, table, text_bytes, word_spans
+from strata.llm.common import PUNCT, U64, mix, release, slices, small_batches, span_hashes, stored, table, text_bytes, word_spans
 
 _STEP = 0xD6E8FEB86659FD93
 _UNSTEP = pow(_STEP, -1, 2**64)
@@ -119,19 +119,20 @@ def find(column: pa.Array, items: Items) -> list[tuple[int, int, int, int, int]]
     return out
 
 
-def blocks(items: DataFrame, rate: float, min_words: int, text: str, key: str, block_words: int) -> list[Items]:
-    """The items in blocks of about `block_words` words, each of which may be broadcast."""
+def blocks(items: DataFrame, rate: float, min_words: int, text: str, key: str, block_words: int) -> Iterator[tuple[bool, Items]]:
+    """The items in blocks of about `block_words` words, each of which may be broadcast, and whether there are others; the
+    driver has one at a time."""
     small_batches(items.sparkSession)
     rows = items.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text")).where("key is not null and text is not null")
     total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     n = total // (2 * block_words) + 1  # a word takes two characters at least, with the gap after it
-    out = []
     for b in range(n):
         part = rows.where(F.pmod(F.xxhash64("key", "text"), F.lit(n)) == b).distinct().orderBy("key", "text").toArrow().combine_chunks()
         if part.num_rows:
             words, begin = folded_words(part.column("text").combine_chunks())
-            out.append(Items(part.column("key").to_pylist(), [words[a:z] for a, z in zip(begin[:-1], begin[1:], strict=True)], rate, min_words))
-    return [x for x in out if x.pieces]
+            block = Items(part.column("key").to_pylist(), [words[a:z] for a, z in zip(begin[:-1], begin[1:], strict=True)], rate, min_words)
+            if block.pieces:
+                yield n > 1, block
 
 
 def contaminated(docs: DataFrame, items: DataFrame, rate: float = 0.2, min_words: int = 1, text: str = "text", key: str = "doc_id", item_text: str = "text", item_key: str = "item_id", block_words: int = 2_000_000) -> DataFrame:
@@ -145,7 +146,7 @@ def contaminated(docs: DataFrame, items: DataFrame, rate: float = 0.2, min_words
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
     schema = "key long, item long, n_errors int, first_word long, end_word long"
     found = None
-    for block in blocks(items, rate, min_words, item_text, item_key, block_words):
+    for more, block in blocks(items, rate, min_words, item_text, item_key, block_words):
         sent = docs.sparkSession.sparkContext.broadcast(block)
 
         def judge(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
@@ -156,6 +157,9 @@ def contaminated(docs: DataFrame, items: DataFrame, rate: float = 0.2, min_words
             release()
 
         one = rows.mapInArrow(judge, schema)
+        if more:  # one block after the other: what it finds is written, and it leaves the executors
+            one = stored(one, "leaks")
+            sent.destroy()
         found = one if found is None else found.unionAll(one)
     if found is None:
         found = docs.sparkSession.createDataFrame([], schema)
@@ -163,9 +167,10 @@ def contaminated(docs: DataFrame, items: DataFrame, rate: float = 0.2, min_words
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, rate: float = 0.2, min_words: int = 1, text: str = "text", item_text: str = "text", item_key: str = "item_id", block_words: int = 2_000_000) -> DataFrame:
-    """docs, all columns, without the rows that `contaminated` reports; no shuffle."""
+    """docs, all columns, without the rows that `contaminated` reports; no shuffle. Several blocks of items take a stored
+    table each."""
     place, schema = docs.columns.index(text), docs.schema
-    for block in blocks(items, rate, min_words, item_text, item_key, block_words):
+    for more, block in blocks(items, rate, min_words, item_text, item_key, block_words):
         sent = docs.sparkSession.sparkContext.broadcast(block)
 
         def keep(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
@@ -176,8 +181,12 @@ def decontaminated(docs: DataFrame, items: DataFrame, rate: float = 0.2, min_wor
             release()
 
         docs = docs.mapInArrow(keep, schema)
+        if more:
+            docs = stored(docs, "clean")
+            sent.destroy()
     return docs
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and benchmark item that it holds."""
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
