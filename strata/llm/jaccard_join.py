@@ -106,7 +106,7 @@ def pairs_of_keys(keys: np.ndarray, members: np.ndarray) -> tuple[np.ndarray, np
     run = np.repeat(np.arange(len(start)), size)
     many = size[run] > MANY
     u, v = [], []
-    for gap in range(1, MANY):
+    for gap in range(1, min(MANY, len(keys))):
         a = np.flatnonzero(~many[: len(keys) - gap] & (run[:-gap] == run[gap:]))
         u.append(members[a])
         v.append(members[a + gap])
