@@ -13,6 +13,7 @@ from strata.llm.jaccard_join import op5_jaccard_join
 from strata.llm.lm import op7_lm_scores
 from strata.llm.packing import op9_packing
 from strata.llm.prefix_trie import op12_prefix_trie
+from strata.llm.sql import OP5_SQL, OP11_SQL, OP12_SQL, OP13_SQL
 from strata.llm.superminhash import op13_superminhash
 from strata.llm.token_counts import op4_token_counts
 from strata.llm.token_files import op10_token_files
@@ -39,4 +40,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 #: None of SQL's functions reach the others' models and formats; tests/llm hold those against brute force.
 ORACLE: dict[str, str] = {
     "op2_topk_search": OP2_SQL,
+    "op5_jaccard_join": OP5_SQL,
+    "op11_conversation_repair": OP11_SQL,
+    "op12_prefix_trie": OP12_SQL,
+    "op13_superminhash": OP13_SQL,
 }
