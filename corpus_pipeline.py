@@ -13,22 +13,26 @@ from strata.llm.toxicity import held_out, train, without_toxic
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, fitted on the labelled ones that are not held out, doesn't reject."""
+    """Documents that the classifier, fitted on the labelled ones that are not held out, doesn't reject. Null and empty texts
+    score as texts without words and stay; repeated rows are judged each; an empty table stays empty."""
     return without_toxic(docs, train(docs, table(spark, sf_dir, "labels").where(~held_out())))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of the Jaccard join."""
+    """One document of each component of the Jaccard join: that of the least key, by key and text. Documents without words
+    or without key stay; of rows equal in key and text one stays; an empty table stays empty."""
     return one_per_component(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item. Null and empty texts hold none; null items are never found; rows equal in key and
+    text are judged alike; without items or documents nothing changes."""
     return decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents that are left, packed into sequences."""
+    """The pieces of all documents that are left, packed into sequences. Null and empty texts are their end token alone; a
+    document of any length is cut; no documents give no pieces."""
     return pack(docs, vocabulary("byte_bpe_50k.json"))
 
 

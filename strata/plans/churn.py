@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from strata.functions.parsing import truncate_at
@@ -109,13 +111,15 @@ feat AS (SELECT letter, cutoff, unit, events, week_1 + week_2 AS late_events, we
   FROM pop JOIN agg USING (letter, unit) JOIN um USING (letter, unit) JOIN uz USING (letter, unit) LEFT JOIN reg USING (letter, unit))"""
 
 
-def _features(spark, sf_dir, boarded=None):
-    """Features and labels from one stored table of tagged rows, which five branches read."""
-    tagged = stored(X.at_cutoffs(boardings(spark, sf_dir) if boarded is None else boarded, LARGE), "tagged")
+def _features(spark, sf_dir, boarded=None, letters=None):
+    """Features and labels from one stored table of tagged rows, which five branches read; of some cutoffs only, if letters
+    are given."""
+    clock = LARGE if letters is None else replace(LARGE, cutoffs=tuple(c for c in LARGE.cutoffs if c[0] in letters))
+    tagged = stored(X.at_cutoffs(boardings(spark, sf_dir) if boarded is None else boarded, clock), "tagged")
     nobody = spark.createDataFrame([], "unit long, since date")
     people = X.population(tagged, nobody, "unit")
-    past = X.history(registry_log(spark, sf_dir), LARGE, "unit")
-    return X.behaviour(people, tagged, past, "unit", WEEKS, MODES), X.labels(people, tagged, LARGE, "unit")
+    past = X.history(registry_log(spark, sf_dir), clock, "unit")
+    return X.behaviour(people, tagged, past, "unit", WEEKS, MODES), X.labels(people, tagged, clock, "unit")
 
 
 @query(f"WITH {_B} SELECT * FROM feat")
@@ -129,8 +133,8 @@ def weekly_cv(spark, sf_dir):
     return s.select("o_custkey", F.round(X.cv_of([F.col(f"w{i}") for i in range(4)]), 6).alias("cv"))
 
 
-def dataset(spark, sf_dir):
-    f, y = _features(spark, sf_dir)
+def dataset(spark, sf_dir, letters=None):
+    f, y = _features(spark, sf_dir, letters=letters)
     return f.join(y, ["letter", "cutoff", "unit"]).withColumn("reference_day", F.lit(LARGE.reference).cast("date")).withColumn("run_id", F.lit("run-1"))
 
 
@@ -176,7 +180,7 @@ def table_diff(spark, sf_dir):
     are left out and tenures that are a day longer."""
     whole = boardings(spark, sf_dir)
     cut = truncate_at(whole, "day", "1999-12-31")
-    a, b = (_features(spark, sf_dir, x)[0].where("letter = 'B'") for x in (whole, cut))
+    a, b = (_features(spark, sf_dir, x, "B")[0] for x in (whole, cut))
     planted = b.where("unit % 50 <> 0").withColumn("tenure", F.col("tenure") + (F.col("unit") % 50 == 1).cast("long"))
     return X.table_diff(a, planted, ["letter", "unit"])
 

@@ -20,7 +20,7 @@ KINDS = ["usual_mode", "profile"]
 
 
 def training(spark, sf_dir, letters=("A",)):
-    return stored(churn.dataset(spark, sf_dir).where(F.col("letter").isin(list(letters))), "training")
+    return stored(churn.dataset(spark, sf_dir, letters), "training")
 
 
 def scored(spark, sf_dir):

@@ -83,7 +83,8 @@ def files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def fingerprints(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """path, name, sha (SHA-256 of the content) and length of every file below a path. Files are read whole, one row each."""
+    """path, name, sha (SHA-256 of the content) and length of every file below a path. Files are read whole, one row each;
+    files without content have no row."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)
     return found.select("path", F.regexp_extract("path", "[^/]+$", 0).alias("name"), F.sha2("content", 256).alias("sha"), "length")
 
