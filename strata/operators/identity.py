@@ -53,8 +53,15 @@ def known_cards(seen: DataFrame, days: list[str]) -> DataFrame:
     return rows.groupBy("cutoff", "person").agg(F.array_join(F.array_sort(F.collect_list("name")), ",").alias("cards"), F.count("*").alias("n_cards"))
 
 
-def native_key_columns(outputs: dict[str, DataFrame], forbidden: list[str]) -> DataFrame:
-    """table, column: columns of outputs whose names are native keys."""
-    spark = next(iter(outputs.values())).sparkSession
-    found = [(t, c) for t, df in outputs.items() for c in df.columns if c.lower() in forbidden]
-    return spark.createDataFrame(found, "table string, column string")
+def native_key_values(outputs: dict[str, DataFrame], keys: DataFrame) -> DataFrame:
+    """table, column, n, native: for each column of text or whole numbers of some outputs its values and how many of them
+    are native keys (the only column of keys). What is to be published must have 0 everywhere. One pass and one join."""
+    long, kinds = None, ("string", "int", "bigint")
+    for name, df in outputs.items():
+        cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c, t in df.dtypes if t in kinds])
+        one = df.select(F.lit(name).alias("table"), F.inline(cells))
+        long = one if long is None else long.unionAll(one)
+    counts = long.where("value is not null").groupBy("table", "column", "value").agg(F.count("*").alias("n"))
+    known = keys.toDF("_key").select(F.col("_key").cast("string").alias("value"), F.lit(True).alias("native")).distinct()
+    met = counts.join(known, "value", "left")
+    return met.groupBy("table", "column").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("native"), F.col("n")).otherwise(0)).alias("native"))

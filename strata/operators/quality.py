@@ -57,10 +57,11 @@ def summary(labelled: dict[str, DataFrame]) -> DataFrame:
     for source, df in labelled.items():
         one = df.groupBy("rule_id").count().withColumn("source", F.lit(source))
         out = one if out is None else out.unionByName(one)
-    total = out.groupBy("source").agg(F.sum("count").alias("total"), F.sum(F.when(F.col("rule_id").isNotNull(), F.col("count")).otherwise(0)).alias("n"))
-    rows = out.where("rule_id is not null").select("source", "rule_id", F.col("count").alias("n")).join(total.select("source", "total"), "source")
-    both = rows.unionByName(total.select("source", F.lit("TOTAL").alias("rule_id"), "n", "total"))
-    return both.select("source", "rule_id", "n", "total", F.round(F.try_divide(F.lit(100.0) * F.col("n"), F.col("total")), 3).alias("pct"))
+    own, rejected = Window.partitionBy("source"), F.col("rule_id").isNotNull()  # a row a rule
+    sums = out.select("source", "rule_id", F.col("count").alias("n"), F.sum("count").over(own).alias("total"), F.sum(F.when(rejected, F.col("count")).otherwise(0)).over(own).alias("all"), F.row_number().over(own.orderBy("rule_id")).alias("place"))
+    both = F.filter(F.array(F.when(rejected, F.struct("rule_id", "n")), F.when(F.col("place") == 1, F.struct(F.lit("TOTAL").alias("rule_id"), F.col("all").alias("n")))), lambda x: x.isNotNull())
+    rows = sums.select("source", "total", F.inline(both))
+    return rows.select("source", "rule_id", "n", "total", F.round(F.try_divide(F.lit(100.0) * F.col("n"), F.col("total")), 3).alias("pct"))
 
 
 def unique(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -15,6 +15,8 @@ from strata.plans.tables import EV, events, table
 QUERIES, ORACLE, query = registry()
 DAILY = X.Clock((("A", "2024-01-11"), ("B", "2024-01-18"), ("C", "2024-01-29")), 7, 3, "2024-01-30")
 LARGE = X.Clock((("A", "1999-01-01"), ("B", "2000-01-01"), ("C", "2001-06-01")), 728, 180, "2001-08-01")
+_COLS = """events late_events week_1 week_2 week_3 week_4 active_days active_days_1 recency tenure active_weeks modes stations zones active_cards usual_mode usual_zone ratio weekly_cv mode_share_1 mode_share_2 mode_share_3 mode_share_4 peak_share
+weekend_share holiday_share transfer_share spend mean_amount mean_hour sd_hour closed_trips mean_minutes registry_events profile has_registry""".split()
 WEEKS = [(0, 182), (182, 364), (364, 546), (546, 728)]
 
 
@@ -43,9 +45,13 @@ lab AS (SELECT letter, cutoff, unit, CAST(CASE WHEN cutoff + 3 <= DATE '2024-01-
   FROM pop LEFT JOIN (SELECT DISTINCT letter, unit FROM tag WHERE part = 'horizon') b USING (letter, unit))"""
 
 
-@query(f"WITH {_cuts(DAILY)} SELECT letter, cutoff, cutoff - 7 AS first_day, cutoff + 2 AS last_day FROM cut")
+@query(f"WITH {_P} SELECT cut.letter, cut.cutoff, cut.cutoff - 7 AS first_day, cut.cutoff + 2 AS last_day, count(*) FILTER (part = 'window') AS in_window, count(*) FILTER (part = 'horizon') AS in_horizon, cut.cutoff + 3 <= DATE '2024-01-31' AS observed FROM cut LEFT JOIN tag ON tag.letter = cut.letter GROUP BY cut.letter, cut.cutoff")
 def cutoffs(spark, sf_dir):
-    return X.cutoffs(spark, DAILY).select("letter", "cutoff", F.date_sub("cutoff", DAILY.window).alias("first_day"), F.date_add("cutoff", DAILY.horizon - 1).alias("last_day"))
+    """The cutoffs with their spans, the events in these, and whether the horizon was observed to its end."""
+    seen = X.at_cutoffs(purchases(spark, sf_dir), DAILY).groupBy("letter").agg(F.count_if(F.col("part") == "window").alias("in_window"), F.count_if(F.col("part") == "horizon").alias("in_horizon"))
+    whole = F.date_add("cutoff", DAILY.horizon) <= F.date_add(F.lit(DAILY.reference).cast("date"), 1)
+    rows = X.cutoffs(spark, DAILY).join(seen, "letter", "left")
+    return rows.select("letter", "cutoff", F.date_sub("cutoff", DAILY.window).alias("first_day"), F.date_add("cutoff", DAILY.horizon - 1).alias("last_day"), F.coalesce("in_window", F.lit(0)).alias("in_window"), F.coalesce("in_horizon", F.lit(0)).alias("in_horizon"), whole.alias("observed"))
 
 
 @query(f"WITH {_P} SELECT letter, event_id, unit, part, days FROM tag")
@@ -156,11 +162,16 @@ def user_features(spark, sf_dir):
     return o.groupBy("unit").agg(*[c.alias(f"n_{w}") for w, c in n.items()], (n[30] - F.count_if((d > 30) & (d <= 60))).alias("trend"), F.min("days").cast("long").alias("recency"), F.max("days").cast("long").alias("tenure"), F.countDistinct("mode").alias("modes"), F.round(F.sum(F.round(F.col("amount") * 100).cast("long")) / 100, 6).alias("spend"), (F.min("days") <= 90).alias("is_active"))
 
 
-@query("""SELECT * FROM (VALUES ('weekly_cv', 'not described'), ('gone', 'no such column')) t("column", problem)""")
+@query(f"""WITH {_B}, v AS (SELECT unnest([{", ".join("{'c': '" + c + "', 'v': " + c + " IS NOT NULL}" for c in ["letter", "cutoff", "unit", *_COLS])}]) AS x FROM feat)
+SELECT x.c AS "column", CASE WHEN x.c = 'weekly_cv' THEN 'not described' END AS problem, count(*) FILTER (x.v) AS filled, count(*) AS n FROM v GROUP BY 1 UNION ALL SELECT 'gone', 'no such column', 0, (SELECT count(*) FROM feat)""")
 def dictionary_coverage(spark, sf_dir):
-    f = churn_features(spark, sf_dir)
+    """Every feature with its values that are there, and what the dictionary lacks or has too much."""
+    f = stored(churn_features(spark, sf_dir), "features")
     described = [(c, f"feature {c}") for c in f.columns if c != "weekly_cv"] + [("gone", "")]
-    return X.dictionary_gaps(spark.createDataFrame(described, "column string, description string"), f)
+    gaps = X.dictionary_gaps(spark.createDataFrame(described, "column string, description string"), f)
+    one = f.agg(F.count("*").alias("n"), *[F.count(c).alias(c) for c in f.columns])
+    filled = one.unpivot(["n"], f.columns, "column", "filled")
+    return filled.join(gaps, "column", "full").select("column", "problem", F.coalesce("filled", F.lit(0)).alias("filled"), F.coalesce("n", F.lit(f.count())).alias("n"))
 
 
 @query("SELECT o_custkey AS unit, count(*) AS all_events, max(CAST(o_orderdate AS DATE)) AS last_day, count(DISTINCT o_orderpriority) AS all_modes FROM orders GROUP BY 1")
@@ -169,10 +180,6 @@ def leaky_features(spark, sf_dir):
     return boardings(spark, sf_dir).groupBy("unit").agg(F.count("*").alias("all_events"), F.max("day").alias("last_day"), F.countDistinct("mode").alias("all_modes"))
 
 
-_COLS = """events late_events week_1 week_2 week_3 week_4 active_days active_days_1 recency tenure active_weeks modes stations zones active_cards usual_mode usual_zone ratio weekly_cv mode_share_1 mode_share_2 mode_share_3 mode_share_4 peak_share
-weekend_share holiday_share transfer_share spend mean_amount mean_hour sd_hour closed_trips mean_minutes registry_events profile has_registry""".split()
-
-
 @query(f"""WITH {_B}, b AS (SELECT unit FROM feat WHERE letter = 'B') SELECT measure, CASE measure WHEN 'only_left' THEN (SELECT count(*) FROM b WHERE unit % 50 = 0) WHEN 'tenure' THEN (SELECT count(*) FROM b WHERE unit % 50 = 1) ELSE 0 END AS n
 FROM (SELECT unnest({["only_left", "only_right", "cutoff", *_COLS]}) AS measure)""")
 def table_diff(spark, sf_dir):

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strata.functions.storage import stored
+from strata.functions.storage import scratch, stored
 from strata.operators import cdc, marts
 from strata.plans.register import registry
 from strata.plans.silver import UNIFIED, unified
-from strata.plans.tables import EV, LOG, TRIPS, change_log, events, table, trips
+from strata.plans.tables import EV, LOG, REFERENCE_DAY, TRIPS, change_log, events, table, trips
+from strata.sources import raw
 
 QUERIES, ORACLE, query = registry()
 #: Hours of each band, and which are peak (fixed values).
@@ -91,6 +92,30 @@ def fact(spark, sf_dir):
     return joined.select("event_id", F.col("user_id").alias("card"), F.col("event_type").alias("mode"), F.col("k").alias("station"), "zone", "day", "hour", (F.date_format("day", "yyyyMMdd").cast("long") * 100 + F.col("hour")).alias("time_key"), "band", "is_peak", working.alias("working_day"), F.col("value").alias("amount"))
 
 
+_BUILT: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def built(spark, sf_dir, name, make):
+    """A gold table, built once a session and read from then on, as dashboards do; by day and sorted within if it has days."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _BUILT:
+        df, path = make(spark, sf_dir), scratch(spark, f"gold-{name}")
+        if "day" in df.columns:
+            raw.write_partitioned(df, path, "day", [c for c in ("zone", "card") if c in df.columns])
+        else:
+            df.write.parquet(path)
+        _BUILT[key] = spark.read.schema(df.schema).parquet(path).select(*df.columns)
+    return _BUILT[key]
+
+
+def gold_fact(spark, sf_dir):
+    return built(spark, sf_dir, "fact", fact)
+
+
+def gold_multimodal(spark, sf_dir):
+    return built(spark, sf_dir, "multimodal", agg_multimodal)
+
+
 FACT = f"""{EV}, {BANDS_SQL}, {HOL_SQL}, fct AS (SELECT event_id, user_id AS card, event_type AS mode, k AS station, zone, day, CAST(extract(hour FROM ts) AS INTEGER) AS hour,
   CAST(strftime(day, '%Y%m%d') AS BIGINT) * 100 + extract(hour FROM ts) AS time_key, band, is_peak, hday IS NULL AND isodow(day) < 6 AS working_day, value AS amount
   FROM ev LEFT JOIN bands ON bands.hour = extract(hour FROM ts) LEFT JOIN hol ON hday = day)"""
@@ -160,7 +185,7 @@ def agg_coverage(spark, sf_dir):
 @query(f"""WITH {FACT}, p AS (SELECT zone, count(*) FILTER (mode = 'purchase') AS purchase, count(*) FILTER (mode = 'view') AS view, count(*) FILTER (mode = 'click') AS click, count(*) AS total FROM fct GROUP BY 1)
 SELECT *, round(100.0::DOUBLE * click / total, 4) AS click_pct, rank() OVER (ORDER BY click DESC, zone) AS place FROM p""")
 def agg_zone_pivot(spark, sf_dir):
-    wide = fact(spark, sf_dir).groupBy("zone").agg(*[F.count_if(F.col("mode") == m).alias(m) for m in ("purchase", "view", "click")], F.count("*").alias("total"))
+    wide = gold_fact(spark, sf_dir).groupBy("zone").agg(*[F.count_if(F.col("mode") == m).alias(m) for m in ("purchase", "view", "click")], F.count("*").alias("total"))
     return wide.withColumn("click_pct", F.round(F.lit(100.0) * F.col("click") / F.col("total"), 4)).withColumn("place", F.rank().over(Window.orderBy(F.desc("click"), "zone")).cast("long"))
 
 
@@ -182,7 +207,7 @@ def mode_tiebreak(spark, sf_dir):
 @query(f"""WITH {_MULTI}, c AS (SELECT modes, mode_list, count(*) AS n FROM multi GROUP BY ALL), s AS (SELECT modes, sum(n)::BIGINT AS persons, arg_min(mode_list, (-n, mode_list)) AS usual FROM c GROUP BY modes)
 SELECT modes, persons, round(100.0::DOUBLE * persons / sum(persons) OVER (), 4) AS pct, usual FROM s""")
 def agg_multimodal_summary(spark, sf_dir):
-    c = agg_multimodal(spark, sf_dir).groupBy("modes", "mode_list").agg(F.count("*").alias("n"))
+    c = gold_multimodal(spark, sf_dir).groupBy("modes", "mode_list").agg(F.count("*").alias("n"))
     s = c.groupBy("modes").agg(F.sum("n").alias("persons"), F.min_by("mode_list", F.struct(-F.col("n"), "mode_list")).alias("usual"))
     return s.select("modes", "persons", F.round(F.lit(100.0) * F.col("persons") / F.sum("persons").over(whole()), 4).alias("pct"), "usual")
 
@@ -190,7 +215,7 @@ def agg_multimodal_summary(spark, sf_dir):
 @query(f"""WITH {FACT} SELECT CASE WHEN grouping(mode) = 1 THEN 'GRAND TOTAL' ELSE mode END AS mode, CASE WHEN grouping(mode) = 1 THEN 'ALL' WHEN grouping(hour) = 1 THEN 'SUBTOTAL' ELSE CAST(hour AS VARCHAR) END AS hour, count(*) AS boardings,
   round(100.0::DOUBLE * count(*) / (SELECT count(*) FROM fct), 4) AS pct FROM fct GROUP BY ROLLUP (mode, hour)""")
 def q_rollup_labels(spark, sf_dir):
-    r = fact(spark, sf_dir).rollup("mode", "hour").agg(F.count("*").alias("boardings"), F.grouping("mode").alias("gm"), F.grouping("hour").alias("gh"))
+    r = gold_fact(spark, sf_dir).rollup("mode", "hour").agg(F.count("*").alias("boardings"), F.grouping("mode").alias("gm"), F.grouping("hour").alias("gh"))
     total = F.max(F.when(F.col("gm") == 1, F.col("boardings"))).over(whole())
     hour = F.when(F.col("gm") == 1, "ALL").when(F.col("gh") == 1, "SUBTOTAL").otherwise(F.col("hour").cast("string"))
     return r.select(F.when(F.col("gm") == 1, "GRAND TOTAL").otherwise(F.col("mode")).alias("mode"), hour.alias("hour"), "boardings", F.round(F.lit(100.0) * F.col("boardings") / total, 4).alias("pct"))
@@ -216,7 +241,7 @@ def q_coverage(spark, sf_dir):
 @query(f"""WITH {_MULTI}, a AS (SELECT 'summary' AS level, CAST(modes AS VARCHAR) AS name, count(*) AS n FROM multi GROUP BY 2 UNION ALL SELECT 'combination', mode_list, count(*) FROM multi WHERE modes >= 2 GROUP BY 2)
 SELECT *, round(100.0::DOUBLE * n / sum(n) OVER (PARTITION BY level), 4) AS pct FROM a""")
 def q_two_level(spark, sf_dir):
-    m = agg_multimodal(spark, sf_dir)
+    m = gold_multimodal(spark, sf_dir)
     a = m.groupBy(F.col("modes").cast("string").alias("name")).agg(F.count("*").alias("n")).withColumn("level", F.lit("summary"))
     b = m.where("modes >= 2").groupBy(F.col("mode_list").alias("name")).agg(F.count("*").alias("n")).withColumn("level", F.lit("combination"))
     return a.unionByName(b).select("level", "name", "n", F.round(F.lit(100.0) * F.col("n") / F.sum("n").over(Window.partitionBy("level")), 4).alias("pct"))
@@ -227,7 +252,7 @@ SELECT (SELECT count(*) FROM orders WHERE o_orderpriority LIKE '1%') AS in_group
   count(*) AS closed, round(100.0::DOUBLE * count(*) FILTER (f <> g) / count(*), 4) AS change_pct FROM t""")
 def q_share_of_group(spark, sf_dir):
     o = table(spark, sf_dir, "orders").agg(F.count_if(F.col("o_orderpriority").startswith("1")).alias("in_group"), F.count("*").alias("total"))
-    od = fct_trip_od(spark, sf_dir).where("minutes is not null and from_zone is not null and to_zone is not null").agg(F.count("*").alias("closed"), F.count_if("changes_zone").alias("c"))
+    od = built(spark, sf_dir, "trip-od", fct_trip_od).where("minutes is not null and from_zone is not null and to_zone is not null").agg(F.count("*").alias("closed"), F.count_if("changes_zone").alias("c"))
     return o.crossJoin(od).select("in_group", "total", F.round(F.lit(100.0) * F.col("in_group") / F.col("total"), 4).alias("pct"), "closed", F.round(F.lit(100.0) * F.col("c") / F.col("closed"), 4).alias("change_pct"))
 
 
@@ -254,7 +279,7 @@ def q_lineage(spark, sf_dir):
 s AS (SELECT zone, mode, station, count(*) AS n FROM fct SEMI JOIN m USING (zone, card) GROUP BY ALL), b AS (SELECT zone, mode, arg_min(station, (-n, station)) AS busiest FROM s GROUP BY ALL),
 l AS (SELECT zone, string_agg(mode || '=' || busiest, ';' ORDER BY mode) AS stations FROM b GROUP BY 1) SELECT zone, persons, stations, rank() OVER (ORDER BY persons DESC, zone) AS place FROM z JOIN l USING (zone)""")
 def q_transfer_candidate(spark, sf_dir):
-    f = fact(spark, sf_dir)
+    f = gold_fact(spark, sf_dir)
     m = f.groupBy("zone", "card").agg(F.countDistinct("mode").alias("d")).where("d >= 2").select("zone", "card")
     busiest = marts.mode_of(f.join(m, ["zone", "card"], "left_semi"), ["zone", "mode"], "station", "busiest")
     names = busiest.groupBy("zone").agg(F.array_sort(F.collect_list(F.struct("mode", "busiest"))).alias("x")).select("zone", F.array_join(F.transform("x", lambda s: F.concat(s["mode"], F.lit("="), s["busiest"].cast("string"))), ";").alias("stations"))
@@ -265,7 +290,7 @@ def q_transfer_candidate(spark, sf_dir):
 @query(f"""WITH {_MULTI} SELECT count(*) FILTER (mode_list = 'order') AS only_orders, count(*) FILTER (mode_list LIKE '%click%' AND mode_list LIKE '%view%') AS click_and_view, count(*) FILTER (modes >= 2) AS two_or_more FROM multi""")
 def q_set_facts(spark, sf_dir):
     m = F.col("mode_list")
-    return agg_multimodal(spark, sf_dir).agg(F.count_if(m == "order").alias("only_orders"), F.count_if(m.contains("click") & m.contains("view")).alias("click_and_view"), F.count_if(F.col("modes") >= 2).alias("two_or_more"))
+    return gold_multimodal(spark, sf_dir).agg(F.count_if(m == "order").alias("only_orders"), F.count_if(m.contains("click") & m.contains("view")).alias("click_and_view"), F.count_if(F.col("modes") >= 2).alias("two_or_more"))
 
 
 _MONTH = "WITH m AS (SELECT event_type AS mode, count(*) AS n FROM events WHERE ts >= '2024-01-01' AND ts < '2024-02-01' GROUP BY ROLLUP (event_type)) SELECT coalesce(mode, 'TOTAL') AS mode, n FROM m"
@@ -279,7 +304,7 @@ def q_two_paths_a(spark, sf_dir):
 
 @query(_MONTH)
 def q_two_paths_b(spark, sf_dir):
-    d = agg_demand(spark, sf_dir).where(F.date_format("day", "yyyy-MM") == "2024-01")
+    d = built(spark, sf_dir, "demand", agg_demand).where(F.date_format("day", "yyyy-MM") == "2024-01")
     by = d.groupBy("mode").agg(F.sum("boardings").alias("n"))
     return by.unionAll(by.agg(F.lit("TOTAL").alias("mode"), F.sum("n").alias("n")))
 
@@ -318,3 +343,18 @@ def q_unit_cost(spark, sf_dir):
     j = w.join(h.select("card", F.lit(True).alias("cb")), "card", "left").join(h.select("person", F.lit(True).alias("pb")).distinct(), "person", "left")
     one = j.agg(F.count("*").alias("cards"), F.countDistinct("person").alias("persons"), F.count_if(F.col("cb").isNull()).alias("cards that left"), F.count_if(F.col("cb").isNull() & F.col("pb").isNotNull()).alias("false departures"))
     return one.unpivot([], one.columns, "block", "n")
+
+
+@query(f"""WITH {FACT}, z AS (SELECT zone, count(*) AS boardings, count(*) FILTER (is_peak) AS peak, count(DISTINCT card) FILTER (day > DATE '2024-01-01' AND day <= DATE '2024-01-31') AS active, count(*) FILTER (day >= DATE '2024-01-01' AND day < DATE '2024-02-01') AS month, sum(round(amount * 100)::BIGINT)::BIGINT AS cents FROM fct GROUP BY 1)
+SELECT zone, boardings, round(100.0::DOUBLE * boardings / sum(boardings) OVER (), 4) AS pct, round(peak::DOUBLE / boardings, 6) AS peak_share, active, month, cents FROM z""")
+def q_measures(spark, sf_dir):
+    """The dashboard's measures by zone: share of all boardings, share at peak hours, cards of the last 30 days, the month's
+    boardings, amount in cents."""
+    day = lambda d: F.lit(d).cast("date")
+    recent = (F.col("day") > day("2024-01-01")) & (F.col("day") <= day(REFERENCE_DAY))
+    z = gold_fact(spark, sf_dir).groupBy("zone").agg(
+        F.count("*").alias("boardings"), F.count_if("is_peak").alias("peak"), F.countDistinct(F.when(recent, F.col("card"))).alias("active"),
+        F.count_if((F.col("day") >= day("2024-01-01")) & (F.col("day") < day("2024-02-01"))).alias("month"), F.sum(F.round(F.col("amount") * 100).cast("long")).alias("cents"),
+    )
+    share = F.round(F.lit(100.0) * F.col("boardings") / F.sum("boardings").over(whole()), 4)
+    return z.select("zone", "boardings", share.alias("pct"), F.round(F.col("peak") / F.col("boardings"), 6).alias("peak_share"), "active", "month", "cents")

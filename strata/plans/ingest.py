@@ -110,6 +110,17 @@ def bronze_register(spark, sf_dir):
     return raw.register(spark, known | {"missing": (f"{sf_dir}/missing.parquet", known["events"][1])})
 
 
+#: Sources as they are declared: file, logical source and route (fixed values). One has not come yet.
+CATALOG = [("events.parquet", "boardings", "streaming"), ("orders.parquet", "recharges", "batch"), ("customer.parquet", "registry", "cdc"), ("lineitem.parquet", "trips", "batch"), ("tickets.parquet", "tickets", "batch")]
+
+
+@query("""WITH c AS (SELECT 'events.parquet' AS file, 'boardings' AS source, 'streaming' AS route, (SELECT count(*) FROM events) AS n_rows UNION ALL SELECT 'orders.parquet', 'recharges', 'batch', (SELECT count(*) FROM orders) UNION ALL SELECT 'customer.parquet', 'registry', 'cdc', (SELECT count(*) FROM customer)
+UNION ALL SELECT 'lineitem.parquet', 'trips', 'batch', (SELECT count(*) FROM lineitem) UNION ALL SELECT 'tickets.parquet', 'tickets', 'batch', NULL) SELECT file, source, route, n_rows IS NOT NULL AS present, coalesce(n_rows, 0) AS n_rows FROM c""")
+def source_catalog(spark, sf_dir):
+    """The declared sources with what is there: a source without file counts no rows."""
+    return raw.catalogued(spark, sf_dir, CATALOG)
+
+
 @query("SELECT event_type AS source, '2024-01-31' AS ingest_date, count(*) AS n FROM events GROUP BY 1")
 def sink_bronze(spark, sf_dir):
     path = scratch(spark, "bronze")

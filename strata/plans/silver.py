@@ -190,6 +190,10 @@ def surrogate_keys(spark, sf_dir):
     return table(spark, sf_dir, "supplier").select("s_suppkey", F.sha2(F.concat(F.lit("supplier|"), F.col("s_suppkey").cast("string")), 256).alias("station_key"), F.sha2(F.concat(F.lit("tables|supplier.parquet|"), F.coalesce(named, F.lit(""))), 256).alias("source_key")).distinct()
 
 
-@query("SELECT 'user_directory' AS \"table\", 'card' AS \"column\"")
+@query(f"""WITH {_DIR}, k AS (SELECT user_id AS k FROM events UNION SELECT c_custkey FROM customer), l AS (SELECT 'user_directory' AS t, unnest([{{'c': 'mode', 'v': mode}}, {{'c': 'card', 'v': CAST(card AS VARCHAR)}}, {{'c': 'link_method', 'v': link_method}}, {{'c': 'card_key', 'v': card_key}}, {{'c': 'person_key', 'v': person_key}}, {{'c': 'segment', 'v': segment}}]) AS x FROM dir
+UNION ALL SELECT 'pseudonyms', {{'c': 'pseudonym', 'v': {_hmac('CAST(c_custkey AS VARCHAR)')}}} FROM customer)
+SELECT t AS "table", x.c AS "column", count(x.v) AS n, count(*) FILTER (x.v IN (SELECT CAST(k AS VARCHAR) FROM k)) AS native FROM l WHERE x.v IS NOT NULL GROUP BY ALL""")
 def guard_native_keys(spark, sf_dir):
-    return identity.native_key_columns({"user_directory": _directory(spark, sf_dir), "pseudonyms": hmac_pseudonym(spark, sf_dir).select("pseudonym")}, ["card", "c_custkey", "user_id"])
+    """Values of each published column that are card numbers: all of the directory's inner `card`, none of the rest."""
+    cards = table(spark, sf_dir, "events").select("user_id").unionAll(table(spark, sf_dir, "customer").select("c_custkey"))
+    return identity.native_key_values({"user_directory": _directory(spark, sf_dir), "pseudonyms": hmac_pseudonym(spark, sf_dir).select("pseudonym")}, cards)

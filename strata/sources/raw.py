@@ -27,6 +27,17 @@ def read_envelopes(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(ENVELOPE).json(path)
 
 
+def catalogued(spark: SparkSession, folder: str, catalog: list[tuple[str, str, str]]) -> DataFrame:
+    """file, source, route, present, n_rows of each declared source (Parquet) of a folder."""
+    rows = None
+    for file, source, route in catalog:
+        there = exists(spark, f"{folder}/{file}")
+        count = spark.read.parquet(f"{folder}/{file}").agg(F.count("*").alias("n_rows")) if there else spark.range(1).select(F.lit(0).cast("long").alias("n_rows"))
+        one = count.select(F.lit(file).alias("file"), F.lit(source).alias("source"), F.lit(route).alias("route"), F.lit(there).alias("present"), "n_rows")
+        rows = one if rows is None else rows.unionAll(one)
+    return rows
+
+
 def with_lineage(df: DataFrame) -> DataFrame:
     """The file that each row was read from, and its base name."""
     path = F.col("_metadata.file_path")
