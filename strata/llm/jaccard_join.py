@@ -349,11 +349,11 @@ def _few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(FEW + 1).count() <= FEW else df
 
 
-def linked_classes(rows: DataFrame, own: DataFrame, pairs: DataFrame, members: DataFrame, percent: int, width: int) -> DataFrame:
+def linked_classes(rows: DataFrame, own: DataFrame, pairs: DataFrame, members: DataFrame, percent: int, width: int, group: Callable[[DataFrame], DataFrame] = components) -> DataFrame:
     """key, n_shingles and component_id of all documents, with hash and component (a name that no other component has, null
     without shingles), from candidates. rows: text, hash (of the text). own: key, n_shingles, class (of equal sets), hash.
     pairs: u, v, classes to compare. members: key, member, classes that meet under one key in numbers; pairs link them by
-    stars only, and where that leaves several components they are compared block by block."""
+    stars only, and where that leaves several components they are compared block by block. group: components of edges."""
     sources = stored(own.where("n_shingles > 0").groupBy("class").agg(F.min("hash").alias("hash")), "sources")
 
     def gather(linked: DataFrame, kind: str, content) -> DataFrame:
@@ -378,7 +378,7 @@ def linked_classes(rows: DataFrame, own: DataFrame, pairs: DataFrame, members: D
 
     sketches = gather(pairs, "sketch", dense_sketch)
     edges = check(stored(_likely(pairs, sketches, percent), "likely"))
-    parts = stored(components(edges), "parts")
+    parts = stored(group(edges), "parts")
     tested = pairs
     for forest in (True, False):  # at first a few links, which mostly suffice, then whatever is still open
         near = stored(_doubts(members, parts, sketches, percent, forest), "near")
@@ -389,7 +389,7 @@ def linked_classes(rows: DataFrame, own: DataFrame, pairs: DataFrame, members: D
         more = check(doubts) if doubts.limit(1).count() else doubts
         if more.limit(1).count():
             edges = edges.unionAll(more)
-            parts = stored(components(edges), "parts")
+            parts = stored(group(edges), "parts")
     classes = own.where("n_shingles > 0").groupBy("class").agg(F.min("key").alias("least"))
     joined = classes.join(parts.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     least = joined.groupBy("component").agg(F.min("least").alias("component_id"))
@@ -399,7 +399,7 @@ def linked_classes(rows: DataFrame, own: DataFrame, pairs: DataFrame, members: D
     return linked.unionAll(alone)
 
 
-def keyed_components(docs: DataFrame, percent: int, width: int, key: str, text: str, bucket_chars: int, offers: Callable[[int], Offer]) -> DataFrame:
+def keyed_components(docs: DataFrame, percent: int, width: int, key: str, text: str, bucket_chars: int, offers: Callable[[int], Offer], group: Callable[[DataFrame], DataFrame] = components) -> DataFrame:
     """What linked_classes gives for documents, whose sets are candidates where they offer the same key. offers: for the
     most shingles that a text can have, what gives a set's keys."""
     small_batches(docs.sparkSession)
@@ -410,7 +410,7 @@ def keyed_components(docs: DataFrame, percent: int, width: int, key: str, text:
     own = found.where(F.col("kind") == _DOC).select(F.col("a").alias("key"), F.col("b").alias("n_shingles"), F.col("c").alias("class"), F.col("d").alias("hash"))
     pairs = stored(found.where(F.col("kind") == _PAIR).select(F.col("a").alias("u"), F.col("b").alias("v")).distinct(), "pairs")
     members = found.where(F.col("kind") == _MEMBER).select(F.col("a").alias("key"), F.col("b").alias("member")).distinct()
-    return linked_classes(rows, own, pairs, members, percent, width)
+    return linked_classes(rows, own, pairs, members, percent, width, group)
 
 
 def _parts(percent: int) -> Callable[[int], Offer]:

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.llm.common import U64, mix, table
+from strata.llm.components import union_find
 from strata.llm.jaccard_join import keyed_components
 
 #: Places of a signature and of a band: two sets of similarity 0.8 agree in no band with a probability of 5e-8.
@@ -80,7 +81,7 @@ def near_copies(docs: DataFrame, percent: int = 80, width: int = 4, key: str = "
     found by bands, and missed with a probability of 5e-8 each at the threshold, less above. No bucket is capped: of a
     band's bucket all members meet the least one, and those that are then still apart are compared block by block. Keys
     travel packed, 48 bits of each."""
-    found = keyed_components(docs, percent, width, key, text, 8_000_000, lambda _: offered)
+    found = keyed_components(docs, percent, width, key, text, 8_000_000, lambda _: offered, union_find)
     return found.select(F.col("key").alias(key), "n_shingles", "component_id", (F.col("key") == F.col("component_id")).alias("kept"))
 
 

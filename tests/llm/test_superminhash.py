@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strata.llm import html_text, jaccard_join, superminhash, url_filter
+from strata.llm import components, html_text, jaccard_join, superminhash, url_filter
 from strata.llm.common import U64, mix
 
 
@@ -128,3 +128,34 @@ def test_long_hosts_are_split_like_others(spark):
         want[h] = [w for name in re.findall("[a-z]+", h) for w in url_filter.viterbi(name, {w: (in_paths[w] if w == name else n) for w, n in counts.items() if len(w) >= 3 and w in name and (w != name or in_paths[w])}, total)]
     got = {r.host: r.words for r in url_filter.host_words(df, paths).collect()}
     assert got == want and got[hosts[0]][-2:] == ["casino", "org"] and got[hosts[3]][:2] == ["ab" * 100, "x"]
+
+
+def least_reachable(edges):
+    near = defaultdict(set)
+    for u, v in edges:
+        near[u].add(v)
+        near[v].add(u)
+    out = {}
+    for start in sorted(near):
+        if start not in out:
+            todo = [start]
+            while todo:
+                x = todo.pop()
+                if x not in out:
+                    out[x] = start
+                    todo += near[x]
+    return out
+
+
+def test_union_find_and_stars_find_the_same_components(spark):
+    rng = random.Random(8)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(160)] + [(k, k + 1) for k in range(1000, 1200)] + [(5000, k) for k in range(5001, 5100)] + [(7, 7), (-3, 400)]
+    want = least_reachable((u, v) for u, v in edges if u != v)
+    df = spark.createDataFrame(edges, "u long, v long")
+    for size in (1_000_000, 50):
+        found = [tuple(r) for r in components.union_find(df, task_edges=size).collect()]
+        assert dict(found) == want and len(found) == len(want)
+    assert components.union_find(df.limit(0)).count() == 0
+    u, v = (np.array(x) for x in zip(*[e for e in edges if e[0] != e[1]]))
+    nodes, roots = components.joined(u, v)
+    assert {n: r for n, r in want.items() if n != r} == dict(zip(nodes.tolist(), roots.tolist()))
