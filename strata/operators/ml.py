@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
@@ -131,18 +131,16 @@ def logistic(regularisation: float, mix: float, n: int, label: str = "label") ->
     return LogisticRegression(featuresCol="features", labelCol=label, regParam=regularisation / n, elasticNetParam=mix, maxIter=60, standardization=False)
 
 
-def boosted(depth: int, rounds: int, rate: float, label: str = "label") -> GBTClassifier:
-    return GBTClassifier(featuresCol="features", labelCol=label, maxDepth=depth, maxIter=rounds, stepSize=rate, seed=1)
-
-
 def forest(trees: int, label: str = "label") -> RandomForestClassifier:
     return RandomForestClassifier(featuresCol="features", labelCol=label, numTrees=trees, minInstancesPerNode=5, maxDepth=10, seed=1)
 
 
-def coefficients(model: PipelineModel, features: DataFrame, top: int) -> DataFrame:
-    """Names and weights of the strongest coefficients on each side, from the feature vector's own metadata."""
+def coefficients(model: PipelineModel, features: DataFrame, top: int, parts: dict[str, list[str]] | None = None) -> DataFrame:
+    """Names and weights of the strongest coefficients on each side, from the feature vector's own metadata. parts: for
+    vector columns that keep no names (scaled ones) the names of what they hold, in order."""
     attrs = features.schema["features"].metadata["ml_attr"]["attrs"]
     names = {a["idx"]: a.get("name", str(a["idx"])) for group in attrs.values() for a in group}
-    weights = sorted((float(w), names.get(i, str(i))) for i, w in enumerate(model.stages[-1].coefficients))
+    inside = {f"{column}_{k}": name for column, own in (parts or {}).items() for k, name in enumerate(own)}
+    weights = sorted((float(w), inside.get(names.get(i, str(i)), names.get(i, str(i)))) for i, w in enumerate(model.stages[-1].coefficients))
     chosen = [(n, w, "negative") for w, n in weights[:top]] + [(n, w, "positive") for w, n in weights[-top:][::-1]]
     return features.sparkSession.createDataFrame(chosen, "feature string, weight double, side string")

@@ -158,7 +158,7 @@ def _fitted(spark, sf_dir):
 @query()
 def ml_coefficients(spark, sf_dir):
     df, model = _fitted(spark, sf_dir)
-    return ml.coefficients(model, model.transform(df), 3)
+    return ml.coefficients(model, model.transform(df), 5, {"numbers": NUMBERS})
 
 
 @query()

@@ -70,6 +70,13 @@ def test_all_models_scores_equal_each_models_own(spark, people):
             assert got[r.unit, k] == pytest.approx(r.p, abs=1e-6)
 
 
+def test_coefficients_bear_the_features_names(spark, people):
+    df, pre = ml.prepared(people, ["x", "noise"], ["kind"])
+    model = Pipeline(stages=[*pre.getStages(), ml.logistic(1.0, 0.0, 240)]).fit(df)
+    got = [tuple(r) for r in ml.coefficients(model, model.transform(df), 1, {"numbers": ["x", "noise"]}).collect()]
+    assert got[1][0] == "x" and got[1][2] == "positive" and got[1][1] > 1 > got[0][1]
+
+
 def test_ties_go_to_the_larger_lambda(spark):
     t = spark.createDataFrame([("a", 1.0, 0.5), ("a", 2.0, 0.5), ("a", 3.0, 0.4), ("b", 1.0, 0.1)], "penalty string, lambda double, mean_ap double")
     got = {(r.penalty, r["lambda"]) for r in selection.choose(t, "mean_ap", F.col("lambda"), by=["penalty"]).where("is_best").collect()}
