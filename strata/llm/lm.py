@@ -107,13 +107,48 @@ def _shard(hashes: np.ndarray, shards: int) -> np.ndarray:
     return (((mix(hashes) >> U64(32)) * U64(shards)) >> U64(32)).astype(np.int64)
 
 
+class Hot:
+    """Words, and pairs of them, that are too frequent for one shard: sorted hashes of the words, and pairs in order of
+    their words' places. A pair is known by a hash of both."""
+
+    def __init__(self, words: np.ndarray, first: np.ndarray | None = None, second: np.ndarray | None = None):
+        self.words = words
+        code = np.zeros(0, np.int64) if first is None else first * len(words) + second
+        self.code = np.sort(code)
+        self.first, self.second = np.divmod(self.code, max(1, len(words)))
+        self.names = mix(words[self.second] ^ mix(words[self.first]))
+        self.order = np.argsort(self.names)
+
+    def index(self, words: np.ndarray) -> np.ndarray:
+        """Places of words among the hot ones, -1 for the others."""
+        return _found(self.words, words)
+
+    def pair(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """Numbers of pairs of places, -1 for those that are not hot."""
+        return np.where((first >= 0) & (second >= 0), _found(self.code, first * len(self.words) + second), -1)
+
+    def named(self, names: np.ndarray) -> np.ndarray:
+        """Numbers of the pairs with these names, -1 for other names."""
+        k = _found(self.names[self.order], names)
+        return np.where(k >= 0, np.append(self.order, -1)[k], -1)
+
+
+def _found(values: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Places of keys in the sorted distinct values, -1 for keys that are not there."""
+    if not len(values):
+        return np.full(len(keys), -1)
+    place = np.minimum(np.searchsorted(values, keys), len(values) - 1)
+    return np.where(values[place] == keys, place, -1)
+
+
 class Events:
     """Of a run of tokens the distinct (a, b, w) by shard: numbers of the words before the last, before, and itself in
     `words` (hashes in order), how often it occurs in training texts, and the texts of all its occurrences."""
 
-    def __init__(self, tokens: np.ndarray, rows: np.ndarray, train: np.ndarray, first: int, last: int, shards: int, hot: np.ndarray):
+    def __init__(self, tokens: np.ndarray, rows: np.ndarray, train: np.ndarray, first: int, last: int, shards: int, hot: Hot):
         """Tokens first to last; those before serve as contexts. Contexts that begin outside the text are BEGIN. A shard
-        has all trigrams of a middle word; of a hot one those of some first words; of BEGIN those of some last ones."""
+        has all trigrams of a middle word; of a hot one those of some first words; of BEGIN, of a hot pair, and of a hot
+        word at a text's beginning, those of some last ones."""
         lead = min(first, 2)
         coded = pa.array(np.append(tokens[first - lead : last], BEGIN)).dictionary_encode()
         found = coded.dictionary.to_numpy(zero_copy_only=False)
@@ -136,11 +171,14 @@ class Events:
         times = np.diff(np.append(start, len(key)))
         count = np.add.reduceat(train[own[by]].astype(np.int64), start)
         middle = self.words[self.b]
-        self.hot = np.isin(self.words, hot)
+        hot_place = hot.index(self.words)
+        self.hot, self.pair, self.pair_names = hot_place >= 0, hot.pair(hot_place[self.a], hot_place[self.b]), hot.names
         name = np.where(self.b == begin, self.words[self.w], np.where(self.hot[self.b], mix(middle ^ mix(self.words[self.a])), middle))
+        spread = (self.pair >= 0) | (self.a == begin) & self.hot[self.b]
+        name = np.where(spread, mix(name ^ mix(self.words[self.w])), name)
         shard = _shard(name, shards)
         to = np.argsort(shard, kind="stable")
-        self.a, self.b, self.w, self.count, self.times, self.shard = self.a[to], self.b[to], self.w[to], count[to], times[to], shard[to]
+        self.a, self.b, self.w, self.count, self.times, self.shard, self.pair = self.a[to], self.b[to], self.w[to], count[to], times[to], shard[to], self.pair[to]
         ends = np.cumsum(self.times)
         self.texts = own[by][np.repeat(start[to] - (ends - self.times), self.times) + np.arange(len(key))]
         self.begin = begin
@@ -157,19 +195,22 @@ class Events:
             yield s, names.packed(self.words[used]), squeezed([np.diff(b, prepend=0), a, w, self.count[x], self.times[x] - 1, self.texts[ahead[cuts[s]] : ahead[cuts[s + 1]]]])
 
     def requests(self, shards: int, parts: int, names: Names) -> Iterator[tuple[int, bytes, bytes]]:
-        """Per part of the counts: number, names of words, and their items: the word's number, 0 or one more than that of
-        the hot word before it, training count; then items' numbers and the shards that ask for them. Hot words are
-        known to all shards, and asked for by none."""
+        """Per part of the counts: number, names of words, and their items: the word's number, 0 or the hash of the hot word
+        or hot pair before it, training count; then items' numbers and the shards that ask for them. Hot words are known
+        to all shards and asked for by none, and of hot pairs all shards know the sums."""
         n = len(self.words)
         hot = np.flatnonzero(self.hot)
         place = np.zeros(n, np.int64)
         place[hot] = np.arange(1, len(hot) + 1)
-        span = len(hot) + 1
-        before = np.insert(self.words[hot], 0, U64(0))
+        paired = self.pair >= 0
+        pairs = np.unique(self.pair[paired])
+        span = len(hot) + 1 + len(pairs)
+        before = np.concatenate([np.zeros(1, U64), self.words[hot], self.pair_names[pairs]])
         cold, after = ~self.hot[self.w], place[self.b] > 0
-        item, code = _coded(np.concatenate([self.w * span, (self.w * span + place[self.b])[after]]))
-        count = np.bincount(code, np.concatenate([self.count, self.count[after]]), len(item)).astype(np.int64)
-        asked = np.append(code[: len(self.w)][cold], code[len(self.w) :])
+        key = self.w * span
+        item, code = _coded(np.concatenate([key, (key + place[self.b])[after], key[paired] + len(hot) + 1 + np.searchsorted(pairs, self.pair[paired])]))
+        count = np.bincount(code, np.concatenate([self.count, self.count[after], self.count[paired]]), len(item)).astype(np.int64)
+        asked = np.append(code[: len(key)][cold], code[len(key) : len(key) + int(after.sum())])
         pair = sorted_set(asked * shards + np.append(self.shard[cold], self.shard[after]))
         part = _shard(self.words[item // span], parts)
         asked_part = part[pair // shards]
@@ -182,13 +223,14 @@ class Events:
             yield p, names.packed(self.words[used]), squeezed([back, before[item[mine] % span], count[mine], new[own // shards], own % shards])
 
 
-def _tallies(rows: pa.Table, hot_words: np.ndarray, names_of: Names) -> pa.Table:
-    """Sums of a part's items: what each shard asked for, the totals, hot words' counts and what their successors add up to."""
+def _tallies(rows: pa.Table, hot: Hot, names_of: Names) -> pa.Table:
+    """Sums of a part's items: what each shard asked for, the totals, hot words' counts, and how many successors hot words
+    and pairs have and what these add up to (after a pair: as successors of its second word)."""
     words, before, counts, items, asked, at = [], [], [], [], [], 0
     for w, data in zip(rows.column("words").to_pylist(), rows.column("data").to_pylist(), strict=True):
-        number, hot, n, who, to = unsqueezed(data)
+        number, context, n, who, to = unsqueezed(data)
         words.append(names_of.unpacked(w)[number])
-        before.append(hot.astype(U64))
+        before.append(context.astype(U64))
         counts.append(n.astype(np.int64))
         items.append(who.astype(np.int64) + at)
         asked.append(to.astype(np.int64))
@@ -202,11 +244,17 @@ def _tallies(rows: pa.Table, hot_words: np.ndarray, names_of: Names) -> pa.Table
     total = np.zeros(len(names), np.int64)
     total[single // len(hots)] = n[np.searchsorted(key, single)]
     out = [(_TOTAL, 0, 0, int(total.sum()), int((total > 0).sum()), None)]
-    for k in np.flatnonzero(np.bincount(key % len(hots), minlength=len(hots)) > 0).tolist():
-        if k:
-            mine = key[(key % len(hots) == k) & (n > 0)] // len(hots)
-            out.append((_AFTER, 0, int(hots[k].view(np.int64)), len(mine), int(total[mine].sum()), None))
-    known = np.flatnonzero(np.isin(names, hot_words))
+    pair_of = hot.named(hots)
+    pair_of[0] = -1  # no context
+    middle = np.searchsorted(hots, np.append(hot.words[hot.second], U64(0))[pair_of])
+    kind, number = key % len(hots), key // len(hots)
+    seen = np.flatnonzero((kind > 0) & (n > 0))
+    paired = pair_of[kind[seen]] >= 0
+    value = total[number[seen]]
+    value[paired] = n[np.searchsorted(key, number[seen[paired]] * len(hots) + middle[kind[seen[paired]]])]
+    some, sums = np.bincount(kind[seen], minlength=len(hots)), np.bincount(kind[seen], value, len(hots)).astype(np.int64)
+    out += [(_AFTER if pair_of[k] < 0 else _PAIR, 0, int(hots[k].view(np.int64)), int(some[k]), int(sums[k]), None) for k in np.flatnonzero(some).tolist()]
+    known = np.flatnonzero(np.isin(names, hot.words))
     out += [(_WORD, 0, h, c, 0, None) for h, c in zip(names[known].view(np.int64).tolist(), total[known].tolist(), strict=True)]
     pair = sorted_set(np.concatenate(asked) * len(key) + place[np.concatenate(items)])
     for s, own in zip(*_grouped(pair // len(key), pair % len(key)), strict=True):
@@ -220,7 +268,7 @@ def _tallies(rows: pa.Table, hot_words: np.ndarray, names_of: Names) -> pa.Table
     })
 
 
-_TOTAL, _AFTER, _WORD, _COUNTS = 0, 1, 2, 3
+_TOTAL, _AFTER, _WORD, _COUNTS, _PAIR = range(5)
 
 
 def _grouped(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -230,10 +278,17 @@ def _grouped(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, list[np.
 
 
 class Totals:
-    """Training tokens, distinct ones, and of the hot words: hashes in order, counts, and backoff weights."""
+    """Training tokens, distinct ones; of the hot words hashes in order, counts, and backoff weights; of the hot pairs
+    hashes of both words, counts, and backoff weights."""
 
-    def __init__(self, tokens: int, distinct: int, hot: np.ndarray, counts: np.ndarray, backoff: np.ndarray):
-        self.tokens, self.distinct, self.hot, self.counts, self.backoff = tokens, distinct, hot, counts, backoff
+    def __init__(self, tokens: int, distinct: int, hot: Hot, counts: np.ndarray, after: np.ndarray, pair_counts: np.ndarray, after_pair: np.ndarray, discount: float):
+        """after: number of a word's or pair's successors, and what their counts a level below add up to."""
+        self.tokens, self.distinct, self.hot, self.counts, self.pair_counts = tokens, distinct, hot.words, counts, pair_counts
+        self.first, self.second = hot.words[hot.first], hot.words[hot.second]
+        free = 1 - (after[:, 1] + 0.5 * after[:, 0]) / (tokens + 0.5 * (distinct + 1))
+        self.backoff = np.where(after[:, 0] > 0, _weight(discount * after[:, 0] / np.maximum(1, counts), free), 0.0)
+        free = 1 - (after_pair[:, 1] - discount * after_pair[:, 0]) / np.maximum(1, counts[hot.second])
+        self.pair_backoff = np.where(after_pair[:, 0] > 0, _weight(discount * after_pair[:, 0] / np.maximum(1, pair_counts), free), 0.0)
 
     def p(self, counts: np.ndarray) -> np.ndarray:
         """(c + 0.5) / (N + 0.5 (V + 1))."""
@@ -247,11 +302,10 @@ def _weight(left: np.ndarray, free: np.ndarray) -> np.ndarray:
 
 def shard_trie(words: np.ndarray, p1: np.ndarray, a: np.ndarray, b: np.ndarray, w: np.ndarray, count: np.ndarray, after: tuple, totals: Totals, discount: float) -> Trie:
     """The trie of a shard. a, b, w: words of its training n-grams by number (-1 for BEGIN), after: key (b, w) and count
-    of the successors of hot words, whose bigrams other shards have, too."""
+    of the successors of hot words, whose bigrams other shards have, too. Hot pairs bring their count and weight."""
     n = len(words)
-    place = np.searchsorted(totals.hot, words)
-    hot = np.zeros(n, bool)
-    hot[place < len(totals.hot)] = totals.hot[place[place < len(totals.hot)]] == words[place < len(totals.hot)]
+    place = _found(totals.hot, words)
+    hot = place >= 0
     ok = (b >= 0) & ~hot[b]
     two, c2 = _sums(np.concatenate([b[ok].astype(np.int64) * n + w[ok], after[0]]), np.concatenate([count[ok], after[1]]))
     of = two // n
@@ -263,16 +317,22 @@ def shard_trie(words: np.ndarray, p1: np.ndarray, a: np.ndarray, b: np.ndarray,
     ok = (a >= 0) & (b >= 0)
     a, b, w, count = a[ok], b[ok], w[ok], count[ok]
     b = b.astype(np.int64) * n
-    heads, head = _coded(b + a)
+    pair = np.stack([_found(words, totals.second), _found(words, totals.first)])
+    here = (pair >= 0).all(0)
+    heads, head = _coded(np.append(b + a, pair[0, here] * n + pair[1, here]))
+    head, wide = head[: len(a)], head[len(a) :]
     first = np.searchsorted(of, np.arange(n))
     rank = _places(two, b + w) - first[b // n]
     span = int(rank.max(initial=0)) + 1
     three, c3 = _sums(head * span + rank, count)
     head, rank = three // span, three % span
     del b, w, count
-    p3 = (c3 - discount) / np.bincount(head, c3, len(heads))[head]
+    size = np.bincount(head, c3, len(heads))
+    size[wide] = totals.pair_counts[here]
+    p3 = (c3 - discount) / size[head]
     lower = p2[first[heads[head] // n] + rank]
     weight = _weight(1 - np.bincount(head, p3, len(heads)), 1 - np.bincount(head, lower, len(heads)))
+    weight[wide] = totals.pair_backoff[here]
     return Trie(packed_trie(np.log10(p1), (of, two % n, np.log10(p2), backoff), (heads // n, heads % n, weight), (head, rank, np.log10(p3))))
 
 
@@ -355,8 +415,10 @@ def score_corpus(docs: DataFrame, train: Column, text: str = "text", key: str =
     each word; seen n-grams of two and three tokens are discounted by a constant, which their context gives to the
     shorter n-gram (Katz). Shards hold about `shard_tokens` tokens' n-grams. A word of `hot_tokens` tokens or more is
     spread over shards by the word before it; the counts of its bigrams then are summed like those of single words, and
-    sent to the shards that ask for them. All tasks know the hot words, tokens / hot_tokens at most, and a list of 2**20 common
-    words at most, which only names words in blocks."""
+    sent to the shards that ask for them. A pair of such words that is itself so frequent is spread by the word after it,
+    and the sums that its weight takes are found on the way. All tasks know the hot words and pairs, tokens / hot_tokens
+    of each at most, and a list of 2**20 common words at most, which only names words in blocks. What is not split is one
+    trigram: its occurrences, summed by text and chunk, meet in one shard."""
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
     chars, texts = rows.agg(F.coalesce(F.sum(F.length("text").cast("long")), F.lit(0)), F.count("*")).first()
     share = hot_tokens / (chars / 2 + texts + 1)  # a word takes two characters at least: more than all tokens
@@ -389,7 +451,25 @@ def score_corpus(docs: DataFrame, train: Column, text: str = "text", key: str =
     common = seen.where(F.col("n") >= least).toArrow()
     order = np.argsort(common.column("word").to_numpy().view(U64))
     names = Names(common.column("word").to_numpy().view(U64)[order])
-    hot = names.common[common.column("n").to_numpy()[order] >= hot_tokens]
+    hot = Hot(names.common[common.column("n").to_numpy()[order] >= hot_tokens])
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs of hot words in the task's texts, and how often they occur, in all and in training texts."""
+        keys, counts = np.zeros(0, np.int64), np.zeros((2, 0), np.int64)
+        for part in slices(batches, target=chunk_bytes):
+            tokens, owners, _ = token_hashes(part.column(1))
+            place = hot.index(tokens)
+            at = np.flatnonzero((place[:-1] >= 0) & (place[1:] >= 0) & (owners[1:] == owners[:-1]) & (tokens[1:] != END))
+            train_too = part.column(2).to_numpy(zero_copy_only=False).astype(np.int64)[owners[at]]
+            keys, code = _coded(np.append(keys, place[at] * len(hot.words) + place[at + 1]))
+            counts = np.stack([np.bincount(code, np.append(c, new), len(keys)).astype(np.int64) for c, new in zip(counts, (np.ones(len(at), np.int64), train_too), strict=True)])
+        yield pa.RecordBatch.from_arrays([pa.array(keys), *map(pa.array, counts)], ["pair", "n", "train"])
+        release()
+
+    pair_counts = np.zeros(0, np.int64)
+    if len(hot.words):
+        found = rows.mapInArrow(pairs, "pair long, n long, train long").groupBy("pair").agg(F.sum("n").alias("n"), F.sum("train").alias("train")).where(F.col("n") >= hot_tokens).orderBy("pair").toArrow()  # tokens / hot_tokens rows at most
+        hot, pair_counts = Hot(hot.words, *np.divmod(found.column("pair").to_numpy(), len(hot.words))), found.column("train").to_numpy()
     sent = docs.sparkSession.sparkContext.broadcast(names)  # 8 MB at most
     shards = int(size // shard_tokens) + 2
     parts = shards // 4 + 1
@@ -419,15 +499,13 @@ def score_corpus(docs: DataFrame, train: Column, text: str = "text", key: str =
 
     tallies = stored(rows.mapInArrow(ask, "part long, words binary, data binary").groupBy("part").applyInArrow(sums, "kind int, shard long, word long, n long, m long, words binary, data binary"), "lm-counts")
     tokens, distinct = tallies.where(F.col("kind") == _TOTAL).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("m"), F.lit(0))).first()
-    wanted = [int(x) for x in hot.view(np.int64)]
-    small = tallies.where(F.col("kind").isin(_WORD, _AFTER)).where(F.col("word").isin(wanted)).groupBy("kind", "word").agg(F.sum("n").alias("n"), F.sum("m").alias("m")).collect() if wanted else []
-    found = {(r.kind, r.word): (r.n, r.m) for r in small}
-    totals = Totals(tokens, distinct, hot, np.array([found.get((_WORD, x), (0, 0))[0] for x in wanted], np.int64), np.zeros(len(wanted)))
-    if wanted:
-        after = np.array([found.get((_AFTER, x), (0, 0)) for x in wanted])
-        left = discount * after[:, 0] / np.maximum(1, totals.counts)
-        free = 1 - (after[:, 1] + 0.5 * after[:, 0]) / (tokens + 0.5 * (distinct + 1))
-        totals.backoff = np.where(after[:, 0] > 0, _weight(left, free), 0.0)
+    small = tallies.where(F.col("kind").isin(_WORD, _AFTER, _PAIR)).groupBy("kind", "word").agg(F.sum("n").alias("n"), F.sum("m").alias("m")).collect() if len(hot.words) else []  # hot words and pairs alone
+    sums_of = {(r.kind, r.word): (r.n, r.m) for r in small}
+
+    def known(kind: int, names_: np.ndarray) -> np.ndarray:
+        return np.array([sums_of.get((kind, x), (0, 0)) for x in names_.view(np.int64).tolist()], np.int64).reshape(-1, 2)
+
+    totals = Totals(tokens, distinct, hot, known(_WORD, hot.words)[:, 0], known(_AFTER, hot.words), pair_counts, known(_PAIR, hot.names), discount)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, part, events, sizes in chunks(batches, TaskContext.get().partitionId() << 32):

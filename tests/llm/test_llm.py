@@ -614,3 +614,109 @@ def test_names_inside_articles(spark):
     df = spark.createDataFrame([(1, "http://h.org/", page)], "page_id long, url string, html string")
     assert html_text.extract(df).first().text == "One. Two. Three. Four. E = mc"
     assert html_text.extract(df, broadcast_hosts=0, salt_pages=1).first().text == "One. Two. Three. Four. E = mc"
+
+
+def test_hot_pairs_are_spread_over_shards():
+    """What follows a hot pair, or a hot word at a text's beginning, goes to many shards; what follows a pair that isn't
+    hot stays together."""
+    texts = pa.array([f"{a} the x{k}" for k in range(200) for a in ("of", "")] + [f"rare pair x{k}" for k in range(200)])
+    tokens, owners, _ = lm.token_hashes(texts)
+    of, the, rare, pair = (lm.token_hashes(pa.array([w]))[0][0] for w in ("of", "the", "rare", "pair"))
+    words = np.sort(np.array([of, the]))
+    hot = lm.Hot(words, *(np.searchsorted(words, [x]) for x in (of, the)))
+    assert hot.named(np.array([hot.names[0], of])).tolist() == [0, -1] and hot.pair(np.array([0, 1, -1]), np.array([1, 0, 0])).max() == 0
+    for known, least, most in ((lm.Hot(words), 1, 1), (hot, 12, 16)):
+        events = lm.Events(tokens, owners, np.ones(len(owners), bool), 0, len(tokens), 16, known)
+        number = [len(set(events.shard[(events.words[events.a] == x) & (events.words[events.b] == y)].tolist())) for x, y in ((of, the), (rare, pair))]
+        assert least <= number[0] <= most and number[1] == 1
+        assert len(set(events.shard[(events.a == events.begin) & (events.words[events.b] == the)].tolist())) >= 12
+
+
+def test_classifier_equals_plain_loops():
+    """Logits word by word and window by window; the thresholds of best F1 by trying every cut."""
+    rng = random.Random(17)
+    stops = {k: v.split() for k, v in toxicity.FUNCTION_WORDS.items()}
+    texts = [" ".join(rng.choice(stops[lang]) if rng.random() < 0.3 else f"w{rng.randrange(40)}" for _ in range(rng.randrange(0, 25))) for lang in rng.choices(["en", "de"], k=160)] + ["", "w1", "zz yy"]
+    labels = np.array([int("w7" in t.split() or rng.random() < 0.2) for t in texts])
+    words = [toxicity._buckets_of(pa.array([t]), 1 << 16)[0] for t in texts]
+    model = toxicity.Cnn(buckets=1 << 16)
+    model.fit(words, labels, epochs=2)
+    row, _ = model.lookups()
+    w = model.weights
+
+    def logit(t):
+        vectors, total = [sum(w["e"][row[b]].astype(float) for b in toxicity._buckets_of(pa.array([x]), 1 << 16)[0][0]) for x in t.split()], float(w["bias"][0])
+        for at, n in enumerate(model.widths):
+            for f in range(model.filters):
+                best = max(sum(float(vectors[i + j] @ w[f"k{n}"][j][:, f]) for j in range(n) if i + j < len(vectors)) for i in range(max(1, len(vectors))))
+                total += max(0.0, best + float(w[f"b{n}"][f])) * float(w["out"][at * model.filters + f])
+        return total
+
+    def language(t):
+        votes = [sum(x in s for x in t.split()) for s in ({y for y in v if not any(y in stops[e] for e in list(stops)[:k])} for k, v in enumerate(stops.values()))]
+        return votes.index(max(votes)) if max(votes) else len(votes)
+
+    z, langs = [logit(t) for t in texts], [language(t) for t in texts]
+
+    def threshold(mine):
+        if min(sum(labels[i] for i in mine), sum(1 - labels[i] for i in mine)) < 8:
+            return None
+        ranked, pos = sorted(mine, key=lambda i: -z[i]), sum(labels[i] for i in mine)
+        f1 = [2 * sum(labels[i] for i in ranked[:k]) / (k + pos) for k in range(1, len(ranked) + 1)]
+        k = f1.index(max(f1))
+        return (z[ranked[k]] + z[ranked[min(k + 1, len(ranked) - 1)]]) / 2
+
+    model.calibrate(words, labels)
+    overall = threshold(range(len(texts)))
+    want = [threshold([i for i in range(len(texts)) if langs[i] == k]) for k in range(5)]
+    assert want[0] is not None and want[1] is not None and want[2] is None
+    assert model.offsets == pytest.approx([overall if x is None else x for x in want], abs=1e-4)
+    got = model.scores(np.concatenate(words), np.array([len(x) for x in words]), model.lookups())
+    assert got == pytest.approx([1 / (1 + math.exp(model.offsets[k] - x)) for x, k in zip(z, langs)], abs=1e-4)
+
+
+FURNITURE = ["<script>var x = '<p>no</p>';</script>", "<style>p { color: red }</style>", "<!-- <p>no</p> -->", "<div class='ad box'><p>no</p></div>", "<aside><p>no</p></aside>", "<nav><ul><li><a href='/'>no</a><li><a href='/b'>no</a></ul></nav>",
+             "<form action=/s><input name=q><button>no</button></form>", "<section class=\"comments\"><article><p>no</p></article></section>", "<div id='share' class=x1><a href=#>no</a></div>", "<div role='contentinfo'>no<br>no</div>", "<template><p>no</p></template>"]
+
+
+def random_page(rng):
+    """A page and its main text, known by construction: blocks with inline tags and references, end tags left out at
+    random, nested containers, and furniture around and between them."""
+    want, parts = [], []
+    pieces = ["plain", "caf&eacute;", "<b>bold</b>", "a &lt; b", "<a href='/x?a=1&b=\"2\"'>link</a>", "x<sub>2</sub>", "&#8212;", "<span class='menu-like'>span</span>", "two\n  lines", "<i>it</i>&amp;co", "<!-- no -->gap", "tail"]
+    shown = ["plain", "café", "bold", "a < b", "link", "x2", "—", "span", "two lines", "it&co", "gap", "tail"]
+
+    def words(n):
+        picks = [rng.randrange(len(pieces)) for _ in range(n)]
+        want.append(" ".join(shown[k] for k in picks))
+        return rng.choice([" ", "\n\t", "  "]).join(pieces[k] for k in picks)
+
+    for _ in range(rng.randrange(3, 9)):
+        kind = rng.randrange(6)
+        if kind == 0:
+            parts.append("<ul>" + "".join(f"<li>{words(6)}{rng.choice(['', '</li>'])}" for _ in range(3)) + "</ul>")
+        elif kind == 1:
+            parts.append("<table><tr>" + "".join(f"<td>{words(4)}{rng.choice(['', '</td>'])}" for _ in range(2)) + "</tr></table>")
+        elif kind == 2:
+            parts.append(f"<h2 class='t{rng.randrange(9)}'>{words(3)}</h2>")
+        elif kind == 3:
+            parts.append(f"<blockquote>{words(9)}</blockquote>")
+        elif kind == 4:
+            parts.append(f"<P ID=p{rng.randrange(99)}>{words(30)}<br/>{words(5)}</P>")
+        parts.append(f"<p>{words(40)}{rng.choice(['', '</p>'])}")
+        if rng.random() < 0.4:
+            parts.append(rng.choice(FURNITURE))
+    around = [rng.choice(FURNITURE) for _ in range(4)]
+    opening, closing = rng.choice([("<article>", "</article>"), ("<main><div class='c'>", "</div></main>"), ("<div class='wrap'><article class='post'>", "</article></div>"), ("<div class='content'>", "</div>")])
+    return f"<!DOCTYPE html><html><head><title>no</title></head><body class=home><header><h1>no</h1></header>{around[0]}{around[1]}{opening}{''.join(parts)}{closing}{around[2]}{around[3]}<footer><p>no</p></footer></body></html>", " ".join(want)
+
+
+def test_random_pages_give_what_they_were_made_of(spark):
+    rng = random.Random(23)
+    pages = [random_page(rng) for _ in range(400)]
+    for source, want in pages:
+        page = html_text.read_page(source)
+        assert page.text(page.best()[0]) == want, source
+    rows = [(i, f"http://h{i}.org/a", source) for i, (source, _) in enumerate(pages[:60])]
+    got = {r.page_id: (r.text, r.n_chars) for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert got == {i: (want, len(want)) for i, (_, want) in enumerate(pages[:60])}
