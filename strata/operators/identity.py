@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hmac
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +23,18 @@ def hmac_sha256(message: Column, pads: tuple[bytes, bytes]) -> Column:
     return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, F.encode(message, "utf-8")), 256))), 256)
 
 
+def hmac_mismatches(df: DataFrame, part: str, message: Column, digest: Column, key: bytes) -> DataFrame:
+    """Per part: rows checked, those whose digest is not the one of Python's own HMAC (a NULL message has the digest NULL),
+    and whether there is none. Runs in Arrow batches; unlike pads, the key goes to the workers, so this is for checks."""
+
+    @F.pandas_udf("string")
+    def other(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda x: hmac.digest(key, x.encode(), "sha256").hex(), na_action="ignore")
+
+    differs = ~other(message).eqNullSafe(digest)
+    return df.select(F.col(part).alias("part"), differs.alias("differs")).groupBy("part").agg(F.count("*").alias("checked"), F.count_if("differs").alias("differing"), (F.count_if("differs") == 0).alias("passed"))
+
+
 def hash_dictionary(spark, prefix: str, last: int, length: int = 12, per_task: int = 1_000_000) -> DataFrame:
     """hash, id: the first characters of md5(prefix + id) for ids 1 to last, to invert an unsalted short hash."""
     ids = spark.range(1, last + 1, 1, max(1, last // per_task))

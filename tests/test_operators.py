@@ -84,6 +84,11 @@ def test_hmac_equals_an_independent_one(spark):
     key = b"k" * 20
     got = spark.createDataFrame([("año 1",), ("",), (None,)], "m string").select(identity.hmac_sha256(F.col("m"), identity.hmac_pads(key)).alias("h")).collect()
     assert [r.h for r in got] == [hmac.new(key, m.encode(), hashlib.sha256).hexdigest() if m is not None else None for m in ("año 1", "", None)]
+    rows = spark.createDataFrame([("a", "año 1", True), ("a", "", True), ("b", None, True), ("b", "x", False), (None, None, False)], "part string, m string, right boolean")
+    digest = F.when(F.col("right"), identity.hmac_sha256(F.col("m"), identity.hmac_pads(key))).otherwise("0")
+    found = identity.hmac_mismatches(rows, "part", F.col("m"), digest, key).collect()
+    assert {tuple(r) for r in found} == {("a", 2, 0, True), ("b", 2, 1, False), (None, 1, 1, False)}
+    assert identity.hmac_mismatches(rows.limit(0), "part", F.col("m"), digest, key).count() == 0
     with pytest.raises(ValueError):
         identity.hmac_pads(b"x" * 65)
 
