@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
-from strata.functions.storage import scratch, stored
+from strata.functions.storage import stored
 from strata.sources.raw import exists
 
 
@@ -46,19 +46,23 @@ def object_name(topic: Column, partition: Column, first: Column, last: Column) -
     return F.format_string("topic=%s/partition=%d/offsets=%012d-%012d.jsonl", topic, partition, first, last)
 
 
-def merge_windows(batch: DataFrame, folder: str, size: int) -> None:
-    """Write a micro-batch into its windows' directories: rows stored there before and new ones, each offset once. The
-    same batch again changes nothing. The merged rows are cut from the path that they then replace."""
+def merge_windows(batch: DataFrame, folder: str, size: int, span_rows: int = 1_000_000) -> None:
+    """Append a micro-batch's rows that folder doesn't have yet, each offset once, with the number of their window. The
+    same batch again adds nothing, and a batch of which a part was written before adds the rest. A directory holds a span
+    of whole windows, about span_rows offsets of a partition, so that files grow with the rows and not with the windows;
+    of what is stored, only offsets within the batch's range are read."""
     spark = batch.sparkSession
-    new = batch.withColumn("window", F.floor(F.col("offset") / size).cast("long"))
+    key, directory = ["topic", "partition", "offset"], ["topic", "partition", "span"]
+    window = F.floor(F.col("offset") / size).cast("long")
+    new = batch.withColumn("window", window).withColumn("span", F.floor(window / max(1, span_rows // size)).cast("long"))
+    once = new.dropDuplicates(key)
     if exists(spark, folder):
-        touched = new.select("topic", "partition", "window").distinct()
-        old = spark.read.schema(new.schema).parquet(folder).join(touched, ["topic", "partition", "window"], "left_semi").select(*new.columns)
-        new = old.unionByName(new)
-    merged = new.dropDuplicates(["topic", "partition", "offset"])
-    staged = scratch(spark, "windows")
-    merged.write.parquet(staged)
-    spark.read.schema(merged.schema).parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("topic", "partition", "window").parquet(folder)
+        ends = new.agg(*[f(c).alias(f"{n}_{c}") for c in ("span", "offset") for n, f in (("first", F.min), ("last", F.max))]).first()
+        if ends.first_offset is None:
+            return
+        old = spark.read.schema(new.schema).parquet(folder).where(F.col("span").between(ends.first_span, ends.last_span) & F.col("offset").between(ends.first_offset, ends.last_offset))
+        once = once.join(old.select(*key), key, "left_anti").select(*new.columns)
+    once.repartition(*directory).write.mode("append").partitionBy(*directory).parquet(folder)
 
 
 def bronze_stream(source: DataFrame, folder: str, checkpoint: str, size: int):

@@ -144,3 +144,14 @@ def test_redelivery_changes_nothing(spark, tmp_path):
     for part in (df.where("offset < 120"), df.where("offset >= 100"), df.where("offset >= 100")):
         stream.merge_windows(part, out, 100)
     assert rows(spark.read.parquet(out).groupBy("window").count()) == [(0, 100), (1, 100), (2, 50)]
+
+
+def test_windows_share_files_and_partial_batches_are_completed(spark, tmp_path):
+    df = spark.createDataFrame([(t, p, o, f"{t}{p}{o}") for t in "ab" for p in (0, 1) for o in range(3000)], "topic string, partition long, offset long, value string")
+    out = tmp_path / "out"
+    for part in (df.where("offset % 3 = 0"), df.where("topic = 'a' and offset < 100"), df, df.where("offset < 0"), df.unionAll(df)):
+        stream.merge_windows(part, str(out), 10, span_rows=1000)
+    assert len(list(out.rglob("*.parquet"))) <= 3 * 2 * 2 * 3  # a file for each span and batch that adds rows to it, not for each of 1200 windows
+    got = spark.read.parquet(str(out))
+    assert rows(got.select("topic", "partition", "offset", "value")) == rows(df)
+    assert got.where("window <> floor(offset / 10) or span <> floor(offset / 1000)").count() == 0
