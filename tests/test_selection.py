@@ -3,6 +3,7 @@
 import math
 import random
 import statistics
+import threading
 
 import numpy as np
 import pytest
@@ -93,6 +94,24 @@ def test_first_trees_are_the_shorter_model(spark, people):
             assert staged[r.unit, k] == pytest.approx(r.p, abs=1e-6)
 
 
+def test_folds_are_fitted_side_by_side(spark, people, monkeypatch):
+    df, pre = ml.prepared(people, ["x", "noise"], ["kind"])
+    together, forest = threading.Barrier(ml.FOLDS), ml.forest
+
+    class Waits:
+        def fit(self, rows):
+            together.wait(timeout=60)  # until the forests of all folds are at it
+            return forest(3).fit(rows)
+
+    monkeypatch.setattr(ml, "forest", lambda trees: Waits())
+    table, rows = selection.tree_path(df, pre, "unit", steps=[0.1], rounds=[2, 3], depths=[2], least=[1], trees=3)
+    assert [(r.setting, r.kind, r.rounds) for r in table.orderBy("setting").collect()] == [(0, "boosted", 2), (1, "boosted", 3), (2, "forest", 3)]
+    assert rows.where("part = 'validation'").groupBy("setting").agg(F.sum("n").alias("n")).select("n").distinct().collect() == [(people.count(),)]
+    with pytest.raises(ZeroDivisionError):
+        selection.side_by_side([lambda: 1, lambda: 1 / 0])
+    assert selection.side_by_side([lambda k=k: k for k in range(20)]) == list(range(20)) and selection.side_by_side([]) == []
+
+
 def test_values_are_dealt_within_folds_and_nothing_else_changes(spark, people):
     raw = people.select("unit", "fold", "label", "x", "kind")
     dealt = selection.permuted(raw, ["x", "kind"], "unit", 3, bucket_rows=50).collect()
