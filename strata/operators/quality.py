@@ -51,6 +51,15 @@ def quarantine(labelled: dict[str, DataFrame], run: str, moment: str) -> DataFra
     return out.withColumn("run_id", F.lit(run)).withColumn("rejected_at", F.lit(moment).cast("timestamp_ntz"))
 
 
+def layer_counts(labelled: dict[str, DataFrame]) -> DataFrame:
+    """source, staged, valid, rejected: an aggregate a source, so that each source is read once; none of a source without rows."""
+    out = None
+    for source, df in labelled.items():
+        one = df.groupBy(F.lit(source).alias("source")).agg(F.count("*").alias("staged"), F.count_if(F.col("rule_id").isNull()).alias("valid"), F.count("rule_id").alias("rejected"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def summary(labelled: dict[str, DataFrame]) -> DataFrame:
     """Rejects per source and rule, share of the source in percent, and a TOTAL row per source, with or without rejects."""
     out = None

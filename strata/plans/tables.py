@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 REFERENCE_DAY = "2024-01-31"
+#: Order lines that one task sorts at most, about, when they meet their orders.
+TRIP_ROWS = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +39,9 @@ log AS (SELECT event_id AS seq, ts AS commit_ts, op, user_id AS card, CASE WHEN
 def trips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines as origin-destination trips; a line shipped before its order has no exit."""
     o, l = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    parts = l.count() // TRIP_ROWS + 1
+    if parts > int(spark.conf.get("spark.sql.shuffle.partitions")):
+        o, l = o.repartition(parts, "o_orderkey"), l.repartition(parts, "l_orderkey")
     there = F.when(F.col("l_shipdate") >= F.col("o_orderdate"), F.col("l_shipdate"))
     return l.join(o, l.l_orderkey == o.o_orderkey).select(F.col("l_orderkey").alias("trip"), F.col("l_linenumber").alias("leg"), F.col("o_custkey").alias("person"), F.col("o_orderdate").alias("entry"), there.alias("exit"), F.col("l_suppkey").alias("station"), F.col("l_extendedprice").alias("fare"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strata.functions import parsing as P
 from strata.operators import cdc, features, identity, marts, ml, quality
+from strata.plans import ingest, tables
 from strata.streaming import stream
 
 
@@ -155,3 +156,21 @@ def test_windows_share_files_and_partial_batches_are_completed(spark, tmp_path):
     got = spark.read.parquet(str(out))
     assert rows(got.select("topic", "partition", "offset", "value")) == rows(df)
     assert got.where("window <> floor(offset / 10) or span <> floor(offset / 1000)").count() == 0
+
+
+def test_trips_of_larger_tables_meet_in_more_tasks(spark, tmp_path, monkeypatch):
+    spark.range(3000).selectExpr("id as o_orderkey", "id % 7 as o_custkey", "timestamp_ntz'2024-01-02' as o_orderdate").write.parquet(str(tmp_path / "orders.parquet"))
+    spark.range(6000).selectExpr("id % 3500 as l_orderkey", "cast(id as int) as l_linenumber", "id % 5 as l_suppkey", "1D as l_extendedprice", "timestamp_ntz'2024-01-01' + make_dt_interval(cast(id % 4 as int)) as l_shipdate").write.parquet(str(tmp_path / "lineitem.parquet"))
+    few = tables.trips(spark, str(tmp_path))
+    monkeypatch.setattr(tables, "TRIP_ROWS", 300)
+    many = tables.trips(spark, str(tmp_path))
+    assert many.repartition(1).count() == few.count() == 5500 and rows(many) == rows(few)
+    assert many.rdd.getNumPartitions() == 6000 // 300 + 1 > few.rdd.getNumPartitions()
+
+
+def test_sources_are_counted_in_one_pass_each(spark):
+    df = spark.createDataFrame([(1, None), (2, "R"), (3, None)], "id long, rule_id string")
+    got = quality.layer_counts({"a": df, "b": df.where("id = 2"), "none": df.where("id > 9")})
+    assert rows(got) == [("a", 3, 2, 1), ("b", 1, 0, 1)]
+    plan = ingest.aud_conservation(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert sum(line.strip(" :+-").startswith("Relation") and "l_shipdate" in line for line in plan.splitlines()) == 1
