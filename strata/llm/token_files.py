@@ -83,17 +83,25 @@ def _ids(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _token_ids(docs: DataFrame, path: str, folder: str, end: int, text: str, key: str) -> DataFrame:
-    """Write key, h (hash of the text) and ids of every document, the id `end` last; each text is tokenised once."""
+    """Write key, h (hash of the text) and ids of every document, the id `end` last; each text is tokenised once. The last
+    row of a task has no document but counts: how often the task has seen each id, as 64-bit numbers."""
 
     def tokenised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(0, np.int64)
         for part in slices(batches):
             ids, at = text_ids(part.column(1), path)
             flat = np.insert(ids, at[1:], end).astype("<u4")
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), _binary(flat, 4 * (at + np.arange(len(at))))], ["key", "h", "ids"])
+            n = np.bincount(flat, minlength=len(total))
+            n[: len(total)] += total
+            total = n
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), _binary(flat, 4 * (at + np.arange(len(at)))), pa.nulls(part.num_rows, pa.binary())], names)
+        if len(total):
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([total.astype("<i8").tobytes()], pa.binary())], names)
         release()
 
+    names = ["key", "h", "ids", "counts"]
     rows = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
-    schema = "key long, h long, ids binary"
+    schema = "key long, h long, ids binary, counts binary"
     rows.mapInArrow(tokenised, schema).write.option("compression", "zstd").parquet(folder)
     return docs.sparkSession.read.schema(schema).parquet(folder)
 
@@ -102,16 +110,13 @@ def _ranked(tokens: DataFrame, folder: str) -> None:
     """Write rank, id: the ids by their number in all documents, the most frequent first, ties to the smaller id."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, np.int64)
-        for part in slices(batches, 0, 4 << 20):
-            n = np.bincount(_ids(part.column(0))[0], minlength=len(total))
-            n[: len(total)] += total
-            total = n
-        found = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(total[found], pa.int64())], ["id", "n"])
-        release()
+        for batch in batches:
+            for one in batch.column(0):
+                total = np.frombuffer(one.as_py(), "<i8")
+                found = np.flatnonzero(total)
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(total[found], pa.int64())], ["id", "n"])
 
-    counts = tokens.select("ids").mapInArrow(counted, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    counts = tokens.where("counts is not null").select("counts").mapInArrow(counted, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     place = F.row_number().over(Window.orderBy(F.desc("n"), "id")) - 1  # over the ids of a vocabulary
     counts.select(place.alias("rank"), "id").write.parquet(folder)
 
@@ -125,8 +130,7 @@ def write_token_files(docs: DataFrame, path: str, folder: str, end: int = 2, tex
     """Write the ids of all texts, each with the id `end` after it, in ascending order of key (nulls first, equal keys
     by a hash of their text, then by their codes).
 
-    Every text is tokenised once, into the table folder/ids. The ids of all documents are counted there; folder/ranks has
-    them by frequency. folder/blocks has the ranks of documents in order: blocks (shard, block, n_docs, n_ids, payload)
+    Every text is tokenised once, into the table folder/ids. Ids are counted on the way; folder/ranks has them by frequency. folder/blocks has the ranks of documents in order: blocks (shard, block, n_docs, n_ids, payload)
     of about `block_ids` ids, more only for a longer document. Spark's committer writes all three."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -171,7 +175,7 @@ def write_token_files(docs: DataFrame, path: str, folder: str, end: int = 2, tex
         release()
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    codes = tokens.mapInArrow(coded, "key long, h long, n_ids long, control binary, data binary")
+    codes = tokens.where("ids is not null").select("key", "h", "ids").mapInArrow(coded, "key long, h long, n_ids long, control binary, data binary")
     order = [F.col("key").asc_nulls_first(), "h"]  # equal keys may go to several shards, in order
     ordered = codes.repartitionByRange(n, *order).sortWithinPartitions(*order, "data", "control")
     ordered.mapInArrow(blocked, "shard int, block long, n_docs long, n_ids long, payload binary").write.parquet(f"{folder}/blocks")

@@ -542,6 +542,15 @@ def test_token_files_rank_ids_over_all_documents(spark, tmp_path):
     assert Counter((r.key, bytes(r.ids)) for r in got) == Counter((k, np.array([*library(BPE).encode(t, add_special_tokens=False).ids, 2], "<u4").tobytes()) for k, t in rows)
 
 
+def test_ids_are_counted_while_texts_are_tokenised(spark, tmp_path):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*ODD, "a b a"])], "doc_id long, text string").repartition(3)
+    token_files.write_token_files(df, BPE, f"{tmp_path}/f")
+    table = spark.read.parquet(f"{tmp_path}/f/ids")
+    assert table.where("ids is not null").count() == df.count() and table.where("ids is null and counts is null").count() == 0
+    counted = sum(int(np.frombuffer(r.counts, "<i8").sum()) for r in table.where("counts is not null").collect())
+    assert counted == table.selectExpr("sum(length(ids)) div 4 as n").first().n
+
+
 def test_pipeline_keeps_clean_documents(spark, tmp_path):
     import corpus_pipeline
 
