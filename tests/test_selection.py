@@ -59,6 +59,21 @@ def test_the_path_chooses_by_the_folds_it_shows(spark, people):
     assert max(r.mean_ap for r in path) > 0.9
 
 
+def test_metrics_read_scores_once_and_paths_store_no_scores(spark, people, monkeypatch):
+    scored = spark.range(100).selectExpr("id", "id % 3 as g", "id / 100 as score", "cast(id % 2 as int) as label")
+    one = ml.metrics(scored, by=["g"])
+    assert one._jdf.queryExecution().optimizedPlan().toString().count("Range (") == 1
+    for r in one.collect():
+        own = [(i / 100, i % 2) for i in range(100) if i % 3 == r.g]
+        assert r.n == len(own) and r.brier == pytest.approx(sum((s - y) ** 2 for s, y in own) / len(own), abs=1e-6)
+    assert ml.metrics(scored.where("id < 0")).first().n == 0
+    names, store = [], selection.stored
+    monkeypatch.setattr(selection, "stored", lambda df, name: names.append(name) or store(df, name))
+    df, pre = ml.prepared(people, ["x", "noise"], ["kind"])
+    selection.regularisation_path(df, pre, "unit", {"L2": 0.0}, [0.1])
+    assert "path-rows" in names and "path-scores" not in names
+
+
 def test_all_models_scores_equal_each_models_own(spark, people):
     df, pre = ml.prepared(people, ["x", "noise"], ["kind"])
     _, rows = selection.fold_tables(df, pre, "unit")[0]
