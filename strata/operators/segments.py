@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA
@@ -9,19 +13,85 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strata.operators.selection import fit_all
+from strata.functions.storage import stored
+from strata.operators.selection import fit_all, side_by_side
+
+#: Rows of one matrix product: their distances to some hundred centres stay in a core's cache.
+CHUNK = 1024
+
+
+def moved(points: DataFrame, sets: list[np.ndarray], chunk: int = CHUNK) -> list[tuple[np.ndarray, float]]:
+    """For each set of centres the means of the points next to each (ties to the first centre; a centre without points
+    stays) and the sum of squared distances to the centres given. points: one column, array<double> without NULLs. All
+    sets are one matrix, so a chunk of points is one product; a task returns a row a centre."""
+    order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
+    flat, sizes = np.concatenate([sets[i] for i in order]), [len(sets[i]) for i in order]
+    width, norms = flat.shape[1], (flat * flat).sum(axis=1)
+    #: times (point, 1, its square): the squared distance
+    distance = np.column_stack([-2 * flat, norms, np.ones(len(flat))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, near = np.zeros(distance.shape), np.zeros((len(flat), chunk))
+        for b in batches:
+            rows = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, width)
+            rows = np.column_stack([rows, np.ones(len(rows)), (rows * rows).sum(axis=1)])
+            for x in (rows[at : at + chunk] for at in range(0, len(rows), chunk)):
+                far, start = distance @ x.T, 0
+                for k in sorted(set(sizes)):
+                    n = sizes.count(k)
+                    group = far[start : start + n * k].reshape(n, k, len(x))
+                    closest = group == group.min(axis=1)[:, None]
+                    if np.count_nonzero(closest) > n * len(x):
+                        closest &= closest.cumsum(axis=1) == 1
+                    near[start : start + n * k, : len(x)] = closest.reshape(n * k, len(x))
+                    start += n * k
+                total += near[:, : len(x)] @ x
+        seen = np.flatnonzero(total[:, width])
+        yield pa.RecordBatch.from_pydict({"centre": pa.array(seen, pa.int32()), "total": pa.array(list(total[seen]), pa.list_(pa.float64()))})
+
+    parts = points.mapInArrow(run, "centre int, total array<double>")
+    found = parts.groupBy("centre").agg(F.array(*[F.sum(F.get("total", i)) for i in range(width + 2)]).alias("total")).collect()  # a row a centre
+    means, costs = flat.copy(), np.zeros(len(flat))
+    for c, total in found:
+        total = np.array(total)
+        means[c], costs[c] = total[:width] / total[width], max(distance[c] @ total, 0.0)
+    ends = np.cumsum(sizes)
+    done = {i: (means[e - n : e], float(costs[e - n : e].sum())) for i, n, e in zip(order, sizes, ends, strict=True)}
+    return [done[i] for i in range(len(sets))]
+
+
+def lloyd(df: DataFrame, column: str, starts: list[np.ndarray], rounds: int = 20, tol: float = 1e-4) -> list[tuple[np.ndarray, float, int]]:
+    """Centres, cost and rounds of a k-means run from each set of first centres, by the rules of MLlib's: at most `rounds`
+    moves, until no centre moves farther than `tol`; the cost is that before the last move. A round is one pass over df
+    for all runs together; a run that has ended takes no further part."""
+    points = stored(df.select(vector_to_array(column).alias("point")), "points")
+    runs, going = [(np.array(s, dtype=float), 0.0, 0) for s in starts], list(range(len(starts)))
+    for r in range(rounds):
+        still = []
+        for i, (means, cost) in zip(going, moved(points, [runs[i][0] for i in going]), strict=True):
+            if ((means - runs[i][0]) ** 2).sum(axis=1).max() > tol * tol:
+                still.append(i)
+            runs[i] = (means, cost, r + 1)
+        going = still
+        if not going:
+            break
+    return runs
 
 
 def restarted(df: DataFrame, column: str, ks: list[int], restarts: int = 10) -> dict[int, KMeansModel]:
-    """For each k the model of least cost among `restarts` seeds of k-means||; all are fitted side by side."""
+    """For each k the model of least cost among `restarts` seeds of k-means|| (ties to the smaller seed). MLlib draws the
+    first centres of all of them; all are then run together, and MLlib fits the best seed of each k. df is read several
+    times and must keep its order, as a stored table does."""
     base = KMeans(featuresCol=column, predictionCol="segment")
     grid = [{base.k: k, base.seed: seed} for k in ks for seed in range(1, restarts + 1)]
-    best: dict[int, KMeansModel] = {}
-    for setting, model in zip(grid, fit_all(df, base, grid), strict=True):
+    first = fit_all(df, base.copy({base.maxIter: 0, base.solver: "block"}), grid)
+    runs = lloyd(df, column, [np.array(m.clusterCenters()) for m in first], base.getMaxIter(), base.getTol())
+    best: dict[int, tuple[float, dict]] = {}
+    for setting, (_, cost, _) in zip(grid, runs, strict=True):
         k = setting[base.k]
-        if k not in best or model.summary.trainingCost < best[k].summary.trainingCost:
-            best[k] = model
-    return best
+        if k not in best or cost < best[k][0] * (1 - 1e-12):  # rounding chooses no seed
+            best[k] = (cost, setting)
+    return dict(zip(best, fit_all(df, base, [setting for _, setting in best.values()]), strict=True))
 
 
 def elbow(table: DataFrame) -> DataFrame:
@@ -39,7 +109,8 @@ def segments(df: DataFrame, column: str, ks: list[int], restarts: int = 10) -> t
     distance, ties to the smaller k); df with segment and plane (two principal components) by the chosen model; the model."""
     judge = ClusteringEvaluator(featuresCol=column, predictionCol="segment")
     models = restarted(df, column, ks, restarts)
-    found = [(k, float(m.summary.trainingCost), float(judge.evaluate(m.transform(df))) if m.summary.k > 1 else None) for k, m in sorted(models.items())]
+    widths = side_by_side([lambda m=m: float(judge.evaluate(m.transform(df))) if m.summary.k > 1 else None for _, m in sorted(models.items())])
+    found = [(k, float(m.summary.trainingCost), width) for (k, m), width in zip(sorted(models.items()), widths, strict=True)]
     chosen = max(found, key=lambda r: (-2.0 if r[2] is None else r[2], -r[0]))[0]
     table = elbow(df.sparkSession.createDataFrame(found, "k int, inertia double, silhouette double"))
     bend = table.agg(F.max_by("k", F.struct("elbow", -F.col("k"))).alias("_bend"))

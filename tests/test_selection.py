@@ -183,6 +183,36 @@ def test_segments_find_the_blobs(spark, blobs):
     assert table[3].inertia <= one + 1e-6 and len(model.clusterCenters()) == 3
 
 
+def test_runs_of_all_seeds_together_are_those_of_mllib(spark, blobs):
+    rows = blobs.repartition(3).cache()
+    grid = [(k, seed) for k in (2, 4, 7) for seed in (1, 2)]
+    first = [KMeans(featuresCol="numbers", k=k, seed=seed, maxIter=0).fit(rows) for k, seed in grid]
+    runs = segments.lloyd(rows, "numbers", [np.array(m.clusterCenters()) for m in reversed(first)])
+    assert len({rounds for _, _, rounds in runs}) > 1
+    for (k, seed), (centres, cost, rounds) in zip(reversed(grid), runs, strict=True):
+        own = KMeans(featuresCol="numbers", k=k, seed=seed).fit(rows)
+        assert np.allclose(centres, own.clusterCenters(), atol=1e-9) and rounds == own.summary.numIter
+        assert cost == pytest.approx(own.summary.trainingCost, rel=1e-9)
+
+
+def test_restarts_are_not_fitted_one_by_one(spark, blobs, monkeypatch):
+    fitted, fit_all = [], segments.fit_all
+    monkeypatch.setattr(segments, "fit_all", lambda df, e, grid: fitted.append((e.getMaxIter(), len(grid))) or fit_all(df, e, grid))
+    models = segments.restarted(blobs, "numbers", [2, 4], restarts=4)
+    assert sum(n for rounds, n in fitted if rounds > 0) == 2
+    for k, model in models.items():
+        costs = [KMeans(featuresCol="numbers", k=k, seed=seed).fit(blobs).summary.trainingCost for seed in range(1, 5)]
+        assert model.summary.trainingCost == pytest.approx(min(costs), rel=1e-9)
+
+
+def test_centres_move_to_their_points(spark):
+    points = spark.createDataFrame([([float(v), 0.0],) for v in (0, 1, 2, 3, 4)], "point array<double>").repartition(2)
+    sets = [np.array([[1.0, 0.0], [3.0, 0.0], [50.0, 0.0]]), np.array([[2.0, 1.0]])]
+    (three, cost), (one, whole) = segments.moved(points, sets, chunk=2)
+    assert three.tolist() == [[1.0, 0.0], [3.5, 0.0], [50.0, 0.0]] and cost == pytest.approx(3.0)  # 2 is as near to both
+    assert one.tolist() == [[2.0, 0.0]] and whole == pytest.approx(15.0)
+
+
 def test_spread_and_profile_by_plain_loops(spark, blobs):
     got = {r.feature: r for r in segments.spread(blobs, "truth", {c: F.col(c) for c in "abc"}).collect()}
     rows = blobs.collect()
