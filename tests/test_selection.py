@@ -13,7 +13,7 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from strata.operators import ml, model_store, segments, selection
+from strata.operators import linear, ml, model_store, segments, selection, tally
 
 
 @pytest.fixture(scope="module")
@@ -86,6 +86,49 @@ def test_all_models_scores_equal_each_models_own(spark, people):
             assert got[r.unit, k] == pytest.approx(r.p, abs=1e-6)
 
 
+def test_models_of_a_path_share_their_passes_and_are_those_of_mllib(spark, people, monkeypatch):
+    df, pre = ml.prepared(people, ["x", "noise"], ["kind"])
+    tables = [rows.where(F.col("fold") != k) for k, (_, rows) in selection.fold_tables(df, pre, "unit").items()][:2]
+    settings = [(lam, share) for share in (0.0, 1.0, 0.5) for lam in (0.001, 0.3, 10.0, 1e4)]
+    passes, losses = [], linear.losses
+    monkeypatch.setattr(linear, "losses", lambda *a, **b: passes.append(1) or losses(*a, **b))
+    found = linear.logistic_models(tables, settings)
+    steps = 0
+    for rows, models in zip(tables, found, strict=True):
+        n = rows.count()
+        base = ml.logistic(1.0, 0.0, n)
+        for (weights, intercept), own in zip(models, selection.fit_all(rows, base, [{base.regParam: lam / n, base.elasticNetParam: share} for lam, share in settings]), strict=True):
+            assert np.allclose(weights, own.coefficients.toArray(), atol=1e-6) and intercept == pytest.approx(own.intercept, abs=1e-6)
+            assert ((weights != 0) == (own.coefficients.toArray() != 0)).all()
+            steps += own.summary.totalIterations
+    assert steps > 2 * len(passes) > 0
+    same = linear.logistic_models([tables[0].where("label = 1")], [(1.0, 0.0)])[0][0]
+    assert not same[0].any() and same[1] == math.inf
+    monkeypatch.setattr(selection, "fit_all", None)
+    assert len(selection.refitted(df, pre, selection.regularisation_path(df, pre, "unit", {"L1": 1.0}, [0.1, 1.0])[0])) == 1
+
+
+def test_blocks_are_as_they_were():
+    x = np.column_stack([np.arange(64.0) / 7, np.arange(64) % 3 - 0.1, np.zeros(64)])
+    assert (linear.unpacked(linear.packed(x), 64) == x.T).all() and len(linear.packed(x)) < x.nbytes
+
+
+def test_counted_metrics_are_those_of_scores(spark):
+    rng = np.random.default_rng(5)
+    rows = [(int(g), int(y), [float(v) for v in np.round(np.clip(rng.normal(0.4 + 0.2 * y, 0.3, 3), 0, 1), 6)]) for g, y in zip(rng.integers(0, 4, 500), rng.integers(0, 2, 500), strict=True)]
+    rows += [(9, 1, [0.5, 0.5, 1.0]), (9, 0, [0.5, 0.1, 0.0])]
+    df = spark.createDataFrame(rows, "g int, label int, features array<double>").repartition(5)
+    want = {(r.g, r.setting): r for r in ml.metrics(df.select("g", "label", F.posexplode("features").alias("setting", "score")), by=["g", "setting"]).collect()}
+    for most in (1, 1 << 23):
+        got = tally.metrics(tally.tallied(df, ["g"], lambda x: x, most), ["g"]).collect()
+        assert len(got) == len(want) == 15
+        for r in got:
+            w = want[r.g, r.setting]
+            assert r.n == w.n and (r.average_precision, r.roc_auc, r.brier) == pytest.approx((w.average_precision, w.roc_auc, w.brier), abs=1e-6)
+    one = tally.metrics(tally.tallied(df.where("g = 9 and label = 0"), ["g"], lambda x: x), ["g"]).first()
+    assert one.n == 1 and one.average_precision is None and one.roc_auc is None
+
+
 def test_coefficients_bear_the_features_names(spark, people):
     df, pre = ml.prepared(people, ["x", "noise"], ["kind"])
     model = Pipeline(stages=[*pre.getStages(), ml.logistic(1.0, 0.0, 240)]).fit(df)
