@@ -196,6 +196,18 @@ def test_what_matters_has_the_largest_importance(spark, people):
     assert [r.place for r in got] == [1, 2] and got[0].feature == "x" and got[0].importance > 0.1 > abs(got[1].importance)
 
 
+def test_terms_of_linear_models_give_the_same_importance(spark, people, monkeypatch):
+    models, prepare = {}, lambda seen: ml.prepared(seen, ["x", "noise"], ["kind"])[0]
+    for k in range(ml.FOLDS):
+        df, pre = ml.prepared(people.where(F.col("fold") != k), ["x", "noise"], ["kind"])
+        models[k] = Pipeline(stages=[*pre.getStages(), ml.logistic(1.0, 0.0, 200)]).fit(df)
+    scored = {k: lambda seen, m=m: m.transform(prepare(seen)).withColumn("score", F.round(vector_to_array("probability")[1], 6)) for k, m in models.items()}
+    want = selection.permutation_importance(people, ["x", "noise", "kind"], "unit", scored, repeats=3).collect()
+    monkeypatch.setattr(selection, "permuted", None)  # no row is repeated
+    got = selection.linear_permutation_importance(people, [["x", "noise"], ["kind"]], "unit", models, prepare, repeats=3).collect()
+    assert got == want and len(got) == 3
+
+
 def test_average_percentile_rank(spark):
     rng = random.Random(7)
     values = [rng.choice([None, *range(40)]) for _ in range(600)]
