@@ -170,6 +170,29 @@ def test_folds_are_fitted_side_by_side(spark, people, monkeypatch):
     assert selection.side_by_side([lambda k=k: k for k in range(20)]) == list(range(20)) and selection.side_by_side([]) == []
 
 
+def test_all_trees_of_a_boosted_model_are_one_call_a_row_and_no_score_is_stored(spark, people, monkeypatch):
+    df, pre = ml.prepared(people, ["x", "noise"], ["kind"])
+    rows = pre.fit(df).transform(df).select("unit", "fold", "label", "features").cache()
+    model = GBTClassifier(featuresCol="features", labelCol="label", maxIter=12, maxDepth=3, seed=1).fit(rows)
+    plan = selection.leaves(model, rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("UDF(features") == 1
+    got = {(r.unit, r.setting): r.score for r in selection.staged_scores(model, rows, [12, 1]).collect()}
+    for r in model.transform(rows).select("unit", vector_to_array("probability")[1].alias("p")).collect():
+        assert got[r.unit, 0] == pytest.approx(r.p, abs=1e-6)
+    first = model.trees[0].setFeaturesCol("features").setPredictionCol("t")
+    for r in first.transform(rows).select("unit", "t").collect():
+        assert got[r.unit, 1] == pytest.approx(1 / (1 + math.exp(-2 * r.t)), abs=1e-6)
+    tables, store = [], selection.stored
+    monkeypatch.setattr(selection, "stored", lambda df, name: tables.append((name, df.columns)) or store(df, name))
+    table, result = selection.tree_path(df, pre, "unit", steps=[0.1], rounds=[2, 3], depths=[2], least=[1], trees=3)
+    assert [name for name, _ in tables].count("tree-cells") == 10 and not any("score" in columns for _, columns in tables)
+    k, seen = 2, "validation"
+    _, fold = selection.fold_tables(df, pre, "unit")[k]
+    own = GBTClassifier(featuresCol="features", labelCol="label", maxIter=3, seed=1, maxBins=64, stepSize=0.1, maxDepth=2).fit(fold.where(F.col("fold") != k)).transform(fold.where(F.col("fold") == k))
+    want = average_precision([(round(r.p, 6), r.label) for r in own.select("label", vector_to_array("probability")[1].alias("p")).collect()])
+    assert result.where(f"setting = 1 and model = {k} and part = '{seen}'").first().average_precision == pytest.approx(want, abs=2e-6)
+
+
 def test_values_are_dealt_within_folds_and_nothing_else_changes(spark, people):
     raw = people.select("unit", "fold", "label", "x", "kind")
     dealt = selection.permuted(raw, ["x", "kind"], "unit", 3, bucket_rows=50).collect()
